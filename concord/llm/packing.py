@@ -44,59 +44,72 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
     pair, then a triple, found by hashing sums of the lengths in stock.  What has no exact complement is filled by best
     fit.  The work depends on the number of distinct lengths (at most ``capacity``), not on the number of pieces.
     """
-    stock = np.zeros(capacity + 1, np.int64)
+    stock = [0] * (capacity + 1)
     for length, n in counts.items():
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} is not between 1 and {capacity}")
         stock[length] = n
+    # sets of lengths in stock as bits of an integer: bit x, and bit capacity - x
+    here = sum(1 << x for x in range(1, capacity + 1) if stock[x])
+    mirror = sum(1 << (capacity - x) for x in range(1, capacity + 1) if stock[x])
     patterns: list[tuple[list[int], int]] = []
 
-    def use(lengths: list[int]) -> None:
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
-        n = min(int(stock[x]) // k for x, k in need.items())
-        for x, k in need.items():
-            stock[x] -= n * k
-        patterns.append((lengths, n))
-
-    def pair(gap: int) -> tuple[int, int] | None:
+    def take(x: int, n: int) -> None:
+        nonlocal here, mirror
+        stock[x] -= n
+        if n > 0 and not stock[x]:
+            here ^= 1 << x
+            mirror ^= 1 << (capacity - x)
+        elif n < 0 and stock[x] == -n:
+            here ^= 1 << x
+            mirror ^= 1 << (capacity - x)
+
+    def pair(gap: int) -> list[int]:
         """The most even pair in stock that sums to ``gap``: short lengths are kept for later gaps."""
-        first = np.arange(gap // 2, 0, -1)
-        ok = (stock[first] > 0) & (stock[gap - first] > np.where(first * 2 == gap, 1, 0))
-        k = int(ok.argmax()) if len(ok) else 0
-        return (int(gap - first[k]), int(first[k])) if len(ok) and ok[k] else None
-
-    def triple(gap: int) -> tuple[int, int, int] | None:
-        for third in np.flatnonzero(stock[: gap // 3 + 1])[::-1]:
-            stock[third] -= 1
-            found = pair(gap - int(third))
-            stock[third] += 1
+        if gap < 2:
+            return []
+        if not gap % 2 and stock[gap // 2] > 1:
+            return [gap // 2, gap // 2]
+        both = here & (mirror >> (capacity - gap)) & ((1 << ((gap + 1) // 2)) - 1)
+        low = both.bit_length() - 1
+        return [gap - low, low] if low > 0 else []
+
+    def triple(gap: int) -> list[int]:
+        thirds = here & ((1 << (gap // 3 + 1)) - 1)
+        while thirds:
+            third = thirds.bit_length() - 1
+            thirds ^= 1 << third
+            take(third, 1)
+            found = pair(gap - third)
+            take(third, -1)
             if found:
-                return (*found, int(third))
-        return None
+                return [*found, third]
+        return []
+
+    def best_fit(room: int) -> list[int]:
+        out: list[int] = []
+        while fits := here & ((1 << (room + 1)) - 1):
+            best = fits.bit_length() - 1
+            take(best, 1)
+            out.append(best)
+            room -= best
+        for x in out:
+            take(x, -1)
+        return out
 
     for length in range(capacity, 0, -1):
         while stock[length]:
             gap = capacity - length
-            if not gap:
-                use([length])
-                continue
-            stock[length] -= 1
-            rest = [gap] if stock[gap] else pair(gap) or triple(gap)
-            stock[length] += 1
-            if not rest:
-                rest, room = [], gap
-                stock[length] -= 1
-                while room and len(fits := np.flatnonzero(stock[: room + 1])):
-                    best = int(fits[-1])
-                    rest.append(best)
-                    stock[best] -= 1
-                    room -= best
-                for x in rest:
-                    stock[x] += 1
-                stock[length] += 1
-            use([length, *rest])
+            take(length, 1)
+            rest = ([gap] if stock[gap] else pair(gap) or triple(gap) or best_fit(gap)) if gap else []
+            take(length, -1)
+            need: dict[int, int] = defaultdict(int)
+            for x in (length, *rest):
+                need[x] += 1
+            n = min(stock[x] // k for x, k in need.items())
+            for x, k in need.items():
+                take(x, n * k)
+            patterns.append(([length, *rest], n))
     return patterns
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_files
+from . import packing, sharding, simhash, token_files
 
 #: File names of the public vocabularies.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -32,5 +32,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_jump_shards, op8_packing)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_jump_shards, op8_packing, op10_simhash)}
 ORACLES: dict[str, str] = {}
