@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, token_files
+from . import ngram_lm, packing, piece_bpe, sharding, simhash, token_files
+from ._spark import id_crc
 
 #: File names of the public vocabularies.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -20,14 +22,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(modulus: int, remainder: int) -> Column:
+    """The contracts' folds of documents: the crc32 of the id as text."""
+    return F.pmod(id_crc(), F.lit(modulus)) == remainder
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE)))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), _fold(7, 2))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
@@ -36,5 +51,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_jump_shards, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op8_packing, op10_simhash)}
 ORACLES: dict[str, str] = {}
