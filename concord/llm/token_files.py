@@ -84,7 +84,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame
         if held:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(ordered.mapInArrow(encode_part, SEGMENT_SCHEMA), "tokens")
 
 
