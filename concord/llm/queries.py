@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_lm, packing, piece_bpe, sharding, simhash, token_files
+from . import language_id, ngram_lm, packing, piece_bpe, sharding, simhash, token_files, toxicity
 from ._spark import id_crc
 
 #: File names of the public vocabularies.
@@ -43,6 +43,14 @@ def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), _fold(7, 2))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(5, 0))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), _fold(3, 1))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
@@ -51,5 +59,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op6_toxicity, op7_language, op8_packing, op10_simhash)}
 ORACLES: dict[str, str] = {}
