@@ -22,6 +22,8 @@ from ._words import split_words
 #: Whole labelled documents sampled per language (expected number), and characters of their distinct words learnt from.
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 24_000
+#: Bits that one word can count against a language.
+WORD_BITS = 12.0
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
 
@@ -134,14 +136,14 @@ class LanguageModel:
         lengths = np.fromiter(map(len, marked), np.int64, len(marked))
         points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         starts = np.cumsum(lengths) - lengths
-        costs = np.zeros((len(automata), len(text)))
-        for k, automaton in enumerate(automata):
-            found = automaton.phrases(points, starts, lengths) * automaton.cost
-            found[~letters] = 0
-            costs[k] = np.bincount(doc, weights=found[index], minlength=len(text))
-        lettered = np.bincount(doc, weights=letters[index], minlength=len(text)) > 0
         if not automata:
             return [UNKNOWN] * len(text), np.zeros(len(text))
+        each = np.stack([automaton.phrases(points, starts, lengths) * automaton.cost for automaton in automata])
+        # what a word costs over its best language, up to a limit: no few foreign words outweigh the rest
+        over = np.minimum(each - each.min(0), WORD_BITS)
+        over[:, ~letters] = 0
+        costs = np.stack([np.bincount(doc, weights=o[index], minlength=len(text)) for o in over])
+        lettered = np.bincount(doc, weights=letters[index], minlength=len(text)) > 0
         best = costs.argmin(0)
         weights = np.exp2(-np.minimum(1000, costs - costs.min(0)))
         score = np.where(lettered, 1 / weights.sum(0), 0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_lm, packing, piece_bpe, sharding, simhash, token_files, toxicity
+from . import embedding_links, language_id, ngram_lm, packing, piece_bpe, sharding, simhash, sketches, token_files, toxicity
 from ._spark import id_crc
 
 #: File names of the public vocabularies.
@@ -27,6 +27,10 @@ def _fold(modulus: int, remainder: int) -> Column:
     return F.pmod(id_crc(), F.lit(modulus)) == remainder
 
 
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE)))
 
@@ -55,9 +59,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op6_toxicity, op7_language, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op6_toxicity, op7_language, op8_packing, op9_sketches, op10_simhash)}
 ORACLES: dict[str, str] = {}
