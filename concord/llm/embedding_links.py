@@ -124,7 +124,7 @@ def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float
         open_ &= np.triu(np.ones(open_.shape, bool), 1)
     i, j = np.nonzero(open_)
     total = bound[i, j]
-    for c, to in zip(cuts, [*cuts[1:], dims], strict=True):
+    for c, to in zip(cuts, [*cuts[1:], dims], strict=False):
         if not len(i):
             break
         parts = []
