@@ -127,7 +127,7 @@ def hash_embedding(text: Column | str, dims: int = 64) -> Column:
     bins are counted in Arrow batches."""
 
     @F.pandas_udf("array<double>")
-    def count(hashes: pd.Series) -> pd.Series:
+    def bins(hashes: pd.Series) -> pd.Series:
         def one(h) -> np.ndarray:
             h = np.asarray(h, np.int64)
             sums = np.bincount(h % dims, weights=np.where((h >> 32) & 1, -1.0, 1.0), minlength=dims)
@@ -136,7 +136,8 @@ def hash_embedding(text: Column | str, dims: int = 64) -> Column:
 
         return hashes.map(one)
 
-    return count(F.transform(tokens(text), lambda t: F.xxhash64(t)))
+    # not to be copied into the expressions that use it, which would run it again for each use
+    return bins.asNondeterministic()(F.transform(tokens(text), lambda t: F.xxhash64(t)))
 
 
 def hybrid(queries: DataFrame, items: DataFrame, recall: int = 30, top: int = 10, trade: float = 0.5, per_doc_cap: int = 4) -> DataFrame:
