@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, is_blank, tokens
@@ -122,22 +125,26 @@ def mmr(pool: DataFrame, top: int = 10, trade: float = 0.5, per_doc_cap: int = 4
     return pool.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, doc_id {kinds['doc_id']}, score double, rank int")
 
 
-def hash_embedding(text: Column | str, dims: int = 64) -> Column:
-    """A deterministic offline embedding: signed feature hashing of tokens, normalised.  Tokens are hashed in the JVM; their
-    bins are counted in Arrow batches."""
-
-    @F.pandas_udf("array<double>")
-    def bins(hashes: pd.Series) -> pd.Series:
-        def one(h) -> np.ndarray:
-            h = np.asarray(h, np.int64)
-            sums = np.bincount(h % dims, weights=np.where((h >> 32) & 1, -1.0, 1.0), minlength=dims)
-            norm = np.sqrt((sums * sums).sum())
-            return sums / norm if norm > 0 else sums
+def with_hash_vectors(items: DataFrame, text: str = "text", name: str = "vector", dims: int = 64) -> DataFrame:
+    """``items`` with a deterministic offline embedding: signed feature hashing of tokens, normalised.
 
-        return hashes.map(one)
-
-    # not to be copied into the expressions that use it, which would run it again for each use
-    return bins.asNondeterministic()(F.transform(tokens(text), lambda t: F.xxhash64(t)))
+    Tokens are hashed in the JVM and their bins counted in Arrow batches; a model's embedding would stand in the same place.
+    """
+    hashed = items.withColumn("_hashes", F.transform(tokens(text), lambda t: F.xxhash64(t)))
+    fields = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + f", `{name}` array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            h = lists.flatten().to_numpy()
+            sums = np.bincount(owner * dims + h % dims, weights=np.where((h >> 32) & 1, -1.0, 1.0), minlength=batch.num_rows * dims).reshape(-1, dims)
+            norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+            unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=[*batch.schema.names[:-1], name])
+
+    return hashed.mapInArrow(run, fields)
 
 
 def hybrid(queries: DataFrame, items: DataFrame, recall: int = 30, top: int = 10, trade: float = 0.5, per_doc_cap: int = 4) -> DataFrame:

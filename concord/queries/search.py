@@ -87,8 +87,8 @@ def _items(spark, sf_dir):
 @add()
 def hybrid_mmr(spark, sf_dir):
     """BM25 and hashed vectors, fused and diversified (greedy, so no SQL)."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").withColumn("vector", R.hash_embedding("text"))
-    return R.hybrid(queries, _items(spark, sf_dir).withColumn("vector", R.hash_embedding("text")))
+    queries = R.with_hash_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return R.hybrid(queries, R.with_hash_vectors(_items(spark, sf_dir)))
 
 
 @add("""select case when length(text) > 800 then doc_id::varchar || '#chunk' || (n + 1) else doc_id::varchar end as item_id, source, length(substring(text, n * 800 + 1, 800)) as n_chars, md5(substring(text, n * 800 + 1, 800)) as digest
