@@ -25,7 +25,7 @@ SPACE = "▁"
 #: The rank of a pair that forms no piece.
 _NONE = np.int32(2**31 - 1)
 #: Distinct cuts that a Python worker keeps; the cache starts anew beyond it.
-CACHE_CUTS = 500_000
+CACHE_CUTS = 300_000
 
 
 class PieceBpe:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from ._words import runs, split_words
 
 #: Distinct words and cuts that a Python worker keeps; a cache starts anew beyond it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CLOSED = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]")
 
