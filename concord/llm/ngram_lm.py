@@ -31,7 +31,7 @@ from .elias_fano import EliasFano, encode
 DISCOUNT = 0.75
 #: Tokens after which a block is closed, and distinct words and bigrams of blocks that one shard takes on average.
 BLOCK_TOKENS = 2_000_000
-SHARD_ENTRIES = 1_000_000
+SHARD_ENTRIES = 600_000
 #: A word that makes up more than this part of a shard's mean load is split over shards by the word after it.
 HOT_SHARE = 0.05
 #: A word that no text can hold: it has a space.
