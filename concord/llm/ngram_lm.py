@@ -11,7 +11,9 @@ words after v and P1(w) = (c(w) + 1) / (N + V + 1); after an unseen v it is P1(w
 
 from __future__ import annotations
 
+import mmap
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -209,7 +211,13 @@ def _answer(hot: np.ndarray):
         seen = summed > 0
         sizes = np.bincount((keys[seen] >> np.uint64(32)).astype(np.int64), minlength=len(names))
         image = build_trie(names[sizes > 0], sizes[sizes > 0], keys[seen] & np.uint64(0xFFFFFFFF), summed[seen])
-        codes, _ = Trie(image).find(contexts, nexts)
+        with tempfile.TemporaryFile() as file:  # the levels are read through a map of a nameless file of this task
+            file.write(image)
+            file.flush()
+            with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as levels:
+                trie = Trie(levels)
+                codes, _ = trie.find(contexts, nexts)
+                del trie
         # the number of successors of a word is known where its context lies; a hot word's are summed over shards later
         place = np.minimum(np.searchsorted(names, known), max(0, len(names) - 1))
         followers = np.where(names[place] == known, sizes[place], 0) if len(names) else np.zeros(len(known), np.int64)
