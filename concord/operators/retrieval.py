@@ -75,6 +75,40 @@ def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id:
     return pairs.select("query_id", "doc_id", F.round(dot("_q", "_c"), 6).alias("score"))
 
 
+def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int) -> DataFrame:
+    """The k rows of ``corpus`` nearest to each query, ranked from 1 (scores rounded to 6 places, ties by ``doc_id``).
+
+    A stated query set goes to every task as one matrix, after a check of its size; each Arrow batch of the corpus is one
+    matrix product and passes on only rows that can be among a query's k best, so little reaches the shuffle.
+    """
+    rows = queries.select(query_id, vector).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError("too many queries to send to every task")
+    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    ids = [r[0] for r in rows]
+    matrix = _unit_rows(np.array([r[1] for r in rows], float)) if rows else np.zeros((0, 1))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(ids)
+        for batch in batches:
+            if not batch.num_rows or not len(matrix):
+                continue
+            block = _unit_rows(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1))
+            for at in range(0, len(matrix), 512):
+                scores = np.round(matrix[at : at + 512] @ block.T, 6)
+                least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+                q, d = np.nonzero(scores >= least[:, None])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + at)), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc_id", "score"])
+
+    return top_k(corpus.select(doc_id, vector).where(F.col(vector).isNotNull()).mapInArrow(near, schema), k)
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def rrf(ranked: DataFrame, k: int = 60, key: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of rows (key, doc, ranker, rank from 1, weight): score is the sum of weight / (k + rank).
 
@@ -152,15 +186,15 @@ def hybrid(queries: DataFrame, items: DataFrame, recall: int = 30, top: int = 10
     recall, rank fusion, diversification; scores are fused scores rounded to 6 places."""
     items = items.where(~is_blank("text"))
     lexical = top_k(bm25(queries, items, "query_id", "item_id").withColumn("score", F.round("score", 6)), recall)
-    dense = top_k(cosine_scores(queries, items, "query_id", "item_id", "vector"), recall)
+    dense = cosine_top(queries, items, "query_id", "item_id", "vector", recall)
     ranked = dense.select("query_id", "doc_id", F.lit(0).alias("ranker"), "rank", F.lit(1.0).alias("weight")).unionByName(lexical.select("query_id", "doc_id", F.lit(1).alias("ranker"), "rank", F.lit(1.0).alias("weight")))
     pool = rrf(ranked).withColumnRenamed("doc_id", "item_id").join(items.select("item_id", "doc_id", "vector"), "item_id")
     return mmr(pool, top, trade, per_doc_cap).withColumn("score", F.round("score", 6))
 
 
 def ranked_with_cuts(scored: DataFrame, k: int, floor: float, review: float, extra: int = 5) -> DataFrame:
-    """The k + extra best rows of each query with why a row was cut: below ``floor`` (first), or beyond rank k; kept rows under
+    """The k + extra best rows of each query (or rows ranked already) with why a row was cut: below ``floor`` (first), or beyond rank k; kept rows under
     ``review`` need a look."""
-    rows = top_k(scored, k + extra)
+    rows = scored if "rank" in scored.columns else top_k(scored, k + extra)
     cut = F.when(F.col("score") < floor, "min_score").when(F.col("rank") > k, "top_k").otherwise("")
     return rows.withColumn("cut_by", cut).withColumn("kept", F.col("cut_by") == "").withColumn("needs_review", (F.col("cut_by") == "") & (F.col("score") < review))

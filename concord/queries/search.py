@@ -49,9 +49,14 @@ def _cosine(spark, sf_dir, on=None):
     return R.cosine_scores(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", on)
 
 
+def _nearest(spark, sf_dir, k):
+    e = table(spark, sf_dir, "embeddings")
+    return R.cosine_top(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", k)
+
+
 @add(f"with {_COSINE.format(on='')} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from cosine) where rank <= 5")
 def cosine_topk(spark, sf_dir):
-    return R.top_k(_cosine(spark, sf_dir), 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _nearest(spark, sf_dir, 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @add(f"with {_COSINE.format(on=' and q.label = c.label')} select query_id, doc_id, score from cosine where score >= 0.2")
@@ -63,7 +68,7 @@ def cosine_min_score(spark, sf_dir):
     select query_id, doc_id, score, rank, case when score < 0.25 then 'min_score' when rank > 3 then 'top_k' else '' end as cut_by, not (score < 0.25 or rank > 3) as kept,
            not (score < 0.25 or rank > 3) and score < 0.5 as needs_review from r where rank <= 8""")
 def ranked_cut_by(spark, sf_dir):
-    return R.ranked_with_cuts(_cosine(spark, sf_dir), 3, 0.25, 0.5).withColumn("rank", F.col("rank").cast("long"))
+    return R.ranked_with_cuts(_nearest(spark, sf_dir, 8), 3, 0.25, 0.5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @add(f"""with {BM25_SQL}, lex as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25 qualify rank <= 30),
@@ -107,7 +112,8 @@ def recall_at_k(spark, sf_dir):
     from ..operators.diagnose import recall_at
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ranked = R.top_k(_cosine(spark, sf_dir).where("query_id <> doc_id"), 10)
+    others = _nearest(spark, sf_dir, 11).drop("rank").where("query_id <> doc_id")
+    ranked = R.top_k(others, 10)
     a, b = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("lb"))
     found = ranked.join(a, "query_id").join(b, "doc_id").where("la = lb").groupBy("query_id").agg(F.min("rank").alias("rank"))
     queries = a.where("query_id % 20 = 0").withColumnRenamed("la", "label")
