@@ -70,3 +70,21 @@ def admissions(events: DataFrame, key: str, most: int, seconds: float = 60.0) ->
 def expired(jobs: DataFrame, now: Column, days: int, final: Column) -> DataFrame:
     """Final jobs older than ``days``."""
     return jobs.where(final & (F.col("ts") < now - F.make_dt_interval(F.lit(days))))
+
+
+def queue_positions(jobs: DataFrame, lane: str, queued: Column, running: Column, created: str, job: str) -> DataFrame:
+    """Place of each queued job of a lane: how many run, and how many were queued before it."""
+    active = jobs.groupBy(lane).agg(F.max(F.when(running, 1).otherwise(0)).alias("_running"))
+    number = F.row_number().over(Window.partitionBy(lane).orderBy(created, job)) - 1
+    waiting = jobs.where(queued).withColumn("_n", number)
+    return waiting.join(active, lane).select(lane, job, (F.col("_n") + F.col("_running")).cast("long").alias("position"))
+
+
+def rate(amount: Column, ms: Column) -> Column:
+    """Per second, to one place; null without an amount or a duration."""
+    return F.when((amount > 0) & (ms > 0), F.round(amount * 1000.0 / ms, 1))
+
+
+def backoff(attempt: Column, base: float = 2.0, cap: float = 60.0) -> Column:
+    """Seconds to wait before an attempt."""
+    return F.least(F.pow(F.lit(base), attempt), F.lit(cap))

@@ -80,3 +80,22 @@ def expired_jobs(spark, sf_dir):
 @add("select event_type, count(*) as n, round(avg(value), 6) as mean_value, round(sum(value) / count(distinct user_id), 6) as per_user from events group by 1")
 def event_rates(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.sum("value") / F.count_distinct("user_id"), 6).alias("per_user"))
+
+
+@add("""with a as (select o_custkey, max(case when o_orderstatus = 'P' then 1 else 0 end) as running from orders group by 1)
+    select o.o_custkey, o_orderkey, (row_number() over (partition by o.o_custkey order by o_orderdate, o_orderkey) - 1 + running)::bigint as position from orders o join a using (o_custkey) where o_orderstatus = 'O'""")
+def queue_positions(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    return E.queue_positions(table(spark, sf_dir, "orders"), "o_custkey", status == "O", status == "P", "o_orderdate", "o_orderkey")
+
+
+@add("select event_id, case when value > 0 then round(floor(value) * 1000.0 / 250, 1) end as per_second, least(pow(2.0, user_id % 9), 60.0) as wait from events where floor(value) > 0")
+def call_rates(spark, sf_dir):
+    e = _events(spark, sf_dir).where(F.floor("value") > 0)
+    return e.select("event_id", E.rate(F.floor("value").cast("double"), F.lit(250.0)).alias("per_second"), E.backoff(F.col("user_id") % 9).alias("wait"))
+
+
+@add("select event_type, count(*) as n, round(count(*) / (select count(*) from events)::double, 6) as share from events group by 1")
+def decider_share(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("_all")))).select("event_type", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))

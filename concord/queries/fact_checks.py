@@ -192,3 +192,16 @@ def fact_numbers(spark, sf_dir):
     from ..functions.text import fingerprint
 
     return V.number_facts(table(spark, sf_dir, "part"), "p_brand", "p_partkey").select("p_partkey", "fact_id", fingerprint("p_name", "p_brand").alias("fingerprint"))
+
+
+@add(f"with {FACTS_SQL} select coalesce(brand, 'all') as brand, result, count(*) as n from compared group by grouping sets ((brand, result), (result))")
+def verdict_rollup(spark, sf_dir):
+    """Counts of results per brand and over all."""
+    c = compared_facts(spark, sf_dir).groupingSets([[F.col("brand"), F.col("result")], [F.col("result")]], F.col("brand"), F.col("result"))
+    return c.agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("brand", F.lit("all")).alias("brand"), "result", "n")
+
+
+@add(f"with {FACTS_SQL} select ref_id, case when result = 'match' then 'linked' when code_result is null and target_id is not null then 'undecided' when result = 'missing' then 'absent' else 'rejected' end as tone from compared")
+def edge_tones(spark, sf_dir):
+    tone = F.when(F.col("result") == "match", "linked").when(F.col("code_result").isNull() & F.col("target").isNotNull(), "undecided").when(F.col("result") == "missing", "absent").otherwise("rejected")
+    return compared_facts(spark, sf_dir).select(F.col("fact_id").alias("ref_id"), tone.alias("tone"))
