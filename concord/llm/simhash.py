@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialise, pieces, text_column
@@ -59,15 +59,18 @@ def text_fingerprints(texts: list[bytes], width: int = 3, seed: int = 42) -> np.
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every whole text; null texts have no words."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, row: Column | None = None) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every whole text, and the binary ``row`` if given; null texts have no
+    words."""
+    names = ["doc_id", "fp"] + ["row"] * (row is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20):
             found = text_fingerprints(batch.column(1).cast(pa.binary()).to_pylist(), width, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")] + ([] if row is None else [row.alias("row")])
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + ", row binary" * (row is not None))
 
 
 def _close_in_bucket(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -114,6 +117,12 @@ def near_edges(prints: DataFrame) -> DataFrame:
     return direct.unionByName(hot).distinct()
 
 
+def _components(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (one row per ``fp``) with ``component``, the name of the fingerprints that links of 2 or fewer bits reach."""
+    linked = connected_components(near_edges(nodes.select("fp")))
+    return nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (least doc_id reachable) of every document.
 
@@ -123,17 +132,29 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    linked = connected_components(near_edges(nodes.select("fp")))
-    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _components(nodes)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     names = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     out = prints.join(names, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """SHA-256 of a row: of its text's bytes and of its other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return F.unhex(F.sha2(F.to_json(F.struct(F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("text"), *others)), 256))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each component, with all its columns; of repeated rows of it, one."""
-    found = simhash_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id", "_component")
-    return joined.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_row = 1").drop("_row")
+    """One document of each component, with all its columns: the least by doc_id (nulls last), fingerprint and row hash.
+
+    Components are of fingerprints alone, so documents without an id, or with one id, are told apart by their texts.  Only
+    row hashes are grouped; equal rows are reduced to one in each task before the texts are shuffled.
+    """
+    keyed = docs.withColumn("_row", _row_hash(docs))
+    prints = fingerprints(docs, row=_row_hash(docs))
+    nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")), "nodes")
+    best = F.min(F.struct("best.no_id", "best.doc_id", "fp", "best.row"))
+    kept = _components(nodes).groupBy("component").agg(best.alias("best")).select(F.col("best.row").alias("_row"))
+    single = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_n = 1")
+    return single.join(kept, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

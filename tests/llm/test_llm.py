@@ -242,6 +242,15 @@ def test_near_duplicates_leave_one_row(spark):
     assert got == [-1, 2, 9]
 
 
+def test_near_duplicates_go_by_component_not_by_id(spark):
+    rows = [(None, "a b c d", 1), (None, "q r s t u v", 2), (None, "q r s t u v", 2), (None, "k l m n o", 3), (7, "e f g h", 4), (7, "x1 x2 x3 x4 x5", 5), (8, "k l m n o", 6), (6, "e f g h", 7), (None, None, 8), (None, "", 9)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    got = [tuple(r) for r in out.collect()]
+    empty = [r for r in got if not r[1]]
+    assert out.columns == ["doc_id", "text", "n"] and len(empty) == 1 and empty[0] in rows
+    assert sorted(r[2] for r in got if r[1]) == [1, 2, 5, 6, 7]
+
+
 def test_embedding_links_equal_brute_force(spark):
     r = np.random.default_rng(4)
     centres = r.normal(size=(12, 10))
