@@ -4,6 +4,7 @@ The vocabulary's rules never look across ASCII white space, nor across the edge
 punctuation that closes a word.  So each distinct word of a batch is cut there and encoded once, and the ids of whole texts
 are gathered from the words; a bounded per-process cache keeps words between batches.  Cuts of plain Latin letters need no
 normalisation but lower case, so they go straight to the library's BPE model; all others take its whole pipeline.
+Words that can hold an added token, such as ``<|endoftext|>``, go through the whole pipeline uncut.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.width, self.code = ("<u2", "H") if small else ("<u4", "I")
         self.words: dict[str, bytes] = {}
         self.cuts: dict[str, bytes] = {"": b""}
         latin = [c for c in map(chr, range(0xDF, 0x100)) if _LETTERS.fullmatch(c)]
+        # the library looks for added tokens before it cuts, so a word that can hold one is not cut
+        self.marks = {frozenset(t.content) & frozenset(string.punctuation) for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.bytelevel = {ord(c): "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in latin}
 
     def _learn(self, words: list[str]) -> None:
@@ -49,10 +51,11 @@ class WordBpe:
             self.cuts[""] = b""
         stems = [w.rstrip(string.punctuation) for w in words]
         stems = [s if not s or len(s) == len(w) or _CLOSED.match(s[-1]) else w for s, w in zip(stems, words, strict=True)]
+        stems = [w if len(s) < len(w) and any(map(set(w).issuperset, self.marks)) else s for s, w in zip(stems, words, strict=True)]
         tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
         cuts, model = self.cuts, self.model
         new = {c for c in stems if c not in cuts} | {c for c in tails if c not in cuts}
-        plain = [c for c in new if _LETTERS.fullmatch(c)]
+        plain = [c for c in new if _LETTERS.fullmatch(c) and all(self.marks)]
         spelled = [c.lower() if c.isascii() else c.lower().translate(self.bytelevel) for c in plain]
         code = self.code
         cuts.update(zip(plain, [array(code, [t.id for t in model.tokenize(c)]).tobytes() for c in spelled], strict=True))

@@ -51,6 +51,23 @@ def test_word_bpe_equals_the_library():
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
 
 
+def test_word_bpe_takes_added_tokens_like_a_fresh_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(WORD_BPE)
+    fresh, rng = Tokenizer.from_file(path), random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<", "\u0338", "!", "a", "é", " ", "\n", "'s", "1", "x.", "\xa0"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b.", "<|endoftext|>\u0338!?"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    want = [e.ids + [1] for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [3306, 49407, 1002, 1]
+    ids, counts = word_bpe(path).encode(pa.array(texts), 1)
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    rows = token_files.read_tokens(token_files.write_tokens(docs, path), with_ids=True).orderBy("doc_id").collect()
+    assert [list(r["ids"]) for r in rows] == want[:50] and [r["start"] for r in rows] == [sum(map(len, want[:k])) for k in range(50)]
+    assert sum(r["length"] for r in packing.pack(docs, path).collect()) == sum(map(len, want[:50]))
+
+
 def test_token_files_round_trip(spark, docs):
     path = vocabulary(WORD_BPE)
     got = token_files.read_tokens(token_files.write_tokens(docs, path), with_ids=True).collect()
