@@ -1,13 +1,12 @@
 """Language identification by cross-parsing entropy (operator 7).
 
-For each language a suffix automaton is built of a bounded sample of its labelled text.  A text is parsed against it: each
-phrase is the longest match from where the last one ended.  The language that needs the fewest phrases, weighed by what one
-costs, wins.  Phrases end with words, so each distinct word of a batch is parsed once.
+For each language a suffix automaton is built of all words of a bounded sample of its labelled documents.  A text is parsed
+against it: each phrase is the longest match from where the last one ended.  The language that needs the fewest phrases,
+weighed by what one costs, wins.  Phrases end with words, so each distinct word of a batch is parsed once.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +18,8 @@ from pyspark.sql import functions as F
 from ._spark import pieces, text_column
 from ._words import split_words
 
-#: Whole labelled documents sampled per language (expected number), and characters of their distinct words learnt from.
+#: Whole labelled documents sampled per language (expected number); all their words are learnt.
 SAMPLE_DOCS = 96
-SAMPLE_CHARS = 24_000
 #: Bits that one word can count against a language.
 WORD_BITS = 12.0
 UNKNOWN = "und"
@@ -43,12 +41,13 @@ def sample_by_class(docs: DataFrame, label: str, per_class: int, key: str = "doc
 
 
 class Automaton:
-    """The suffix automaton of a text, as a dense table: state and character to next state, 0 where there is none.
+    """The suffix automaton of a text: sorted keys of state and character, and the next state of each.
 
-    State 1 is the start.  Characters that the text lacks share column 0, which leads nowhere.
+    State 1 is the start, whose row is also kept dense.  Characters that the text lacks have code 0, which leads nowhere.
+    ``size`` is the length of the text that a phrase is taken from, by which it is priced (default: of ``text``).
     """
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, size: int | None = None) -> None:
         alphabet = sorted(set(text))
         self.points = np.array([ord(c) for c in alphabet], np.int64)
         code = {c: k + 1 for k, c in enumerate(alphabet)}
@@ -78,11 +77,20 @@ class Automaton:
                     link[other] = link[state] = copy
             last = state
         self.width = len(alphabet) + 1
-        self.table = np.zeros(len(nexts) * self.width, np.int32)
-        for state, edges in enumerate(nexts):
-            for k, to in edges.items():
-                self.table[state * self.width + k] = to
-        self.cost = float(np.log2(max(2, len(text))))
+        self.keys = np.fromiter((state * self.width + k for state, edges in enumerate(nexts) for k in sorted(edges)), np.int64)
+        self.nexts = np.fromiter((edges[k] for edges in nexts for k in sorted(edges)), np.int32)
+        self.first = np.zeros(self.width, np.int32)
+        for k, to in nexts[1].items():
+            self.first[k] = to
+        self.cost = float(np.log2(max(2, len(text) if size is None else size)))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next state of each, 0 where there is none."""
+        if not len(self.keys):
+            return np.zeros(len(state), np.int32)
+        key = state * self.width + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], 0)
 
     def phrases(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases in each word (code points in ``points``): all words step together, one character a step."""
@@ -96,10 +104,12 @@ class Automaton:
         for step in range(int(left[0]) if len(left) else 0):
             n = int(np.searchsorted(-left, -step, "left"))  # words longer than ``step``
             c = codes[at[:n] + step]
-            now = self.table[state[:n] * self.width + c]
+            now = np.where(state[:n] == 1, self.first[c], 0)
+            inside = np.flatnonzero(state[:n] != 1)
+            now[inside] = self.step(state[inside], c[inside])
             broken = now == 0
             # a phrase ends before this character, which begins the next one, or is one if the text lacks it
-            again = self.table[self.width + c]
+            again = self.first[c]
             out[order[:n]] += broken & (state[:n] != 1)
             out[order[:n]] += broken & (again == 0)
             state[:n] = np.where(broken, np.where(again == 0, 1, again), now)
@@ -110,18 +120,14 @@ class Automaton:
 class LanguageModel:
     """Automata by language, built of samples."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> None:
+    def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
-        self.images = {}
+        self.images, self.sizes = {}, {}
         for name in self.languages:
-            words = sorted({w for t in samples[name] for w in t.lower().split() if any(c.isalpha() for c in w)}, key=lambda w: zlib.crc32(w.encode()))
-            text, used = [], 0
-            for w in words:
-                if used > chars:
-                    break
-                text.append(w)
-                used += len(w) + 1
-            self.images[name] = " " + " ".join(text) + " "
+            words = [w for t in samples[name] for w in t.lower().split() if any(c.isalpha() for c in w)]
+            # phrases lie within words, so a repeated word adds none: it counts in the size alone
+            self.images[name] = " " + " ".join(dict.fromkeys(words)) + " "
+            self.sizes[name] = 1 + sum(len(w) + 1 for w in words)
         self._made: list[Automaton] | None = None
 
     def __getstate__(self) -> dict:
@@ -150,10 +156,10 @@ class LanguageModel:
         return [self.languages[b] if have else UNKNOWN for b, have in zip(best, lettered, strict=True)], score
 
     def _automata(self) -> list[Automaton]:
-        key = tuple(sorted(self.images.items()))
+        key = tuple((name, self.sizes[name], self.images[name]) for name in self.languages)
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = [Automaton(self.images[name]) for name in self.languages]
+            _BUILT[key] = [Automaton(self.images[name], self.sizes[name]) for name in self.languages]
         return _BUILT[key]
 
 

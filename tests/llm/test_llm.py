@@ -170,6 +170,18 @@ def test_automaton_counts_greedy_phrases():
         assert automaton.phrases(points, np.array([0]), np.array([len(word)]))[0] == want, word
 
 
+def test_language_learns_all_words_of_its_sample():
+    words = [f"{chr(97 + k % 26)}{k}x{k * 7919 % 10007}" for k in range(9000)]
+    model = language_id.LanguageModel({"xx": [" ".join(words[:5000]), " ".join(words[4000:])], "yy": ["other words"]})
+    assert all(f" {w} " in model.images["xx"] for w in words)
+    automaton = model._automata()[0]
+    marked = [f" {w} " for w in words]
+    lengths = np.array(list(map(len, marked)))
+    assert (automaton.phrases(np.array([ord(c) for w in marked for c in w]), np.cumsum(lengths) - lengths, lengths) == 1).all()
+    repeated = words[:5000] + words[4000:]
+    assert automaton.cost == np.log2(1 + sum(len(w) + 1 for w in repeated))
+
+
 def test_language_held_out(spark):
     rng = random.Random(3)
     kinds = {"xx": ["ba", "ko", "ri", "mu"], "yy": ["str", "ing", "ed", "th"]}
