@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, is_blank, tokens
@@ -59,49 +59,61 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, on: str | None = None) -> DataFrame:
-    """(query_id, doc_id, score): cosine of a stated, small query set against all rows; with ``on``, of equal keys alone.
+def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, on: str) -> DataFrame:
+    """(query_id, doc_id, score): cosine of a stated query set against the rows of equal key ``on``, by a shuffle join."""
+    q = queries.select(F.col(query_id).alias("query_id"), l2_normalize(vector).alias("_q"), F.col(on).alias("_key"))
+    c = corpus.select(F.col(doc_id).alias("doc_id"), l2_normalize(vector).alias("_c"), F.col(on).alias("_key"))
+    return c.join(q, "_key").select("query_id", "doc_id", F.round(dot("_q", "_c"), 6).alias("score"))
 
-    The query side is broadcast after a count of its rows; beyond the bound give a key to join on.
-    """
-    q = queries.select(F.col(query_id).alias("query_id"), l2_normalize(vector).alias("_q"), *([F.col(on).alias("_key")] if on else []))
-    c = corpus.select(F.col(doc_id).alias("doc_id"), l2_normalize(vector).alias("_c"), *([F.col(on).alias("_key")] if on else []))
-    if on:
-        pairs = c.join(q, "_key")
-    else:
-        if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-            raise ValueError("too many queries to send to every task; give a key to join on")
-        pairs = c.join(F.broadcast(q))
-    return pairs.select("query_id", "doc_id", F.round(dot("_q", "_c"), 6).alias("score"))
-
-
-def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int) -> DataFrame:
+
+def _sound(vector: str) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+
+
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of the vectors of each length."""
+    lists = column.combine_chunks()
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy(zero_copy_only=False).astype(float)
+    out = {}
+    for n in np.unique(np.diff(ends)).tolist():
+        rows = np.flatnonzero(np.diff(ends) == n)
+        out[n] = rows, _unit_rows(values[ends[rows][:, None] + np.arange(n)[None, :]])
+    return out
+
+
+def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int, query_block: int = 8192, corpus_block: int = 32768) -> DataFrame:
     """The k rows of ``corpus`` nearest to each query, ranked from 1 (scores rounded to 6 places, ties by ``doc_id``).
 
-    A stated query set goes to every task as one matrix, after a check of its size; each Arrow batch of the corpus is one
-    matrix product and passes on only rows that can be among a query's k best, so little reaches the shuffle.
+    Queries and corpus are dealt to blocks of bounded size; each pair of blocks meets in one task as matrix products and
+    passes on only rows that can be among a query's k best, so no side is collected or broadcast.  Vectors that are null or
+    hold a null or a component that is not finite are left out; only vectors of equal length are compared.
     """
-    rows = queries.select(query_id, vector).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError("too many queries to send to every task")
     kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
-    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
-    ids = [r[0] for r in rows]
-    matrix = _unit_rows(np.array([r[1] for r in rows], float)) if rows else np.zeros((0, 1))
+    q = queries.where(_sound(vector)).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    c = corpus.where(_sound(vector)).select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("v"))
+    n_q, n_c = max(1, -(-q.count() // query_block)), max(1, -(-c.count() // corpus_block))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(ids)
-        for batch in batches:
-            if not batch.num_rows or not len(matrix):
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, rows = [], _by_length(right["v"]) if len(right) else {}
+        for n, (at, block) in (_by_length(left["v"]) if len(left) else {}).items():
+            if n not in rows:
                 continue
-            block = _unit_rows(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1))
-            for at in range(0, len(matrix), 512):
-                scores = np.round(matrix[at : at + 512] @ block.T, 6)
-                least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-                q, d = np.nonzero(scores >= least[:, None])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + at)), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc_id", "score"])
-
-    return top_k(corpus.select(doc_id, vector).where(F.col(vector).isNotNull()).mapInArrow(near, schema), k)
+            there, other = rows[n]
+            for a in range(0, len(block), 512):
+                scores = np.round(block[a : a + 512] @ other.T, 6)
+                cut = max(0, scores.shape[1] - k)
+                least = np.partition(scores, cut, axis=1)[:, cut]
+                i, j = np.nonzero(scores >= least[:, None])
+                parts.append(pa.table({"query_id": left["query_id"].take(pa.array(at[a + i])), "doc_id": right["doc_id"].take(pa.array(there[j])), "score": pa.array(scores[i, j])}))
+        return pa.concat_tables(parts) if parts else pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    pairs = dealt(q, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(dealt(c, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
+    return top_k(pairs.applyInArrow(near, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:

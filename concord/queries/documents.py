@@ -42,9 +42,14 @@ def as_number_values(spark, sf_dir):
     return _values(spark, sf_dir).select("id", as_number("raw").alias("value"))
 
 
-@add("select o_orderkey as id, case when o_totalprice = floor(o_totalprice) then (o_totalprice::bigint)::varchar else 'fraction' end as value, case when o_custkey > 702 then chr((65 + ((o_custkey - 703) // 676) % 26)::int) else '' end || case when o_custkey > 26 then chr((65 + ((o_custkey - 27) // 26) % 26)::int) else '' end || chr((65 + (o_custkey - 1) % 26)::int) as letters, o_custkey as back from orders where o_custkey between 1 and 18278")
+def _letters_sql(n: str) -> str:
+    firsts = [sum(26**j for j in range(k + 1)) for k in range(6)]
+    return " || ".join(f"case when {n} >= {firsts[k]} then chr((65 + (({n} - {firsts[k]}) // {26**k}) % 26)::int) else '' end" for k in reversed(range(6)))
+
+
+@add(f"select o_orderkey as id, case when o_totalprice = floor(o_totalprice) then (o_totalprice::bigint)::varchar else 'fraction' end as value, {_letters_sql('o_custkey')} as letters, o_custkey as back from orders")
 def cell_addresses(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey between 1 and 18278")
+    o = table(spark, sf_dir, "orders")
     whole = F.col("o_totalprice") == F.floor("o_totalprice")
     letters = X.column_letters("o_custkey")
     return o.select(F.col("o_orderkey").alias("id"), F.when(whole, X.cell_text("o_totalprice")).otherwise("fraction").alias("value"), letters.alias("letters"), X.column_number(letters).cast("long").alias("back"))

@@ -102,9 +102,9 @@ def merged_fill(spark, sf_dir):
 
 
 _HEADERS = """h as (select p_partkey as id, case p_partkey % 7 when 0 then 'Item ' || p_size when 1 then 'max. current' when 2 then 'Nominal value' when 3 then 'UNIT' when 4 then p_type when 5 then 'lower limit (min)' else '하 한치' end as header from part)"""
-_ROLE = """case when header = '' then null when regexp_matches(lower(header), '\\b(?:min|lower|lsl)\\b') or contains(replace(header, ' ', ''), '하한') then 'quant_lower' when regexp_matches(lower(header), '\\b(?:max|upper|usl)\\b') then 'quant_upper' when regexp_matches(lower(header), '\\b(?:target|nominal|typ|center)\\b') then 'quant_target'
+_ROLE = """case when header = '' then null when regexp_matches(lower(header), '\\b(?:min|lower|lsl)\\b') or contains(replace(header, ' ', ''), '하한') then 'quantitative_lower_bound' when regexp_matches(lower(header), '\\b(?:max|upper|usl)\\b') then 'quantitative_upper_bound' when regexp_matches(lower(header), '\\b(?:target|nominal|typ|center)\\b') then 'quantitative_target'
     when regexp_matches(lower(header), '\\b(?:unit|uom)\\b') then 'unit' when regexp_matches(lower(header), '\\b(?:subcategory|subcat)\\b') then 'entity_subcategory' when regexp_matches(lower(header), '\\bcategory\\b') then 'entity_category' when regexp_matches(lower(header), '\\b(?:name|item|parameter|param)\\b') then 'entity_name'
-    when regexp_matches(lower(header), '\\b(?:remark|note|description)\\b') then 'qualitative' when regexp_matches(lower(header), '\\b(?:version|date|author|no)\\b') then 'metadata' end"""
+    when regexp_matches(lower(header), '\\b(?:remark|note|description)\\b') then 'qualitative_spec' when regexp_matches(lower(header), '\\b(?:version|date|author|no)\\b') then 'metadata' end"""
 
 
 def _headers(spark, sf_dir):
@@ -119,7 +119,7 @@ def guess_roles(spark, sf_dir):
 
 
 @add(f"""with {_HEADERS}, r as (select id // 10 as doc, id, {_ROLE} as role from h)
-    select doc, role, count(*) as n, string_agg(id::varchar, ',' order by id::varchar) as columns from r where role in ('quant_lower', 'quant_upper', 'quant_target', 'unit') group by 1, 2 having count(*) > 1""")
+    select doc, role, count(*) as n, string_agg(id::varchar, ',' order by id::varchar) as columns from r where role in ('quantitative_lower_bound', 'quantitative_upper_bound', 'quantitative_target', 'unit') group by 1, 2 having count(*) > 1""")
 def role_duplicates(spark, sf_dir):
     columns = _headers(spark, sf_dir).select(F.floor(F.col("id") / 10).cast("long").alias("doc"), F.col("id").cast("string").alias("column"), guess_role("header").alias("role"))
-    return V.duplicate_roles(columns, ("quant_lower", "quant_upper", "quant_target", "unit"))
+    return V.duplicate_roles(columns, ("quantitative_lower_bound", "quantitative_upper_bound", "quantitative_target", "unit"))

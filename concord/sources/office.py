@@ -22,6 +22,8 @@ _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 # Extensions by type of document.
+#: Columns that one cell of a Word table can span (the format's own limit).
+MAX_SPAN = 63
 TYPES = {"xlsx": "excel", "xlsm": "excel", "docx": "word", "pptx": "ppt"}
 
 
@@ -35,18 +37,23 @@ def _word_text(node) -> str:
 
 
 def _table_cells(table) -> Iterator[tuple[int, int, str]]:
-    """Cells of a Word table: spans repeat to the right, vertical merges repeat downwards."""
-    above: dict[int, str] = {}
+    """Cells of a Word table: spans repeat to the right; a vertical merge goes on below the cell that starts it, and a
+    continuation under a cell that is not merged is empty."""
+    merged: dict[int, str] = {}
     for r, row in enumerate(table.findall(f"{_W}tr")):
         c = 0
         for cell in row.findall(f"{_W}tc"):
             span = cell.find(f"{_W}tcPr/{_W}gridSpan")
             merge = cell.find(f"{_W}tcPr/{_W}vMerge")
             text = _tidy("\n".join(_word_text(p) for p in cell.findall(f"{_W}p")))
-            for _ in range(int(span.get(f"{_W}val", "1")) if span is not None else 1):
-                if merge is not None and merge.get(f"{_W}val") != "restart":
-                    text = above.get(c, text)
-                above[c] = text
+            goes_on = merge is not None and merge.get(f"{_W}val") != "restart"
+            if goes_on:
+                text = merged.get(c, "")
+            for _ in range(min(MAX_SPAN, max(1, int(span.get(f"{_W}val", "1")))) if span is not None else 1):
+                if merge is None:
+                    merged.pop(c, None)
+                else:
+                    merged[c] = text
                 yield r, c, text
                 c += 1
 

@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint
-
-
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -20,16 +17,19 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def cached_or_compute(inputs: DataFrame, parts: list[str], path: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Results for ``inputs``, computing only rows whose fingerprint of ``parts`` is not in the table at ``path`` yet.
+    """Every input row with its results, computing only rows whose digest of ``parts`` is not in the table at ``path`` yet.
 
-    ``compute`` keeps the column ``fingerprint``.  New results are appended; equal inputs are computed once.
+    ``compute`` gets one row of each new digest and keeps the column ``digest``; its results are appended.  Equal inputs are
+    computed once and all come back.  The digest is the whole SHA-256 of the parts as JSON, in which null and empty differ.
+    Result columns that the inputs have too are those of the inputs.
     """
     spark = inputs.sparkSession
-    marked = inputs.withColumn("fingerprint", fingerprint(*(F.col(p).cast("string") for p in parts)))
+    marked = inputs.withColumn("digest", F.sha2(F.to_json(F.array(*(F.struct(F.col(p).cast("string").alias("v")) for p in parts))), 256))
     stored = _stored(spark, path)
-    wanted = marked.select("fingerprint").distinct()
-    todo = marked.dropDuplicates(["fingerprint"])
+    todo = marked.dropDuplicates(["digest"])
     if stored is not None:
-        todo = todo.join(stored.select("fingerprint").distinct(), "fingerprint", "left_anti")
+        todo = todo.join(stored.select("digest"), "digest", "left_anti")
     compute(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted, "fingerprint", "left_semi")
+    results = spark.read.parquet(path)
+    fresh = [c for c in results.columns if c not in inputs.columns and c != "digest"]
+    return marked.join(results.dropDuplicates(["digest"]).select("digest", *fresh), "digest").select(*inputs.columns, *fresh)

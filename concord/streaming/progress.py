@@ -1,14 +1,17 @@
-"""Progress events per job, folded into a state that never falls.
+"""Progress events per job, reduced to a state that never falls.
 
-``fold`` is the rule; the batch form applies it to each job's events in order, the stream form keeps it as keyed state.
-Events: ev, seq, ts, units (array of key), key, parts, index, done, total, ok.
+One event is one transition of a job's state; the batch form runs a job's events in order, the stream form keeps the state
+by key.  Events: ev, seq, ts, units (array of key), key, parts, index, done, total, ok.
+
+State: ``left`` (keys of units that are not over, in order), ``failed`` / ``over`` (how many ended badly, or at all), ``size``
+(units planned), ``now`` (the unit at work with its counters, or null), ``peak`` (the highest fraction so far), ``seq``, ``last``.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,77 +19,102 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT_SCHEMA = "job string, ev string, seq long, ts double, units array<string>, key string, parts int, index int, done int, total int, ok boolean"
-SNAPSHOT_SCHEMA = "job string, seq long, n_units int, finished int, current string, fraction double, last_ts double"
-_OVER = ("done", "failed", "skipped")
+SNAPSHOT_SCHEMA = "job string, seq long, n_units int, finished int, failed int, current string, fraction double, last_ts double"
 
 
 def new_state() -> dict:
-    return {"units": {}, "run": {}, "best": 0.0, "seq": 0, "last": None}
+    return {"left": [], "failed": 0, "over": 0, "size": 0, "now": None, "peak": 0.0, "seq": 0, "last": None}
 
 
-def _number(value, default: int = 0) -> int:
-    return default if value is None or (isinstance(value, float) and not math.isfinite(value)) else int(value)
+def _count(event: dict, field: str, missing: int = 0) -> int:
+    """A counter of an event; what is missing or no finite number has the default."""
+    value = event.get(field)
+    return int(value) if isinstance(value, (int, float)) and math.isfinite(value) else missing
 
 
-def fold(state: dict, event: dict) -> None:
-    """Apply one event.  A plan starts anew; finished units stay finished; what does not fit the running unit is ignored."""
-    ts = event.get("ts")
-    if ts is not None and math.isfinite(ts) and ts:
-        state["last"] = ts
-    state["seq"] = max(state["seq"], _number(event.get("seq")))
-    kind, key, units, run = event.get("ev"), event.get("key") or "", state["units"], state["run"]
-    if kind == "plan":
-        planned = event.get("units")
-        state.update(units=dict.fromkeys((u for u in (planned if planned is not None else []) if u), "pending"), run={}, best=0.0)
-        return
-    open_ = key in units and units[key] not in _OVER
-    if kind == "unit_start" and open_:
-        units[key] = "running"
-        state["run"] = {"key": key, "parts": max(1, _number(event.get("parts"), 1)), "index": 0, "done": 0, "total": 0}
-    elif kind == "part" and key and run.get("key") == key:
-        run.update(index=_number(event.get("index")), done=0, total=0)
-    elif kind == "step" and key and run.get("key") == key:
-        run.update(done=_number(event.get("done")), total=_number(event.get("total")))
-    elif kind == "unit_done" and open_:
-        units[key] = "failed" if event.get("ok") is False else "done"
-        if run.get("key") == key:
-            state["run"] = {}
-    elif kind == "finish_remaining":
-        for name, now in units.items():
-            if now not in _OVER:
-                units[name] = "failed" if now == "running" else "skipped"
-        state["run"] = {}
-    state["best"] = max(state["best"], _fraction(state))
-
-
-def _fraction(state: dict) -> float:
-    units, run = state["units"], state["run"]
-    if not units:
+def _planned(state: dict, event: dict) -> None:
+    units = event.get("units")
+    keys = list(dict.fromkeys(u for u in ([] if units is None else units) if u))
+    state.update(left=keys, size=len(keys), failed=0, over=0, now=None, peak=0.0)
+
+
+def _started(state: dict, event: dict) -> None:
+    if event.get("key") in state["left"]:
+        state["now"] = {"key": event["key"], "parts": max(1, _count(event, "parts", 1)), "part": 0, "done": 0, "total": 0}
+
+
+def _moved(state: dict, event: dict) -> None:
+    now = state["now"]
+    if now and event.get("key") == now["key"]:
+        if event["ev"] == "part":
+            now.update(part=_count(event, "index"), done=0, total=0)
+        else:
+            now.update(done=_count(event, "done"), total=_count(event, "total"))
+
+
+def _ended(state: dict, event: dict) -> None:
+    key = event.get("key")
+    if key in state["left"]:
+        state["left"].remove(key)
+        state["over"] += 1
+        state["failed"] += event.get("ok") is False
+        if state["now"] and state["now"]["key"] == key:
+            state["now"] = None
+
+
+def _closed(state: dict, event: dict) -> None:
+    """All that is left ends: the unit at work as failed, the others as skipped."""
+    state["failed"] += state["now"] is not None
+    state["over"] += len(state["left"])
+    state.update(left=[], now=None)
+
+
+_TRANSITIONS: dict[str, Callable[[dict, dict], None]] = {"plan": _planned, "unit_start": _started, "part": _moved, "step": _moved, "unit_done": _ended, "finish_remaining": _closed}
+
+
+def advance(state: dict, event: dict) -> dict:
+    """The state after one event.  A plan starts anew, a unit that is over stays over, and an event for another unit than the
+    one at work, or of no known kind, changes nothing but the clock."""
+    stamp = event.get("ts")
+    if isinstance(stamp, (int, float)) and math.isfinite(stamp) and stamp:
+        state["last"] = stamp
+    state["seq"] = max(state["seq"], _count(event, "seq"))
+    change = _TRANSITIONS.get(event.get("ev"))
+    if change:
+        change(state, event)
+        state["peak"] = max(state["peak"], progress(state))
+    return state
+
+
+def progress(state: dict) -> float:
+    """Units that are over plus the share of the one at work, of all units: its parts before the current one, and the current
+    one's steps."""
+    if not state["size"]:
         return 0.0
-    inner = 0.0
-    if run:
-        within = min(max(run["done"] / run["total"], 0.0), 1.0) if run["total"] > 0 else 0.0
-        inner = min((max(run["index"], 1) - 1 + within) / run["parts"], 1.0)
-    return min((sum(u in _OVER for u in units.values()) + inner) / len(units), 1.0)
+    now, share = state["now"], 0.0
+    if now:
+        steps = now["done"] / now["total"] if now["total"] > 0 else 0.0
+        share = (max(now["part"] - 1, 0) + sorted((0.0, steps, 1.0))[1]) / now["parts"]
+    return min(1.0, (state["over"] + min(share, 1.0)) / state["size"])
 
 
 def snapshot(job: str, state: dict) -> dict:
-    over = sum(u in _OVER for u in state["units"].values())
-    return {"job": job, "seq": state["seq"], "n_units": len(state["units"]), "finished": over, "current": state["run"].get("key"), "fraction": round(state["best"], 6), "last_ts": state["last"]}
+    current = state["now"]["key"] if state["now"] else None
+    return {"job": job, "seq": state["seq"], "n_units": state["size"], "finished": state["over"], "failed": state["failed"], "current": current, "fraction": round(state["peak"], 6), "last_ts": state["last"]}
 
 
-def _rows(events: pd.DataFrame) -> Iterable[dict]:
-    return events.astype(object).where(events.notna(), None).to_dict("records")
+def _replay(state: dict, events: pd.DataFrame) -> dict:
+    ordered = events.sort_values("seq", kind="stable").astype(object)
+    for event in ordered.where(ordered.notna(), None).to_dict("records"):
+        advance(state, event)
+    return state
 
 
 def fold_batch(events: DataFrame) -> DataFrame:
     """The last snapshot of each job, its events in order of seq."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = new_state()
-        for event in _rows(pdf.sort_values("seq", kind="stable")):
-            fold(state, event)
-        return pd.DataFrame([snapshot(pdf["job"].iloc[0], state)])
+        return pd.DataFrame([snapshot(pdf["job"].iloc[0], _replay(new_state(), pdf))])
 
     return events.groupBy("job").applyInPandas(run, SNAPSHOT_SCHEMA)
 
@@ -97,14 +125,12 @@ class _Progress(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
         state = json.loads(self.state.get()[0]) if self.state.exists() else new_state()
-        events = pd.concat(list(rows))
-        for event in _rows(events.sort_values("seq", kind="stable")):
-            fold(state, event)
+        _replay(state, pd.concat(list(rows)))
         self.state.update((json.dumps(state),))
         yield pd.DataFrame([snapshot(key[0], state)])
 
     def close(self) -> None:
-        pass
+        """Nothing is held open."""
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
@@ -117,3 +143,12 @@ def read_events(lines: DataFrame, job: str = "job") -> DataFrame:
     fields = EVENT_SCHEMA.removeprefix("job string, ")
     parsed = lines.select(job, F.from_json("value", fields + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"))
     return parsed.where("e._bad is null and e.ev is not null").select(F.col(job).alias("job"), "e.*").drop("_bad")
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Append events as JSON lines, null fields left out; a stream appends with a checkpoint beside its files."""
+    if not events.isStreaming:
+        events.write.mode("append").partitionBy("job").json(path)
+        return
+    writer = events.writeStream.partitionBy("job").format("json").option("path", path).option("checkpointLocation", f"{path.rstrip('/')}/_checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()

@@ -1,5 +1,8 @@
+import datetime
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from concord.operators import batches as B
@@ -17,6 +20,19 @@ def test_mmr_caps_documents_and_diversifies(spark):
     assert picked[:2] == [1, 3] and 4 not in picked
 
 
+def test_nearest_keeps_any_type_of_id_and_meets_in_blocks(spark):
+    r = np.random.default_rng(0)
+    v = r.normal(size=(60, 4))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for kind, make in (("int", int), ("short", int), ("string", str), ("date", lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=int(k)))):
+        q = spark.createDataFrame([(make(k), v[k].tolist()) for k in range(7)], f"id {kind}, v array<double>")
+        c = spark.createDataFrame([(make(k), v[k].tolist()) for k in range(60)] + [(make(90), None), (make(91), [1.0, None, 0.0, 0.0]), (make(92), [1.0])], f"id {kind}, v array<double>")
+        got = sorted(R.cosine_top(q, c, "id", "id", "v", 3, query_block=3, corpus_block=20).collect(), key=lambda x: x["rank"])
+        for k in range(7):
+            score = np.round(unit[k] @ unit.T, 6)
+            assert [x["doc_id"] for x in got if x["query_id"] == make(k)] == [make(j) for j in sorted(range(60), key=lambda j: (-score[j], make(j)))[:3]]
+
+
 def test_hybrid_on_an_empty_index(spark):
     q = spark.createDataFrame([(1, "a", [1.0])], "query_id int, text string, vector array<double>")
     items = spark.createDataFrame([], "item_id int, doc_id string, text string, vector array<double>")

@@ -27,8 +27,8 @@ EVENTS = [
 def test_progress_never_falls_and_batch_equals_steps(spark):
     state, seen = P.new_state(), []
     for e in EVENTS:
-        P.fold(state, e)
-        seen.append(state["best"])
+        P.advance(state, e)
+        seen.append(state["peak"])
     assert seen == sorted(seen) and seen[3] == 0.375 and seen[-1] == 1.0
     lines = spark.createDataFrame([("j", json.dumps(e)) for e in EVENTS] + [("j", "{broken")], "job string, value string")
     assert P.fold_batch(P.read_events(lines)).first().asDict() == P.snapshot("j", state)
@@ -47,7 +47,7 @@ def test_progress_stream_ends_where_the_batch_does(spark, tmp_path):
     query.awaitTermination(120)
     state = P.new_state()
     for e in EVENTS:
-        P.fold(state, e)
+        P.advance(state, e)
     assert out[-1] == P.snapshot("j", state)
 
 
@@ -60,7 +60,7 @@ def _zip(path, **parts):
 def test_office_files(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     cell = lambda t, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
-    table = f"<w:tbl><w:tr>{cell('A', '<w:vMerge w:val=\"restart\"/>')}{cell('B', '<w:gridSpan w:val=\"2\"/>')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('C')}{cell('D')}</w:tr></w:tbl>"
+    table = f"<w:tbl><w:tr>{cell('A', '<w:vMerge w:val=\"restart\"/>')}{cell('B', '<w:gridSpan w:val=\"2\"/>')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('C')}{cell('D')}</w:tr><w:tr>{cell('E')}{cell('F', '<w:vMerge/>')}{cell('G')}</w:tr></w:tbl>"
     _zip(tmp_path / "a.docx", word__document_xml=f"<w:document {w}><w:body><w:p/><w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr><w:r><w:t>Top</w:t><w:tab/><w:t>x</w:t></w:r></w:p>{table}</w:body></w:document>")
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     _zip(tmp_path / "b.xlsx", xl__sharedStrings_xml=f"<sst {s}><si><t>Name</t></si></sst>", xl__worksheets__sheet1_xml=f"<worksheet {s}><sheetData><row><c r='B2' t='s'><v>0</v></c><c r='AA3'><v>1.5</v></c></row></sheetData></worksheet>")
@@ -71,7 +71,7 @@ def test_office_files(spark, tmp_path):
     rows = read_office(spark, str(tmp_path)).collect()
     by = {d: [r for r in rows if r["doc"] == d] for d in ("a.docx", "b.xlsx", "c.pptx", "d.docx", "~$a.docx")}
     assert [(r["block_id"], r["style"], r["text"]) for r in by["a.docx"][:1]] == [("w_b001", "Heading1", "Top x")]
-    assert [(r["row"], r["col"], r["text"]) for r in by["a.docx"][1:]] == [(0, 0, "A"), (0, 1, "B"), (0, 2, "B"), (1, 0, "A"), (1, 1, "C"), (1, 2, "D")]
+    assert [(r["row"], r["col"], r["text"]) for r in by["a.docx"][1:]] == [(0, 0, "A"), (0, 1, "B"), (0, 2, "B"), (1, 0, "A"), (1, 1, "C"), (1, 2, "D"), (2, 0, "E"), (2, 1, ""), (2, 2, "G")]
     assert [(r["row"], r["col"], r["text"]) for r in by["b.xlsx"]] == [(2, 2, "Name"), (3, 27, "1.5")]
     assert [(r["block_id"], r["text"]) for r in by["c.pptx"]] == [("p002_s001", "Hello")]
     assert by["d.docx"][0]["error"] and not by["~$a.docx"]
@@ -86,8 +86,10 @@ def test_stage_computes_only_what_is_new(spark, tmp_path):
 
     a = spark.createDataFrame([("x",), ("x",), ("yy",)], "text string")
     b = spark.createDataFrame([("yy",), ("zzz",)], "text string")
-    assert sorted(r["n"] for r in cached_or_compute(a, ["text"], path, compute).collect()) == [1, 2]
+    assert sorted(r["n"] for r in cached_or_compute(a, ["text"], path, compute).collect()) == [1, 1, 2]
     assert sorted(r["n"] for r in cached_or_compute(b, ["text"], path, compute).collect()) == [2, 3] and seen == [2, 1]
+    c = spark.createDataFrame([(None,), ("",), ("",)], "text string")
+    assert [r["n"] for r in cached_or_compute(c, ["text"], path, compute).orderBy("n").collect()] == [None, 0, 0] and seen[-1] == 2
 
 
 def test_plans(spark):
