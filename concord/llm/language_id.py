@@ -1,60 +1,53 @@
 """Language identification by cross-parsing entropy (operator 7).
 
-For each language a suffix automaton is built of all words of a bounded sample of its labelled documents.  A text is parsed
-against it: each phrase is the longest match from where the last one ended.  The language that needs the fewest phrases,
-weighed by what one costs, wins.  Phrases end with words, so each distinct word of a batch is parsed once.
+For each language a suffix automaton is built of the running text of a bounded sample of its labelled documents.  A text is
+parsed against it: each phrase is the longest match with that text from where the last phrase ended, across words.  A phrase
+costs the bits that name a place in the language's text; the language that needs the fewest, so normalised, wins.
+
+Texts are parsed in segments of a fixed number of letters and spaces, all segments of a batch together, so a long text or a
+long word takes time in proportion to its length; a segment's end also ends a phrase, alike in all languages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from ._spark import pieces, text_column
-from ._words import split_words
+from ._sample import beside_rows, kept_rows, sample_by_class
 
-#: Whole labelled documents sampled per language (expected number); all their words are learnt.
-SAMPLE_DOCS = 96
-#: Bits that one word can count against a language.
-WORD_BITS = 12.0
+#: Distinct whole labelled texts sampled per language; all of each is learnt.
+SAMPLE_DOCS = 32
+#: Characters of a segment.
+SEGMENT = 256
 UNKNOWN = "und"
-_LETTER = r"\p{L}"
-
+_NO_LETTERS = r"[^\p{L}]+"
 
-def sample_by_class(docs: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """About ``per_class`` rows of each non-null ``label``, chosen by a hash of ``key``; all rows of a smaller class.
 
-    Only the counts of the classes reach the driver.
-    """
-    labelled = docs.where(F.col(label).isNotNull())
-    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
-    ranks = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
-    below = F.lit(0)
-    for name, n in counts.items():
-        below = F.when(F.col(label) == name, F.lit(min(1 << 30, int((1 << 30) * per_class / n)))).otherwise(below)
-    return labelled.where(ranks < below)
+def plain(text: pa.Array) -> pa.Array:
+    """Lower case, and one space for whatever stands between letters, at the ends too."""
+    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(text, "")), _NO_LETTERS, " ")
+    return pc.binary_join_element_wise("", pc.utf8_trim(spaced, " "), "", " ")
 
 
 class Automaton:
-    """The suffix automaton of a text: sorted keys of state and character, and the next state of each.
+    """The suffix automaton of a text as one table: the next state of each state and character code, 0 where there is none.
 
-    State 1 is the start, whose row is also kept dense.  Characters that the text lacks have code 0, which leads nowhere.
-    ``size`` is the length of the text that a phrase is taken from, by which it is priced (default: of ``text``).
+    State 1 is the start; characters that the text lacks have code 0.
     """
 
-    def __init__(self, text: str, size: int | None = None) -> None:
+    def __init__(self, text: str) -> None:
         alphabet = sorted(set(text))
         self.points = np.array([ord(c) for c in alphabet], np.int64)
+        self.width = len(alphabet) + 1
         code = {c: k + 1 for k, c in enumerate(alphabet)}
         nexts: list[dict[int, int]] = [{}, {}]
         link, length, last = [0, 0], [0, 0], 1
-        for c in text:
-            k, state = code[c], len(nexts)
+        for k in map(code.__getitem__, text):
+            state = len(nexts)
             nexts.append({})
             length.append(length[last] + 1)
             link.append(1)
@@ -76,90 +69,77 @@ class Automaton:
                         at = link[at]
                     link[other] = link[state] = copy
             last = state
-        self.width = len(alphabet) + 1
-        self.keys = np.fromiter((state * self.width + k for state, edges in enumerate(nexts) for k in sorted(edges)), np.int64)
-        self.nexts = np.fromiter((edges[k] for edges in nexts for k in sorted(edges)), np.int32)
-        self.first = np.zeros(self.width, np.int32)
-        for k, to in nexts[1].items():
-            self.first[k] = to
-        self.cost = float(np.log2(max(2, len(text) if size is None else size)))
-
-    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """The next state of each, 0 where there is none."""
-        if not len(self.keys):
-            return np.zeros(len(state), np.int32)
-        key = state * self.width + code
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.nexts[at], 0)
+        self.table = np.zeros(len(nexts) * self.width, np.int32)
+        sizes = np.fromiter(map(len, nexts), np.int64, len(nexts))
+        rows = np.repeat(np.arange(len(nexts)), sizes) * self.width
+        self.table[rows + np.fromiter((k for edges in nexts for k in edges), np.int64, len(rows))] = np.fromiter((s for edges in nexts for s in edges.values()), np.int32, len(rows))
+        self.cost = float(np.log2(max(2, len(text))))
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """Character codes of code points."""
+        table = np.zeros(max(int(points.max()) + 1 if len(points) else 0, int(self.points.max()) + 1 if len(self.points) else 1), np.int32)
+        table[self.points] = np.arange(1, len(self.points) + 1)
+        return table[points]
 
     def phrases(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases in each word (code points in ``points``): all words step together, one character a step."""
-        code = np.zeros(int(points.max()) + 2 if len(points) else 1, np.int32)
-        code[self.points[self.points < len(code)]] = np.flatnonzero(self.points < len(code)) + 1
-        codes = code[points]
+        """Phrases in each segment of code points: all segments step together, one character a step."""
+        codes = self.codes(points)
+        first = self.table[self.width : 2 * self.width]
         out = np.zeros(len(starts), np.int32)
         order = np.argsort(-lengths, kind="stable")
         at, left = starts[order], lengths[order]
+        count = np.zeros(len(order), np.int32)
         state = np.ones(len(order), np.int64)
+        fresh = np.ones(len(order), bool)  # no phrase is open
         for step in range(int(left[0]) if len(left) else 0):
-            n = int(np.searchsorted(-left, -step, "left"))  # words longer than ``step``
+            n = int(np.searchsorted(-left, -step, "left"))  # segments longer than ``step``
             c = codes[at[:n] + step]
-            now = np.where(state[:n] == 1, self.first[c], 0)
-            inside = np.flatnonzero(state[:n] != 1)
-            now[inside] = self.step(state[inside], c[inside])
+            now = self.table[state[:n] * self.width + c]
+            # a phrase ends before a character that it cannot take; that begins the next one, or is one if the text lacks it
             broken = now == 0
-            # a phrase ends before this character, which begins the next one, or is one if the text lacks it
-            again = self.first[c]
-            out[order[:n]] += broken & (state[:n] != 1)
-            out[order[:n]] += broken & (again == 0)
-            state[:n] = np.where(broken, np.where(again == 0, 1, again), now)
-        out[order] += state != 1
+            again = first[c]
+            count[:n] += (broken & ~fresh[:n]).view(np.int8)
+            lost = broken & (again == 0)
+            count[:n] += lost.view(np.int8)
+            state[:n] = np.where(broken, np.where(lost, 1, again), now)
+            fresh[:n] = lost
+        out[order] = count + ~fresh
         return out
 
 
 class LanguageModel:
-    """Automata by language, built of samples."""
+    """Texts of samples by language; the automata are built once in each process."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
-        self.images, self.sizes = {}, {}
-        for name in self.languages:
-            words = [w for t in samples[name] for w in t.lower().split() if any(c.isalpha() for c in w)]
-            # phrases lie within words, so a repeated word adds none: it counts in the size alone
-            self.images[name] = " " + " ".join(dict.fromkeys(words)) + " "
-            self.sizes[name] = 1 + sum(len(w) + 1 for w in words)
-        self._made: list[Automaton] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_made": None}
+        self.texts = [" " + "".join(t.lstrip(" ") for t in plain(pa.array(samples[name], pa.string())).to_pylist()) for name in self.languages]
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text: the share of the best language if each bit of cost halves its weight."""
-        automata = self._automata()
-        doc, words, index = split_words(text, lower=False)
-        letters = pc.match_substring_regex(words, _LETTER).to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
-        marked = [f" {w} ".lower() for w in words.to_pylist()]
-        lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
-        if not automata:
+        """(language, score) of each text, ties to the first name: the share of the best language if each bit of cost halves its
+        weight."""
+        ready = plain(text)
+        sizes = pc.utf8_length(ready).to_numpy(zero_copy_only=False).astype(np.int64)
+        lettered = sizes > 2
+        if not self.languages:
             return [UNKNOWN] * len(text), np.zeros(len(text))
-        each = np.stack([automaton.phrases(points, starts, lengths) * automaton.cost for automaton in automata])
-        # what a word costs over its best language, up to a limit: no few foreign words outweigh the rest
-        over = np.minimum(each - each.min(0), WORD_BITS)
-        over[:, ~letters] = 0
-        costs = np.stack([np.bincount(doc, weights=o[index], minlength=len(text)) for o in over])
-        lettered = np.bincount(doc, weights=letters[index], minlength=len(text)) > 0
+        points = np.frombuffer("".join(ready.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        per = np.where(lettered, -(-sizes // SEGMENT), 0)
+        doc = np.repeat(np.arange(len(sizes)), per)
+        inside = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
+        starts = (np.cumsum(sizes) - sizes)[doc] + inside
+        lengths = np.minimum(SEGMENT, sizes[doc] - inside)
+        each = np.stack([a.phrases(points, starts, lengths) * a.cost for a in self._automata()])
+        costs = np.stack([np.bincount(doc, weights=cost, minlength=len(sizes)) for cost in each])
         best = costs.argmin(0)
         weights = np.exp2(-np.minimum(1000, costs - costs.min(0)))
         score = np.where(lettered, 1 / weights.sum(0), 0.0)
         return [self.languages[b] if have else UNKNOWN for b, have in zip(best, lettered, strict=True)], score
 
     def _automata(self) -> list[Automaton]:
-        key = tuple((name, self.sizes[name], self.images[name]) for name in self.languages)
+        key = tuple(self.texts)
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = [Automaton(self.images[name], self.sizes[name]) for name in self.languages]
+            _BUILT[key] = [Automaton(t) for t in self.texts]
         return _BUILT[key]
 
 
@@ -169,41 +149,34 @@ _BUILT: dict[tuple, list[Automaton]] = {}
 def learn(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_DOCS) -> LanguageModel:
     """A model of a bounded sample of the ``learnable`` rows with a non-null lang and text.
 
-    The sample is about ``per_language`` whole documents of each language; languages are assumed few.
+    The sample has at most ``per_language`` distinct whole texts of each language; it grows with the number of languages, not
+    with the rows.
     """
     eligible = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    samples: dict[str, list[str]] = {}
-    for row in sample_by_class(eligible.select("doc_id", "lang", "text"), "lang", per_language).select("lang", "text").collect():
-        samples.setdefault(row["lang"], []).append(row["text"])
-    return LanguageModel(samples)
-
+    return LanguageModel(sample_by_class(eligible.select(F.col("lang").alias("label"), F.col("text").cast("string").alias("text")), per_language))
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default: doc_id), lang_pred and score of every whole text.
 
-    Texts that are null or have no letter are ``und`` with score 0; repeated rows are predicted each.
-    """
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep, text_column(docs).alias("_text"))
-    fields = [f"`{n}` {t}" for n, t in rows.dtypes if n != "_text"] + ["lang_pred string", "score double"]
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``row`` (all columns of ``docs``), lang_pred and score of every whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", 4 << 20):
-            names, scores = model.predict(batch.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+    def work(text: pa.Array) -> list[pa.Array]:
+        names, scores = model.predict(text)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    return rows.mapInArrow(run, ", ".join(fields))
+    return beside_rows(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], work, 4 << 20)
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document; learns from rows that are not held out."""
-    model = learn(docs, ~held_out)
-    return predict(docs.withColumn("held_out", held_out).select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), model, ["doc_id", "held_out"])
+    """doc_id, held_out, lang_pred and score of every document; learns from rows that are not held out.
+
+    A text that is null, empty or has no letter is ``und`` with score 0, and so is every text if nothing can be learnt.
+    Repeated rows are predicted each, equal texts alike; ties go to the first language by name; a very long text or word is
+    read whole, in linear time; an empty table gives no rows; other columns, also of the names above, are ignored.
+    """
+    found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), learn(docs, ~held_out))
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def drop_unidentified(docs: DataFrame, learnable: Column) -> DataFrame:
-    """The documents whose language is identified, unchanged."""
-    model = learn(docs, learnable)
-    columns = docs.columns
-    found = predict(docs, model, columns)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    """The documents whose language is identified, unchanged, whatever the names of their columns."""
+    return kept_rows(predict(docs, learn(docs, learnable)), F.col("lang_pred") != UNKNOWN, docs.columns)

@@ -1,20 +1,19 @@
 """Toxicity by compression distance (operator 6).
 
-Two zstandard dictionaries are trained, one on what marks toxic text, one on ordinary text.  Each window of a text is
-compressed with both; one that the toxic dictionary shortens by more than a threshold speaks for toxicity.  Threshold and
-calibration come from the training texts.
+The zstandard trainer makes two dictionaries: one of ordinary text, one of what toxic text holds beyond it (windows that the
+ordinary dictionary shortens badly for their length).  A window of a text is compressed once with the ordinary dictionary and
+once with both; what the second saves is its gain.  Thresholds of the gain for each window length, the threshold of a text
+and the slope of its score come from a third of the sample that no dictionary has seen.
 
-A window is one word with the spaces around it, every byte spelled out, so that a match saves in proportion to its length
-against the few bytes that zstandard spends on any match; in windows of three to eight plain words those few bytes hid a
-seventh of the toxic texts or more.  Each distinct word of a batch is compressed once.
+A window is one word with the spaces around it (a long word gives several), every byte spelled out as two, so that a match
+saves in proportion to its length against the few bytes that zstandard spends on any match.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -22,212 +21,206 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from ._spark import pieces, text_column
+from ._sample import beside_rows, kept_rows, sample_by_class
 from ._words import split_words
-from .language_id import sample_by_class
 
-#: Whole labelled documents sampled per class (expected number) to fit the dictionaries and the calibration.
+#: Distinct whole labelled texts sampled per class to train and calibrate.
 SAMPLE_DOCS = 1500
-#: Bytes of each dictionary at most, and the compression level.
-DICTIONARY = 16_384
-LEVEL = 9
-#: Longer words are not learnt from.
+#: Bytes of the dictionaries of ordinary and of toxic windows, the trainer's segment and the compression level.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, LEVEL = 600_000, 16_000, 64, 9
+#: A toxic window is trained on if ordinary windows of its length are shortened better in this share of cases.
+NOVEL = 0.7
+#: Share of ordinary windows of one length whose gain may pass the length's threshold.
+LOUD = 1e-4
+#: Bytes of a window's word; longer words give windows that overlap by half.
 WORD = 48
 #: Every byte of a window is spelled out as so many bytes, by a fixed random table: letters stay alike, but runs do not arise.
 DRAWN = 2
 _MARKS = ".,;:!?\"'()"
-#: Begins every window and ends both dictionaries: one long match pays what any compressed block costs, so that a further
+#: Begins every window and ends the dictionaries: one long match pays what any compressed block costs, so that a further
 #: match counts in full.
 PRIMER = bytes(range(128, 160))
+#: Gains of words that a Python worker keeps; the cache starts anew beyond it.
+CACHE_WORDS = 300_000
+_TABLE = np.random.default_rng(7).integers(0, 256, (256, DRAWN), np.uint8)
 
 
-def _spell(plain: bytes) -> np.ndarray:
-    table = np.random.default_rng(7).integers(0, 256, (256, DRAWN), np.uint8)
-    return table[np.frombuffer(plain, np.uint8)].ravel()
+def spell(plain: bytes) -> bytes:
+    return _TABLE[np.frombuffer(plain, np.uint8)].tobytes()
 
 
-def windows(words: list[str]) -> list[bytes]:
-    """The window of each word."""
-    plain = [f" {w.strip(_MARKS)} ".encode("utf-8", "surrogatepass") for w in words]
-    sizes = np.fromiter(map(len, plain), np.int64, len(plain)) * DRAWN
-    drawn = _spell(b"".join(plain)).tobytes()
-    ends = np.cumsum(sizes).tolist()
-    return [PRIMER + drawn[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def windows(word: str) -> list[bytes]:
+    """The windows of a word, in plain bytes."""
+    plain = word.strip(_MARKS).encode("utf-8", "surrogatepass")
+    if len(plain) <= WORD:
+        return [b" " + plain + b" "] if plain else []
+    return [b" " + plain[at : at + WORD] + b" " for at in range(0, len(plain) - WORD // 2, WORD // 2)]
+
+
+def text_windows(text: str) -> list[bytes]:
+    """The distinct windows of a text."""
+    return list(dict.fromkeys(w for word in dict.fromkeys(text.lower().split()) for w in windows(word)))
+
+
+def train(found: list[bytes], size: int) -> bytes:
+    """A dictionary of the trainer; of too few windows for it, the windows themselves."""
+    spelled = [spell(w) for w in found]
+    try:
+        return zstandard.train_dictionary(size, spelled, k=SEGMENT, d=8, f=20, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(spelled))[-size:]
+
+
+class Coder:
+    """Compressed lengths of windows with one dictionary."""
+
+    def __init__(self, dictionary: bytes) -> None:
+        kind = zstandard.ZstdCompressionDict(dictionary + PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTOPT, window_log=20, hash_log=17, chain_log=17, search_log=8, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+        kind.precompute_compress(compression_params=parameters)
+        self._compress = zstandard.ZstdCompressor(dict_data=kind, compression_params=parameters).compress
+
+    def size(self, window: bytes) -> int:
+        return len(self._compress(PRIMER + spell(window)))
 
 
 class ToxicityModel:
-    """Dictionaries and calibration; pickles to executors."""
+    """Dictionaries, thresholds and calibration; pickles to executors."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, threshold: float = 0.0, slope: float = 1.0, bias: float = 0.0) -> None:
-        self.toxic, self.ordinary, self.threshold, self.slope, self.bias = toxic, ordinary, threshold, slope, bias
+    def __init__(self, ordinary: bytes, toxic: bytes, loud: dict[int, float], threshold: float = 0.0, slope: float = 1.0) -> None:
+        self.ordinary, self.toxic, self.loud, self.threshold, self.slope = ordinary, toxic, loud, threshold, slope
 
     def __getstate__(self) -> tuple:
-        return self.toxic, self.ordinary, self.threshold, self.slope, self.bias
+        return self.ordinary, self.toxic, self.loud, self.threshold, self.slope
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def gains(self, found: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves against the ordinary one, per window."""
+    def gain(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves beyond the ordinary one."""
         if not hasattr(self, "_coders"):
-            kinds = [zstandard.ZstdCompressionDict(_spell(d).tobytes() + PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.toxic, self.ordinary)]
-            parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTOPT, window_log=16, hash_log=14, chain_log=14, search_log=8, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
-            for d in kinds:
-                d.precompute_compress(compression_params=parameters)
-            self._coders = [zstandard.ZstdCompressor(dict_data=d, compression_params=parameters) for d in kinds]
-        toxic, ordinary = (c.compress for c in self._coders)
-        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in found), np.int32, len(found))
+            self._coders, self._seen = (Coder(self.ordinary), Coder(self.toxic + self.ordinary)), {}
+        return self._coders[0].size(window) - self._coders[1].size(window)
+
+    def excess(self, window: bytes) -> float:
+        """The gain over the threshold of windows of this length; lengths without one take that of the nearest."""
+        n = len(window)
+        if n not in self.loud:
+            self.loud[n] = self.loud[min(self.loud, key=lambda x: (abs(x - n), x))] if self.loud else 0.0
+        return self.gain(window) - self.loud[n]
+
+    def word_excess(self, words: list[str]) -> np.ndarray:
+        """The greatest excess among each word's windows."""
+        if not hasattr(self, "_seen"):
+            self.gain(b"  ")
+        if len(self._seen) + len(words) > CACHE_WORDS:
+            self._seen.clear()
+        seen = self._seen
+        for w in words:
+            if w not in seen:
+                seen[w] = max(map(self.excess, windows(w)), default=NOTHING)
+        return np.fromiter((seen[w] for w in words), np.float64, len(words))
 
     def evidence(self, text: pa.Array) -> np.ndarray:
-        """Of each whole text, the best of its windows' gains over the threshold (a text without words has none)."""
+        """The greatest excess among each whole text's windows (a text without words has none)."""
         doc, words, index = split_words(pc.utf8_lower(text))
-        gains = self.gains(windows(words.to_pylist()))[index]
-        out = np.full(len(text), -8.0)
+        each = self.word_excess(words.to_pylist())[index]
+        out = np.full(len(text), NOTHING)
         have, starts = np.unique(doc, return_index=True)
         if len(have):
-            out[have] = np.maximum.reduceat(gains, starts) - self.threshold
+            out[have] = np.maximum.reduceat(each, starts)
         return out
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -50, 50)))
-
-
-def _contexts(texts: list[str]) -> Counter:
-    """In how many distinct surroundings each word stands: the fewer of the distinct words before and after it, so that
-    near copies of a text count little more than once."""
-    before, after = set(), set()
-    for text in texts:
-        words = [w.strip(_MARKS) for w in text.lower().split()]
-        before.update(zip(["", *words[:-1]], words, strict=True))
-        after.update(zip(words, [*words[1:], ""], strict=True))
-    left, right = Counter(w for _, w in before), Counter(w for w, _ in after)
-    return Counter({w: min(n, right[w]) for w, n in left.items() if w and len(w) <= WORD})
-
-
-def _telling(mine: Counter, other: Counter, least: int = 12, ratio: float = 24.0) -> list[str]:
-    """Words that stand in far more surroundings in one class than in the other, the most telling first."""
-    na, nb = max(1, mine.total()), max(1, other.total())
-    scored = []
-    for w, n in mine.items():
-        p, q = n / na, (other[w] + 0.5) / nb
-        if n >= least and p > ratio * q:
-            scored.append((n * math.log(p / q), w))
-    return [w for _, w in sorted(scored, reverse=True)]
-
-
-def _stems(words: list[str], mine: Counter, other: Counter, least: int = 4, ratio: float = 24.0) -> list[str]:
-    """Of each telling word its telling beginning: the shortest one (with the space before) that tells as well, drawn out
-    while nine tenths of the words that share it go on alike.  Endings that ordinary words share stay out."""
-    na, nb = max(1, mine.total()), max(1, other.total())
-    wanted = {f" {w} "[:n] for w in words for n in range(least, len(w) + 3)}
-    a, b = Counter(), Counter()
-    for found, counts in ((a, mine), (b, other)):
-        for w, n in counts.items():
-            padded = f" {w} "
-            for k in range(least, len(padded) + 1):
-                if padded[:k] not in wanted:
-                    break
-                found[padded[:k]] += n
-    out: dict[str, int] = {}
-    for w in words:
-        padded = f" {w} "
-        k = next((k for k in range(least, len(padded) + 1) if a[padded[:k]] / na > ratio * (b[padded[:k]] + 0.5) / nb), len(padded))
-        while k < len(padded) and a[padded[: k + 1]] >= 0.9 * a[padded[:k]]:
-            k += 1
-        out.setdefault(padded[:k], 0)
-    return list(out)
-
-
-def _common_parts(stems: list[str], ordinary: Counter, least: int = 3, often: int = 3) -> list[bytes]:
-    """The longest parts of the stems, of ``least`` bytes or more, that ordinary words have too."""
-    text = "".join(f" {w} " for w in ordinary).encode("utf-8", "surrogatepass")
-    out: dict[bytes, int] = {}
-    for stem in (s.encode("utf-8", "surrogatepass") for s in stems):
-        end = 0
-        for i in range(len(stem)):
-            j = i + least
-            while j <= len(stem) and text.count(stem[i:j]) >= often:
-                j += 1
-            if j - 1 - i >= least and j - 1 > end:
-                out.setdefault(stem[i : j - 1], 0)
-                end = j - 1
-    return list(out)
+        return 1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.threshold), -50, 50)))
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Train both dictionaries on two thirds of the sample and calibrate on the last third.
+#: Evidence of a text without words.
+NOTHING = -16.0
 
-    A raw-content dictionary is the text that a window may refer to: the telling beginnings of each class's words, the most
-    telling last.  The ordinary one has also those parts of toxic words that ordinary words have, so that they save
-    nothing; what else both classes share is in neither: it would spell toxic words nearly as shortly.
-    """
+
+def _quantiles(values: dict[int, list[float]], share: float) -> dict[int, float]:
+    return {n: float(np.quantile(v, share)) for n, v in values.items()}
+
+
+def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """Train the dictionaries on two thirds of the sample and calibrate on the rest."""
     if not toxic or not ordinary:  # one class alone: its prior decides
-        return ToxicityModel(b" " * 8, b" " * 8, 0.0, 0.0, 4.0 if toxic else -4.0)
-    parts = [[t for t in texts if zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3] or texts for texts in (toxic, ordinary)]
-    rest = [[t for t in texts if not zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3] or texts for texts in (toxic, ordinary)]
-    toxic_counts, ordinary_counts = map(_contexts, parts)
-    pairs = ((toxic_counts, ordinary_counts), (ordinary_counts, toxic_counts))
-    telling = [_stems(_telling(*p), *p) for p in pairs]
-    both = b"\x00".join([b"", *_common_parts(telling[0], ordinary_counts), b""])
-    images = []
-    for stems, first in zip(telling, (b"", both), strict=True):
-        own = "".join(reversed(stems)).encode("utf-8", "surrogatepass")
-        images.append(b" " + own[-(DICTIONARY - len(first)) :] + first)
-    model = ToxicityModel(*images)
-    return _calibrate(model, *(model.evidence(pa.array(texts, pa.string())) for texts in rest))
-
-
-def _calibrate(model: ToxicityModel, toxic: np.ndarray, ordinary: np.ndarray) -> ToxicityModel:
-    """The threshold with the least rate of errors, ordinary texts counted twice (of equal ones the highest), and a logistic slope
-    around it."""
+        return ToxicityModel(b" " * 8, b" " * 8, {}, -100.0 if toxic else 100.0)
+    held = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0
+    toxic_train, ordinary_train = ([t for t in texts if not held(t)] or texts for texts in (toxic, ordinary))
+    toxic_rest, ordinary_rest = ([t for t in texts if held(t)] or texts for texts in (toxic, ordinary))
+    shuffled = lambda found: random.Random(5).sample(found, len(found))  # noqa: E731  the trainer takes parts of its input in turn
+    ordinary_dictionary = train(shuffled([w for t in ordinary_train for w in text_windows(t)]), ORDINARY_BYTES)
+    coder, sizes = Coder(ordinary_dictionary), {}
+
+    def size(window: bytes) -> int:
+        if window not in sizes:
+            sizes[window] = coder.size(window)
+        return sizes[window]
+
+    usual: dict[int, list[float]] = defaultdict(list)
+    calm = [text_windows(t) for t in ordinary_rest]
+    for found in calm:
+        for w in found:
+            usual[len(w)].append(size(w))
+    limit = _quantiles(usual, NOVEL)
+    novel = [w for t in toxic_train for w in text_windows(t) if size(w) > limit.get(len(w), 0)]
+    model = ToxicityModel(ordinary_dictionary, train(shuffled(novel), TOXIC_BYTES), {})
+    gains: dict[int, list[float]] = defaultdict(list)
+    both = Coder(model.toxic + model.ordinary)
+    known: dict[bytes, int] = {}
+    for found in calm:
+        for w in found:
+            if w not in known:
+                known[w] = size(w) - both.size(w)
+            gains[len(w)].append(known[w])
+    model.loud = _quantiles(gains, 1 - LOUD)
+    return calibrate(model, *(model.evidence(pa.array(texts, pa.string())) for texts in (toxic_rest, ordinary_rest)))
+
+
+def calibrate(model: ToxicityModel, toxic: np.ndarray, ordinary: np.ndarray) -> ToxicityModel:
+    """The threshold with the least rate of errors, ordinary texts counted twice (of equal ones the highest), and the slope
+    around it that makes the labels likeliest."""
     cuts = np.unique(np.concatenate([toxic, ordinary]))
-    cuts = np.concatenate([cuts - 0.5, [cuts[-1] + 0.5]])
+    cuts = np.concatenate([[cuts[0] - 0.5], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 0.5]])
     errors = np.array([(toxic < c).mean() + 2 * (ordinary >= c).mean() for c in cuts])
     model.threshold = float(cuts[np.flatnonzero(errors <= errors.min() + 1e-9)[-1]])
-    model.slope, model.bias = 1.0, 0.0
+    slopes = 2.0 ** np.arange(-4, 4)
+    loss = [np.logaddexp(0, -s * (toxic - model.threshold)).mean() + np.logaddexp(0, s * (ordinary - model.threshold)).mean() for s in slopes]
+    model.slope = float(slopes[int(np.argmin(loss))])
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = SAMPLE_DOCS) -> ToxicityModel:
     """A model of a bounded sample of the ``learnable`` documents with a toxic label of 0 or 1.
 
-    The sample is about ``per_class`` whole documents of each class; repeated labels of a document count once.
+    A document with several labels counts as toxic if one of them says so.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).distinct()
-    eligible = docs.where(learnable & F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    ids = sample_by_class(eligible.select("_doc").join(marked, F.col("_doc") == F.col("_id")).select("_doc", "_toxic"), "_toxic", per_class, "_doc")
-    chosen = {r["_doc"]: r["_toxic"] for r in ids.collect()}
-    rows = eligible.where(F.col("_doc").isin(list(chosen))).collect() if chosen else []
-    return fit(*([r["_text"] for r in rows if chosen[r["_doc"]] == t] for t in (1, 0)))
-
-
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default: doc_id) and the score of every whole text (null: empty)."""
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep, text_column(docs).alias("_text"))
-    fields = [f"`{n}` {t}" for n, t in rows.dtypes if n != "_text"] + ["score double"]
+    marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
+    eligible = docs.where(learnable & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    found = sample_by_class(eligible.join(marked, "id"), per_class)
+    return fit(found.get(1, []), found.get(0, []))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", 2 << 20):
-            scores = model.scores(model.evidence(batch.column(len(keep))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
 
-    return rows.mapInArrow(run, ", ".join(fields))
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``row`` (all columns of ``docs``) and the score of every whole text."""
+    return beside_rows(docs, [StructField("score", DoubleType())], lambda text: [pa.array(model.scores(model.evidence(text)))], 2 << 20)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learns labels of rows that are not held out.
 
-    Null and empty texts have no window and score as ordinary; repeated rows score each; an empty table gives no rows.
+    Null and empty texts have no window and score as ordinary; repeated rows score each, equal texts alike; a very long text or
+    word is read whole, in linear time; an empty table gives no rows; other columns, also of the names above, are ignored.
     """
     model = learn(docs, labels, ~held_out)
-    rows = docs.withColumn("held_out", held_out).select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    return score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), model)
+    return rows.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learnable: Column) -> DataFrame:
-    """The documents that are not classed as toxic, unchanged."""
-    model = learn(docs, labels, learnable)
-    columns = docs.columns
-    return score(docs, model, columns).where(F.col("score") < 0.5).select(*columns)
+    """The documents that are not classed as toxic, unchanged, whatever the names of their columns; null and empty texts stay."""
+    return kept_rows(score(docs, learn(docs, labels, learnable)), F.col("score") < 0.5, docs.columns)

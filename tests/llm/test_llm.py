@@ -135,6 +135,26 @@ def test_language_model_against_counting(spark, docs):
     assert ngram_lm.score_documents(docs.limit(0), held).count() == 0
 
 
+def test_toxicity_compressed_lengths_and_thresholds():
+    """Gains are the difference of the compressed lengths of the whole frames; evidence is the greatest excess."""
+    import zstandard
+
+    rng = random.Random(11)
+    plain = ["".join(rng.choice(["ba", "ko", "ri", "mu", "so"]) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    toxic = [" ".join([*rng.sample(plain, 30), "idiot", "Scumbag!"]) for _ in range(40)]
+    ordinary = [" ".join(rng.sample(plain, 30)) for _ in range(60)]
+    model = toxicity.fit(toxic, ordinary)
+    text = ordinary[0] + " scumbag " + "x" * 200
+    sizes = []
+    for d in (model.ordinary, model.toxic + model.ordinary):
+        kind = zstandard.ZstdCompressionDict(d + toxicity.PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(9, strategy=zstandard.STRATEGY_BTOPT, window_log=20, hash_log=17, chain_log=17, search_log=8, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append({w: len(zstandard.ZstdCompressor(dict_data=kind, compression_params=p).compress(toxicity.PRIMER + toxicity.spell(w))) for w in toxicity.text_windows(text)})
+        assert all(zstandard.ZstdDecompressor(dict_data=kind).decompress(zstandard.ZstdCompressor(dict_data=kind, compression_params=p).compress(toxicity.spell(w)), max_output_size=999) == toxicity.spell(w) for w in list(sizes[-1])[:5])
+    want = max(sizes[0][w] - sizes[1][w] - model.loud[min(model.loud, key=lambda n: (abs(n - len(w)), n))] for w in sizes[0])
+    assert model.evidence(pa.array([text]))[0] == want and (model.scores(model.evidence(pa.array([text, ordinary[1], "", None]))) >= 0.5).tolist() == [True, False, False, False]
+
+
 def _made(rng, words, n):
     return " ".join(rng.choice(words) for _ in range(n))
 
@@ -162,24 +182,38 @@ def test_automaton_counts_greedy_phrases():
     automaton = language_id.Automaton(source)
     for _ in range(60):
         word = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 20)))
-        want, at = 0, 0
-        while at < len(word):
-            size = next((s for s in range(len(word) - at, 0, -1) if word[at : at + s] in source), 1)
-            want, at = want + 1, at + size
         points = np.array([ord(c) for c in word])
-        assert automaton.phrases(points, np.array([0]), np.array([len(word)]))[0] == want, word
-
-
-def test_language_learns_all_words_of_its_sample():
-    words = [f"{chr(97 + k % 26)}{k}x{k * 7919 % 10007}" for k in range(9000)]
-    model = language_id.LanguageModel({"xx": [" ".join(words[:5000]), " ".join(words[4000:])], "yy": ["other words"]})
-    assert all(f" {w} " in model.images["xx"] for w in words)
-    automaton = model._automata()[0]
-    marked = [f" {w} " for w in words]
-    lengths = np.array(list(map(len, marked)))
-    assert (automaton.phrases(np.array([ord(c) for w in marked for c in w]), np.cumsum(lengths) - lengths, lengths) == 1).all()
-    repeated = words[:5000] + words[4000:]
-    assert automaton.cost == np.log2(1 + sum(len(w) + 1 for w in repeated))
+        assert automaton.phrases(points, np.array([0]), np.array([len(word)]))[0] == _greedy(word, source), word
+
+
+def _greedy(text, source):
+    """Phrases of a text against a source, by substring search."""
+    n, at = 0, 0
+    while at < len(text):
+        size = next((s for s in range(len(text) - at, 0, -1) if text[at : at + s] in source), 1)
+        n, at = n + 1, at + size
+    return n
+
+
+def test_language_prediction_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(language_id, "SEGMENT", 16)
+    rng = random.Random(12)
+    kinds = {"xx": "abcd", "yy": "bcde", "zz": "cdef"}
+    made = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    samples = {name: [made(letters, 40), made(letters, 30).upper()] for name, letters in kinds.items()}
+    model = language_id.LanguageModel(samples)
+    texts = [made(rng.choice(list(kinds.values())), rng.randrange(1, 12)) + rng.choice(["", " 12", "!", " q"]) for _ in range(80)] + ["", None, "1 2", "é", "abcd" * 50]
+    names, scores = model.predict(pa.array(texts, pa.string()))
+    clean = lambda t: " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+    sources = {n: " " + "".join(clean(t).lstrip() for t in ts) for n, ts in samples.items()}
+    for t, name, score in zip(texts, names, scores, strict=True):
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (name, score) == ("und", 0.0)
+            continue
+        c = clean(t)
+        cost = {n: sum(_greedy(c[a : a + 16], s) for a in range(0, len(c), 16)) * math.log2(len(s)) for n, s in sources.items()}
+        assert cost[name] == min(cost.values()) and name == min(n for n in cost if cost[n] == cost[name]), t
+        assert score == pytest.approx(1 / sum(2.0 ** (cost[name] - c) for c in cost.values()))
 
 
 def test_language_held_out(spark):
