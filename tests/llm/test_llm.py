@@ -40,6 +40,13 @@ def test_elias_fano_selects_and_decodes():
         if n:
             at = r.integers(0, n, 40)
             assert (view.select(at) == values[at]).all()
+        values = np.unique(values)
+        view, asked = EliasFano(encode(values, top)), np.concatenate([values, r.integers(0, top + 1, 50).astype(np.uint64)])
+        place = {int(x): i for i, x in enumerate(values)}
+        want = np.array([place.get(int(x), -1) for x in asked])
+        begin = r.integers(0, len(values) + 1, len(asked))
+        end = np.minimum(len(values), begin + 40)
+        assert (view.find(asked) == want).all() and (view.find(asked, begin, end) == np.where((want >= begin) & (want < end), want, -1)).all()
 
 
 def test_word_bpe_equals_the_library():
@@ -112,29 +119,59 @@ def test_jump_shards_move_only_into_the_new_one(spark, docs):
     assert back.count() == docs.count()
 
 
-def test_language_model_against_counting(spark, docs):
+@pytest.mark.parametrize(("block", "shard"), [(2_000_000, 600_000), (60, 40)])
+def test_language_model_against_counting(spark, docs, block, shard, monkeypatch):
+    """One block and shard, and several of both with hot words."""
+    monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(ngram_lm, "SHARD_ENTRIES", shard)
+    rng = random.Random(21)
+    more = spark.createDataFrame([(100 + k, " ".join(rng.choice(["of", "The", "a", *(f"w{j}" for j in range(30))]) for _ in range(rng.randrange(30)))) for k in range(60)], "doc_id long, text string")
+    table = docs.where("doc_id is null or doc_id <> 3").select("doc_id", "text").unionByName(more).repartition(3)
     held = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)) == 1
-    got = ngram_lm.score_documents(docs.where("doc_id is null or doc_id <> 3"), held).collect()
+    got = ngram_lm.score_documents(table, held).collect()
     words = lambda t: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + ["<end>"]
-    texts = {d: words(t) for d, t in rows_of(docs) if d != 3}
+    texts = {d: words(t) for d, t in rows_of(table)}
     train = [w for d, w in texts.items() if (d or 0) % 3 != 1]
     c = collections.Counter(x for w in train for x in w)
     pairs = collections.Counter(p for w in train for p in zip(["<end>", *w], w, strict=False))
     after = collections.Counter(a for a, _ in pairs)
     n, v = c.total(), len(c)
+    near = lambda p: 2.0 ** (-round(-math.log2(p) * 2048) / 2048) if p > 0 else 0.0
+    assert len(got) == len(texts)
     for r in got:
         w = texts[r["doc_id"]]
         score = 0.0
         for a, b in zip(["<end>", *w], w, strict=False):
             p = (c[b] + 1) / (n + v + 1)
             if c[a]:
-                p = max(pairs[a, b] - 0.75, 0) / c[a] + 0.75 * after[a] / c[a] * p
+                p = near(max(pairs[a, b] - 0.75, 0) / c[a]) + near(0.75 * after[a] / c[a]) * p
             score += math.log10(p)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in c for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r["score"] == pytest.approx(score)
     assert ngram_lm.score_documents(docs.limit(0), held).count() == 0
 
 
+def test_trie_searches_successors_of_a_context_alone():
+    r = np.random.default_rng(5)
+    contexts = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
+    after = [np.unique(r.integers(0, 2**32, int(n)).astype(np.uint64)) for n in r.pareto(0.8, len(contexts)) * 3 % 4000 + 1]
+    sizes = np.array(list(map(len, after)))
+    counts = r.integers(1, 9, sizes.sum())
+    totals = np.add.reduceat(counts, np.cumsum(sizes) - sizes)
+    trie = ngram_lm.Trie(ngram_lm.build_trie(contexts, sizes, np.concatenate(after), counts, totals))
+    starts = np.cumsum(sizes) - sizes
+    for i in range(0, len(contexts), 7):
+        other = after[(i + 1) % len(after)]
+        asked = np.concatenate([after[i], other])
+        want = np.where(np.arange(len(asked)) < sizes[i], 1, np.isin(asked, after[i])) > 0
+        got = trie.find(contexts[i : i + 1], np.array([len(asked)]), asked)
+        assert ((got > 0) == want).all()
+        p = (counts[starts[i] : starts[i] + sizes[i]] - 0.75) / totals[i]
+        assert np.allclose(ngram_lm.dequantise(got[: sizes[i]]), p, rtol=2e-4)
+    assert (trie.find(np.array([5], np.uint64), np.array([2]), np.array([1, 2], np.uint64)) == 0).all()
+    assert np.allclose(ngram_lm.dequantise(trie.weigh(contexts)), 0.75 * sizes / totals, rtol=2e-4) and trie.weigh(np.array([5], np.uint64))[0] == 0
+
+
 def test_toxicity_compressed_lengths_and_thresholds():
     """Gains are the difference of the compressed lengths of the whole frames; evidence is the greatest excess."""
     import zstandard
