@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,18 +58,24 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def rank_in_key(df: DataFrame, key: list[str], order: list[str], name: str, rows: int, per_task: int = 50_000) -> DataFrame:
-    """Number the rows of each ``key`` from 0 without gaps, however many rows one key holds.
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once with a number ``_row`` of each row, by which equal rows are told apart ever after."""
+    return materialise(df.withColumn("_row", F.monotonically_increasing_id()), name)
 
-    Rows go to hash buckets of about ``per_task`` rows; only bucket counts meet in one window, then every row adds its
-    rank in its bucket to the rows of earlier buckets.  Repeated rows are numbered apart.
+
+def rank_in_key(df: DataFrame, key: list[str], order: list[str], name: str, rows: int) -> DataFrame:
+    """Number the rows of each ``key`` of a ``numbered`` table from 0 without gaps, however many rows one key holds.
+
+    A key's rows (``rows`` at most) are dealt to buckets by the hash of their number, so equal rows part too; only bucket
+    counts meet in one window, then every row adds its rank in its bucket to the rows of earlier buckets.  A bucket has
+    about a thousand rows, or their square root where a key has more than a million.
     """
-    buckets = max(1, -(-rows // per_task))
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    buckets = max(1, -(-rows // max(1000, math.isqrt(rows))))
+    spread = df.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
     before = (
         spread.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
         .drop("_n")
     )
-    inside = spread.withColumn("_rank", F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order)) - 1)
-    return inside.join(before, [*key, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_before", "_rank", "_bucket")
+    inside = spread.withColumn("_rank", F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order, "_row")) - 1)
+    return inside.join(before, [*key, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_before", "_rank", "_bucket", "_row")

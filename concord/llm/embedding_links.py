@@ -1,9 +1,11 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison (operator 1).
 
-Equal vectors of a label are one class.  Classes are rotated to principal axes, which keeps products, and put into tiles of
-a label by their place on the leading axes.  Two tiles are compared if their places allow a link: products of the leading
-axes are summed first, the rest is bounded by the norms of the remaining parts, and pairs that cannot reach the threshold
-stop there.  What is left is decided by the cosine of the vectors themselves in double precision.
+Equal vectors of a label are one class.  Classes are rotated to principal axes, which keeps products.  Slabs of a label are
+consecutive by the first axis; two slabs meet in one task if their places allow a link, so a slab travels once per slab near
+it.  Inside, slabs are cut into tiles by halving the widest of the leading axes, and two tiles are compared if the boxes around
+them allow a link: products of the leading axes are summed first, the rest is bounded by the norms of the remaining parts,
+and pairs that cannot reach the threshold stop there.  What is left is decided by the cosine of the vectors themselves in
+double precision.
 """
 
 from __future__ import annotations
@@ -21,20 +23,23 @@ from ._spark import materialise
 from .components import connected_components
 
 THRESHOLD = 0.93
-#: Classes in a tile, and the axis numbers after which products are cut off.
-TILE = 512
+#: Classes in a slab and in a tile, and the axis numbers after which products are cut off.
+SLAB, TILE = 4096, 256
 STAGES = (8, 24)
+#: Leading axes by which tiles are cut and their boxes compared.
+BOX = 8
+#: Lengths of vectors, the commonest first, that get principal axes; others keep their own axes, which bound as surely.
+LENGTHS = 16
 #: Allowance for rounding in bounds; the decision itself has none.
 _SLACK = 1e-9
-TILE_SCHEMA = "label string, dims int, tile long, cell int, low double, high double, ids array<long>, vectors binary"
+SLAB_SCHEMA = "label string, dims int, slab long, low double, high double, ids array<long>, copies array<long>, vectors binary"
 PART_SCHEMA = "id long, to long, links long"
 
 
 def axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length the rotation to principal axes, from the summed second moments of all unit vectors.
-
-    One row of moments per task and length reaches the driver: its size depends on the vector length alone.
-    """
+    """For each of the commonest vector lengths the rotation to principal axes, from the summed second moments of its unit
+    vectors.  What reaches the driver depends on these lengths alone."""
+    common = [r["d"] for r in classes.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()]
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -46,7 +51,7 @@ def axes(classes: DataFrame) -> dict[int, np.ndarray]:
             flat = m.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), dims, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["dims", "at", "value"])
 
-    summed = classes.select("vector").mapInArrow(moments, "dims int, at int, value double").groupBy("dims", "at").agg(F.sum("value").alias("value"))
+    summed = classes.where(F.size("vector").isin(common)).select("vector").mapInArrow(moments, "dims int, at int, value double").groupBy("dims", "at").agg(F.sum("value").alias("value"))
     cells: dict[int, dict[int, float]] = {}
     for row in summed.collect():
         cells.setdefault(row["dims"], {})[row["at"]] = row["value"]
@@ -65,55 +70,105 @@ def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its greatest component near 1: exact, and products neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(1, keepdims=True)
+    scaled = _scaled(x)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def _tiles(classes: DataFrame, rotation: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Tiles of classes: within a label by cells of the first axis, as wide as a link can reach, and by place in a cell."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK
+def _turn(x: np.ndarray, rotation: dict[int, np.ndarray]) -> np.ndarray:
+    return x @ rotation[x.shape[1]] if x.shape[1] in rotation else x
+
+
+def _slabs(classes: DataFrame, rotation: dict[int, np.ndarray]) -> DataFrame:
+    """Slabs of up to ``SLAB`` classes of one label and length, consecutive by the first axis."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = np.zeros(batch.num_rows)
-            for d, (rows, x) in _by_length(batch.column(2)).items():
-                first[rows] = _unit(x) @ rotation[d][:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.floor(first / reach).astype(np.int32)), pa.array(first)], names=["id", "label", "vector", "cell", "place"])
+            for rows, x in _by_length(batch.column(3)).values():
+                first[rows] = _turn(_unit(x), rotation)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["id", "label", "copies", "vector", "place"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
 
         def close() -> pa.RecordBatch:
             nonlocal seq
-            ids = [h[1] for h in held]
-            low, high = held[0][3], held[-1][3]
-            row = [held[0][0][0], held[0][0][1], (part << 32) | seq, held[0][0][2], low, high, ids, np.array([h[2] for h in held]).tobytes()]
-            seq += 1
+            rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in TILE_SCHEMA.split(", ")])
+            vectors = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            row = [rows["label"][0].as_py(), rows["dims"][0].as_py(), (part << 32) | seq, rows["place"][0].as_py(), rows["place"][-1].as_py(), rows["id"].to_numpy(), rows["copies"].to_numpy(), vectors.tobytes()]
+            seq += 1
+            types = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in SLAB_SCHEMA.split(", ")])
 
+        key = lambda batch, k: (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
         for batch in batches:
-            for label, dims, cell, at, number, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = (label, dims, cell)
-                if held and (held[0][0] != key or len(held) >= TILE):
+            if not batch.num_rows:
+                continue
+            label, dims = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(1 + np.flatnonzero((label[1:] != label[:-1]) | (dims[1:] != dims[:-1]))).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and key(held[0], 0) != key(batch, a):
                     yield close()
-                held.append((key, number, vector, at))
+                while a < b:
+                    n = min(b - a, SLAB - sum(h.num_rows for h in held))
+                    held.append(batch.slice(a, n))
+                    a += n
+                    if sum(h.num_rows for h in held) == SLAB:
+                        yield close()
         if held:
             yield close()
 
-    placed = classes.select("id", "label", "vector").mapInArrow(place, "id long, label string, vector array<double>, cell int, place double")
-    keyed = placed.select("label", F.size("vector").alias("dims"), "cell", "place", "id", "vector")
-    ordered = keyed.repartitionByRange("label", "dims", "cell", "place").sortWithinPartitions("label", "dims", "cell", "place", "id")
-    return materialise(ordered.mapInArrow(gather, TILE_SCHEMA), "tiles")
+    placed = classes.select("id", "label", "copies", "vector").mapInArrow(place, "id long, label string, copies long, vector array<double>, place double")
+    ordered = placed.select("label", F.size("vector").alias("dims"), "place", "id", "copies", "vector").repartitionByRange("label", "dims", "place").sortWithinPartitions("label", "dims", "place", "id")
+    return materialise(ordered.mapInArrow(gather, SLAB_SCHEMA), "slabs")
+
+
+def _tiles(turned: np.ndarray) -> list[np.ndarray]:
+    """Rows in tiles of up to ``TILE``, by halving at the median of the widest of the leading axes."""
+    out, todo = [], [np.arange(len(turned))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= TILE:
+            out.append(rows)
+            continue
+        lead = turned[rows, :BOX]
+        axis = int((lead.max(0) - lead.min(0)).argmax())
+        order = rows[np.argsort(lead[:, axis], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return out
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, rotation: dict[int, np.ndarray], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of rows of two slabs with a cosine of ``threshold`` or more; of one slab, each pair once."""
+    ta, tb = (_turn(_unit(x), rotation) for x in (a, b))
+    left, right = _tiles(ta), None if same else _tiles(tb)
+    right = left if same else right
+    box = lambda t, rows: (t[rows, :BOX].min(0), t[rows, :BOX].max(0))
+    boxes_a, boxes_b = [box(ta, r) for r in left], [box(tb, r) for r in right]
+    reach = max(0.0, 2 - 2 * threshold) + _SLACK
+    i, j = [], []
+    for k, (rows, (low, high)) in enumerate(zip(left, boxes_a, strict=True)):
+        for m in range(k if same else 0, len(right)):
+            gap = np.maximum(0, np.maximum(low - boxes_b[m][1], boxes_b[m][0] - high))
+            if gap @ gap > reach:
+                continue
+            x, y = compare(a[rows], b[right[m]], ta[rows], tb[right[m]], threshold, same and k == m)
+            i.append(rows[x])
+            j.append(right[m][y])
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (i, j))
 
 
-def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of rows of ``a`` and ``b`` with a cosine of ``threshold`` or more; of one tile, each pair once."""
-    ua, ub = _unit(a), _unit(b)
-    ra, rb = ua @ rotation, ub @ rotation
+def compare(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of rows of two tiles ``a`` and ``b`` (``ra`` and ``rb``: their unit vectors, turned) with a cosine of
+    ``threshold`` or more; of one tile, each pair once."""
     dims = ra.shape[1]
     cuts = [c for c in STAGES if c < dims]
     rest = lambda r, c: np.sqrt(np.maximum(0, (r[:, c:] ** 2).sum(1)))  # noqa: E731  norm of what is left after c axes
@@ -137,21 +192,21 @@ def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float
     keep = np.zeros(len(i), bool)
     for at in range(0, len(i), 1 << 16):
         s = slice(at, at + (1 << 16))
-        x, y = a[i[s]], b[j[s]]
+        x, y = _scaled(a[i[s]]), _scaled(b[j[s]])
         cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
         keep[s] = cosine >= threshold
     return i[keep], j[keep]
 
 
-def _link(rotation: dict[int, np.ndarray], weights: bool, threshold: float):
+def _link(rotation: dict[int, np.ndarray], threshold: float):
     def run(pair: pd.DataFrame) -> pd.DataFrame:
-        pair = pair.sort_values("tile")
+        pair = pair.sort_values("slab")
         dims = int(pair["dims"].iloc[0])
         sides = [(np.asarray(ids), np.asarray(n), np.frombuffer(v, np.float64).reshape(-1, dims)) for ids, n, v in zip(pair["ids"], pair["copies"], pair["vectors"], strict=True)]
         same = len(sides) == 1
         (ia, na, a), (ib, nb, b) = sides[0], sides[-1]
-        i, j = compare(a, b, rotation[dims], threshold, same)
-        # links of each class, and for each the least class of either tile that it reaches here
+        i, j = near_pairs(a, b, rotation, threshold, same)
+        # links of each class, and for each the least class of either slab that it reaches here
         links_a = np.bincount(i, weights=nb[j], minlength=len(ia)).astype(np.int64)
         links_b = np.bincount(j, weights=na[i], minlength=len(ib)).astype(np.int64)
         ids = ia if same else np.concatenate([ia, ib])
@@ -177,30 +232,25 @@ def link_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
 
     A vector that is null, empty, zero, or holds a null or a component that is not finite links with nothing, nor does one
     without a label or of another length; it is its own component.  Copies of a vector link with each other and with the
-    same others, and are compared once.  Rows with one vec_id are separate vectors of one name.  An empty table gives no rows.
+    same others, and are compared once.  Rows with one vec_id are separate vectors of one name; very large and very small
+    components compare as well as any.  An empty table gives no rows; other columns, also of the names above, are ignored.
     """
     x = F.col(vector)
     good = F.col(label).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), F.col(label).cast("string")).alias("label"), F.when(F.coalesce(good, F.lit(False)), x.cast("array<double>")).alias("vector"))
     grouped = rows.where("label is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    # a class is named by its least vec_id; rows that share a vec_id need a name of their own
-    classes = materialise(grouped.withColumn("id", F.xxhash64("label", "vector")), "classes")
-    clash = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if clash:
-        raise ValueError("two different vectors have one 64-bit hash")
+    # rows that share a vec_id may be of different classes, so classes have numbers of their own, written once
+    classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     rotation = axes(classes)
-    tiles = _tiles(classes, rotation, threshold)
-    near = tiles.select("label", "dims", "cell", "tile", "low", "high")
-    left = near.select("label", "dims", F.col("tile").alias("a"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("cell").alias("own"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    slabs = _slabs(classes, rotation)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK
-    pairs = left.join(near, ["label", "dims", "cell"]).where(((F.col("own") < F.col("cell")) | (F.col("a") <= F.col("tile"))) & (F.col("low") - F.col("a_high") <= reach) & (F.col("a_low") - F.col("high") <= reach))
-    pairs = pairs.select("a", F.col("tile").alias("b"))
-    # a pair of tiles meets in one group; each tile is sent once to each of its pairs
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    copies = classes.select("id", "copies")
-    weighed = tiles.select("tile", F.posexplode("ids").alias("at", "id")).join(copies, "id").groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "copies"))), lambda s: s["copies"]).alias("copies"))
-    full = materialise(tiles.select("tile", "dims", "ids", "vectors").join(weighed, "tile"), "weighed")
-    parts = materialise(sides.join(full, "tile").select("a", "b", "tile", "dims", "ids", "copies", "vectors").groupBy("a", "b").applyInPandas(_link(rotation, True, threshold), PART_SCHEMA), "links")
+    span = slabs.select("label", "dims", F.col("slab").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    other = slabs.select("label", "dims", F.col("slab").alias("b"), "low", "high")
+    # one small row per slab: a label's slabs meet those within reach on the first axis
+    pairs = span.join(other, ["label", "dims"]).where((F.col("a") <= F.col("b")) & (F.col("low") - F.col("a_high") <= reach) & (F.col("a_low") - F.col("high") <= reach))
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("slab"))
+    meeting = sides.join(slabs.select("slab", "dims", "ids", "copies", "vectors"), "slab").select("a", "b", "slab", "dims", "ids", "copies", "vectors")
+    parts = materialise(meeting.groupBy("a", "b").applyInPandas(_link(rotation, threshold), PART_SCHEMA), "links")
     links = parts.groupBy("id").agg(F.sum("links").alias("links"))
     reached = connected_components(parts.select(F.col("id").alias("a"), F.col("to").alias("b")).where("a <> b"))
     named = classes.select("label", "vector", "id", "least", "copies").join(links, "id", "left").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise, pieces, rank_in_key, text_column
+from ._spark import numbered, pieces, rank_in_key, text_column
 from .word_bpe import word_bpe
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -152,9 +152,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Only the count of each length (at most
     ``capacity`` numbers) reaches the driver; pieces find their places by their rank among pieces of equal length.  Null
-    texts are one end id, repeated rows are packed apart, an empty table gives no rows, other columns are ignored.
+    texts are one end id, repeated rows are packed apart, a very long text is cut into many pieces, an empty table gives no
+    rows, other columns, also of the names above, are ignored.
     """
-    cut = materialise(token_pieces(docs, vocabulary, capacity, end_id), "pieces")
+    cut = numbered(token_pieces(docs, vocabulary, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _Places(plan_packing(counts, capacity))
 

@@ -3,8 +3,9 @@
 The vocabulary is read from the model file with the sentencepiece library; encoding and decoding are numpy.  A batch of
 texts is cut where no piece can reach across, each distinct cut is merged once, and the ids of whole texts are gathered.
 
-In a round every cut looks up the rank of each adjacent pair, takes its least rank, and merges all its pairs of that rank
-from the left, skipping overlaps; cuts without a pair leave.  One merge at a time gives the same, except where a merge
+Inside, a cut falls into units between neighbouring characters that no piece holds side by side, so that a long token without
+spaces is merged in time close to its length.  In a round every unit looks up the rank of each adjacent pair, takes its least rank, and merges all its pairs of that
+rank from the left, skipping overlaps; units without a pair leave.  One merge at a time gives the same, except where a merge
 makes a pair of better rank than its own; for the few ranks where the vocabulary allows that, only the leftmost pair merges.
 """
 
@@ -81,6 +82,8 @@ class PieceBpe:
         # no piece holds a space mark after another character: texts may be cut before each run of marks
         if any(SPACE in n.lstrip(SPACE) for n in plain):
             raise ValueError("this vocabulary has pieces across words")
+        beside = {(ord(a) << 32) | ord(b) for n in plain for a, b in zip(n, n[1:], strict=False)}
+        self.beside = np.array(sorted(beside), np.int64)
         self.newline_alone = not any("\n" in n for n in plain)
         shown = [n.replace(SPACE, " ").encode() if kinds[i] == 0 else bytes([int(n[3:5], 16)]) if kinds[i] == 2 else b"" if kinds[i] == 1 else " ⁇ ".encode() for i, n in enumerate(names)]
         self.lengths = np.fromiter(map(len, shown), np.int32, self.size)
@@ -103,6 +106,12 @@ class PieceBpe:
             out[maybe[hit]] = self.ranks[at[hit]]
         return out
 
+    def _side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether some piece holds two characters side by side."""
+        keys = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.beside, keys), len(self.beside) - 1)
+        return self.beside[at] == keys
+
     def _merge(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over cuts of ``counts`` symbols each; returns the final symbols of all cuts and their counts."""
         n = len(counts)
@@ -171,7 +180,12 @@ class PieceBpe:
         counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
         own = self.piece_of_char[points]
         symbols = np.where(own >= 0, own, self.size + points).astype(np.int32)
-        symbols, counts = self._merge(symbols, counts)
+        units = np.zeros(len(points), bool)  # where a unit begins
+        units[np.cumsum(counts) - counts] = True
+        units[1:] |= ~self._side_by_side(points[:-1], points[1:])
+        begins = np.flatnonzero(units)
+        symbols, sizes = self._merge(symbols, np.diff(np.append(begins, len(points))))
+        counts = np.add.reduceat(sizes, np.searchsorted(begins, np.cumsum(counts) - counts))
         odd = symbols >= self.size
         if odd.any():  # characters of no piece: their bytes, or else unknown
             spelled = [self.byte_ids[list(chr(c - self.size).encode("utf-8", "surrogatepass"))] if self.has_bytes else np.array([self.unk]) for c in symbols[odd].tolist()]
@@ -338,7 +352,8 @@ def piece_bpe(path: str) -> PieceBpe:
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text (null: empty), with begin and end ids.
 
-    Rows pass one by one, so repeated rows give repeated results and an empty table none; other columns are ignored.
+    Rows pass one by one, so repeated rows give repeated results and an empty table none; a very long text or word is encoded
+    whole; other columns, also of the names above, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import rank_in_key, scratch
+from ._spark import numbered, rank_in_key, scratch
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,17 +41,22 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (0, 1, ... in each shard, without gaps) and
     grown_shard (with one shard more).  A null text has size 1 and the checksum of an empty one; a null doc_id is a key of
-    its own; repeated rows get slots of their own; an empty table gives no rows; other columns are ignored.
+    its own; repeated rows get slots of their own; a very long text is only measured; an empty table gives no rows; other
+    columns, also of the names above, are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
-    ranked = rank_in_key(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", docs.select("doc_id").count() // shards)
+    placed = numbered(rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)}), "placed")
+    most = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    ranked = rank_in_key(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", most)
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, shards: int = 16, path: str | None = None) -> str:
-    """Write whole documents under one folder per shard (shard=0, shard=1, ...); returns the folder."""
+    """Write whole documents under one folder per shard (shard=0, shard=1, ...); returns the folder.
+
+    A column ``shard`` of ``docs`` gives way to the folder's.
+    """
     path = path or scratch(docs.sparkSession, "shards")
     docs.withColumn("shard", shard_of(F.col("doc_id").cast("long"), shards)).write.partitionBy("shard").parquet(path)
     return path

@@ -128,7 +128,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
     Documents with equal fingerprints are one node, so copies never form pairs; texts without words share the fingerprint
     zero and link like any other.  Repeated rows are returned each; a null doc_id is never a component's name unless all ids
-    of the component are null; an empty table gives no rows; other columns are ignored.
+    of the component are null; a very long text is read whole; an empty table gives no rows; other columns, also of the names
+    above, are ignored.
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
@@ -149,12 +150,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the least by doc_id (nulls last), fingerprint and row hash.
 
     Components are of fingerprints alone, so documents without an id, or with one id, are told apart by their texts.  Only
-    row hashes are grouped; equal rows are reduced to one in each task before the texts are shuffled.
+    row hashes are grouped; equal rows are reduced to one in each task before the texts are shuffled.  Texts without words are
+    one component; the columns may have any names; an empty table stays empty.
     """
-    keyed = docs.withColumn("_row", _row_hash(docs))
     prints = fingerprints(docs, row=_row_hash(docs))
     nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")), "nodes")
     best = F.min(F.struct("best.no_id", "best.doc_id", "fp", "best.row"))
-    kept = _components(nodes).groupBy("component").agg(best.alias("best")).select(F.col("best.row").alias("_row"))
-    single = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_n = 1")
-    return single.join(kept, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = _components(nodes).groupBy("component").agg(best.alias("best")).select(F.col("best.row").alias("hash"))
+    keyed = docs.select(_row_hash(docs).alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = keyed.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("hash"))).where("n = 1")
+    return single.join(kept, "hash", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from ._words import hash_words, mix, runs, split_words
 #: Words in a shingle, and the part 1 / SCALE of all hashes that is kept.
 WIDTH = 5
 SCALE = 8
+#: Bytes of text, and rows, in a range of ids that one task reads in order; and ranges at most (beyond it they grow, and stream).
+RANGE_BYTES, RANGE_ROWS, MOST_RANGES = 24 << 20, 200_000, 20_000
 _LIMIT = np.uint64((1 << 64) // SCALE)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,37 +144,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def compare_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprint every whole text, its edited text and the next document's, in ascending doc_id order.
 
-    Documents go to ranges of ids, each range in id order in one task.  The first document of a range goes also to the range
-    before it, as the follower of its last document (that of the first range follows the last of all).  Bounds of ranges are
-    ids of documents; they are the only rows that reach the driver.  Null texts are empty, null ids come first, equal ids
-    are ordered by text; a lone document follows itself; an empty table gives no rows; other columns are ignored.
+    Documents go to ranges of ids of about ``RANGE_BYTES`` of text, each range in id order in one task.  The first document of a
+    range goes also to the range before it, as the follower of its last document (that of the first range follows the last
+    of all).  Bounds of ranges are ids of documents; they are the only rows that reach the driver.  Null texts are empty,
+    null ids come first, equal ids are ordered by text; a lone document follows itself; a very long text is sketched whole;
+    an empty table gives no rows; other columns, also of the names above, are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    cuts = [k / ranges for k in range(1, ranges)] or [0.5]
-    found = ids.agg(F.percentile_approx("id", F.array(*(F.lit(c) for c in cuts)), F.lit(100 * ranges)).alias("q"), F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("nulls")).first()
-    bounds = sorted({b for b in (found["q"] or []) if b != found["least"] or found["nulls"]}) if ranges > 1 else []
-    first = None if found["nulls"] else found["least"]
-    # range k holds ids from bounds[k - 1] up to, not including, bounds[k]
-    starts = F.array(*(F.lit(b) for b in bounds)).cast("array<long>")
-    own = F.size(F.filter(starts, lambda b: b <= F.col("doc_id"))) if len(bounds) < 64 else _range_of(F.col("doc_id"), bounds)
-    marked = rows.withColumn("part", F.coalesce(own, F.lit(0)).cast("int"))
-    before = F.when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.lit(len(bounds))).when(F.col("doc_id").isin(bounds), F.col("part") - 1) if bounds else F.when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.lit(0))
-    copies = F.when(before.isNotNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("copy")), F.struct(before.cast("int").alias("part"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("copy"))))
-    dealt = marked.select("doc_id", "text", F.explode(copies).alias("to")).select("to.part", "doc_id", "text", "to.copy")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "copy", "doc_id", "text")
+    found = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    ranges = ranges or min(MOST_RANGES, max(1, -(-(found["bytes"] or 0) // RANGE_BYTES), found["n"] // RANGE_ROWS))
+    bounds: list[int] = []
+    if ranges > 1:
+        cuts = [k / ranges for k in range(1, ranges)]
+        q = rows.agg(F.percentile_approx("doc_id", F.array(*(F.lit(c) for c in cuts)), F.lit(100 * ranges)).alias("q")).first()["q"]
+        bounds = sorted({b for b in q or [] if b != found["least"] or found["nulls"]})
+    starts, first, last = np.array(bounds, np.int64), None if found["nulls"] else found["least"], len(bounds)
+
+    @F.pandas_udf("array<int>")
+    def to_ranges(ids: pd.Series) -> pd.Series:
+        """The range of an id, and for the first id of a range the range before it as -1 - range."""
+        value, known = ids.fillna(0).to_numpy(np.int64), ids.notna().to_numpy()
+        own = np.where(known, np.searchsorted(starts, value, "right"), 0)
+        head = np.isin(value, starts) & known
+        opens = ~known if first is None else known & (value == first)
+        return pd.Series([[o] if not (h or z) else [o, -1 - (last if z else o - 1)] for o, h, z in zip(own.tolist(), head.tolist(), opens.tolist(), strict=True)])
+
+    dealt = rows.select("doc_id", "text", F.explode(to_ranges("doc_id")).alias("to"))
+    dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), "doc_id", "text", (F.col("to") < 0).alias("copy"))
+    ordered = dealt.repartitionById(last + 1, "part").sortWithinPartitions("part", "copy", "doc_id", "text")
     return ordered.mapInArrow(_compare, _FIELDS)
-
-
-def _range_of(column, bounds: list[int]):
-    """The number of bounds at or below an id, by bisection in nested conditions."""
-
-    def between(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column < bounds[middle], between(low, middle)).otherwise(between(middle + 1, high))
-
-    return between(0, len(bounds))

@@ -55,8 +55,9 @@ class Segment:
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """Encode every whole text and write segments in ascending doc_id order; returns the written table of segments.
 
-    Null texts count as empty (one end id), null ids sort first, equal ids are ordered by text, other columns are ignored,
-    and an empty table gives no segments.  ``part`` and ``seq`` order the segments; ``before`` counts the ids before a
+    Null texts count as empty (one end id), null ids sort first, equal ids are ordered by text, repeated rows are written each,
+    a very long text makes a long segment, other columns, also of the names above, are ignored, and an empty table gives no
+    segments.  ``part`` and ``seq`` order the segments; ``before`` counts the ids before a
     segment in its part.
     """
 
