@@ -189,3 +189,60 @@ def guess_role(header: Column | str) -> Column:
             hit = hit | despaced.rlike("|".join(other))
         out = out.when(hit, role)
     return out
+
+
+# Where a fact's name may be found, results of a comparison, and relations.
+RESULT_WORDS = ("match", "mismatch", "missing", "unknown")
+RELATION_WORDS = ("same_as", "differs_by", "unknown")
+
+
+def coerce(word: Column | str, known: tuple[str, ...], other: str) -> Column:
+    """A known word in lower case without white space at its ends; anything else is ``other``."""
+    w = F.lower(F.trim(F.coalesce(_col(word), F.lit(""))))
+    return F.when(w.isin(*known), w).otherwise(other)
+
+
+def first_text(*parts: Column | str) -> Column:
+    """The first part that is not blank (what a fact is searched by: search text, evidence, name)."""
+    return F.coalesce(*(F.when(~is_blank(p), _col(p)) for p in parts), F.lit(""))
+
+
+def quote_in_evidence(quote: Column | str, evidence: Column | str) -> Column:
+    """Whether a quote, white space collapsed, is not empty and lies in the evidence, as written."""
+    q = collapse(F.coalesce(_col(quote), F.lit("")))
+    return (q != "") & F.contains(collapse(F.coalesce(_col(evidence), F.lit(""))), q)
+
+
+def json_object(text: Column | str) -> Column:
+    """A JSON object as text: the whole, or else from the first brace to the last; null if neither is an object."""
+    t = F.trim(F.coalesce(_col(text), F.lit("")))
+    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    is_object = lambda c: c.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(c).isNotNull()
+    return F.when(is_object(t), t).when(is_object(inner), inner)
+
+
+def split_pair(pair: Column | str, sep: str = "::") -> Column:
+    """The two ends of a pair's id (left, right); the right one is empty without a separator."""
+    p = _col(pair)
+    at = F.instr(p, sep)
+    return F.struct(F.when(at > 0, F.substring(p, F.lit(1), at - 1)).otherwise(p).alias("left"), F.when(at > 0, F.substring(p, at + len(sep), F.length(p))).otherwise("").alias("right"))
+
+
+def value_type(value: Column | str) -> Column:
+    """empty, date, bool, number or text."""
+    v = F.trim(F.coalesce(_col(value).cast("string"), F.lit("")))
+    number = F.replace(v, F.lit(","), F.lit("")).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(v == "", "empty").when(F.lower(v).isin("true", "false"), "bool").when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"), "date").when(number, "number").otherwise("text")
+
+
+def lines_of(text: Column | str) -> Column:
+    """Non-blank lines of a text, stripped and numbered from 1, each with its indent (a tab counts 4)."""
+    marked = F.transform(F.split(F.coalesce(_col(text), F.lit("")), "\n"), lambda x: F.struct(F.trim(F.regexp_replace(x, r"^[\t\r ]+|[\t\r ]+$", "")).alias("text"), F.length(F.replace(F.regexp_extract(x, r"^[ \t]*", 0), F.lit("\t"), F.lit("    "))).alias("indent")))
+    kept = F.filter(marked, lambda m: m["text"] != "")
+    return F.transform(kept, lambda m, i: F.struct((i + 1).cast("long").alias("line"), m["text"].alias("text"), m["indent"].cast("long").alias("indent")))
+
+
+def heading_level(style: Column | str) -> Column:
+    """The level that a style such as ``Heading 2`` names, or null."""
+    found = F.regexp_extract(F.coalesce(_col(style), F.lit("")), r"(?i)^heading\s*([0-9]+)$", 1)
+    return F.when(found != "", found.cast("int"))

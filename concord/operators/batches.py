@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import number_rows
+
 
 def number_batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Rows of each key in order, ``size`` to a batch, batches from 0."""
@@ -45,8 +47,7 @@ def pack_groups(groups: DataFrame, key: str, order: str, size: str, limit: int)
 
 def occurrence_keys(rows: DataFrame, name: str, order: str) -> DataFrame:
     """Names, and from the second occurrence on with ``#n``."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return rows.withColumn("_n", n).withColumn("unit_key", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit("#"), F.col("_n").cast("string")))).drop("_n")
+    return number_rows(rows, [order], "_n", [name]).withColumn("unit_key", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit("#"), F.col("_n").cast("string")))).drop("_n")
 
 
 def group_records(lines: DataFrame, source: str, order: str, text: str, head: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_name, tokens
+from ..functions.text import tokens, norm_name
+from .ordering import number_rows
 
 
 def missing_cause(case: DataFrame) -> DataFrame:
@@ -50,24 +51,41 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
-def best_overlap(golden: DataFrame, facts: DataFrame, on: str, floor: float = 0.3) -> DataFrame:
-    """(golden_id, fact_id, overlap): of the facts with the same key the one of greatest token overlap, the first of equals;
-    none below ``floor``."""
-    scored = golden.join(facts, on).withColumn("overlap", F.round(jaccard(F.col("golden_text"), F.col("fact_text")), 6)).where(F.col("overlap") >= floor)
-    window = Window.partitionBy("golden_id").orderBy(F.desc("overlap"), "fact_id")
-    return scored.withColumn("_n", F.row_number().over(window)).where("_n = 1").select("golden_id", "fact_id", "overlap")
-
-
-def mentions(entities: DataFrame, blocks: DataFrame, on: str) -> DataFrame:
-    """Uncited blocks of the same document that mention an entity: the normalised name lies in the block, or a token of two or
-    more characters is shared."""
+def best_overlap(golden: DataFrame, facts: DataFrame, floor: float = 0.3) -> DataFrame:
+    """(golden_id, fact_id, overlap): of all facts (fact_id, fact_text) the one of greatest token overlap (Jaccard) with each golden
+    text, the first of equals; none below ``floor``.
+
+    A fact that reaches the floor shares one of any |golden| - ceil(floor * |golden|) + 1 tokens of the golden text, so facts
+    are looked up by its rarest ones alone; what is found is scored exactly.
+    """
+    g = golden.select("golden_id", F.array_distinct(tokens("golden_text")).alias("g")).where("size(g) > 0")
+    f = facts.select("fact_id", F.array_distinct(tokens("fact_text")).alias("f"))
+    asked = g.select("golden_id", F.size("g").alias("n"), F.explode("g").alias("term"))
+    found = f.select("fact_id", F.explode("f").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    spread = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarity = F.row_number().over(Window.partitionBy("golden_id").orderBy("df", "term"))
+    rare = asked.join(spread, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("at", rarity)
+    rare = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * floor) + 1)
+    pairs = rare.select("golden_id", "term").join(found, "term").select("golden_id", "fact_id").distinct()
+    both = pairs.join(g, "golden_id").join(f, "fact_id")
+    overlap = F.size(F.array_intersect("g", "f")) / F.size(F.array_union("g", "f"))
+    scored = both.select("golden_id", "fact_id", F.round(overlap, 6).alias("overlap")).where(F.col("overlap") >= floor)
+    best = F.max_by(F.struct("fact_id", "overlap"), F.struct("overlap", -F.col("fact_id")))
+    return scored.groupBy("golden_id").agg(best.alias("b")).select("golden_id", "b.fact_id", "b.overlap")
+
+
+def mentions(entities: DataFrame, blocks: DataFrame, cited: DataFrame, doc: str, block: str) -> DataFrame:
+    """Uncited blocks of an entity's document that mention it: its normalised name lies in the block, or a token of two or more
+    characters is shared.  ``cited`` has the (doc, block) that facts cite."""
     name = norm_name("entity_name")
     words = F.filter(F.array_distinct(tokens("entity_name")), lambda t: F.length(t) >= 2)
     hit = ((name != "") & F.contains(norm_name("block_text"), name)) | F.arrays_overlap(words, F.array_distinct(tokens("block_text")))
-    return entities.join(blocks, on).where(hit)
+    return entities.join(blocks.join(cited.select(doc, block), [doc, block], "left_anti"), doc).where(hit)
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median): the upper median of each key's values."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    return rows.groupBy(key).agg(sorted_.alias("_v")).select(key, F.get("_v", F.floor(F.size("_v") / 2).cast("int")).alias("median"))
+    """(key, median): the upper median of each key's values, by their numbers in order; a key may hold any number of rows."""
+    full = rows.select(key, value).where(F.col(value).isNotNull())
+    counts = full.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = number_rows(full, [value], "_place", [key]).join(counts, key)
+    return numbered.where(F.col("_place") == F.floor(F.col("_n") / 2) + 1).select(key, F.col(value).alias("median"))

@@ -88,3 +88,9 @@ def rate(amount: Column, ms: Column) -> Column:
 def backoff(attempt: Column, base: float = 2.0, cap: float = 60.0) -> Column:
     """Seconds to wait before an attempt."""
     return F.least(F.pow(F.lit(base), attempt), F.lit(cap))
+
+
+def filter_records(records: DataFrame, floor: str, part: str, levels: tuple[str, ...] = ("DEBUG", "INFO", "WARNING", "ERROR")) -> DataFrame:
+    """Log records (level, text) of at least a level (one without counts as INFO) whose text holds ``part``, whatever the case."""
+    place = F.array_position(F.array(*(F.lit(x) for x in levels)), F.coalesce(F.nullif("level", F.lit("")), F.lit("INFO")))
+    return records.where((place >= levels.index(floor) + 1) & F.contains(F.lower("text"), F.lit(part.lower())))

@@ -6,11 +6,12 @@ struct<value, unit>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number, compare_attribute
 from ..functions.text import collapse, is_blank, norm_name, tokens
+from .ordering import number_rows
 
 RESULTS = ("mismatch", "unknown", "missing", "match")
 # Reasons of the gate in reporting order.
@@ -81,17 +82,41 @@ def gate_triggers(compared: DataFrame, uncertain: Column, candidates: Column, ev
     return compared.withColumn("triggers", F.when(candidates == 0, F.array(F.lit("code_missing"))).otherwise(F.array_compact(reasons)))
 
 
+def route(attached: DataFrame, low: DataFrame | None = None) -> DataFrame:
+    """Final routing without a model: the code's verdict stands if it is certain, else the result is unknown.
+
+    ``attached`` has n_candidates and needs_review beside ``compare``'s columns.  A comparison is uncertain if its match needs a
+    review or either fact is of ``low`` confidence (doc, fact_id); with several candidates the code never decides.  Adds
+    ``uncertain``, ``result``, ``decided_by`` and the gate's ``triggers``.
+    """
+    rows = attached
+    if low is None:
+        rows = rows.withColumn("_low", F.lit(False))
+    else:
+        own = low.select("doc", "fact_id", F.lit(True).alias("_own")).distinct()
+        other = low.select(F.col("doc").alias("target_doc"), F.col("fact_id").alias("_tid"), F.lit(True).alias("_other")).distinct()
+        rows = rows.withColumn("_tid", F.col("target.fact_id")).join(own, ["doc", "fact_id"], "left").join(other, ["target_doc", "_tid"], "left")
+        rows = rows.withColumn("_low", F.coalesce("_own", F.lit(False)) | F.coalesce("_other", F.lit(False))).drop("_own", "_other", "_tid")
+    rows = rows.withColumn("uncertain", F.col("needs_review") | F.col("_low")).drop("_low")
+    certain = F.col("code_result").isNotNull() & ((F.col("code_result") == "missing") | (~F.col("uncertain") & (F.col("n_candidates") == 1)))
+    rows = rows.withColumn("result", F.when(certain, F.col("code_result")).otherwise("unknown")).withColumn("decided_by", F.when(certain, "code").otherwise(""))
+    return gate_triggers(rows, F.col("uncertain"), F.col("n_candidates"), F.col("target.evidence_text"))
+
+
 def gate_stats(gated: DataFrame) -> DataFrame:
     """One row of rates over gated comparisons (rounded to 4 places); empty input gives no row."""
     safe = F.size("triggers") == 0
     code_match = F.col("code_result") == "match"
     n = F.count(F.lit(1))
     matches = F.count_if(code_match)
+    routed = ~safe & F.col("code_result").isNotNull() & (F.col("code_result") != "missing")
     return gated.agg(
         n.alias("total"),
         F.round(F.count_if(safe) / n, 4).alias("fast_path_rate"),
         F.round(1 - F.count_if(safe) / n, 4).alias("secondary_review_rate"),
         F.round(F.when(matches > 0, F.count_if(code_match & ~safe) / matches).otherwise(0.0), 4).alias("unsafe_match_rate"),
+        F.count_if(routed).alias("enforce_new"),
+        F.round(F.count_if(routed) / n, 4).alias("enforce_new_rate"),
         F.round(F.coalesce(F.avg(F.when(F.coalesce(F.col("code_result"), F.lit("")) != "missing", F.col("coverage"))), F.lit(0.0)), 4).alias("mean_attribute_coverage"),
     ).where("total > 0")
 
@@ -188,6 +213,30 @@ def diff_runs(old: DataFrame, new: DataFrame, key: list[str], order: str = "pos"
 
 
 def number_facts(facts: DataFrame, kind: str, order: str) -> DataFrame:
-    """Ids ``fact-<kind>-<n>`` in order, from 1 in each kind."""
-    n = F.row_number().over(Window.partitionBy(kind).orderBy(order))
-    return facts.withColumn("fact_id", F.concat(F.lit("fact-"), F.col(kind), F.lit("-"), n.cast("string")))
+    """Ids ``fact-<kind>-<n>`` in order, from 1 in each kind; a kind may hold any number of facts."""
+    numbered = number_rows(facts, [order], "_n", [kind])
+    return numbered.withColumn("fact_id", F.concat(F.lit("fact-"), F.col(kind), F.lit("-"), F.col("_n").cast("string"))).drop("_n")
+
+
+def compare_stats(compared: DataFrame) -> DataFrame:
+    """One row: comparisons, how many a model decided, had several candidates, or went against the code's verdict."""
+    against = F.col("code_result").isNotNull() & (F.col("result") != F.col("code_result"))
+    return compared.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("decided_by") == "model").alias("by_model"), F.count_if(F.col("n_candidates") > 1).alias("several"), F.count_if(against).alias("overridden"))
+
+
+def extraction_stats(rows: DataFrame, key: str, samples: int = 5) -> DataFrame:
+    """Per key: rows (drop_reason, sample) seen, kept, and dropped, with the first samples of what was dropped."""
+    lost = F.coalesce(F.col("drop_reason") != "", F.lit(False))
+    first = F.slice(F.array_sort(F.collect_set(F.when(lost, F.concat_ws(": ", "drop_reason", "sample")))), 1, samples)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("seen"), F.count_if(~lost).alias("kept"), F.count_if(lost).alias("dropped"), F.array_join(first, "; ").alias("samples"))
+
+
+def coverage_summary(blocks: DataFrame, key: str) -> DataFrame:
+    """Per document: blocks, how many facts cite, and the share; from ``facts_by_block``."""
+    return blocks.groupBy(key).agg(F.count(F.lit(1)).alias("blocks_in"), F.count_if(F.col("n_facts") > 0).alias("blocks_cited"), F.round(F.avg((F.col("n_facts") > 0).cast("double")), 6).alias("share"))
+
+
+def fact_type(attributes: Column) -> Column:
+    """quantitative if an attribute is a number, qualitative if there is any, else descriptive."""
+    numeric = F.exists(F.map_values(attributes), lambda v: as_number(v["value"]).isNotNull())
+    return F.when(numeric, "quantitative").when(F.size(attributes) > 0, "qualitative").otherwise("descriptive")

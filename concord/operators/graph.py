@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
+from .ordering import number_rows, written
 
 
 def expand_ontology(entries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -44,25 +43,15 @@ def resolve_known(pairs: DataFrame, ontology: DataFrame) -> DataFrame:
     return joined.withColumn("relation", F.coalesce("_known", F.when(same, "same_as"), F.lit("unknown"))).withColumn("decided_by", F.when(F.col("_known").isNotNull(), "ontology").when(same, "code").otherwise("")).drop("_l", "_r", "_known", "name_lo", "name_hi")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage: written under spark.checkpoint.dir where it is set, else checkpointed by the session's own setting."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or df.sparkSession.sparkContext.getCheckpointDir()
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b): the least node reachable.  Labels take the least of their neighbours'
     labels and of their label's label until nothing changes."""
-    both = _written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a is not null and b is not null").distinct())
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a is not null and b is not null").distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        moved = _written(labels.join(near.withColumnRenamed("a", "node"), "node", "left").join(jump, "label", "left").select("node", F.least("label", "near", "jump").alias("label"), F.col("label").alias("_old")))
+        moved = written(labels.join(near.withColumnRenamed("a", "node"), "node", "left").join(jump, "label", "left").select("node", F.least("label", "near", "jump").alias("label"), F.col("label").alias("_old")), "labels")
         labels = moved.select("node", "label")
         if not moved.where("label <> _old").limit(1).count():
             return labels.withColumnRenamed("label", "component")
@@ -88,8 +77,12 @@ def dangling(edges: DataFrame, members: DataFrame) -> DataFrame:
     return left.union(right).distinct()
 
 
+#: Edges that one task folds, on average.
+FOLD_EDGES = 20_000
+
+
 def _merge_component(rows: pd.DataFrame) -> pd.DataFrame:
-    """The ordered fold of one component: promoted edges first, then by position; a merge that would bring together two ends
+    """The ordered fold of whole components: promoted edges first, then by position; a merge that would bring together two ends
     of a differs_by edge is refused."""
     parent: dict = {}
 
@@ -103,8 +96,9 @@ def _merge_component(rows: pd.DataFrame) -> pd.DataFrame:
     same = rows[rows["relation"] == "same_as"].sort_values(["promoted", "pos"], ascending=[False, True])
     apart: dict = {}
     for a, b in rows.loc[rows["relation"] == "differs_by", ["left_id", "right_id"]].itertuples(index=False):
-        apart.setdefault(find(a), set()).add(find(b))
-        apart.setdefault(find(b), set()).add(find(a))
+        if a != b:
+            apart.setdefault(find(a), set()).add(find(b))
+            apart.setdefault(find(b), set()).add(find(a))
     fate = []
     for a, b, pos in same[["left_id", "right_id", "pos"]].itertuples(index=False):
         x, y = find(a), find(b)
@@ -128,23 +122,44 @@ def _merge_component(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([nodes, edges])[["kind", "id", "value"]]
 
 
-def constrained_merge(edges: DataFrame) -> DataFrame:
+def constrained_merge(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Merge same_as edges (pos, left_id, right_id, relation, promoted) under differs_by constraints.
 
-    Returns (kind, id, value): for each node the least node of its concept, for each same_as edge its fate.  Components of
-    the same_as graph are independent, so each is folded in one task; the fold within one is sequential by definition.
+    Returns (kind, id, value): for each node (an end of any edge, or one of ``members`` with a column id) the least node of its
+    concept, for each same_as edge its fate.  Components of the same_as graph are independent, so any number of them fold
+    together in one task; the fold within one is sequential by definition, so components must be bounded (facts of one
+    document set).
     """
     same = edges.where("relation = 'same_as'")
     labels = components(same.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     named = edges.join(labels.withColumnRenamed("node", "left_id").withColumnRenamed("component", "lc"), "left_id", "left").join(labels.withColumnRenamed("node", "right_id").withColumnRenamed("component", "rc"), "right_id", "left")
     inside = named.where("lc is not null and lc = rc and relation in ('same_as', 'differs_by')")
-    return inside.select("lc", "pos", "left_id", "right_id", "relation", "promoted").groupBy("lc").applyInPandas(_merge_component, "kind string, id long, value string")
+    tasks = max(1, -(-edges.count() // FOLD_EDGES))
+    dealt = inside.select(F.pmod(F.xxhash64("lc"), F.lit(tasks)).alias("task"), "pos", "left_id", "right_id", "relation", "promoted")
+    merged = dealt.groupBy("task").applyInPandas(_merge_component, "kind string, id long, value string")
+    ids = edges.select(F.explode(F.array("left_id", "right_id")).alias("id"))
+    ids = (ids if members is None else ids.unionByName(members.select("id"))).distinct()
+    alone = ids.join(labels, ids["id"] == labels["node"], "left_anti")
+    return merged.unionByName(alone.select(F.lit("node").alias("kind"), F.col("id").cast("long").alias("id"), F.col("id").cast("string").alias("value")))
 
 
 def concept_nodes(members: DataFrame, concept: str = "root") -> DataFrame:
-    """Concepts numbered by their first member: (concept, concept_no, label, n_docs)."""
+    """Concepts numbered by their first member: (concept, first, label, n_docs, concept_no, node_id such as ``c-0001``)."""
     nodes = members.groupBy(concept).agg(F.min("pos").alias("first"), F.min_by("entity_name", "pos").alias("label"), F.count_distinct("doc").alias("n_docs"))
-    return nodes.withColumn("concept_no", F.row_number().over(Window.orderBy("first")))
+    return number_rows(nodes, ["first"], "concept_no").withColumn("node_id", F.format_string("c-%04d", "concept_no"))
+
+
+def demote_unproven(edges: DataFrame) -> DataFrame:
+    """Proposed same_as edges (relation, verified, reason) without proof become unknown, with what rejected them before the reason."""
+    lost = (F.col("relation") == "same_as") & ~F.col("verified")
+    out = edges.withColumn("rejected_by", F.when(lost, "evidence").otherwise(""))
+    return out.withColumn("reason", F.when(lost, F.concat(F.lit("[evidence] "), F.coalesce("reason", F.lit("")))).otherwise(F.col("reason"))).withColumn("relation", F.when(lost, "unknown").otherwise(F.col("relation")))
+
+
+def graph_stats(edges: DataFrame) -> DataFrame:
+    """One row of counts over final edges (relation, rejected_by)."""
+    count = lambda c, v: F.count_if(F.col(c) == v)
+    return edges.agg(count("relation", "same_as").alias("same_as"), count("relation", "differs_by").alias("differs_by"), count("relation", "unknown").alias("unknown"), count("rejected_by", "evidence").alias("rejected_evidence"))
 
 
 def verify_quotes(claims: DataFrame, coverage: float = 0.8, least: int = 3) -> DataFrame:

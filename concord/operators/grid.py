@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_numeric
-from ..functions.text import collapse, is_blank
+from ..functions.text import collapse, column_letters, is_blank
 
 SHEET = ("doc", "sheet")
 
@@ -42,8 +42,11 @@ def fill_right(cells: DataFrame) -> DataFrame:
 
 
 def combine_headers(header_cells: DataFrame, sep: str = " > ") -> DataFrame:
-    """(doc, sheet, col, header): labels of header rows from the top, filled to the right, equal neighbours once."""
-    filled = fill_right(header_cells).where("filled is not null")
+    """(doc, sheet, col, header): labels of header rows from the top, equal neighbours once; with several header rows, each
+    is filled to the right first."""
+    rows = header_cells.groupBy(*SHEET).agg(F.count_distinct("row").alias("_rows"))
+    own = F.when(~is_blank("value"), F.col("value"))
+    filled = fill_right(header_cells).join(rows, list(SHEET)).withColumn("filled", F.when(F.col("_rows") > 1, F.col("filled")).otherwise(own)).drop("_rows").where("filled is not null")
     upper = F.lag("filled").over(Window.partitionBy(*SHEET, "col").orderBy("row"))
     fresh = filled.withColumn("_upper", upper).where(F.col("_upper").isNull() | (F.col("_upper") != F.col("filled")))
     return fresh.groupBy(*SHEET, "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "filled"))), lambda s: s["filled"]), sep).alias("header"))
@@ -88,3 +91,34 @@ def fill_merged(cells: DataFrame, regions: DataFrame) -> DataFrame:
     merged = spans.join(anchors, [*SHEET, "top", "left"]).select(*SHEET, "row", "col", "_anchor")
     joined = cells.join(merged, [*SHEET, "row", "col"], "full")
     return joined.withColumn("value", F.when(is_blank("value"), F.coalesce("_anchor", "value")).otherwise(F.col("value"))).drop("_anchor")
+
+
+def primary_sheet(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(doc, sheet): the first sheet (pos, hidden) of each document that is not hidden and has a full cell."""
+    full = cells.where(~is_blank("value")).select(*SHEET).distinct()
+    return sheets.where("not hidden").join(full, list(SHEET), "left_semi").groupBy("doc").agg(F.min_by("sheet", "pos").alias("sheet"))
+
+
+def data_rows(cells: DataFrame, profile: DataFrame) -> DataFrame:
+    """Cells from the first data row on: as a sheet's profile (data_start, header_start, header_rows) says, or else row 1."""
+    start = F.coalesce("data_start", F.col("header_start") + F.col("header_rows"), F.lit(1))
+    return cells.join(profile.select(*SHEET, start.alias("_start")), list(SHEET)).where(F.col("row") >= F.col("_start")).drop("_start")
+
+
+def cell_ranges(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """(doc, sheet, row, cell_range): from the first to the last full cell of each row among the mapped columns (sheet keys, col)."""
+    mapped = cells.where(~is_blank("value")).join(columns.select(*SHEET, "col").distinct(), [*SHEET, "col"], "left_semi")
+    ends = mapped.groupBy(*SHEET, "row").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    at = lambda c: F.concat(column_letters(c), F.col("row").cast("string"))
+    return ends.select(*SHEET, "row", F.when(F.col("a") == F.col("b"), at("a")).otherwise(F.concat(at("a"), F.lit(":"), at("b"))).alias("cell_range"))
+
+
+def resolve_columns(headers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, sheet, ask, col) of asked columns (doc, sheet, ask): a name without regard to case and white space at its ends (the
+    first such header), or a number from 1 that the sheet has."""
+    named = headers.groupBy(*SHEET, F.lower(F.trim("header")).alias("_name")).agg(F.min("col").alias("_named"))
+    width = headers.groupBy(*SHEET).agg(F.max("col").alias("_width"))
+    asked = wanted.withColumn("_name", F.lower(F.trim("ask"))).withColumn("_number", F.when(F.trim("ask").rlike("^[0-9]{1,6}$"), F.trim("ask").cast("int")))
+    found = asked.join(named, [*SHEET, "_name"], "left").join(width, list(SHEET))
+    col = F.coalesce("_named", F.when(F.col("_number").between(1, F.col("_width")), F.col("_number")))
+    return found.where(col.isNotNull()).select(*SHEET, "ask", col.alias("col"))

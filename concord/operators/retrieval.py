@@ -12,15 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, is_blank, tokens
 from ..functions.vectors import dot, l2_normalize
-
-#: Rows of a table up to which it is broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 20_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from .ordering import written
 
 def chunk_items(items: DataFrame, size: int = 800) -> DataFrame:
     """Items (item_id, text, ...) in slices of ``size`` characters; a longer item's slices are named ``#chunkN`` from 1."""
@@ -34,23 +26,55 @@ def term_counts(items: DataFrame, id_column: str, text: str = "text") -> DataFra
     return items.select(F.col(id_column).alias("id"), F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term; a query's repeated terms count once.
+def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, k1: float = 1.5, b: float = 0.75, query_block: int = 1024, corpus_block: int = 4096) -> DataFrame:
+    """The k best documents of each query that share a term with it, ranked from 1 (scores rounded to 6 places, ties by
+    ``doc_id``); a query's repeated terms count once.
 
-    An inverted-index join: only terms of queries keep their postings, and lengths come from the same token pass.
+    The corpus is tokenised once, to a written table of the postings of queries' terms and of each document's length.  Queries
+    and documents are dealt to blocks of bounded size; each pair of blocks meets in one task, adds up its scores in a matrix
+    and passes on only a query's k best, so that common terms never spread to pairs of queries and documents in a shuffle.
     """
-    tokened = corpus.select(F.col(doc_id).alias("doc_id"), tokens("text").alias("terms"))
-    lengths = tokened.select("doc_id", F.size("terms").alias("n"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_n"))
+    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    wanted = small(asked.select("term").distinct())
-    postings = tokened.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    tf = postings.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_n")))
-    scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    # a term that no text can hold stands for the document itself
+    wanted = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = corpus.select(F.col(doc_id).alias("doc_id"), tokens("text").alias("terms")).select("doc_id", F.size("terms").alias("n"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    found = written(terms.join(wanted, "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "postings")
+    stats = found.where("term = ''").agg(F.sum("tf").alias("docs"), (F.sum(F.col("tf") * F.col("n")) / F.sum("tf")).alias("mean_n")).first()
+    docs, mean_n = stats["docs"] or 0.0, stats["mean_n"] or 0.0
+    postings = found.where("term <> ''")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = asked.join(df, "term").select("query_id", "term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean_n or 1.0)))
+    weights = postings.select("doc_id", "term", part.alias("part"))
+    n_q, n_c = max(1, -(-queries.count() // query_block)), max(1, -(-int(docs) // corpus_block))
+
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        if not len(left) or not len(right):
+            return empty
+        q, d = (c.combine_chunks().dictionary_encode() for c in (left["query_id"], right["doc_id"]))
+        scores = np.zeros((len(q.dictionary), len(d.dictionary)))
+        both = pa.chunked_array([*left["term"].chunks, *right["term"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+        mine, theirs = both[: len(left)], both[len(left) :]
+        order = np.argsort(theirs, kind="stable")
+        at, to = np.searchsorted(theirs[order], mine), np.searchsorted(theirs[order], mine, "right")
+        rows, idf, column, value = q.indices.to_numpy(), left["idf"].to_numpy(), d.indices.to_numpy()[order], right["part"].to_numpy()[order]
+        for i in np.flatnonzero(to > at).tolist():  # a term's postings name each document once
+            scores[rows[i], column[at[i] : to[i]]] += idf[i] * value[at[i] : to[i]]
+        scores = np.round(scores, 6)
+        cut = max(0, scores.shape[1] - k)
+        least = np.partition(scores, cut, axis=1)[:, cut]
+        i, j = np.nonzero((scores >= least[:, None]) & (scores > 0))
+        return pa.table({"query_id": q.dictionary.take(pa.array(i)), "doc_id": d.dictionary.take(pa.array(j)), "score": pa.array(scores[i, j])})
+
+    pairs = _dealt(weighed, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(_dealt(weights, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
+    return top_k(pairs.applyInArrow(add_up, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)
+
+
+def _dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+    """Rows in one of ``n`` blocks by ``key``, once for each of the ``m`` blocks of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -95,9 +119,6 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
     c = corpus.where(_sound(vector)).select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("v"))
     n_q, n_c = max(1, -(-q.count() // query_block)), max(1, -(-c.count() // corpus_block))
 
-    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         parts, rows = [], _by_length(right["v"]) if len(right) else {}
         for n, (at, block) in (_by_length(left["v"]) if len(left) else {}).items():
@@ -112,7 +133,7 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
                 parts.append(pa.table({"query_id": left["query_id"].take(pa.array(at[a + i])), "doc_id": right["doc_id"].take(pa.array(there[j])), "score": pa.array(scores[i, j])}))
         return pa.concat_tables(parts) if parts else pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
 
-    pairs = dealt(q, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(dealt(c, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
+    pairs = _dealt(q, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(_dealt(c, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
     return top_k(pairs.applyInArrow(near, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)
 
 
@@ -197,13 +218,20 @@ def hybrid(queries: DataFrame, items: DataFrame, recall: int = 30, top: int = 10
     """Hybrid retrieval of items (item_id, doc_id, text, vector) for queries (query_id, text, vector): BM25 and cosine
     recall, rank fusion, diversification; scores are fused scores rounded to 6 places."""
     items = items.where(~is_blank("text"))
-    lexical = top_k(bm25(queries, items, "query_id", "item_id").withColumn("score", F.round("score", 6)), recall)
+    lexical = bm25_top(queries, items, "query_id", "item_id", recall)
     dense = cosine_top(queries, items, "query_id", "item_id", "vector", recall)
     ranked = dense.select("query_id", "doc_id", F.lit(0).alias("ranker"), "rank", F.lit(1.0).alias("weight")).unionByName(lexical.select("query_id", "doc_id", F.lit(1).alias("ranker"), "rank", F.lit(1.0).alias("weight")))
     pool = rrf(ranked).withColumnRenamed("doc_id", "item_id").join(items.select("item_id", "doc_id", "vector"), "item_id")
     return mmr(pool, top, trade, per_doc_cap).withColumn("score", F.round("score", 6))
 
 
+def dense_only(queries: DataFrame, items: DataFrame, floor: float = 0.0, recall: int = 30, top: int = 10, trade: float = 0.5, per_doc_cap: int = 4) -> DataFrame:
+    """Retrieval by vectors alone: the ``recall`` nearest items at ``floor`` or above, diversified."""
+    near = cosine_top(queries, items.where(~is_blank("text")), "query_id", "item_id", "vector", recall).where(F.col("score") >= floor)
+    pool = near.withColumnRenamed("doc_id", "item_id").join(items.select("item_id", "doc_id", "vector"), "item_id")
+    return mmr(pool, top, trade, per_doc_cap).withColumn("score", F.round("score", 6))
+
+
 def ranked_with_cuts(scored: DataFrame, k: int, floor: float, review: float, extra: int = 5) -> DataFrame:
     """The k + extra best rows of each query (or rows ranked already) with why a row was cut: below ``floor`` (first), or beyond rank k; kept rows under
     ``review`` need a look."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts as V
+from ..operators import matching as J
 from ..operators import retrieval as R
 
 #: Adds a column ``vector`` to items with a column ``text``.
@@ -23,15 +24,11 @@ def search_candidates(reference: DataFrame, targets: list[DataFrame], embed: Emb
     return R.hybrid(embed(reference), embed(cut), **knobs)
 
 
-def compare_facts(reference: DataFrame, targets: DataFrame) -> DataFrame:
-    """Verdicts of reference facts against each target document's facts, with the gate's reasons and no model."""
-    docs = targets.select(F.col("doc").alias("target_doc")).distinct()
-    spread = reference.join(F.broadcast(docs))  # one row per target document: a handful
-    keyed = targets.withColumn("target_doc", F.col("doc"))
-    from ..functions.text import norm_name
+def compare_facts(reference: DataFrame, targets: DataFrame, low: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """Verdicts of reference facts against each target document's facts, with the gate's reasons and no model.
 
-    first = keyed.withColumn("_name", norm_name("entity_name")).where("_name <> ''").groupBy("target_doc", "_name").agg(F.min_by(F.struct(*targets.columns), "pos").alias("target"))
-    matched = spread.withColumn("_name", norm_name("entity_name")).join(first, ["target_doc", "_name"], "left").drop("_name")
-    compared = V.compare(matched)
-    candidates = F.when(F.col("target").isNull(), 0).otherwise(1)
-    return V.gate_triggers(compared, F.lit(False), candidates, F.col("target.evidence_text"))
+    A fact is matched by its name; where that misses, by the first of ``ranked`` candidates (ref_id, target_doc, target_id, rank,
+    needs_review) of the document.  ``low`` (doc, fact_id) are facts of low confidence.
+    """
+    candidates = J.candidates(reference, targets, ranked)
+    return V.route(V.compare(J.attach(reference, targets, candidates)), low)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, event_log, fact_checks, graphs, grids, search
+from . import documents, event_log, fact_checks, graphs, grids, matches, search
 
-GROUPS = (search, documents, grids, fact_checks, graphs, event_log)
+GROUPS = (search, documents, grids, fact_checks, graphs, event_log, matches)
 QUERIES = {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 ORACLES = {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}

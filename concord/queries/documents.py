@@ -47,7 +47,7 @@ def _letters_sql(n: str) -> str:
     return " || ".join(f"case when {n} >= {firsts[k]} then chr((65 + (({n} - {firsts[k]}) // {26**k}) % 26)::int) else '' end" for k in reversed(range(6)))
 
 
-@add(f"select o_orderkey as id, case when o_totalprice = floor(o_totalprice) then (o_totalprice::bigint)::varchar else 'fraction' end as value, {_letters_sql('o_custkey')} as letters, o_custkey as back from orders")
+@add(f"select o_orderkey as id, case when o_totalprice = floor(o_totalprice) then (o_totalprice::bigint)::varchar else 'fraction' end as value, {_letters_sql('o_custkey')} as letters, case when o_custkey < 1 then 1000000000 else o_custkey end as back from orders")
 def cell_addresses(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     whole = F.col("o_totalprice") == F.floor("o_totalprice")
@@ -156,22 +156,40 @@ def line_coverage(spark, sf_dir):
     return V.line_coverage(lines, cited)
 
 
-@add(f"""with h as (select doc_id, {TOKENS.format("substring(text, 1, 400)")} as src, {TOKENS.format("substring(text, 301, 200)")} as claim from documents)
-    select doc_id, round(case when len(list_distinct(claim)) = 0 then 1.0 else len(list_intersect(list_distinct(claim), list_distinct(src))) / len(list_distinct(claim))::double end, 6) as coverage from h""")
+_TURNS = f"t as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations), k as (select conv_id, turn, list_distinct({TOKENS.format('text')}) as claim, {TOKENS.format('before')} as src from t where before is not null)"
+
+
+def turns_with_previous(spark, sf_dir):
+    """Each turn of a conversation with the whole turn before it."""
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before")).where("before is not null")
+
+
+@add(f"with {_TURNS} select conv_id, turn, round(case when len(claim) = 0 then 1.0 else len(list_intersect(claim, src)) / len(claim)::double end, 6) as coverage from k")
 def evidence_coverage(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.round(V.evidence_coverage(F.substring("text", 301, 200), F.substring("text", 1, 400)), 6).alias("coverage"))
+    return turns_with_previous(spark, sf_dir).select("conv_id", "turn", F.round(V.evidence_coverage(F.col("text"), F.col("before")), 6).alias("coverage"))
+
+
+@add(f"with {_TURNS}, u as (select conv_id, turn, list_sort(list_filter(claim, lambda x: not list_contains(src, x))) as lost from k) select conv_id, turn, len(lost) as n_unseen, array_to_string(lost[1:5], ' ') as samples from u")
+def unseen_tokens(spark, sf_dir):
+    """Tokens of a claim that its source lacks: how many, and five of them."""
+    lost = F.array_sort(F.array_except(F.array_distinct(X.tokens("text")), X.tokens("before")))
+    return turns_with_previous(spark, sf_dir).select("conv_id", "turn", lost.alias("lost")).select("conv_id", "turn", F.size("lost").cast("long").alias("n_unseen"), F.array_join(F.slice("lost", 1, 5), " ").alias("samples"))
 
 
-@add(f"""with g as (select b.item_id, d.doc_id, {TOKENS.format('b.text')} as a, {TOKENS.format('substring(d.text, 1, 600)')} as t from benchmark b join documents d on b.item_id % 20 = d.doc_id % 20),
-    s as (select item_id, doc_id, round(len(list_intersect(list_distinct(a), list_distinct(t))) / len(list_distinct(list_concat(a, t)))::double, 6) as overlap from g)
-    select item_id as golden_id, doc_id as fact_id, overlap from (select *, row_number() over (partition by item_id order by overlap desc, doc_id) as n from s where overlap >= 0.05) where n = 1""")
+@add(f"""with f as (select doc_id * 100000 + n as fact_id, substring(text, n * 800 + 1, 800) as text from (select doc_id, text, unnest(range(greatest(1, ceil(length(text) / 800.0)::bigint))) as n from documents)),
+    ft as (select fact_id, list_distinct({TOKENS.format('text')}) as t from f), gt as (select item_id, list_distinct({TOKENS.format('text')}) as a from benchmark),
+    s as (select item_id, fact_id, round(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))::double, 6) as overlap from gt cross join ft)
+    select item_id as golden_id, fact_id, overlap from (select *, row_number() over (partition by item_id order by overlap desc, fact_id) as n from s where overlap >= 0.3) where n = 1""")
 def golden_truth(spark, sf_dir):
+    """The chunk of any whole document that overlaps most with each benchmark passage."""
     from ..operators.diagnose import best_overlap
 
-    golden = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("golden_id"), F.col("text").alias("golden_text"), (F.col("item_id") % 20).alias("slot"))
-    facts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fact_id"), F.substring("text", 1, 600).alias("fact_text"), (F.col("doc_id") % 20).alias("slot"))
-    return best_overlap(golden, facts, "slot", 0.05)
+    golden = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("golden_id"), F.col("text").alias("golden_text"))
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.chunks("text")).alias("n", "fact_text"))
+    return best_overlap(golden, cut.select((F.col("doc_id") * 100_000 + F.col("n")).alias("fact_id"), "fact_text"))
 
 
 @add("""with j as (select quality, toxic from labels), c as (select a.v as quality, b.v as toxic from (values (0), (1)) a(v), (values (0), (1)) b(v))

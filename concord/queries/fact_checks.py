@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnose as D
 from ..operators import facts as V
+from ..operators.ordering import number_rows
 from ._tables import NORM, Registry, table
 
 _reg = Registry()
@@ -81,7 +82,7 @@ def gate_triggers(spark, sf_dir):
 
 
 @add(f"""with {_GATE} select count(*) as total, round(avg(case when len(triggers) = 0 then 1.0 else 0.0 end), 4) as fast_path_rate, round(1 - avg(case when len(triggers) = 0 then 1.0 else 0.0 end), 4) as secondary_review_rate,
-    round(coalesce(count(*) filter (where code_result = 'match' and len(triggers) > 0) / nullif(count(*) filter (where code_result = 'match'), 0)::double, 0.0), 4) as unsafe_match_rate, round(coalesce(avg(coverage) filter (where coalesce(code_result, '') <> 'missing'), 0.0), 4) as mean_attribute_coverage from gate""")
+    round(coalesce(count(*) filter (where code_result = 'match' and len(triggers) > 0) / nullif(count(*) filter (where code_result = 'match'), 0)::double, 0.0), 4) as unsafe_match_rate, count(*) filter (where len(triggers) > 0 and code_result is not null and code_result <> 'missing') as enforce_new, round(avg(case when len(triggers) > 0 and code_result is not null and code_result <> 'missing' then 1.0 else 0.0 end), 4) as enforce_new_rate, round(coalesce(avg(coverage) filter (where coalesce(code_result, '') <> 'missing'), 0.0), 4) as mean_attribute_coverage from gate""")
 def gate_stats(spark, sf_dir):
     return V.gate_stats(gated(spark, sf_dir))
 
@@ -91,14 +92,14 @@ def gate_reasons(spark, sf_dir):
     return V.trigger_counts(gated(spark, sf_dir))
 
 
-@add(f"with {FACTS_SQL} select ref_id, result, case result when 'mismatch' then 0 when 'unknown' then 1 when 'missing' then 2 else 3 end as place, row_number() over (order by case result when 'mismatch' then 0 when 'unknown' then 1 when 'missing' then 2 else 3 end, ref_id) as line from compared qualify line <= 100")
-def report_order(spark, sf_dir):
-    """The first hundred lines of the report (a top-k)."""
-    from pyspark.sql import Window
+_PLACE = "case result when 'mismatch' then 0 when 'unknown' then 1 when 'missing' then 2 else 3 end"
+
 
-    place = V.report_order(F.col("result"))
-    top = compared_facts(spark, sf_dir).select(F.col("fact_id").alias("ref_id"), "result", place.alias("place")).orderBy("place", "ref_id").limit(100)
-    return top.withColumn("line", F.row_number().over(Window.orderBy("place", "ref_id")).cast("long"))
+@add(f"with {FACTS_SQL} select ref_id, result, {_PLACE} as place, row_number() over (order by {_PLACE}, brand, entity_name, ref_id) as line from compared")
+def report_order(spark, sf_dir):
+    """Every line of the report: worst results first, then by target and name."""
+    compared = compared_facts(spark, sf_dir).select(F.col("fact_id").alias("ref_id"), "result", V.report_order(F.col("result")).alias("place"), "brand", "entity_name")
+    return number_rows(compared, ["place", "brand", "entity_name", "ref_id"], "line").select("ref_id", "result", "place", "line")
 
 
 _BOUNDS = "b as (select fact_id, lo, mid, hi, case when fact_id % 3 = 0 then hi else lo end as low, case when fact_id % 3 = 0 then lo else hi end as high from tgt0)"

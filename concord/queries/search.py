@@ -28,14 +28,9 @@ def tokenize_docs(spark, sf_dir):
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-def _bm25(spark, sf_dir):
-    scored = R.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
-    return scored.withColumn("score", F.round("score", 6))
-
-
 @add(f"with {BM25_SQL} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25) where rank <= 3")
 def bm25_topk(spark, sf_dir):
-    return R.top_k(_bm25(spark, sf_dir), 3).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return R.bm25_top(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", 3).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _COSINE = """
@@ -71,17 +66,25 @@ def ranked_cut_by(spark, sf_dir):
     return R.ranked_with_cuts(_nearest(spark, sf_dir, 8), 3, 0.25, 0.5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@add(f"""with {BM25_SQL}, lex as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25 qualify rank <= 30),
-    short as (select *, row_number() over (partition by query_id order by score desc, -doc_id) as rank from bm25 qualify rank <= 10),
-    u as (select query_id, doc_id, 0 as ranker, rank from short union all select query_id, doc_id, 1, rank from lex),
+@add(f"""with e as (select vec_id as doc_id, text, embedding::double[] as v from embeddings join documents on doc_id = vec_id), v as (select doc_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
+    dense as (select q.doc_id as query_id, c.doc_id, round(list_dot_product(q.v, c.v), 6) as score from v q join v c on q.doc_id % 20 = 0),
+    docs as (select doc_id, {TOKENS.format('text')} as terms from e), stats as (select count(*) as n, avg(len(terms)) as mean_n from docs),
+    tf as (select term, doc_id, any_value(n) as n, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as term from docs) group by term, doc_id), df as (select term, count(*) as df from tf group by term),
+    q as (select distinct doc_id as query_id, unnest(terms) as term from docs where doc_id % 20 = 0),
+    lexical as (select query_id, doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * tf.n / mean_n))), 6) as score from q join tf using (term) join df using (term) cross join stats s group by query_id, doc_id),
+    u as (select query_id, doc_id, 0 as ranker, row_number() over (partition by query_id order by score desc, doc_id) as rank from dense qualify rank <= 30
+          union all select query_id, doc_id, 1, row_number() over (partition by query_id order by score desc, doc_id) as rank from lexical where score > 0 qualify rank <= 30),
     f as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score, min(ranker * 1000 + rank) as first from u group by query_id, doc_id)
     select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from f""")
 def rrf_fusion(spark, sf_dir):
-    scored = _bm25(spark, sf_dir)
-    lexical = R.top_k(scored, 30)
-    short = R.top_k(scored.withColumn("_t", -F.col("doc_id")), 10, tie="_t").drop("_t")
+    """Vectors and BM25 of the documents that have a vector, fused."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(vectors, "doc_id")
+    queries = both.where("doc_id % 20 = 0")
+    dense = R.cosine_top(queries, both, "doc_id", "doc_id", "embedding", 30)
+    lexical = R.bm25_top(queries, both, "doc_id", "doc_id", 30)
     one = F.lit(1.0).alias("weight")
-    ranked = short.select("query_id", "doc_id", F.lit(0).alias("ranker"), "rank", one).unionByName(lexical.select("query_id", "doc_id", F.lit(1).alias("ranker"), "rank", one))
+    ranked = dense.select("query_id", "doc_id", F.lit(0).alias("ranker"), "rank", one).unionByName(lexical.select("query_id", "doc_id", F.lit(1).alias("ranker"), "rank", one))
     return R.rrf(ranked).withColumn("rank", F.col("rank").cast("long"))
 
 
