@@ -1,8 +1,8 @@
 """Toxicity by compression distance (operator 6).
 
-The zstandard trainer makes two dictionaries: one of ordinary text, one of what toxic text holds beyond it (windows that the
-ordinary dictionary shortens badly for their length).  A window of a text is compressed once with the ordinary dictionary and
-once with both; what the second saves is its gain.  Thresholds of the gain for each window length, the threshold of a text
+The zstandard trainer makes two dictionaries: one of ordinary text, one of what toxic text holds beyond it (novel windows,
+which the ordinary dictionary shortens badly for their length).  A window of a text is compressed with the ordinary
+dictionary and, if it is novel, with both; what the second saves is its gain.  Thresholds of the gain for each window length, the threshold of a text
 and the slope of its score come from a third of the sample that no dictionary has seen.
 
 A window is one word with the spaces around it (a long word gives several), every byte spelled out as two, so that a match
@@ -30,6 +30,8 @@ from ._words import split_words
 SAMPLE_DOCS = 1500
 #: Bytes of the dictionaries of ordinary and of toxic windows, the trainer's segment and the compression level.
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, LEVEL = 600_000, 16_000, 64, 9
+#: How the compressor looks for matches.
+STRATEGY, SEARCH = zstandard.STRATEGY_BTOPT, 8
 #: A toxic window is trained on if ordinary windows of its length are shortened better in this share of cases.
 NOVEL = 0.7
 #: Share of ordinary windows of one length whose gain may pass the length's threshold.
@@ -44,11 +46,11 @@ _MARKS = ".,;:!?\"'()"
 PRIMER = bytes(range(128, 160))
 #: Gains of words that a Python worker keeps; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
-_TABLE = np.random.default_rng(7).integers(0, 256, (256, DRAWN), np.uint8)
+_TABLE = {k: bytes(row).decode("latin-1") for k, row in enumerate(np.random.default_rng(7).integers(0, 256, (256, DRAWN), np.uint8))}
 
 
 def spell(plain: bytes) -> bytes:
-    return _TABLE[np.frombuffer(plain, np.uint8)].tobytes()
+    return plain.decode("latin-1").translate(_TABLE).encode("latin-1")
 
 
 def windows(word: str) -> list[bytes]:
@@ -78,31 +80,34 @@ class Coder:
 
     def __init__(self, dictionary: bytes) -> None:
         kind = zstandard.ZstdCompressionDict(dictionary + PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTOPT, window_log=20, hash_log=17, chain_log=17, search_log=8, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+        parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=STRATEGY, window_log=20, hash_log=17, chain_log=17, search_log=SEARCH, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         kind.precompute_compress(compression_params=parameters)
         self._compress = zstandard.ZstdCompressor(dict_data=kind, compression_params=parameters).compress
 
-    def size(self, window: bytes) -> int:
-        return len(self._compress(PRIMER + spell(window)))
+    def size(self, spelled: bytes) -> int:
+        """Compressed bytes of a window that is spelled out."""
+        return len(self._compress(PRIMER + spelled))
 
 
 class ToxicityModel:
     """Dictionaries, thresholds and calibration; pickles to executors."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, loud: dict[int, float], threshold: float = 0.0, slope: float = 1.0) -> None:
-        self.ordinary, self.toxic, self.loud, self.threshold, self.slope = ordinary, toxic, loud, threshold, slope
+    def __init__(self, ordinary: bytes, toxic: bytes, usual: dict[int, float], loud: dict[int, float], threshold: float = 0.0, slope: float = 1.0) -> None:
+        self.ordinary, self.toxic, self.usual, self.loud, self.threshold, self.slope = ordinary, toxic, usual, loud, threshold, slope
 
     def __getstate__(self) -> tuple:
-        return self.ordinary, self.toxic, self.loud, self.threshold, self.slope
+        return self.ordinary, self.toxic, self.usual, self.loud, self.threshold, self.slope
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
     def gain(self, window: bytes) -> int:
-        """Bytes that the toxic dictionary saves beyond the ordinary one."""
+        """Bytes that the toxic dictionary saves beyond the ordinary one; 0 for a window that is not novel."""
         if not hasattr(self, "_coders"):
             self._coders, self._seen = (Coder(self.ordinary), Coder(self.toxic + self.ordinary)), {}
-        return self._coders[0].size(window) - self._coders[1].size(window)
+        spelled = spell(window)
+        size = self._coders[0].size(spelled)
+        return size - self._coders[1].size(spelled) if size > self.usual.get(len(window), 0) else 0
 
     def excess(self, window: bytes) -> float:
         """The gain over the threshold of windows of this length; lengths without one take that of the nearest."""
@@ -148,7 +153,7 @@ def _quantiles(values: dict[int, list[float]], share: float) -> dict[int, float]
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     """Train the dictionaries on two thirds of the sample and calibrate on the rest."""
     if not toxic or not ordinary:  # one class alone: its prior decides
-        return ToxicityModel(b" " * 8, b" " * 8, {}, -100.0 if toxic else 100.0)
+        return ToxicityModel(b" " * 8, b" " * 8, {}, {}, -100.0 if toxic else 100.0)
     held = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0
     toxic_train, ordinary_train = ([t for t in texts if not held(t)] or texts for texts in (toxic, ordinary))
     toxic_rest, ordinary_rest = ([t for t in texts if held(t)] or texts for texts in (toxic, ordinary))
@@ -158,7 +163,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
 
     def size(window: bytes) -> int:
         if window not in sizes:
-            sizes[window] = coder.size(window)
+            sizes[window] = coder.size(spell(window))
         return sizes[window]
 
     usual: dict[int, list[float]] = defaultdict(list)
@@ -168,14 +173,14 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
             usual[len(w)].append(size(w))
     limit = _quantiles(usual, NOVEL)
     novel = [w for t in toxic_train for w in text_windows(t) if size(w) > limit.get(len(w), 0)]
-    model = ToxicityModel(ordinary_dictionary, train(shuffled(novel), TOXIC_BYTES), {})
+    model = ToxicityModel(ordinary_dictionary, train(shuffled(novel), TOXIC_BYTES), limit, {})
     gains: dict[int, list[float]] = defaultdict(list)
     both = Coder(model.toxic + model.ordinary)
     known: dict[bytes, int] = {}
     for found in calm:
         for w in found:
             if w not in known:
-                known[w] = size(w) - both.size(w)
+                known[w] = size(w) - both.size(spell(w)) if size(w) > limit.get(len(w), 0) else 0
             gains[len(w)].append(known[w])
     model.loud = _quantiles(gains, 1 - LOUD)
     return calibrate(model, *(model.evidence(pa.array(texts, pa.string())) for texts in (toxic_rest, ordinary_rest)))

@@ -188,7 +188,7 @@ def test_toxicity_compressed_lengths_and_thresholds():
         p = zstandard.ZstdCompressionParameters.from_level(9, strategy=zstandard.STRATEGY_BTOPT, window_log=20, hash_log=17, chain_log=17, search_log=8, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         sizes.append({w: len(zstandard.ZstdCompressor(dict_data=kind, compression_params=p).compress(toxicity.PRIMER + toxicity.spell(w))) for w in toxicity.text_windows(text)})
         assert all(zstandard.ZstdDecompressor(dict_data=kind).decompress(zstandard.ZstdCompressor(dict_data=kind, compression_params=p).compress(toxicity.spell(w)), max_output_size=999) == toxicity.spell(w) for w in list(sizes[-1])[:5])
-    want = max(sizes[0][w] - sizes[1][w] - model.loud[min(model.loud, key=lambda n: (abs(n - len(w)), n))] for w in sizes[0])
+    want = max((sizes[0][w] - sizes[1][w] if sizes[0][w] > model.usual.get(len(w), 0) else 0) - model.loud[min(model.loud, key=lambda n: (abs(n - len(w)), n))] for w in sizes[0])
     assert model.evidence(pa.array([text]))[0] == want and (model.scores(model.evidence(pa.array([text, ordinary[1], "", None]))) >= 0.5).tolist() == [True, False, False, False]
 
 
