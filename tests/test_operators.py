@@ -87,3 +87,55 @@ def test_limiter_and_missing_cause(spark):
     assert [r["waited"] for r in E.admissions(e, "user_id", 2, 60.0).orderBy("event_id").collect()] == [0.0, 0.0, 60.0, 60.0, 120.0]
     case = spark.sql("select false decided_by_model, true edge_rejected, true edge_unknown, 1 n_blockers, 0 n_cited_blocks, 0 n_candidates, 0d best_score, 1d floor")
     assert D.missing_cause(case).first()["cause"] == "evidence_gate"
+
+
+def test_routing_without_a_model(spark):
+    from concord.operators import matching as M
+    from concord.plans.compare import compare_facts
+
+    schema = "doc string, fact_id string, entity_name string, attributes map<string,struct<value:string,unit:string>>, evidence_text string, pos long"
+    same = {"target_value": ("3", "v")}
+    ref = spark.createDataFrame([("r", "a", "Ａlpha", same, "e", 0), ("r", "b", "Beta", same, "e", 1), ("r", "c", "Gamma", same, "e", 2), ("r", "d", "Delta", same, "e", 3)], schema)
+    tgt = spark.createDataFrame([("t", "1", "alpha", same, "e", 0), ("t", "2", "alpha", {}, "e", 1), ("t", "3", "beta", same, "e", 2), ("t", "4", "else", same, "e", 3), ("t", "5", "more", same, "e", 4)], schema)
+    ranked = spark.createDataFrame([("c", "t", "4", 0.9, 1, False), ("c", "t", "5", 0.8, 2, False), ("a", "t", "5", 0.9, 1, True)], "ref_id string, target_doc string, target_id string, score double, rank int, needs_review boolean")
+    low = spark.createDataFrame([("t", "3")], "doc string, fact_id string")
+    got = {r["fact_id"]: r for r in compare_facts(ref, tgt, low, ranked).collect()}
+    assert {k: (r["result"], r["decided_by"], r["n_candidates"]) for k, r in got.items()} == {"a": ("match", "code", 1), "b": ("unknown", "", 1), "c": ("unknown", "", 2), "d": ("missing", "code", 0)}
+    assert got["b"]["triggers"] == ["low_confidence"] and got["c"]["triggers"] == ["duplicate_entity_facts"] and got["d"]["triggers"] == ["code_missing"]
+    golden = spark.createDataFrame([(1, "t", "alpha", "match"), (2, "t", "bet", "match"), (3, "t", "zzz", "match")], "golden_id long, doc string, entity_name string, expected string")
+    answers = spark.createDataFrame([("t", "Beta max", "mismatch", 2), ("t", "Alpha", "match", 1), ("u", "zzz", "match", 3)], "doc string, entity_name string, result string, pos long")
+    scored = M.score_engine(golden, answers)
+    assert {r["golden_id"]: r["result"] for r in scored.collect()} == {1: "match", 2: "mismatch", 3: None}
+    assert M.engine_stats(scored).first().asDict() == {"hits": 1, "misses": 1, "unmatched": 1, "accuracy": 0.5}
+
+
+def test_bm25_in_blocks_equals_brute_force(spark):
+    import math
+
+    rng = random.Random(6)
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30)))) for k in range(90)]
+    queries = [(k, " ".join(rng.choice("abcdefghz") for _ in range(4))) for k in range(12)]
+    got = R.bm25_top(spark.createDataFrame(queries, "q int, text string"), spark.createDataFrame(docs, "d int, text string"), "q", "d", 4, query_block=5, corpus_block=20).collect()
+    bags = {d: t.split() for d, t in docs}
+    mean = sum(map(len, bags.values())) / len(bags)
+    want = set()
+    for q, text in queries:
+        scores = {}
+        for d, bag in bags.items():
+            s = 0.0
+            for term in set(text.split()):
+                tf, df = bag.count(term), sum(term in b for b in bags.values())
+                s += math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(bag) / mean)) if tf else 0.0
+            if s > 0:
+                scores[d] = round(s, 6)
+        want |= {(q, d, n + 1) for n, d in enumerate(sorted(scores, key=lambda d: (-scores[d], d))[:4])}
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in got} == want
+
+
+def test_numbers_within_keys_of_any_size(spark):
+    from concord.operators.ordering import number_rows
+
+    rows = [(None if k % 7 == 0 else k % 3, (k * 37) % 101) for k in range(101)]
+    got = number_rows(spark.createDataFrame(rows, "k int, v int"), ["v"], "n", ["k"]).collect()
+    for key in {k for k, _ in rows}:
+        assert [r["v"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["n"])] == sorted(v for k, v in rows if k == key)
