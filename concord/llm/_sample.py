@@ -15,12 +15,15 @@ from ._spark import pieces, text_column
 def sample_by_class(rows: DataFrame, per_class: int) -> dict:
     """Whole texts of at most ``per_class`` distinct texts of each non-null ``label``: those of least text hash.
 
-    ``rows`` has the columns text and label.  Only hashes are ranked (each task passes on no more than ``per_class`` of a class);
-    then the chosen texts reach the driver, once each, in the order of their hashes.
+    ``rows`` has the columns text and label.  Only hashes are ranked, and of each class only those so low that about eight times
+    the sample is left; then the chosen texts reach the driver, once each, in the order of their hashes.
     """
     marked = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("label", F.xxhash64("text", F.lit("sample")).alias("h"), "text")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = marked.select("label", "h").distinct().withColumn("n", rank).where(F.col("n") <= per_class).select("label", "h").collect()
+    # one row per class
+    sizes = marked.groupBy("label").agg(F.approx_count_distinct("h").alias("size"))
+    low = marked.select("label", "h").join(F.broadcast(sizes), "label").where(F.col("h") / 2.0**64 + 0.5 <= 8.0 * per_class / F.col("size"))
+    chosen = low.select("label", "h").distinct().withColumn("n", rank).where(F.col("n") <= per_class).select("label", "h").collect()
     wanted = {(r["label"], r["h"]) for r in chosen}
     out: dict = {label: [] for label in sorted({r["label"] for r in chosen})}
     if wanted:
