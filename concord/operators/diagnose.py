@@ -11,7 +11,7 @@ from .ordering import number_rows
 
 def missing_cause(case: DataFrame) -> DataFrame:
     """The first cause that applies to each missing comparison with columns decided_by_model, edge_rejected, edge_unknown,
-    n_blockers, n_cited_blocks, n_candidates, best_score and floor."""
+    n_blockers, n_cited_blocks, n_candidates, n_kept, best_score and floor.  A recall that kept candidates lost their edge."""
     cause = (
         F.when(F.col("decided_by_model"), "f5_llm")
         .when(F.col("edge_rejected"), "evidence_gate")
@@ -21,7 +21,7 @@ def missing_cause(case: DataFrame) -> DataFrame:
         .when(F.col("n_candidates").isNull(), "unresolved")
         .otherwise("recall")
     )
-    detail = F.when(F.col("n_candidates") == 0, "empty").when(F.col("best_score") < F.col("floor"), "min_score").otherwise("top_k")
+    detail = F.when(F.col("n_candidates") == 0, "empty").when(F.col("n_kept") > 0, "no_edge").when(F.col("best_score") < F.col("floor"), "min_score").otherwise("top_k")
     return case.withColumn("cause", cause).withColumn("subcause", F.when(cause == "recall", detail).otherwise(""))
 
 

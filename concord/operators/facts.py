@@ -157,16 +157,16 @@ def check_units(facts: DataFrame) -> DataFrame:
 
 
 def check_numeric_coverage(facts: DataFrame, least: int = 4) -> DataFrame:
-    """Warnings where the evidence holds ``least`` or more distinct numbers and the attributes none."""
+    """Warnings where the evidence holds ``least`` or more distinct numbers and no attribute's value holds any."""
     numbers = F.array_distinct(F.regexp_extract_all("evidence_text", F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
-    none = F.size(F.filter(F.map_values("attributes"), lambda v: as_number(v["value"]).isNotNull())) == 0
+    none = ~F.exists(F.map_values("attributes"), lambda v: F.coalesce(v["value"], F.lit("")).rlike("[0-9]"))
     return facts.where((F.size(numbers) >= least) & none).select("fact_id", F.lit("numeric_coverage").alias("check_name"), F.lit("warn").alias("severity"), F.size(numbers).cast("string").alias("reason"))
 
 
 def evidence_coverage(claim: Column, source: Column) -> Column:
-    """Share of the claim's distinct tokens that the source has; 1 for a claim without tokens."""
+    """Share of the claim's distinct tokens that the source has; 0 for a claim without tokens."""
     mine = F.array_distinct(tokens(claim))
-    return F.when(F.size(mine) == 0, 1.0).otherwise(F.size(F.array_intersect(mine, tokens(source))) / F.size(mine))
+    return F.when(F.size(mine) == 0, 0.0).otherwise(F.size(F.array_intersect(mine, tokens(source))) / F.size(mine))
 
 
 def check_sources(facts: DataFrame, locators: DataFrame, source: str) -> DataFrame:

@@ -122,3 +122,62 @@ def resolve_columns(headers: DataFrame, wanted: DataFrame) -> DataFrame:
     found = asked.join(named, [*SHEET, "_name"], "left").join(width, list(SHEET))
     col = F.coalesce("_named", F.when(F.col("_number").between(1, F.col("_width")), F.col("_number")))
     return found.where(col.isNotNull()).select(*SHEET, "ask", col.alias("col"))
+
+
+def overlay_display(cells: DataFrame, shown: DataFrame) -> DataFrame:
+    """Cells with the text that the sheet shows (sheet keys, row, col, display) in place of the value, an empty one too."""
+    return cells.join(shown.select(*SHEET, "row", "col", "display", F.lit(True).alias("_shown")), [*SHEET, "row", "col"], "left").withColumn("value", F.when(F.col("_shown"), F.col("display")).otherwise(F.col("value"))).drop("display", "_shown")
+
+
+def sheet_summary(cells: DataFrame, formats: DataFrame) -> DataFrame:
+    """Per sheet: full cells, the used range (null without one), and how many number formats other than General there are.
+    ``formats`` is (sheet keys, row, col, number_format)."""
+    full = ~is_blank("value")
+    own = F.when(F.lower(F.trim("number_format")) != "general", F.col("number_format"))
+    rows = cells.join(formats.select(*SHEET, "row", "col", own.alias("_format")), [*SHEET, "row", "col"], "left")
+    used = lambda f, c: f(F.when(full, F.col(c)))
+    per = rows.groupBy(*SHEET).agg(F.count_if(full).alias("n_cells"), used(F.min, "row").alias("a"), used(F.min, "col").alias("b"), used(F.max, "row").alias("c"), used(F.max, "col").alias("d"), F.count_distinct(F.when(full, F.col("_format"))).alias("n_formats"))
+    corner = lambda col, row: F.concat(column_letters(col), F.col(row).cast("string"))
+    return per.select(*SHEET, "n_cells", F.when(F.col("n_cells") > 0, F.concat(corner("b", "a"), F.lit(":"), corner("d", "c"))).alias("used_range"), "n_formats")
+
+
+def choose_header(signals: DataFrame, header_row: int = 1, skip_banners: bool = True) -> DataFrame:
+    """(doc, sheet, header_start): the row ``header_row`` of each sheet, or the first after it that is no banner; null if the sheet ends
+    before it or begins after it."""
+    ends = signals.groupBy(*SHEET).agg(F.min("row").alias("_first"), F.max("row").alias("_last"), F.min(F.when((F.col("row") >= header_row) & (F.col("signal") != "banner"), F.col("row"))).alias("_next"))
+    inside = (F.col("_first") <= header_row) & (F.col("_last") >= header_row)
+    return ends.select(*SHEET, F.when(inside, F.col("_next") if skip_banners else F.lit(header_row)).alias("header_start"))
+
+
+def build_records(cells: DataFrame, headers: DataFrame, keys: DataFrame) -> DataFrame:
+    """One record per row that has a full cell: (sheet keys, row, item_id, key_context, text, label, fields).
+
+    ``headers`` is (sheet keys, col, header), ``keys`` the key columns (sheet keys, col).  The text joins ``header=value`` of all full
+    cells, the key context those of key columns; fields are the other cells with header, value and place; a column without a
+    header is ``col`` and its number.
+    """
+    marked = cells.where(~is_blank("value")).join(headers.select(*SHEET, "col", "header"), [*SHEET, "col"], "left").join(keys.select(*SHEET, "col", F.lit(True).alias("_key")).distinct(), [*SHEET, "col"], "left")
+    name = F.when(is_blank("header"), F.concat(F.lit("col"), F.col("col").cast("string"))).otherwise(F.col("header"))
+    cell = F.struct("col", name.alias("header"), F.trim("value").alias("value"), F.coalesce("_key", F.lit(False)).alias("is_key"))
+    rows = marked.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    pair = lambda c: F.concat(c["header"], F.lit("="), c["value"])
+    key = F.array_join(F.transform(F.filter("_cells", lambda c: c["is_key"]), pair), ", ")
+    context = F.when(key == "", "").otherwise(F.concat(F.lit("["), key, F.lit("]")))
+    at = F.concat("doc", F.lit("#"), "sheet", F.lit("!"))
+    label = F.concat("doc", F.lit(" > ["), "sheet", F.lit("] "), F.col("row").cast("string"), F.when(context == "", "").otherwise(F.concat(F.lit(" "), context)))
+    fields = F.transform(F.filter("_cells", lambda c: ~c["is_key"]), lambda c: F.struct(F.concat(at, column_letters(c["col"]), F.col("row").cast("string")).alias("field_id"), c["header"].alias("header"), c["value"].alias("value")))
+    return rows.select(*SHEET, "row", F.concat(at, F.col("row").cast("string")).alias("item_id"), context.alias("key_context"), F.array_join(F.transform("_cells", pair), " | ").alias("text"), label.alias("label"), fields.alias("fields"))
+
+
+def split_records(records: DataFrame) -> DataFrame:
+    """One item per field of a record: (item_id, key_context, text, label) with the key context before the text."""
+    each = records.select("*", F.explode("fields").alias("f"))
+    return each.select("doc", F.col("f.field_id").alias("item_id"), "key_context", F.concat_ws(" ", F.when(F.col("key_context") != "", F.col("key_context")), F.concat("f.header", F.lit("="), "f.value")).alias("text"), F.concat("label", F.lit(" · "), "f.header").alias("label"))
+
+
+def compare_columns(headers: DataFrame, keys: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The columns of each sheet that are neither key nor skipped."""
+    out = headers.select(*SHEET, "col").distinct()
+    for other in (keys, skipped):
+        out = out.join(other.select(*SHEET, "col").distinct(), [*SHEET, "col"], "left_anti")
+    return out

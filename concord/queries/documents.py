@@ -167,7 +167,7 @@ def turns_with_previous(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before")).where("before is not null")
 
 
-@add(f"with {_TURNS} select conv_id, turn, round(case when len(claim) = 0 then 1.0 else len(list_intersect(claim, src)) / len(claim)::double end, 6) as coverage from k")
+@add(f"with {_TURNS} select conv_id, turn, round(case when len(claim) = 0 then 0.0 else len(list_intersect(claim, src)) / len(claim)::double end, 6) as coverage from k")
 def evidence_coverage(spark, sf_dir):
     return turns_with_previous(spark, sf_dir).select("conv_id", "turn", F.round(V.evidence_coverage(F.col("text"), F.col("before")), 6).alias("coverage"))
 

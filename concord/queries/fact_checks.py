@@ -166,12 +166,12 @@ def _caused(spark, sf_dir):
     k = F.col("fact_id")
     case = compared_facts(spark, sf_dir).where("result <> 'match'").select(
         k.alias("ref_id"), (k % 13 == 0).alias("decided_by_model"), (k % 13 == 1).alias("edge_rejected"), (k % 13 == 2).alias("edge_unknown"),
-        F.when(k % 5 == 0, 1).otherwise(0).alias("n_blockers"), F.when(k % 4 == 0, 0).otherwise(2).alias("n_cited_blocks"), F.when(k % 6 != 0, k % 3).alias("n_candidates"), ((k % 100) / 100.0).alias("best_score"), F.lit(0.3).alias("floor"),
+        F.when(k % 5 == 0, 1).otherwise(0).alias("n_blockers"), F.when(k % 4 == 0, 0).otherwise(2).alias("n_cited_blocks"), F.when(k % 6 != 0, k % 3).alias("n_candidates"), F.when(k % 7 == 0, 1).otherwise(0).alias("n_kept"), ((k % 100) / 100.0).alias("best_score"), F.lit(0.3).alias("floor"),
     )
     return D.missing_cause(case)
 
 
-@add(f"with {_CASE} select ref_id, cause, case when cause <> 'recall' then '' when n_candidates = 0 then 'empty' when best < 0.3 then 'min_score' else 'top_k' end as subcause from caused")
+@add(f"with {_CASE} select ref_id, cause, case when cause <> 'recall' then '' when n_candidates = 0 then 'empty' when ref_id % 7 = 0 then 'no_edge' when best < 0.3 then 'min_score' else 'top_k' end as subcause from caused")
 def missing_cause(spark, sf_dir):
     return _caused(spark, sf_dir).select("ref_id", "cause", "subcause")
 

@@ -120,7 +120,7 @@ def concept_nodes(spark, sf_dir):
 
 @add(f"""with c as (select conv_id, turn, role as name, text as quote, lag(text) over (partition by conv_id order by turn) as evidence from conversations),
     t as (select conv_id, turn, quote, list_distinct({TOKENS.format('quote')}) as q, list_distinct({TOKENS.format('evidence')}) as e, list_distinct({TOKENS.format('name')}) as n, list_distinct({TOKENS.format("evidence || ' ' || name")}) as src from c where evidence is not null)
-    select conv_id, turn, trim(quote) <> '' and (len(q) = 0 or len(list_intersect(q, src)) / len(q)::double >= 0.8) and (len(q) >= 3 or (len(q) > 0 and ((len(list_intersect(q, e)) = len(q) and len(q) = len(e)) or (len(n) > 0 and len(list_intersect(n, q)) = len(n))))) as verified from t""")
+    select conv_id, turn, trim(quote) <> '' and (len(q) > 0 and len(list_intersect(q, src)) / len(q)::double >= 0.8) and (len(q) >= 3 or (len(q) > 0 and ((len(list_intersect(q, e)) = len(q) and len(q) = len(e)) or (len(n) > 0 and len(list_intersect(n, q)) = len(n))))) as verified from t""")
 def verify_quotes(spark, sf_dir):
     """Whether each turn is a quote of the whole turn before it."""
     from .documents import turns_with_previous

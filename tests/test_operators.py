@@ -85,7 +85,7 @@ def test_greedy_packing_keeps_groups_whole(spark):
 def test_limiter_and_missing_cause(spark):
     e = spark.sql("select 'u' user_id, id event_id, timestamp_seconds(0) ts from range(5)")
     assert [r["waited"] for r in E.admissions(e, "user_id", 2, 60.0).orderBy("event_id").collect()] == [0.0, 0.0, 60.0, 60.0, 120.0]
-    case = spark.sql("select false decided_by_model, true edge_rejected, true edge_unknown, 1 n_blockers, 0 n_cited_blocks, 0 n_candidates, 0d best_score, 1d floor")
+    case = spark.sql("select false decided_by_model, true edge_rejected, true edge_unknown, 1 n_blockers, 0 n_cited_blocks, 0 n_candidates, 0 n_kept, 0d best_score, 1d floor")
     assert D.missing_cause(case).first()["cause"] == "evidence_gate"
 
 
