@@ -12,24 +12,29 @@ from pyspark.sql.types import StructField, StructType
 from ._spark import pieces, text_column
 
 
-def sample_by_class(rows: DataFrame, per_class: int) -> dict:
+def text_hash(text: Column | str) -> Column:
+    return F.xxhash64(text, F.lit("sample"))
+
+
+def sample_by_class(labelled: DataFrame, texts: DataFrame, per_class: int) -> dict:
     """Whole texts of at most ``per_class`` distinct texts of each non-null ``label``: those of least text hash.
 
-    ``rows`` has the columns text and label.  Only hashes are ranked, and of each class only those so low that about eight times
-    the sample is left; then the chosen texts reach the driver, once each, in the order of their hashes.
+    ``labelled`` is (label, h) with the ``text_hash`` of each labelled text, so that no join or shuffle before carries texts;
+    ``texts`` is (h, text).  Of each class only hashes so low that about eight times the sample is left are ranked; then the chosen
+    texts reach the driver, once each, in the order of their hashes.
     """
-    marked = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("label", F.xxhash64("text", F.lit("sample")).alias("h"), "text")
+    marked = labelled.where(F.col("label").isNotNull() & F.col("h").isNotNull()).select("label", "h")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     # one row per class
     sizes = marked.groupBy("label").agg(F.approx_count_distinct("h").alias("size"))
-    low = marked.select("label", "h").join(F.broadcast(sizes), "label").where(F.col("h") / 2.0**64 + 0.5 <= 8.0 * per_class / F.col("size"))
+    low = marked.join(F.broadcast(sizes), "label").where(F.col("h") / 2.0**64 + 0.5 <= 8.0 * per_class / F.col("size"))
     chosen = low.select("label", "h").distinct().withColumn("n", rank).where(F.col("n") <= per_class).select("label", "h").collect()
-    wanted = {(r["label"], r["h"]) for r in chosen}
     out: dict = {label: [] for label in sorted({r["label"] for r in chosen})}
-    if wanted:
-        found = marked.where(F.col("h").isin(sorted({h for _, h in wanted}))).groupBy("label", "h").agg(F.min("text").alias("text")).collect()
-        for r in sorted((r for r in found if (r["label"], r["h"]) in wanted), key=lambda r: r["h"]):
-            out[r["label"]].append(r["text"])
+    if chosen:
+        wanted = sorted({r["h"] for r in chosen})
+        found = {r["h"]: r["text"] for r in texts.where(F.col("h").isin(wanted)).groupBy("h").agg(F.min("text").alias("text")).collect()}
+        for r in sorted(chosen, key=lambda r: r["h"]):
+            out[r["label"]].append(found[r["h"]])
     return out
 
 

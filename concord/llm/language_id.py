@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from ._sample import beside_rows, kept_rows, sample_by_class
+from ._sample import beside_rows, kept_rows, sample_by_class, text_hash
 
 #: Distinct whole labelled texts sampled per language; all of each is learnt.
 SAMPLE_DOCS = 32
@@ -153,7 +153,8 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_DOCS) -
     with the rows.
     """
     eligible = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return LanguageModel(sample_by_class(eligible.select(F.col("lang").alias("label"), F.col("text").cast("string").alias("text")), per_language))
+    rows = eligible.select(F.col("lang").alias("label"), F.col("text").cast("string").alias("text")).withColumn("h", text_hash("text"))
+    return LanguageModel(sample_by_class(rows.select("label", "h"), rows.select("h", "text"), per_language))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

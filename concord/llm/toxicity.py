@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from ._sample import beside_rows, kept_rows, sample_by_class
+from ._sample import beside_rows, kept_rows, sample_by_class, text_hash
 from ._words import split_words
 
 #: Distinct whole labelled texts sampled per class to train and calibrate.
@@ -206,7 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
     eligible = docs.where(learnable & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    found = sample_by_class(eligible.join(marked, "id"), per_class)
+    eligible = eligible.withColumn("h", text_hash("text"))
+    found = sample_by_class(eligible.select("id", "h").join(marked, "id"), eligible.select("h", "text"), per_class)
     return fit(found.get(1, []), found.get(0, []))
 
 
