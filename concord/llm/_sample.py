@@ -12,6 +12,18 @@ from pyspark.sql.types import StructField, StructType
 from ._spark import pieces, text_column
 
 
+_RESIDENT: dict[str, dict] = {}
+
+
+def resident(owner: str) -> dict:
+    """What ``owner`` keeps in this process between tasks.  The things of others are let go, so a Python worker that serves one
+    operator after another holds the tables of one."""
+    if owner not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[owner] = {}
+    return _RESIDENT[owner]
+
+
 def text_hash(text: Column | str) -> Column:
     return F.xxhash64(text, F.lit("sample"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from ._sample import beside_rows, kept_rows, sample_by_class, text_hash
+from ._sample import beside_rows, kept_rows, resident, sample_by_class, text_hash
 
 #: Distinct whole labelled texts sampled per language; all of each is learnt.
 SAMPLE_DOCS = 32
@@ -136,14 +136,11 @@ class LanguageModel:
         return [self.languages[b] if have else UNKNOWN for b, have in zip(best, lettered, strict=True)], score
 
     def _automata(self) -> list[Automaton]:
-        key = tuple(self.texts)
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = [Automaton(t) for t in self.texts]
-        return _BUILT[key]
-
-
-_BUILT: dict[tuple, list[Automaton]] = {}
+        key, built = tuple(self.texts), resident("language_id")
+        if key not in built:
+            built.clear()
+            built[key] = [Automaton(t) for t in self.texts]
+        return built[key]
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_DOCS) -> LanguageModel:
@@ -164,7 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         names, scores = model.predict(text)
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    return beside_rows(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], work, 4 << 20)
+    return beside_rows(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], work, 2 << 20)
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from ._sample import beside_rows, kept_rows, sample_by_class, text_hash
+from ._sample import beside_rows, kept_rows, resident, sample_by_class, text_hash
 from ._words import split_words
 
 #: Distinct whole labelled texts sampled per class to train and calibrate.
@@ -130,6 +130,7 @@ class ToxicityModel:
 
     def evidence(self, text: pa.Array) -> np.ndarray:
         """The greatest excess among each whole text's windows (a text without words has none)."""
+        resident("toxicity")
         doc, words, index = split_words(pc.utf8_lower(text))
         each = self.word_excess(words.to_pylist())[index]
         out = np.full(len(text), NOTHING)
