@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_links, language_id, ngram_lm, packing, piece_bpe, sharding, simhash, sketches, token_files, toxicity
+from . import embedding_links, language_id, lexical_search, line_dedup, ngram_lm, packing, piece_bpe, sharding, simhash, sketches, spelling, token_files, toxicity
 from ._spark import id_crc
 
 #: File names of the public vocabularies.
@@ -67,5 +67,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op6_toxicity, op7_language, op8_packing, op9_sketches, op10_simhash)}
-ORACLES: dict[str, str] = {}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_embedding_links, op2_token_files, op3_pieces, op4_jump_shards, op5_ngram_lm, op6_toxicity, op7_language, op8_packing,
+    op9_sketches, op10_simhash, op11_line_dedup, op12_spelling, op13_lexical_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op11_line_dedup": line_dedup.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
