@@ -43,19 +43,24 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def cuts(text: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about ``most`` bytes each (one longer text stays whole)."""
+    if not len(text):
+        return
+    width = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    ends = np.frombuffer(text.buffers()[1], width)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    at = 0
+    while at < len(text):
+        to = min(len(text), max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+        yield at, to - at
+        at = to
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text in each is about ``most`` bytes (one longer text stays whole)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = batch.column(batch.schema.get_field_index(column))
-        width = np.int64 if pa.types.is_large_string(text.type) else np.int32
-        ends = np.frombuffer(text.buffers()[1], width)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
-            yield batch.slice(at, min(to, batch.num_rows) - at)
-            at = to
+        for at, length in cuts(batch.column(batch.schema.get_field_index(column)), most):
+            yield batch.slice(at, length)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from ._sample import beside_rows, kept_rows, resident, sample_by_class, text_hash
+from ._sample import beside_rows, kept_rows, sample_by_class, text_hash
 
 #: Distinct whole labelled texts sampled per language; all of each is learnt.
 SAMPLE_DOCS = 32
+#: Bytes of the longest text that is sampled while a language has others, and characters learnt of a language at most.
+SAMPLE_TEXT, SAMPLE_CHARS = 40_000, 400_000
 #: Characters of a segment.
 SEGMENT = 256
 UNKNOWN = "und"
@@ -34,9 +36,9 @@ def plain(text: pa.Array) -> pa.Array:
 
 
 class Automaton:
-    """The suffix automaton of a text as one table: the next state of each state and character code, 0 where there is none.
+    """The suffix automaton of a text: its edges in one open hash table, about 32 bytes an edge, whatever the alphabet.
 
-    State 1 is the start; characters that the text lacks have code 0.
+    An edge's key is its state and character code; state 1 is the start, characters that the text lacks have code 0.
     """
 
     def __init__(self, text: str) -> None:
@@ -69,12 +71,49 @@ class Automaton:
                         at = link[at]
                     link[other] = link[state] = copy
             last = state
-        self.table = np.zeros(len(nexts) * self.width, np.int32)
         sizes = np.fromiter(map(len, nexts), np.int64, len(nexts))
-        rows = np.repeat(np.arange(len(nexts)), sizes) * self.width
-        self.table[rows + np.fromiter((k for edges in nexts for k in edges), np.int64, len(rows))] = np.fromiter((s for edges in nexts for s in edges.values()), np.int32, len(rows))
+        states = np.repeat(np.arange(len(nexts)), sizes)
+        keys = states * self.width + np.fromiter((k for edges in nexts for k in edges), np.int64, len(states))
+        self._store(keys, np.fromiter((s for edges in nexts for s in edges.values()), np.int32, len(keys)))
+        self.first = np.zeros(self.width, np.int32)
+        for k, s in nexts[1].items():
+            self.first[k] = s
         self.cost = float(np.log2(max(2, len(text))))
 
+    def _store(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Linear probing at a load of a quarter to a half; all keys that still seek a place probe together."""
+        bits = max(4, int(2 * len(keys) - 1).bit_length() if len(keys) else 4)
+        self.shift = np.uint64(64 - bits)
+        kind = np.int32 if len(keys) == 0 or int(keys.max()) < 1 << 31 else np.int64
+        self.keys, self.values = np.full(1 << bits, -1, kind), np.zeros(1 << bits, np.int32)
+        mask, at, left = (1 << bits) - 1, self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            held = free[self.keys[at[free]] == keys[free]]
+            self.values[at[held]] = values[held]
+            left = np.setdiff1d(left, held, assume_unique=True)
+            at[left] = (at[left] + 1) & mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def following(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The next state of each, 0 where there is none."""
+        keys = states * self.width + codes
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], 0)
+        left = np.flatnonzero((found != keys) & (found != -1))
+        mask = len(self.keys) - 1
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
+
     def codes(self, points: np.ndarray) -> np.ndarray:
         """Character codes of code points."""
         table = np.zeros(max(int(points.max()) + 1 if len(points) else 0, int(self.points.max()) + 1 if len(self.points) else 1), np.int32)
@@ -84,7 +123,6 @@ class Automaton:
     def phrases(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases in each segment of code points: all segments step together, one character a step."""
         codes = self.codes(points)
-        first = self.table[self.width : 2 * self.width]
         out = np.zeros(len(starts), np.int32)
         order = np.argsort(-lengths, kind="stable")
         at, left = starts[order], lengths[order]
@@ -94,10 +132,10 @@ class Automaton:
         for step in range(int(left[0]) if len(left) else 0):
             n = int(np.searchsorted(-left, -step, "left"))  # segments longer than ``step``
             c = codes[at[:n] + step]
-            now = self.table[state[:n] * self.width + c]
+            now = self.following(state[:n], c)
             # a phrase ends before a character that it cannot take; that begins the next one, or is one if the text lacks it
             broken = now == 0
-            again = first[c]
+            again = self.first[c]
             count[:n] += (broken & ~fresh[:n]).view(np.int8)
             lost = broken & (again == 0)
             count[:n] += lost.view(np.int8)
@@ -108,11 +146,12 @@ class Automaton:
 
 
 class LanguageModel:
-    """Texts of samples by language; the automata are built once in each process."""
+    """Automata of samples by language; built once, on the driver, and sent to tasks as tables."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
-        self.texts = [" " + "".join(t.lstrip(" ") for t in plain(pa.array(samples[name], pa.string())).to_pylist()) for name in self.languages]
+        texts = [" " + "".join(t.lstrip(" ") for t in plain(pa.array(samples[name], pa.string())).to_pylist()) for name in self.languages]
+        self.automata = [Automaton(t[:SAMPLE_CHARS]) for t in texts]
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text, ties to the first name: the share of the best language if each bit of cost halves its
@@ -128,20 +167,13 @@ class LanguageModel:
         inside = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
         starts = (np.cumsum(sizes) - sizes)[doc] + inside
         lengths = np.minimum(SEGMENT, sizes[doc] - inside)
-        each = np.stack([a.phrases(points, starts, lengths) * a.cost for a in self._automata()])
+        each = np.stack([a.phrases(points, starts, lengths) * a.cost for a in self.automata])
         costs = np.stack([np.bincount(doc, weights=cost, minlength=len(sizes)) for cost in each])
         best = costs.argmin(0)
         weights = np.exp2(-np.minimum(1000, costs - costs.min(0)))
         score = np.where(lettered, 1 / weights.sum(0), 0.0)
         return [self.languages[b] if have else UNKNOWN for b, have in zip(best, lettered, strict=True)], score
 
-    def _automata(self) -> list[Automaton]:
-        key, built = tuple(self.texts), resident("language_id")
-        if key not in built:
-            built.clear()
-            built[key] = [Automaton(t) for t in self.texts]
-        return built[key]
-
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_DOCS) -> LanguageModel:
     """A model of a bounded sample of the ``learnable`` rows with a non-null lang and text.
@@ -151,7 +183,8 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_DOCS) -
     """
     eligible = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = eligible.select(F.col("lang").alias("label"), F.col("text").cast("string").alias("text")).withColumn("h", text_hash("text"))
-    return LanguageModel(sample_by_class(rows.select("label", "h"), rows.select("h", "text"), per_language))
+    sizes = rows.select("label", "h", F.octet_length("text").alias("size"))
+    return LanguageModel(sample_by_class(sizes, rows.select("h", "text"), per_language, SAMPLE_TEXT))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

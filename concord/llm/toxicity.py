@@ -1,9 +1,10 @@
 """Toxicity by compression distance (operator 6).
 
-The zstandard trainer makes two dictionaries: one of ordinary text, one of what toxic text holds beyond it (novel windows,
-which the ordinary dictionary shortens badly for their length).  A window of a text is compressed with the ordinary
-dictionary and, if it is novel, with both; what the second saves is its gain.  Thresholds of the gain for each window length, the threshold of a text
-and the slope of its score come from a third of the sample that no dictionary has seen.
+Two separate zstandard dictionaries are made of a bounded sample: one of ordinary windows by the zstandard trainer, one of what
+toxic texts hold far more often than ordinary ones: beginnings of words, those of the greatest contrast of document
+frequencies last, where references are short.  Each window of a text is compressed with either; by how much the toxic
+dictionary is shorter, beyond a threshold for the window's length, is evidence, which is summed over the text.  Thresholds, the
+threshold of a text and the slope of its score come from a third of the sample that no dictionary has seen.
 
 A window is one word with the spaces around it (a long word gives several), every byte spelled out as two, so that a match
 saves in proportion to its length against the few bytes that zstandard spends on any match.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from ._sample import beside_rows, kept_rows, resident, sample_by_class, text_hash
+from ._sample import beside_rows, kept_rows, sample_by_class, text_hash
 from ._words import split_words
 
-#: Distinct whole labelled texts sampled per class to train and calibrate.
-SAMPLE_DOCS = 1500
-#: Bytes of the dictionaries of ordinary and of toxic windows, the trainer's segment and the compression level.
-ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, LEVEL = 600_000, 16_000, 64, 9
+#: Distinct whole labelled texts sampled per class to train and calibrate; bytes of the longest that is sampled while a class has others.
+SAMPLE_DOCS, SAMPLE_TEXT = 1500, 40_000
+#: Bytes of the dictionary of ordinary windows, the trainer's segment and the compression level.
+ORDINARY_BYTES, SEGMENT, LEVEL = 16_384, 32, 9
+#: Beginnings of words in the toxic dictionary at most, bytes of one (with the space before it), and how many may share the first STEM.
+BEGINNINGS, SHORTEST, LONGEST, STEM, ALIKE = 120, 5, 11, 6, 4
+#: Standard errors by which a beginning's share of toxic texts must exceed that of ordinary ones, and toxic texts that must hold it.
+CONTRAST, HOLDERS = 5.0, 4
 #: How the compressor looks for matches.
 STRATEGY, SEARCH = zstandard.STRATEGY_BTOPT, 8
-#: A toxic window is trained on if ordinary windows of its length are shortened better in this share of cases.
-NOVEL = 0.7
-#: Share of ordinary windows of one length whose gain may pass the length's threshold.
-LOUD = 1e-4
+#: Share of ordinary windows of one length whose gain stays below the length's threshold; lengths from LENGTHS on are one.
+QUIET, LENGTHS = 0.995, 24
+#: The evidence of a text is divided by the root of its windows and of so many more.
+MORE_WINDOWS = 20
 #: Bytes of a window's word; longer words give windows that overlap by half.
 WORD = 48
 #: Every byte of a window is spelled out as so many bytes, by a fixed random table: letters stay alike, but runs do not arise.
@@ -45,7 +50,7 @@ _MARKS = ".,;:!?\"'()"
 #: match counts in full.
 PRIMER = bytes(range(128, 160))
 #: Gains of words that a Python worker keeps; the cache starts anew beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _TABLE = {k: bytes(row).decode("latin-1") for k, row in enumerate(np.random.default_rng(7).integers(0, 256, (256, DRAWN), np.uint8))}
 
 
@@ -62,17 +67,41 @@ def windows(word: str) -> list[bytes]:
 
 
 def text_windows(text: str) -> list[bytes]:
-    """The distinct windows of a text."""
-    return list(dict.fromkeys(w for word in dict.fromkeys(text.lower().split()) for w in windows(word)))
+    """The windows of a text's distinct words."""
+    return [w for word in dict.fromkeys(text.lower().split()) for w in windows(word)]
 
 
-def train(found: list[bytes], size: int) -> bytes:
-    """A dictionary of the trainer; of too few windows for it, the windows themselves."""
-    spelled = [spell(w) for w in found]
-    try:
-        return zstandard.train_dictionary(size, spelled, k=SEGMENT, d=8, f=20, accel=1).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(spelled))[-size:]
+def ordinary_dictionary(texts: list[str]) -> bytes:
+    """A dictionary of the zstandard trainer.  Where there is too little text for it, the dictionary is all the windows there are."""
+    spelled = [spell(w) for t in texts for w in text_windows(t)]
+    random.Random(5).shuffle(spelled)  # the trainer takes parts of its input in turn
+    if sum(map(len, spelled)) < 10 * ORDINARY_BYTES:
+        return b"".join(dict.fromkeys(spelled))
+    return zstandard.train_dictionary(ORDINARY_BYTES, spelled, k=SEGMENT, d=8, f=20, accel=1).as_bytes()
+
+
+def _beginnings(text: str) -> set[bytes]:
+    return {w[:n] for w in text_windows(text) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+
+
+def toxic_beginnings(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Beginnings of words that toxic texts hold more often, the greatest contrast first."""
+    held = Counter(b for t in toxic for b in _beginnings(t))
+    often = {b for b, n in held.items() if n >= min(HOLDERS, len(toxic))}
+    elsewhere = Counter(b for t in ordinary for b in _beginnings(t) & often)
+
+    def contrast(b: bytes) -> float:
+        share, other = held[b] / len(toxic), (elsewhere[b] + 0.5) / (len(ordinary) + 1)
+        return (share - other) / (other * (1 - other) * (1 / len(toxic) + 1 / len(ordinary))) ** 0.5
+
+    graded = {b: contrast(b) for b in often}
+    out, stems = [], Counter()
+    # short beginnings are found in more words by chance
+    for b in sorted((b for b, z in graded.items() if z >= CONTRAST), key=lambda b: (-graded[b] * min(1, len(b) / 7), b)):
+        if stems[b[:STEM]] < ALIKE:
+            stems[b[:STEM]] += 1
+            out.append(b)
+    return out[:BEGINNINGS]
 
 
 class Coder:
@@ -92,98 +121,70 @@ class Coder:
 class ToxicityModel:
     """Dictionaries, thresholds and calibration; pickles to executors."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, usual: dict[int, float], loud: dict[int, float], threshold: float = 0.0, slope: float = 1.0) -> None:
-        self.ordinary, self.toxic, self.usual, self.loud, self.threshold, self.slope = ordinary, toxic, usual, loud, threshold, slope
+    def __init__(self, ordinary: bytes, toxic: bytes, quiet: dict[int, float], threshold: float = 0.0, slope: float = 1.0) -> None:
+        self.ordinary, self.toxic, self.quiet, self.threshold, self.slope = ordinary, toxic, quiet, threshold, slope
 
     def __getstate__(self) -> tuple:
-        return self.ordinary, self.toxic, self.usual, self.loud, self.threshold, self.slope
+        return self.ordinary, self.toxic, self.quiet, self.threshold, self.slope
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
     def gain(self, window: bytes) -> int:
-        """Bytes that the toxic dictionary saves beyond the ordinary one; 0 for a window that is not novel."""
+        """Bytes by which the toxic dictionary is shorter than the ordinary one; negative if it is longer."""
         if not hasattr(self, "_coders"):
-            self._coders, self._seen = (Coder(self.ordinary), Coder(self.toxic + self.ordinary)), {}
+            self._coders = Coder(self.ordinary), Coder(self.toxic)
         spelled = spell(window)
-        size = self._coders[0].size(spelled)
-        return size - self._coders[1].size(spelled) if size > self.usual.get(len(window), 0) else 0
+        return self._coders[0].size(spelled) - self._coders[1].size(spelled)
 
     def excess(self, window: bytes) -> float:
-        """The gain over the threshold of windows of this length; lengths without one take that of the nearest."""
-        n = len(window)
-        if n not in self.loud:
-            self.loud[n] = self.loud[min(self.loud, key=lambda x: (abs(x - n), x))] if self.loud else 0.0
-        return self.gain(window) - self.loud[n]
-
-    def word_excess(self, words: list[str]) -> np.ndarray:
-        """The greatest excess among each word's windows."""
-        if not hasattr(self, "_seen"):
-            self.gain(b"  ")
-        if len(self._seen) + len(words) > CACHE_WORDS:
-            self._seen.clear()
+        """The gain over the threshold of windows of this length (of the nearest length that has one), 0 below it."""
+        n = min(LENGTHS, len(window))
+        limit = self.quiet.get(n)
+        if limit is None:
+            limit = self.quiet[min(self.quiet, key=lambda x: (abs(x - n), x))] if self.quiet else 0.0
+        return max(0.0, self.gain(window) - limit)
+
+    def word_evidence(self, words: list[str]) -> np.ndarray:
+        """(sum of excesses, number) of each word's windows."""
+        if not hasattr(self, "_seen") or len(self._seen) + len(words) > CACHE_WORDS:
+            self._seen = {}
         seen = self._seen
         for w in words:
             if w not in seen:
-                seen[w] = max(map(self.excess, windows(w)), default=NOTHING)
-        return np.fromiter((seen[w] for w in words), np.float64, len(words))
+                found = windows(w)
+                seen[w] = (sum(map(self.excess, found)), len(found))
+        return np.array([seen[w] for w in words], np.float64).reshape(-1, 2)
 
     def evidence(self, text: pa.Array) -> np.ndarray:
-        """The greatest excess among each whole text's windows (a text without words has none)."""
-        resident("toxicity")
+        """The summed excesses of the distinct words of each whole text, by the root of their number; 0 without words."""
         doc, words, index = split_words(pc.utf8_lower(text))
-        each = self.word_excess(words.to_pylist())[index]
-        out = np.full(len(text), NOTHING)
-        have, starts = np.unique(doc, return_index=True)
-        if len(have):
-            out[have] = np.maximum.reduceat(each, starts)
-        return out
+        pairs = np.unique(doc.astype(np.int64) * max(1, len(words)) + index)
+        each = self.word_evidence(words.to_pylist())[pairs % max(1, len(words))]
+        of = pairs // max(1, len(words))
+        total, count = (np.bincount(of, weights=each[:, k], minlength=len(text)) for k in (0, 1))
+        return total / np.sqrt(count + MORE_WINDOWS)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.threshold), -50, 50)))
 
 
-#: Evidence of a text without words.
-NOTHING = -16.0
-
-
-def _quantiles(values: dict[int, list[float]], share: float) -> dict[int, float]:
-    return {n: float(np.quantile(v, share)) for n, v in values.items()}
-
-
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Train the dictionaries on two thirds of the sample and calibrate on the rest."""
+    """Make the dictionaries of two thirds of the sample and calibrate on the rest."""
     if not toxic or not ordinary:  # one class alone: its prior decides
-        return ToxicityModel(b" " * 8, b" " * 8, {}, {}, -100.0 if toxic else 100.0)
+        return ToxicityModel(b" " * 8, b" " * 8, {}, -100.0 if toxic else 100.0)
     held = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0
     toxic_train, ordinary_train = ([t for t in texts if not held(t)] or texts for texts in (toxic, ordinary))
     toxic_rest, ordinary_rest = ([t for t in texts if held(t)] or texts for texts in (toxic, ordinary))
-    shuffled = lambda found: random.Random(5).sample(found, len(found))  # noqa: E731  the trainer takes parts of its input in turn
-    ordinary_dictionary = train(shuffled([w for t in ordinary_train for w in text_windows(t)]), ORDINARY_BYTES)
-    coder, sizes = Coder(ordinary_dictionary), {}
-
-    def size(window: bytes) -> int:
-        if window not in sizes:
-            sizes[window] = coder.size(spell(window))
-        return sizes[window]
-
-    usual: dict[int, list[float]] = defaultdict(list)
-    calm = [text_windows(t) for t in ordinary_rest]
-    for found in calm:
-        for w in found:
-            usual[len(w)].append(size(w))
-    limit = _quantiles(usual, NOVEL)
-    novel = [w for t in toxic_train for w in text_windows(t) if size(w) > limit.get(len(w), 0)]
-    model = ToxicityModel(ordinary_dictionary, train(shuffled(novel), TOXIC_BYTES), limit, {})
+    model = ToxicityModel(ordinary_dictionary(ordinary_train), b"".join(map(spell, reversed(toxic_beginnings(toxic_train, ordinary_train)))), {})
     gains: dict[int, list[float]] = defaultdict(list)
-    both = Coder(model.toxic + model.ordinary)
     known: dict[bytes, int] = {}
-    for found in calm:
-        for w in found:
+    for text in ordinary_rest:
+        for w in text_windows(text):
             if w not in known:
-                known[w] = size(w) - both.size(spell(w)) if size(w) > limit.get(len(w), 0) else 0
-            gains[len(w)].append(known[w])
-    model.loud = _quantiles(gains, 1 - LOUD)
+                known[w] = model.gain(w)
+            gains[min(LENGTHS, len(w))].append(known[w])
+    model.quiet = {n: max(1.0, float(np.quantile(found, QUIET))) for n, found in gains.items()}
     return calibrate(model, *(model.evidence(pa.array(texts, pa.string())) for texts in (toxic_rest, ordinary_rest)))
 
 
@@ -208,7 +209,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
     eligible = docs.where(learnable & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     eligible = eligible.withColumn("h", text_hash("text"))
-    found = sample_by_class(eligible.select("id", "h").join(marked, "id"), eligible.select("h", "text"), per_class)
+    sizes = eligible.select("id", "h", F.octet_length("text").alias("size"))
+    found = sample_by_class(sizes.join(marked, "id"), eligible.select("h", "text"), per_class, SAMPLE_TEXT)
     return fit(found.get(1, []), found.get(0, []))
 
 

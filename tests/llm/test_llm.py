@@ -173,7 +173,7 @@ def test_trie_searches_successors_of_a_context_alone():
 
 
 def test_toxicity_compressed_lengths_and_thresholds():
-    """Gains are the difference of the compressed lengths of the whole frames; evidence is the greatest excess."""
+    """Gains are the difference of the compressed lengths of the whole frames; evidence is the sum of what exceeds the thresholds."""
     import zstandard
 
     rng = random.Random(11)
@@ -183,13 +183,43 @@ def test_toxicity_compressed_lengths_and_thresholds():
     model = toxicity.fit(toxic, ordinary)
     text = ordinary[0] + " scumbag " + "x" * 200
     sizes = []
-    for d in (model.ordinary, model.toxic + model.ordinary):
+    for d in (model.ordinary, model.toxic):
         kind = zstandard.ZstdCompressionDict(d + toxicity.PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         p = zstandard.ZstdCompressionParameters.from_level(9, strategy=zstandard.STRATEGY_BTOPT, window_log=20, hash_log=17, chain_log=17, search_log=8, min_match=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         sizes.append({w: len(zstandard.ZstdCompressor(dict_data=kind, compression_params=p).compress(toxicity.PRIMER + toxicity.spell(w))) for w in toxicity.text_windows(text)})
         assert all(zstandard.ZstdDecompressor(dict_data=kind).decompress(zstandard.ZstdCompressor(dict_data=kind, compression_params=p).compress(toxicity.spell(w)), max_output_size=999) == toxicity.spell(w) for w in list(sizes[-1])[:5])
-    want = max((sizes[0][w] - sizes[1][w] if sizes[0][w] > model.usual.get(len(w), 0) else 0) - model.loud[min(model.loud, key=lambda n: (abs(n - len(w)), n))] for w in sizes[0])
-    assert model.evidence(pa.array([text]))[0] == want and (model.scores(model.evidence(pa.array([text, ordinary[1], "", None]))) >= 0.5).tolist() == [True, False, False, False]
+    limit = lambda n: model.quiet[min(model.quiet, key=lambda x: (abs(x - n), x))]
+    want = sum(max(0, sizes[0][w] - sizes[1][w] - limit(min(24, len(w)))) for w in toxicity.text_windows(text)) / (len(toxicity.text_windows(text)) + 20) ** 0.5
+    assert model.evidence(pa.array([text]))[0] == pytest.approx(want) and (model.scores(model.evidence(pa.array([text, ordinary[1], "", None]))) >= 0.5).tolist() == [True, False, False, False]
+    # thresholds of lengths that the sample lacks do not depend on what was asked before
+    asked = [model.excess(b" " + b"q" * n + b" ") for n in (14, 15, 40)]
+    assert [toxicity.fit(toxic, ordinary).excess(b" " + b"q" * n + b" ") for n in (40, 15, 14)] == asked[::-1]
+
+
+def test_toxicity_of_stems_and_words_among_syllables(spark):
+    """Prose of syllables in four languages, with junk; toxic texts hold insults or, in two languages, stems with any ending, which
+    ordinary texts hold now and then."""
+    rng = random.Random(21)
+    kinds = [["th", "er", "an", "in", "re", "he", "nd", "ti", "es", "ou"], ["sch", "lich", "keit", "ver", "ung", "ein", "ach", "ge"], ["eau", "que", "ment", "ré", "oi", "eux", "tion"], ["ción", "ado", "os", "arr", "mente", "ez", "bo"]]
+    kinds = [[*kind, *{rng.choice(letters) + rng.choice("aeiouy") + rng.choice(["", *letters]) for _ in range(40)}] for kind, letters in zip(kinds, ["thsndrl", "schnbtg", "rlmnpv", "cdñrlj"], strict=True)]
+    kinds = [sorted(kind) for kind in kinds]
+    insults = [["idiot", "moron", "trash", "scum", "clown"], ["achlich"], ["réeux"], ["Loser", "pathetic"]]
+    rows, labels = [], []
+    for k in range(2400):
+        lang = rng.choice([0, 0, 1, 2, 3])
+        words = ["".join(rng.choice(kinds[lang]) for _ in range(rng.choice([1, 2, 2, 3, 3]))) for _ in range(rng.choice([60, 150, 600]))]
+        bad = k % 8 == 0
+        for _ in range(rng.choice([3, 4, 6]) * (1 + len(words) // 200) if bad else 0):
+            insult = rng.choice(insults[lang])
+            words.insert(rng.randrange(len(words)), insult if lang in (0, 3) else insult + rng.choice(kinds[lang]))
+        if k % 11 == 0:
+            words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)), "###", "12.50"]
+        rows.append((k, " ".join(words) + "."))
+        labels.append((k, int(bad)))
+    got = [r for r in toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 5 == 0).collect() if r["held_out"]]
+    bad = [r for r in got if r["doc_id"] % 8 == 0]
+    found, wrong = sum(r["predicted"] for r in bad), sum(r["predicted"] for r in got if r["doc_id"] % 8)
+    assert found >= 0.9 * len(bad) and wrong <= 0.02 * len(got), (found, len(bad), wrong, len(got))
 
 
 def _made(rng, words, n):
