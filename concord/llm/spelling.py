@@ -1,10 +1,14 @@
 """Spelling variant grouping (operator 12).
 
-Words one edit apart are found on a trie that is a table of edges (parent, char, is_word); a node is the prefix that leads to it.
-A frontier of states (word, position, node) is joined with the edges level by level: each state has spent its one edit, and
-steps on while the node has a child of the word's next character; states that reach the word's end on a word are neighbours.
+Words one edit apart are found on a trie that is kept as tables of edges; a node is the prefix that leads to it.  A frontier of
+states (word, position, node, edits) is joined with them level by level.  States without an edit are a word's own prefixes.
+The first join spends the edit and takes the ``AHEAD`` characters that follow, so that only edits which the trie can go on from
+become states; each further join takes the states over one level of ``STRIDE`` characters; those that reach the end of their
+word at the end of a word of the trie are neighbours.
+
 An edit lies in the second half of a word or in the first, so states leave their word's own path in its second half only, once on
-the trie of the words and once on the trie of the words reversed: no state starts near a root, where all words meet.
+the trie of the words and once on the trie of the words reversed: no state starts near a root, where all words meet.  Of two
+words one code point longer or shorter, the shorter finds the longer; of two of one length, the lesser finds the greater.
 
 Words over ``LONG`` code points, whose prefixes would take the square of their length, are matched by hashes of what stands
 before and after each place, in linear space; the pairs so found are compared whole.
@@ -26,8 +30,10 @@ from ._spark import materialise, pieces, text_column
 TYPO_EVERY, SHORTEST, FEWEST = 97, 5, 3
 #: Longest word on the trie.
 LONG = 64
-#: Levels of the frontier between two writes.
-LEVELS = 4
+#: Characters after the edit that the first join takes, and characters of a further level of the trie.
+AHEAD, STRIDE = 3, 16
+#: Ends every word on the trie.
+END = "."
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
 #: Bytes of Latin-1 text that belong to runs, A-Z in lower case; all else is a space.
@@ -74,57 +80,55 @@ def word_counts(docs: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST)
     return materialise(counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= fewest), "words")
 
 
-def trie_edges(words: DataFrame) -> DataFrame:
-    """(parent, char, is_word) of every edge of the trie of ``word``: distinct prefixes, each with the character that follows."""
+def _from(column: str, start: Column | int, length: Column | int | None = None) -> Column:
+    """Characters of a column from a position (from 0)."""
+    start = F.lit(start) if isinstance(start, int) else start
+    length = F.length(column) if length is None else F.lit(length) if isinstance(length, int) else length
+    return F.substring(F.col(column), start + 1, length)
+
+
+def _edits(words: DataFrame, half: Column) -> DataFrame:
+    """(word, path): the states after the first join.  ``path`` is the word with one edit at ``half`` or after, and the trie has it up to
+    ``AHEAD`` characters behind the edit (or another of the same hash, which the levels find out)."""
     size = F.length("word")
-    steps = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("to"))
-    prefix = F.substring(F.col("word"), F.lit(1), F.col("to") - 1)
-    edges = steps.select(prefix.alias("parent"), _char("word", F.col("to") - 1).alias("char"), (F.col("to") == F.length("word")).alias("is_word"))
-    return edges.groupBy("parent", "char").agg(F.max("is_word").alias("is_word"))
-
-
-def _char(word: str, at: Column) -> Column:
-    """The character of ``word`` at a position from 0; empty at the end."""
-    return F.substring(F.col(word), at + 1, F.lit(1))
-
-
-def _second_half(words: DataFrame, edges: DataFrame) -> DataFrame:
-    """(word, near): words of the trie that one edit in the second half of ``word`` gives, the half that begins at ``half``."""
-    own = words.select("word", F.explode(F.sequence("half", F.length("word"))).alias("pos"))
-    own = own.select("word", "pos", F.substring(F.col("word"), F.lit(1), F.col("pos")).alias("node"))
-    child = own.join(edges, F.col("node") == F.col("parent")).select("word", "pos", F.concat("node", "char").alias("node"), "is_word", (F.col("char") == _char("word", F.col("pos"))).alias("own"))
-    inserted = child.select("word", "pos", "node", "is_word")
-    replaced = child.where(~F.col("own") & (F.col("pos") < F.length("word"))).select("word", (F.col("pos") + 1).alias("pos"), "node", "is_word")
-    # the node of a deletion is the word's own prefix; whether that is a word shows only where the deleted character is the last
-    deleted = own.where(F.col("pos") < F.length("word") - 1).select("word", (F.col("pos") + 1).alias("pos"), "node", F.lit(False).alias("is_word"))
-    shortened = words.select(F.expr("substring(word, 1, length(word) - 1)").alias("near"), "word").join(words.select(F.col("word").alias("near")), "near").select("word", "near")
-    frontier = inserted.unionByName(replaced).unionByName(deleted)
-    ends = [shortened]
-    while True:
-        for _ in range(LEVELS):
-            at_end = F.col("pos") == F.length("word")
-            ends.append(frontier.where(at_end & F.col("is_word")).select("word", F.col("node").alias("near")))
-            going = frontier.where(~at_end).select("word", "pos", "node", _char("word", F.col("pos")).alias("next"))
-            frontier = going.join(edges, (F.col("node") == F.col("parent")) & (F.col("next") == F.col("char"))).select("word", (F.col("pos") + 1).alias("pos"), F.concat("node", "next").alias("node"), "is_word")
-        frontier = materialise(frontier, "frontier")
-        if frontier.isEmpty():
-            break
-    found = ends[0]
-    for part in ends[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def short_neighbours(words: DataFrame) -> DataFrame:
-    """(word, near) of all ordered pairs one edit apart; words of at most LONG code points."""
-    half = F.floor(F.length("word") / 2).cast("int")
-    forward = words.select("word", half.alias("half"))
-    backward = words.select(F.reverse("word").alias("word"), (F.length("word") - half).alias("half"))
-    found = []
-    for side in (forward, backward):
-        edges = materialise(trie_edges(side), "trie")
-        found.append(materialise(_second_half(side, edges).distinct(), "neighbours"))
-    return found[0].unionByName(found[1].select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))).distinct()
+    # the word that is searched may be one shorter, and so its half
+    shorter = F.greatest(F.floor((size - 1) / 2).cast("int"), F.lit(0))
+    ended = words.select("word", F.concat("word", F.lit(END)).alias("path"), half.alias("half"))
+    key = lambda start, tail: F.xxhash64(_from("path", 0, start), tail)
+    bridges = ended.where(size > 0).select("path", F.explode(F.sequence(shorter, size - 1)).alias("at"))
+    at = F.col("at")
+    bridges = bridges.select(key(at, _from("path", at + 1, AHEAD)).alias("key"), _from("path", at, 1).alias("char")).distinct()
+    own = ended.select("word", "path", F.explode(F.sequence("half", size)).alias("at"))
+    inserted = own.select(key(at, _from("path", at, AHEAD)).alias("key"), "word", at.cast("short").alias("at"), F.lit("").alias("old"))
+    replaced = own.where(at < size).select(key(at, _from("path", at + 1, AHEAD)).alias("key"), "word", at.cast("short").alias("at"), _from("path", at, 1).alias("old"))
+    met = inserted.unionByName(replaced).join(bridges, "key").where(F.col("char") > F.col("old"))
+    return met.select("word", F.concat(_from("word", 0, at), "char", _from("word", at + F.length("old")), F.lit(END)).alias("path"))
+
+
+def _along(states: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """The states whose whole path the trie has: one join a level with its edges (parent, label)."""
+    ended = words.select(F.concat("word", F.lit(END)).alias("path"))
+    for start in range(0, longest + 1, STRIDE):
+        edge = lambda: (_from("path", 0, start).alias("parent"), _from("path", start, STRIDE).alias("label"))  # noqa: B023, E731
+        edges = ended.where(F.length("path") > start).select(*edge()).distinct()
+        # a path that has ended stands still
+        over = states.where(F.length("path") <= start) if start else None
+        going = (states.where(F.length("path") > start) if start else states).select("word", "path", *edge()).join(edges, ["parent", "label"], "left_semi").select("word", "path")
+        states = going if over is None else going.unionByName(over)
+    return states
+
+
+def short_neighbours(words: DataFrame, longest: int = LONG) -> DataFrame:
+    """(word, near) of all ordered pairs one edit apart; words of at most ``longest`` code points."""
+    reached = words.agg(F.max(F.length("word")).alias("n")).first()["n"] or 0
+    size = F.length("word")
+    half = F.floor(size / 2).cast("int")
+    near = F.expr(f"substring(path, 1, length(path) - {len(END)})")
+    backward = words.select(F.reverse("word").alias("word"))
+    forward = _along(_edits(words, half), words, min(reached + 1, longest)).select("word", near.alias("near"))
+    mirrored = _along(_edits(backward, size - half), backward, min(reached + 1, longest)).select(F.reverse("word").alias("word"), F.reverse(near).alias("near"))
+    found = materialise(forward.unionByName(mirrored).distinct(), "neighbours")
+    return found.unionByName(found.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 _PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E6
@@ -173,7 +177,7 @@ def long_neighbours(words: DataFrame) -> DataFrame:
 
 def neighbours(words: DataFrame, longest: int = LONG) -> DataFrame:
     """(word, near): all ordered pairs of words that one inserted, deleted or replaced code point parts."""
-    short = short_neighbours(words.where(F.length("word") <= longest).select("word"))
+    short = short_neighbours(words.where(F.length("word") <= longest).select("word"), longest)
     lengthy = words.where(F.length("word") >= longest).select("word")
     return short if lengthy.isEmpty() else short.unionByName(long_neighbours(lengthy)).distinct()
 
