@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,70 +76,74 @@ def dangling(edges: DataFrame, members: DataFrame) -> DataFrame:
     return left.union(right).distinct()
 
 
-#: Edges that one task folds, on average.
-FOLD_EDGES = 20_000
-
-
-def _merge_component(rows: pd.DataFrame) -> pd.DataFrame:
-    """The ordered fold of whole components: promoted edges first, then by position; a merge that would bring together two ends
-    of a differs_by edge is refused."""
-    parent: dict = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    same = rows[rows["relation"] == "same_as"].sort_values(["promoted", "pos"], ascending=[False, True])
-    apart: dict = {}
-    for a, b in rows.loc[rows["relation"] == "differs_by", ["left_id", "right_id"]].itertuples(index=False):
-        if a != b:
-            apart.setdefault(find(a), set()).add(find(b))
-            apart.setdefault(find(b), set()).add(find(a))
-    fate = []
-    for a, b, pos in same[["left_id", "right_id", "pos"]].itertuples(index=False):
-        x, y = find(a), find(b)
-        if x == y:
-            fate.append((pos, "merged"))
-        elif y in apart.get(x, ()):
-            fate.append((pos, "differs_by"))
-        else:
-            parent[x] = y
-            for z in apart.pop(x, set()):
-                apart[z].discard(x)
-                apart[z].add(y)
-                apart.setdefault(y, set()).add(z)
-            fate.append((pos, "merged"))
-    ids = sorted(set(rows["left_id"]) | set(rows["right_id"]))
-    roots: dict = {}
-    for i in ids:
-        roots.setdefault(find(i), i)
-    nodes = pd.DataFrame({"kind": "node", "id": ids, "value": [str(roots[find(i)]) for i in ids]})
-    edges = pd.DataFrame({"kind": "edge", "id": [p for p, _ in fate], "value": [v for _, v in fate]})
-    return pd.concat([nodes, edges])[["kind", "id", "value"]]
+def _leads(pointers: DataFrame) -> DataFrame:
+    """(comp, root) of a forest (comp, parent) whose roots point to themselves: pointers double until none moves."""
+    state = written(pointers, "pointers")
+    while True:
+        onward = state.select(F.col("comp").alias("parent"), F.col("parent").alias("next"))
+        state = written(state.join(onward, "parent").select("comp", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")), "pointers")
+        if state.where("moved").isEmpty():
+            return state.select("comp", F.col("parent").alias("root"))
+        state = state.select("comp", "parent")
+
+
+def _contraction(open_edges: DataFrame, apart: DataFrame) -> DataFrame:
+    """(comp, parent): where each concept goes in this round.
+
+    An edge that comes first at both its ends is decided: whatever touches either concept comes later.  A concept that no
+    differs_by edge touches can never be refused, so it goes along its first edge whatever the other end waits for.
+    """
+    order = F.struct("rank", "left_comp", "right_comp")
+    ends = open_edges.select(order.alias("edge"), F.explode(F.array(F.struct(F.col("left_comp").alias("comp"), F.col("right_comp").alias("other")), F.struct(F.col("right_comp").alias("comp"), F.col("left_comp").alias("other")))).alias("e"))
+    first = ends.groupBy("e.comp").agg(F.min(F.struct("edge", F.col("e.other").alias("other"))).alias("first"))
+    bound = apart.select(F.explode(F.array("lo", "hi")).alias("comp")).distinct().withColumn("bound", F.lit(True))
+    first = first.join(bound, "comp", "left").select("comp", F.col("first.edge").alias("edge"), F.col("first.other").alias("other"), F.coalesce("bound", F.lit(False)).alias("bound"))
+    theirs = first.select(F.col("comp").alias("other"), F.col("edge").alias("their_edge"))
+    both = first.join(theirs, "other").withColumn("mutual", F.col("edge") == F.col("their_edge"))
+    # of two that choose each other the lesser stays
+    goes = (F.col("mutual") & (F.col("comp") > F.col("other"))) | (~F.col("mutual") & ~F.col("bound"))
+    return both.select("comp", F.when(goes, F.col("other")).otherwise(F.col("comp")).alias("parent"))
 
 
 def constrained_merge(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """Merge same_as edges (pos, left_id, right_id, relation, promoted) under differs_by constraints.
+    """Merge same_as edges (pos, left_id, right_id, relation, promoted) one after another, promoted ones first, else by pos; an edge that
+    would bring the two ends of a differs_by edge together is refused.
 
     Returns (kind, id, value): for each node (an end of any edge, or one of ``members`` with a column id) the least node of its
-    concept, for each same_as edge its fate.  Components of the same_as graph are independent, so any number of them fold
-    together in one task; the fold within one is sequential by definition, so components must be bounded (facts of one
-    document set).
+    concept, for each same_as edge (by pos) its fate, ``merged`` or ``differs_by``.  The order is kept exactly, but not one edge at a
+    time: each round refuses every edge between concepts that are apart, and contracts every edge that nothing before it can
+    change; so a component of any size is merged by the cluster.  Rounds grow with the logarithm of a component, and with the
+    longest chain of edges in rising order whose ends are all bound by differs_by edges.
     """
-    same = edges.where("relation = 'same_as'")
-    labels = components(same.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
-    named = edges.join(labels.withColumnRenamed("node", "left_id").withColumnRenamed("component", "lc"), "left_id", "left").join(labels.withColumnRenamed("node", "right_id").withColumnRenamed("component", "rc"), "right_id", "left")
-    inside = named.where("lc is not null and lc = rc and relation in ('same_as', 'differs_by')")
-    tasks = max(1, -(-edges.count() // FOLD_EDGES))
-    dealt = inside.select(F.pmod(F.xxhash64("lc"), F.lit(tasks)).alias("task"), "pos", "left_id", "right_id", "relation", "promoted")
-    merged = dealt.groupBy("task").applyInPandas(_merge_component, "kind string, id long, value string")
-    ids = edges.select(F.explode(F.array("left_id", "right_id")).alias("id"))
+    rank = F.struct((~F.coalesce(F.col("promoted"), F.lit(False))).alias("late"), F.col("pos").alias("pos"))
+    kept = edges.where("left_id is not null and right_id is not null")
+    same = kept.where("relation = 'same_as'").select(rank.alias("rank"), F.col("left_id").alias("left_comp"), F.col("right_id").alias("right_comp"))
+    pair = lambda a, b: (F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    apart = kept.where("relation = 'differs_by' and left_id <> right_id").select(*pair("left_id", "right_id")).distinct()
+    ids = kept.select(F.explode(F.array("left_id", "right_id")).alias("id"))
     ids = (ids if members is None else ids.unionByName(members.select("id"))).distinct()
-    alone = ids.join(labels, ids["id"] == labels["node"], "left_anti")
-    return merged.unionByName(alone.select(F.lit("node").alias("kind"), F.col("id").cast("long").alias("id"), F.col("id").cast("string").alias("value")))
+    labels = written(ids.select("id", F.col("id").alias("comp")), "labels")
+    fates, left = [], same
+    while True:
+        marked = left.select("*", *pair("left_comp", "right_comp")).join(apart.withColumn("refused", F.lit(True)), ["lo", "hi"], "left")
+        fate = F.when(F.col("left_comp") == F.col("right_comp"), "merged").when(F.col("refused"), "differs_by")
+        judged = written(marked.select("rank", "left_comp", "right_comp", fate.alias("fate")), "edges")
+        fates.append(judged.where("fate is not null").select(F.col("rank.pos").alias("pos"), "fate"))
+        open_edges = judged.where("fate is null").drop("fate")
+        if open_edges.isEmpty():
+            break
+        lead = _leads(_contraction(open_edges, apart))
+        moved = lambda df, c: df.join(lead.select(F.col("comp").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")  # noqa: B023, E731
+        left = moved(moved(open_edges, "left_comp"), "right_comp")
+        apart = written(moved(moved(apart, "lo"), "hi").select(*pair("lo", "hi")).distinct(), "apart")
+        labels = written(moved(labels, "comp"), "labels")
+    least = labels.groupBy("comp").agg(F.min("id").alias("least"))
+    nodes = labels.join(least, "comp").select(F.lit("node").alias("kind"), "id", F.col("least").cast("string").alias("value"))
+    out = fates[0]
+    for part in fates[1:]:
+        out = out.unionByName(part)
+    kind = edges.schema["left_id"].dataType
+    return nodes.unionByName(out.select(F.lit("edge").alias("kind"), F.col("pos").cast(kind).alias("id"), F.col("fate").alias("value")))
 
 
 def concept_nodes(members: DataFrame, concept: str = "root") -> DataFrame:

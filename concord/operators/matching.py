@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
@@ -24,12 +24,23 @@ def candidates(reference: DataFrame, targets: DataFrame, ranked: DataFrame | Non
     return exact.unionByName(rest.select("ref_id", "target_doc", "target_id", F.col("score").cast("double").alias("score"), F.lit("ranked").alias("method"), F.col("rank").cast("int").alias("place"), "needs_review"))
 
 
+#: Target documents of one comparison at most; a run with more is several comparisons.
+MOST_DOCUMENTS = 10_000
+
+
+def document_names(targets: DataFrame) -> list[str]:
+    """The target documents of a comparison, in order: a list of files that somebody compares, checked to be short."""
+    found = [r["doc"] for r in targets.select("doc").where("doc is not null").distinct().limit(MOST_DOCUMENTS + 1).collect()]
+    if len(found) > MOST_DOCUMENTS:
+        raise ValueError(f"more than {MOST_DOCUMENTS} target documents in one comparison: compare them in parts")
+    return sorted(found)
+
+
 def attach(reference: DataFrame, targets: DataFrame, found: DataFrame) -> DataFrame:
     """Each reference fact once per target document with its best candidate as ``target`` (null if none), ``n_candidates`` and
     ``needs_review``."""
-    documents = targets.select(F.col("doc").alias("target_doc")).distinct()
     # every reference fact is compared with every target document: the result has that many rows by definition
-    slots = reference.select("*", F.lit(1).alias("_one")).join(documents.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    slots = reference.select("*", F.explode(F.array(*map(F.lit, document_names(targets))).cast("array<string>")).alias("target_doc"))
     per = found.groupBy(F.col("ref_id").alias("fact_id"), "target_doc").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"), F.min_by(F.struct("target_id", "needs_review"), F.struct("place", "target_id")).alias("_best"))
     facts = targets.select(F.col("doc").alias("target_doc"), F.col("fact_id").alias("_target_id"), F.struct(*targets.columns).alias("target"))
     joined = slots.join(per, ["fact_id", "target_doc"], "left").withColumn("_target_id", F.col("_best.target_id")).join(facts, ["target_doc", "_target_id"], "left")
@@ -97,6 +108,7 @@ def rank_changes(before: DataFrame, after: DataFrame, key: str, k: int, missing:
     return joined.where(old != new).select(key, old.cast("long").alias("old_rank"), new.cast("long").alias("new_rank"), move.alias("change"))
 
 
-def nearest_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+def newest(rows: DataFrame, key: str, order: str, *ties: str) -> DataFrame:
+    """The newest row of each key; of equal ones the last by ``ties``, and then by all columns."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(order, *ties, *(c for c in rows.columns if c not in (key, order, *ties))))
+    return rows.groupBy(key).agg(last.alias("_last")).select("_last.*")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_LOCAL: dict[str, str] = {}
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: written under spark.checkpoint.dir where it is set, else kept by the session."""
-    session = df.sparkSession
-    base = session.conf.get("spark.checkpoint.dir", "") or session.sparkContext.getCheckpointDir()
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local master may do without ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, and survives a lost executor.
+
+    The files stay, as other DataFrames may read them; the folder is cleared between applications.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return session.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(rows: DataFrame, order: list[Column | str], name: str, key: list[str] | None = None) -> DataFrame:

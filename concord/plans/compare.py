@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import concepts as C
 from ..operators import facts as V
 from ..operators import matching as J
 from ..operators import retrieval as R
@@ -32,3 +32,15 @@ def compare_facts(reference: DataFrame, targets: DataFrame, low: DataFrame | Non
     """
     candidates = J.candidates(reference, targets, ranked)
     return V.route(V.compare(J.attach(reference, targets, candidates)), low)
+
+
+def build_concepts(reference: DataFrame, targets: DataFrame, ontology: DataFrame, ranked: DataFrame | None = None, answers: DataFrame | None = None, keep: int = 5) -> C.ConceptGraph:
+    """The concept graph of all facts: candidates and what the ontology knows, decided, proven, merged and numbered."""
+    pairs = C.concept_pairs(reference, targets, ranked, ontology, keep)
+    return C.assemble(reference, targets, C.prove(C.decide(pairs, answers), reference, targets))
+
+
+def compare_by_concept(reference: DataFrame, targets: DataFrame, graph: C.ConceptGraph, low: DataFrame | None = None) -> DataFrame:
+    """Verdicts of reference facts against the facts of their concept in each target document, with the gate's reasons and no model."""
+    candidates = C.concept_candidates(reference, targets, graph)
+    return V.route(V.compare(J.attach(reference, targets, candidates)), low)

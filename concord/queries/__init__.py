@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import details, documents, event_log, fact_checks, graphs, grids, matches, reviews, search
+from . import concepts, details, documents, event_log, fact_checks, graphs, grids, matches, reviews, search
 
-GROUPS = (search, documents, grids, fact_checks, graphs, event_log, matches, reviews, details)
+GROUPS = (search, documents, grids, fact_checks, graphs, event_log, matches, reviews, details, concepts)
 QUERIES = {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 ORACLES = {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}

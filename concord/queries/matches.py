@@ -201,4 +201,4 @@ def fact_types(spark, sf_dir):
 
 @add("select o_custkey, arg_max(o_orderkey, o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by 1")
 def newest_runs(spark, sf_dir):
-    return M.nearest_first(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return M.newest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
