@@ -50,7 +50,7 @@ _MARKS = ".,;:!?\"'()"
 #: match counts in full.
 PRIMER = bytes(range(128, 160))
 #: Gains of words that a Python worker keeps; the cache starts anew beyond it.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 _TABLE = {k: bytes(row).decode("latin-1") for k, row in enumerate(np.random.default_rng(7).integers(0, 256, (256, DRAWN), np.uint8))}
 
 
@@ -130,20 +130,36 @@ class ToxicityModel:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
+    def _size(self, side: int, spelled: bytes) -> int:
+        if not hasattr(self, "_coders"):
+            self._coders, self._literal = (Coder(self.ordinary), Coder(self.toxic)), {}
+        return self._coders[side].size(spelled)
+
     def gain(self, window: bytes) -> int:
         """Bytes by which the toxic dictionary is shorter than the ordinary one; negative if it is longer."""
-        if not hasattr(self, "_coders"):
-            self._coders = Coder(self.ordinary), Coder(self.toxic)
         spelled = spell(window)
-        return self._coders[0].size(spelled) - self._coders[1].size(spelled)
+        return self._size(0, spelled) - self._size(1, spelled)
+
+    def literal(self, n: int) -> int:
+        """Compressed bytes of ``n`` bytes that no dictionary holds: no dictionary makes a window longer."""
+        if n not in self._literal:
+            self._literal[n] = self._size(1, np.random.default_rng(n).bytes(n))
+        return self._literal[n]
 
     def excess(self, window: bytes) -> float:
-        """The gain over the threshold of windows of this length (of the nearest length that has one), 0 below it."""
+        """The gain over the threshold of windows of this length (of the nearest length that has one), 0 below it.
+
+        The gain is no more than what the toxic dictionary saves against bare literals, so few windows need the other dictionary.
+        """
         n = min(LENGTHS, len(window))
         limit = self.quiet.get(n)
         if limit is None:
             limit = self.quiet[min(self.quiet, key=lambda x: (abs(x - n), x))] if self.quiet else 0.0
-        return max(0.0, self.gain(window) - limit)
+        spelled = spell(window)
+        toxic = self._size(1, spelled)
+        if self.literal(len(spelled)) - toxic <= limit:
+            return 0.0
+        return max(0.0, self._size(0, spelled) - toxic - limit)
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """(sum of excesses, number) of each word's windows."""
