@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, norm_name
+from .containment import contained
 from .ordering import number_rows
 
 
@@ -75,12 +76,18 @@ def best_overlap(golden: DataFrame, facts: DataFrame, floor: float = 0.3) -> Dat
 
 
 def mentions(entities: DataFrame, blocks: DataFrame, cited: DataFrame, doc: str, block: str) -> DataFrame:
-    """Uncited blocks of an entity's document that mention it: its normalised name lies in the block, or a token of two or more
-    characters is shared.  ``cited`` has the (doc, block) that facts cite."""
-    name = norm_name("entity_name")
+    """(doc, block, entity_name): uncited blocks of an entity's document that mention it: its normalised name lies in the block, or a
+    token of two or more characters is shared.  ``cited`` has the (doc, block) that facts cite.
+
+    Names are found by one automaton over each block, tokens by a join on document and token.
+    """
+    free = blocks.join(cited.select(doc, block), [doc, block], "left_anti")
+    named = entities.select(doc, "entity_name").distinct().withColumn("name", norm_name("entity_name"))
+    held = contained(free, norm_name("block_text"), [doc, block], named).join(named, [doc, "name"]).select(doc, block, "entity_name")
     words = F.filter(F.array_distinct(tokens("entity_name")), lambda t: F.length(t) >= 2)
-    hit = ((name != "") & F.contains(norm_name("block_text"), name)) | F.arrays_overlap(words, F.array_distinct(tokens("block_text")))
-    return entities.join(blocks.join(cited.select(doc, block), [doc, block], "left_anti"), doc).where(hit)
+    asked = named.select(doc, "entity_name", F.explode(words).alias("token"))
+    said = free.select(doc, block, F.explode(F.array_distinct(tokens("block_text"))).alias("token")).join(asked.select(doc, "token").distinct(), [doc, "token"], "left_semi")
+    return held.unionByName(said.join(asked, [doc, "token"]).select(doc, block, "entity_name")).distinct()
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:

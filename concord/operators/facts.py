@@ -186,11 +186,16 @@ def facts_by_block(blocks: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def line_coverage(lines: DataFrame, cited: DataFrame, least: int = 3) -> DataFrame:
-    """(doc, block_id, line_id, covered): whether the line lies in the evidence of a fact citing its block, or the other way round."""
-    line, evidence = collapse("raw_text"), collapse("evidence_text")
-    joined = lines.join(cited.select("doc", "block_id", "evidence_text"), ["doc", "block_id"], "left")
-    hit = (F.least(F.length(line), F.length(evidence)) >= least) & (F.contains(evidence, line) | F.contains(line, evidence))
-    return joined.groupBy("doc", "block_id", "line_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("covered"))
+    """(doc, block_id, line_id, covered): whether the line lies in the evidence of a fact citing its block, or the other way round.
+
+    A block's distinct lines meet its distinct evidence, however often either is repeated.
+    """
+    place = ["doc", "block_id"]
+    own = lines.select(*place, "line_id", collapse("raw_text").alias("line"))
+    proof = cited.select(*place, collapse("evidence_text").alias("evidence")).where(F.length("evidence") >= least).distinct()
+    met = own.where(F.length("line") >= least).select(*place, "line").distinct().join(proof, place)
+    found = met.where(F.contains("evidence", F.col("line")) | F.contains("line", F.col("evidence"))).select(*place, "line").distinct().withColumn("covered", F.lit(True))
+    return own.join(found, [*place, "line"], "left").groupBy(*place, "line_id").agg(F.bool_or(F.coalesce("covered", F.lit(False))).alias("covered"))
 
 
 def duplicate_roles(columns: DataFrame, exclusive: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
+from .containment import contained
+from .ordering import written
+
+#: Results of a comparison.
+RESULTS = ("match", "mismatch", "missing", "unknown")
 
 
 def candidates(reference: DataFrame, targets: DataFrame, ranked: DataFrame | None = None, keep: int = 3) -> DataFrame:
@@ -85,13 +90,19 @@ def record_result(found: DataFrame, record: str) -> DataFrame:
 
 def score_engine(golden: DataFrame, answers: DataFrame) -> DataFrame:
     """Labelled names (golden_id, doc, entity_name, expected) with an engine's result: that of the equal normalised name in the
-    document, or else of the first answer (pos) whose name holds it or lies in it."""
+    document, or else of the first answer (pos) whose name holds it or lies in it.
+
+    Names that hold each other are found by one automaton either way, not by pairing all names of a document.
+    """
     g = golden.withColumn("_g", norm_name("entity_name"))
     a = answers.select("doc", norm_name("entity_name").alias("_a"), "result", "pos").where("_a <> ''")
-    equal = g.join(a.groupBy("doc", F.col("_a").alias("_g")).agg(F.min_by("result", "pos").alias("exact")), ["doc", "_g"], "left")
-    rest = equal.where("exact is null and _g <> ''").join(a, "doc").where(F.contains("_a", F.col("_g")) | F.contains("_g", F.col("_a")))
-    near = rest.groupBy("golden_id").agg(F.min_by("result", "pos").alias("near"))
-    return equal.join(near, "golden_id", "left").select(*golden.columns, F.coalesce("exact", "near").alias("result"))
+    equal = written(g.join(a.groupBy("doc", F.col("_a").alias("_g")).agg(F.min_by("result", "pos").alias("exact")), ["doc", "_g"], "left"), "golden")
+    rest = equal.where("exact is null and _g <> ''").select("golden_id", "doc", "_g")
+    first = a.groupBy("doc", "_a").agg(F.min(F.struct("pos", "result")).alias("answer"))
+    longer = contained(first.select("doc", "_a", "answer"), F.col("_a"), ["doc", "answer"], rest.select(F.col("_g").alias("name"))).join(rest.withColumnRenamed("_g", "name"), ["doc", "name"]).select("golden_id", "answer")
+    shorter = contained(rest, F.col("_g"), ["golden_id", "doc"], first.select(F.col("_a").alias("name"))).join(first.withColumnRenamed("_a", "name"), ["doc", "name"]).select("golden_id", "answer")
+    near = longer.unionByName(shorter).groupBy("golden_id").agg(F.min("answer").alias("answer"))
+    return equal.join(near, "golden_id", "left").select(*golden.columns, F.coalesce("exact", "answer.result").alias("result"))
 
 
 def engine_stats(scored: DataFrame) -> DataFrame:
@@ -100,6 +111,15 @@ def engine_stats(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(F.col("result").isNull()).alias("unmatched"), F.round(F.avg(hit.cast("double")), 6).alias("accuracy"))
 
 
+def engine_confusion(scored: DataFrame) -> DataFrame:
+    """(expected, result, n) of what was matched: all pairs of RESULTS, those that do not occur with 0."""
+    cells = F.explode(F.array(*(F.struct(F.lit(e).alias("expected"), F.lit(r).alias("result")) for e in RESULTS for r in RESULTS))).alias("c")
+    grid = scored.sparkSession.range(1).select(cells).select("c.*")
+    found = scored.where(F.col("result").isNotNull()).groupBy("expected", "result").agg(F.count(F.lit(1)).alias("_n"))
+    # 16 rows
+    return F.broadcast(grid).join(found, ["expected", "result"], "left").select("expected", "result", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
 def rank_changes(before: DataFrame, after: DataFrame, key: str, k: int, missing: int = 999) -> DataFrame:
     """Keys whose rank differs between two modes (an absent one counts ``missing``), with what that does to the first k."""
     joined = before.select(key, F.col("rank").alias("old_rank")).join(after.select(key, F.col("rank").alias("new_rank")), key, "full")

@@ -147,13 +147,16 @@ def facts_by_block(spark, sf_dir):
 
 
 @add(f"""with {_BLOCKS}, lines as (select doc, block_id, unnest(string_split(block_text, '. ')) as l, generate_subscripts(string_split(block_text, '. '), 1) as line_id from blocks),
-    ev as (select doc, block_id, trim(regexp_replace(substring(block_text, 1, 60), '\\s+', ' ', 'g')) as e from blocks where length(block_text) > 40), t as (select doc, block_id, line_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) as l from lines)
-    select t.doc, t.block_id, t.line_id, coalesce(least(length(l), length(e)) >= 3 and (contains(e, l) or contains(l, e)), false) as covered from t left join ev on t.doc = ev.doc and t.block_id = ev.block_id""")
+    t as (select doc, block_id, line_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) as l from lines),
+    ev as (select doc, block_id, l as e from t where line_id % 3 = 2 union select doc, block_id, trim(regexp_replace(block_text, '\\s+', ' ', 'g')) from blocks where block_id % 4 = 1)
+    select t.doc, t.block_id, t.line_id, coalesce(bool_or(least(length(l), length(e)) >= 3 and (contains(e, l) or contains(l, e))), false) as covered
+    from t left join ev on t.doc = ev.doc and t.block_id = ev.block_id group by all""")
 def line_coverage(spark, sf_dir):
     blocks = page_blocks(spark, sf_dir)
     lines = blocks.select("doc", "block_id", F.posexplode(F.split("block_text", r"\. ")).alias("k", "raw_text")).select("doc", "block_id", (F.col("k") + 1).cast("long").alias("line_id"), "raw_text")
-    cited = blocks.where("length(block_text) > 40").select("doc", "block_id", F.substring("block_text", 1, 60).alias("evidence_text"))
-    return V.line_coverage(lines, cited)
+    # every third line is a fact's evidence, and of every fourth block the whole text
+    cited = lines.where("line_id % 3 = 2").select("doc", "block_id", F.col("raw_text").alias("evidence_text"))
+    return V.line_coverage(lines, cited.unionByName(blocks.where("block_id % 4 = 1").select("doc", "block_id", F.col("block_text").alias("evidence_text"))))
 
 
 _TURNS = f"t as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations), k as (select conv_id, turn, list_distinct({TOKENS.format('text')}) as claim, {TOKENS.format('before')} as src from t where before is not null)"

@@ -137,7 +137,7 @@ def mentions(spark, sf_dir):
     """Turns of a conversation that mention what it begins with; every fourth turn counts as cited."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("block_text"))
     entities = turns.where("turn = 0").select("conv_id", F.substring_index("block_text", " ", 3).alias("entity_name"))
-    return D.mentions(entities, turns.where("turn > 0"), turns.where("turn % 4 = 2"), "conv_id", "turn").select("conv_id", "turn")
+    return D.mentions(entities, turns.where("turn > 0"), turns.where("turn % 4 = 2"), "conv_id", "turn").select("conv_id", "turn").distinct()
 
 
 @add("""with e as (select l_orderkey * 10 + l_linenumber as edge_id, case when l_returnflag = 'R' then 'differs_by' else 'same_as' end as relation, l_quantity < 25 as verified, l_linestatus as reason from lineitem),

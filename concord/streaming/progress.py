@@ -14,7 +14,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -152,3 +152,89 @@ def write_events(events: DataFrame, path: str) -> None:
         return
     writer = events.writeStream.partitionBy("job").format("json").option("path", path).option("checkpointLocation", f"{path.rstrip('/')}/_checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
+
+
+WATCH_SCHEMA = "job string, change string, at double, idle double"
+
+
+class _Watch(StatefulProcessor):
+    """Stalls and expiry of jobs by event-time timers: a timer stands where the job, were it silent, would count as stalled, or, after
+    its last event, where it expires."""
+
+    def __init__(self, stall: float, keep: float) -> None:
+        self.stall, self.keep = stall, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("watch", "last double, stalled boolean, final boolean, timer long")
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job", "change", "at", "idle"])
+
+    def _set(self, last: float, stalled: bool, final: bool, old: int | None) -> None:
+        if old is not None:
+            self.handle.deleteTimer(old)
+        timer = None if stalled and not final else math.ceil((last + (self.keep if final else self.stall)) * 1000)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.state.update((last, stalled, final, timer))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        last, stalled, final, timer = self.state.get() if self.state.exists() else (None, False, False, None)
+        out = []
+        events = pd.concat(list(rows)).sort_values(["ts", "final"], kind="stable")
+        for at, ends in zip(events["ts"].astype("int64") / 1e9, events["final"], strict=True):
+            if last is not None and not final and not stalled and at - last >= self.stall:
+                out.append((key[0], "stalled", last + self.stall, self.stall))
+                stalled = True
+            if stalled and (last is None or at > last):
+                out.append((key[0], "moving", at, at - last))
+                stalled = False
+            if bool(ends) and not final:
+                final = True
+                out.append((key[0], "final", at, 0.0))
+            last = at if last is None else max(last, at)
+        self._set(last, stalled, final, timer)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, _, final, _ = self.state.get()
+        if final:
+            self.state.clear()
+            yield self._rows([(key[0], "expired", last + self.keep, self.keep)])
+        else:
+            self.state.update((last, True, False, None))
+            yield self._rows([(key[0], "stalled", last + self.stall, self.stall)])
+
+    def close(self) -> None:
+        """Nothing is held open."""
+
+
+def watch_stream(events: DataFrame, stall: float, keep: float) -> DataFrame:
+    """(job, change, at, idle): what happens to jobs of a stream of (job, ts timestamp, final boolean) with a watermark on ``ts``.
+
+    ``stalled`` when nothing comes for ``stall`` seconds of event time, ``moving`` when something comes after that, ``final`` at the
+    event that ends the job, ``expired`` when that is ``keep`` seconds ago; then the job's state is dropped.  Silence is noticed
+    when the watermark has passed it, also if the job itself never speaks again (needs the RocksDB state store).
+    """
+    return events.groupBy("job").transformWithStateInPandas(_Watch(stall, keep), WATCH_SCHEMA, "Append", "EventTime")
+
+
+def watch_batch(events: DataFrame, stall: float, keep: float, now: float | None = None) -> DataFrame:
+    """What ``watch_stream`` tells of finished input whose watermark ends at ``now`` (seconds; none: it never ends)."""
+    of = Window.partitionBy("job").orderBy("at", "final")
+    rows = events.select("job", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.coalesce("final", F.lit(False)).alias("final"))
+    over = F.max(F.col("final").cast("int")).over(of.rowsBetween(Window.unboundedPreceding, -1)) == 1
+    marked = rows.withColumn("before", F.lag("at").over(of)).withColumn("over", F.coalesce(over, F.lit(False)))
+    gap = ~F.col("over") & (F.col("at") - F.col("before") >= stall)
+    change = lambda name, at, idle: F.struct(F.lit(name).alias("change"), at.alias("at"), idle.cast("double").alias("idle"))
+    seen = marked.select("job", F.explode(F.array_compact(F.array(
+        F.when(gap, change("stalled", F.col("before") + stall, F.lit(stall))),
+        F.when(gap, change("moving", F.col("at"), F.col("at") - F.col("before"))),
+        F.when(F.col("final") & ~F.col("over"), change("final", F.col("at"), F.lit(0.0))),
+    ))).alias("c")).select("job", "c.*")
+    if now is None:
+        return seen
+    ends = rows.groupBy("job").agg(F.max("at").alias("last"), F.bool_or("final").alias("ended"))
+    late = ends.select("job", F.when(F.col("ended"), change("expired", F.col("last") + keep, F.lit(keep))).otherwise(change("stalled", F.col("last") + stall, F.lit(stall))).alias("c"))
+    return seen.unionByName(late.select("job", "c.*").where(F.col("at") <= now))
