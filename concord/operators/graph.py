@@ -77,11 +77,15 @@ def dangling(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _leads(pointers: DataFrame) -> DataFrame:
-    """(comp, root) of a forest (comp, parent) whose roots point to themselves: pointers double until none moves."""
+    """(comp, root) of a forest (comp, parent) whose roots point to themselves: pointers double, three times a write, until none
+    moves."""
     state = written(pointers, "pointers")
     while True:
-        onward = state.select(F.col("comp").alias("parent"), F.col("parent").alias("next"))
-        state = written(state.join(onward, "parent").select("comp", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")), "pointers")
+        far = state
+        for _ in range(3):
+            onward = far.select(F.col("comp").alias("parent"), F.col("parent").alias("next"))
+            far = far.select("comp", "parent").join(onward, "parent").select("comp", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved"))
+        state = written(far, "pointers")
         if state.where("moved").isEmpty():
             return state.select("comp", F.col("parent").alias("root"))
         state = state.select("comp", "parent")
@@ -123,7 +127,8 @@ def constrained_merge(edges: DataFrame, members: DataFrame | None = None) -> Dat
     ids = kept.select(F.explode(F.array("left_id", "right_id")).alias("id"))
     ids = (ids if members is None else ids.unionByName(members.select("id"))).distinct()
     labels = written(ids.select("id", F.col("id").alias("comp")), "labels")
-    fates, left = [], same
+    moved = lambda df, c, lead: df.join(lead.select(F.col("comp").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    fates, left, rounds = [], same, 0
     while True:
         marked = left.select("*", *pair("left_comp", "right_comp")).join(apart.withColumn("refused", F.lit(True)), ["lo", "hi"], "left")
         fate = F.when(F.col("left_comp") == F.col("right_comp"), "merged").when(F.col("refused"), "differs_by")
@@ -133,10 +138,12 @@ def constrained_merge(edges: DataFrame, members: DataFrame | None = None) -> Dat
         if open_edges.isEmpty():
             break
         lead = _leads(_contraction(open_edges, apart))
-        moved = lambda df, c: df.join(lead.select(F.col("comp").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")  # noqa: B023, E731
-        left = moved(moved(open_edges, "left_comp"), "right_comp")
-        apart = written(moved(moved(apart, "lo"), "hi").select(*pair("lo", "hi")).distinct(), "apart")
-        labels = written(moved(labels, "comp"), "labels")
+        left = moved(moved(open_edges, "left_comp", lead), "right_comp", lead)
+        apart = moved(moved(apart, "lo", lead), "hi", lead).select(*pair("lo", "hi")).distinct()
+        labels, rounds = moved(labels, "comp", lead), rounds + 1
+        if rounds % 3 == 0:
+            apart, labels = written(apart, "apart"), written(labels, "labels")
+    labels = written(labels, "labels")
     least = labels.groupBy("comp").agg(F.min("id").alias("least"))
     nodes = labels.join(least, "comp").select(F.lit("node").alias("kind"), "id", F.col("least").cast("string").alias("value"))
     out = fates[0]

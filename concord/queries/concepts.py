@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import concepts as C
 from ..operators import facts as V
+from ..operators import trace as R
 from ..operators.ordering import written
 from ..plans.compare import build_concepts, compare_by_concept
 from ._tables import Registry, table
@@ -93,7 +94,7 @@ def _graph(spark, sf_dir):
     quote = lambda c: F.when(F.col("ref_id") % 8 == 0, F.col(c)).otherwise("words that stand nowhere")
     answers = near.select("ref_id", "target_doc", "target_id", F.lit("same_as").alias("relation"), F.lit("").alias("axis"), quote("evidence_text").alias("left_text"), quote("said").alias("right_text"), F.col("ref_id").alias("pos"))
     targets = written(targets.drop("l_partkey"), "targets")
-    return reference, targets, build_concepts(reference, targets, written(ontology(spark, sf_dir), "ontology"), ranked, answers)
+    return reference, targets, build_concepts(reference, targets, written(ontology(spark, sf_dir), "ontology"), ranked, answers), ranked
 
 
 @add(f"WITH {_FACTS} SELECT * FROM final")
@@ -139,6 +140,37 @@ def concept_stats(spark, sf_dir):
     FROM compared""")
 def concept_verdicts(spark, sf_dir):
     """Verdicts of every part in every document through its concept, with the gate's reasons."""
-    reference, targets, graph = _graph(spark, sf_dir)
+    reference, targets, graph, _ = _graph(spark, sf_dir)
     rows = compare_by_concept(reference, targets, graph)
     return rows.select("fact_id", "target_doc", F.col("target.fact_id").alias("target_id"), "n_candidates", "code_result", "result", "decided_by", F.array_join("triggers", ",").alias("triggers"))
+
+
+@add(f"""WITH {_FACTS}, slots AS (SELECT r.k, d.doc FROM refs r, (SELECT DISTINCT doc FROM targets) d),
+    partner AS (
+      SELECT DISTINCT m.fact_id AS k, t.doc FROM numbered m JOIN numbered t ON m.side = 0 AND t.side = 1 AND m.g = t.g AND m.label = t.label
+    ), missing AS (SELECT s.* FROM slots s ANTI JOIN partner p ON p.k = s.k AND p.doc = s.doc),
+    e AS (
+      SELECT ref_id AS k, target_doc AS doc, count(*) AS n, count(*) FILTER (WHERE relation = 'differs_by') AS blockers,
+        min(rejected_by) FILTER (WHERE relation = 'unknown' AND rejected_by <> '') AS refused, bool_or(relation = 'unknown' AND rejected_by = '') AS undecided
+      FROM final GROUP BY ALL
+    ), held AS (SELECT m.*, e.n, e.blockers, e.refused, coalesce(e.undecided, false) AS undecided FROM missing m LEFT JOIN e ON e.k = m.k AND e.doc = m.doc)
+    SELECT k AS fact_id, doc AS target_doc,
+      CASE WHEN refused IS NOT NULL THEN 'evidence_gate' WHEN undecided THEN 'llm_undecided' WHEN blockers > 0 THEN 'blocked' ELSE 'unresolved' END AS cause,
+      CASE WHEN refused IS NOT NULL THEN refused WHEN undecided THEN 'absent'
+        WHEN blockers > 0 THEN (SELECT p_brand FROM part WHERE p_partkey = CASE WHEN k % 3 = 0 THEN k ELSE k - 1 END) ELSE '' END AS subcause,
+      CASE WHEN n IS NULL OR (refused IS NULL AND NOT undecided AND blockers = 0) THEN 'unresolved' ELSE 'confirmed' END AS confidence,
+      CASE WHEN refused IS NOT NULL THEN 'recall+,judgement+,gate-,comparison-' WHEN undecided THEN 'recall+,judgement-,comparison-'
+        WHEN blockers > 0 THEN 'concepts-,comparison-' ELSE 'recall-' END AS trail,
+      coalesce((SELECT string_agg(f.target_id, ',' ORDER BY f.decided_by = 'model', f.target_id) FROM final f
+        WHERE f.relation <> 'same_as' AND f.ref_id = k AND f.target_doc = doc), '') AS shown
+    FROM held""")
+def missing_traces(spark, sf_dir):
+    """Why each part has no counterpart in a document, from the graph's own edges and rankings."""
+    reference, targets, graph, ranked = _graph(spark, sf_dir)
+    verdicts = written(compare_by_concept(reference, targets, graph).select("fact_id", "target_doc", "entity_name", "result", "decided_by"), "verdicts")
+    cited = targets.groupBy("doc").agg(F.count(F.lit(1)).alias("n_cited"))
+    ranking = ranked.withColumn("cut_by", F.lit(""))
+    found = R.trace_missing(verdicts, graph.edges, ranking, cited)
+    trail = F.array_join(F.transform("trail", lambda s: F.concat(s["stage"], F.when(s["ok"], "+").otherwise("-"))), ",")
+    shown = F.array_join(F.transform("edges", lambda e: e["target_id"].cast("string")), ",")
+    return found.select("fact_id", "target_doc", "cause", "subcause", "confidence", trail.alias("trail"), shown.alias("shown"))

@@ -163,10 +163,9 @@ class _Book:
             for _, node in ET.iterparse(stream):
                 if node.tag != f"{_S}row":
                     continue
-                found = node.findall(f"{_S}c")
-                row, col = int(node.get("r") or (place(found[0].get("r"))[0] if found and found[0].get("r") else row + 1)), 0
-                for cell in found:
-                    col = place(cell.get("r"))[1] if cell.get("r") else col + 1
+                row, col = int(node.get("r", row + 1)), 0
+                for cell in node.findall(f"{_S}c"):
+                    row, col = place(cell.get("r")) if cell.get("r") else (row, col + 1)
                     style = int(cell.get("s", "0"))
                     pattern, bold, size, fill = self.formats[style] if style < len(self.formats) else (None, None, None, None)
                     value, address = self._value(cell, pattern), f"{letters(col)}{row}"
