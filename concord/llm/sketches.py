@@ -89,7 +89,7 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
 
 
-_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +126,10 @@ def _rows(todo: list[tuple]) -> pa.RecordBatch:
         [texts[e] for e in edited],
         [resemblance(found[own], found[e]) for (_, own, _), e in zip(todo, edited, strict=True)],
         [resemblance(found[own], found[follower]) for _, own, follower in todo],
+        [containment(found[own], found[e]) for (_, own, _), e in zip(todo, edited, strict=True)],
+        [containment(found[own], found[follower]) for _, own, follower in todo],
     ]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _FIELDS.split(", ")])
 
 
@@ -142,7 +144,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def compare_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Fingerprint every whole text, its edited text and the next document's, in ascending doc_id order.
+    """Fingerprint every whole text, its edited text and the next document's, in ascending doc_id order; ``near_*`` is the likeness of both
+    texts, ``contained_*`` the share of the text's own shingles that the other one has, however much longer that is.
 
     Documents go to ranges of ids of about ``RANGE_BYTES`` of text, each range in id order in one task.  The first document of a
     range goes also to the range before it, as the follower of its last document (that of the first range follows the last

@@ -156,6 +156,16 @@ def test_sketches_against_sets(spark):
         assert got[k]["near_edited"] == pytest.approx(_likeness(mine, changed)) and got[k]["near_next"] == pytest.approx(_likeness(mine, other))
 
 
+def test_containment_columns_follow_from_the_fingerprints(spark):
+    texts = ["a b c d e f g h", " ".join(f"w{k}" for k in range(400)), " ".join(f"w{k}" for k in range(3000)), "", None]
+    got = {r["doc_id"]: r for r in sketches.compare_neighbours(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()}
+    for k, r in got.items():
+        own, after, edited = (sketches.from_text(f) for f in (r["fingerprint"], got[(k + 1) % 5]["fingerprint"], r["edited_fingerprint"]))
+        assert (r["contained_next"], r["contained_edited"]) == (sketches.containment(own, after), sketches.containment(own, edited))
+    # a short text inside a much longer one: all of it is held, though the two are hardly alike
+    assert got[1]["contained_next"] == 1.0 and got[1]["near_next"] < 0.3
+
+
 def test_containment_of_unequal_texts():
     words = [f"w{k}" for k in range(4000)]
     short, long = (sketches.sketches(pa.array([" ".join(w)]))[0] for w in (words[1000:1600], words))
