@@ -34,16 +34,25 @@ def named_map(items: Column | str) -> Column:
     return F.map_from_entries(last)
 
 
-def place_text(doc_type: Column | str, sheet: Column, where: Column, block_ids: Column, slide_no: Column, shape_ids: Column, words: tuple[str, str, str] = ("블록", "슬라이드", "도형")) -> Column:
-    """Where in its document a fact comes from, for readers; ``-`` if nothing is known."""
-    block, slide, shape = words
+# Words for places in the texts of reports.
+PLACE_WORDS = {"row": "행", "block": "블록", "slide": "슬라이드", "shape": "도형", "notes": "스피커노트 포함"}
+
+
+def place_text(doc_type: Column | str, sheet: Column, where: Column, block_ids: Column, slide_no: Column, shape_ids: Column, row: Column | None = None, from_notes: Column | None = None) -> Column:
+    """Where in its document a fact comes from, for readers; ``-`` if nothing is known.  A sheet's row stands in for a range that is
+    not known; a fact of the speaker notes of a slide says so."""
     ids = lambda a: F.array_join(F.transform(a, lambda i: i.cast("string")), ", ")
     some = lambda a: F.coalesce(F.size(a), F.lit(0)) > 0
-    excel = F.coalesce(F.when(~is_blank(sheet) & ~is_blank(where), F.concat(sheet, F.lit("!"), where)), F.when(~is_blank(where), where), F.when(~is_blank(sheet), sheet), F.lit("-"))
-    word = F.when(some(block_ids), F.concat(F.lit(block + " "), ids(block_ids))).otherwise("-")
-    parts = F.concat_ws(" / ", F.when(slide_no.isNotNull(), F.concat(F.lit(slide + " "), slide_no.cast("string"))), F.when(some(shape_ids), F.concat(F.lit(shape + " "), ids(shape_ids))))
+    word = lambda name: F.lit(f"{PLACE_WORDS[name]} ")
+    cells = F.when(~is_blank(where), where)
+    if row is not None:
+        cells = F.coalesce(cells, F.when(row.isNotNull() & (row != 0), F.concat(word("row"), row.cast("string"))))
+    excel = F.coalesce(F.when(~is_blank(sheet), F.concat(sheet, F.lit("!"), cells)), cells, F.when(~is_blank(sheet), sheet), F.lit("-"))
+    blocks = F.when(some(block_ids), F.concat(word("block"), ids(block_ids))).otherwise("-")
+    notes = [] if from_notes is None else [F.when(from_notes, PLACE_WORDS["notes"])]
+    parts = F.concat_ws(" / ", F.when(slide_no.isNotNull(), F.concat(word("slide"), slide_no.cast("string"))), F.when(some(shape_ids), F.concat(word("shape"), ids(shape_ids))), *notes)
     kind = _col(doc_type)
-    return F.when(kind == "excel", excel).when(kind == "word", word).when(kind == "ppt", F.when(parts == "", "-").otherwise(parts)).otherwise("-")
+    return F.when(kind == "excel", excel).when(kind == "word", blocks).when(kind == "ppt", F.when(parts == "", "-").otherwise(parts)).otherwise("-")
 
 
 def usage(response: Column | str) -> Column:

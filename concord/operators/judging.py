@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import RELATION_WORDS, RESULT_WORDS, coerce, is_blank
+from ..functions.text import RELATION_WORDS, RESULT_WORDS, coerce, collapse, is_blank, table_line, truncate
 
 # Why a call gave no answer, by its status, and results of an item comparison.
 FAILURES = {"length": "output_truncated", "budget": "budget_exceeded", "parse": "parse_failure"}
@@ -83,9 +83,6 @@ def split_batch(size: str, place: str, depth: int = 3, least: int = 1) -> tuple:
 
 def review_rows(edges: DataFrame, notes: dict[str, str], limit: int = 80) -> DataFrame:
     """Edges left unknown as report lines: (left_name, right_name, line) with why the code refused them."""
-    from ..functions.text import collapse, truncate
-    from ..plans.report import table_line
-
     known = F.create_map(*(F.lit(x) for pair in notes.items() for x in pair))[F.col("rejected_by")]
     rejected = F.coalesce(known, F.when(~is_blank("rejected_by"), F.col("rejected_by")), F.lit("-"))
     reason = F.when(is_blank("reason"), "undecided").otherwise(truncate(collapse("reason"), limit))

@@ -38,15 +38,15 @@ def number_rows(rows: DataFrame, order: list[Column | str], name: str, key: list
     Rows are sorted in ranges and written; a row's number is its place in its range plus the rows of earlier ranges.
     """
     by = [F.col(f"`{k}`") for k in key or []] + [F.col(o) if isinstance(o, str) else o for o in order]
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
-    marked = written(dealt, "numbered").withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    parts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_nr_m", F.monotonically_increasing_id())
+    marked = written(dealt, "numbered").withColumn("_nr_part", F.shiftright("_nr_m", 33)).withColumn("_nr_at", F.col("_nr_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = marked.groupBy("_nr_part").agg(F.count(F.lit(1)).alias("_nr_n"))
     # one row per range of the sort
-    before = parts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_part", "_before")
-    placed = marked.join(F.broadcast(before), "_part").withColumn("_place", F.col("_before") + F.col("_at"))
+    before = parts.withColumn("_nr_before", F.sum("_nr_n").over(Window.orderBy("_nr_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_nr_n")).select("_nr_part", "_nr_before")
+    placed = marked.join(F.broadcast(before), "_nr_part").withColumn("_nr_place", F.col("_nr_before") + F.col("_nr_at"))
     if key:
-        first = placed.groupBy(*key).agg(F.min("_place").alias("_first"))
-        keys = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)]
-        joined = placed.join(first.select(*keys, "_first"), [placed[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
-        placed = joined.withColumn("_place", F.col("_place") - F.col("_first"))
-    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_place") + 1).cast("long").alias(name))
+        first = placed.groupBy(*key).agg(F.min("_nr_place").alias("_nr_first"))
+        keys = [F.col(f"`{k}`").alias(f"_nr_k{i}") for i, k in enumerate(key)]
+        joined = placed.join(first.select(*keys, "_nr_first"), [placed[k].eqNullSafe(F.col(f"_nr_k{i}")) for i, k in enumerate(key)])
+        placed = joined.withColumn("_nr_place", F.col("_nr_place") - F.col("_nr_first"))
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_nr_place") + 1).cast("long").alias(name))

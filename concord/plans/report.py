@@ -1,18 +1,19 @@
-"""Markdown rows of reports."""
+"""Reports as ordered lines of Markdown: (section, n, k, line), so that any report is a sort away and no report is built in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, truncate
+from ..functions.text import collapse, is_blank, table_line, truncate
 from ..operators.facts import report_order
+from ..operators.ordering import number_rows
 
-
-def table_line(*cells: Column | str) -> Column:
-    """A Markdown table row; white space is collapsed and bars in cells are escaped."""
-    parts = [F.replace(collapse((F.col(c) if isinstance(c, str) else c).cast("string")), F.lit("|"), F.lit("\\|")) for c in cells]
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+# Results in the order of reports.
+FACT_RESULTS = ("mismatch", "unknown", "missing", "match")
+ITEM_RESULTS = ("same", "partial", "different", "unknown", "not_found")
+#: Lengths after which texts of reports are cut.
+ITEM_CHARS, SUMMARY_CHARS, QUOTE_CHARS = 40, 60, 60
 
 
 def fact_report(compared: DataFrame, limit: int = 80) -> DataFrame:
@@ -24,3 +25,89 @@ def fact_report(compared: DataFrame, limit: int = 80) -> DataFrame:
 def budget_warnings(stats: DataFrame) -> DataFrame:
     """A warning line per stage (stage, calls, budget) that ran into its budget."""
     return stats.where(F.col("calls") >= F.col("budget")).select("stage", F.concat(F.lit("> budget reached in "), "stage", F.lit(": "), F.col("calls").cast("string"), F.lit(" of "), F.col("budget").cast("string")).alias("line"))
+
+
+def counts_with_zeros(results: DataFrame, column: str, classes: tuple[str, ...]) -> DataFrame:
+    """(class, n) of all ``classes`` in their order, zeros included; results that are none of them are not counted."""
+    every = results.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, classes))).alias("ord", column))
+    counts = results.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per class
+    return F.broadcast(every).join(counts, column, "left").select("ord", column, F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def _lines(df: DataFrame, section: int, n: Column | str, *lines: Column) -> DataFrame:
+    """One row per line that is not null."""
+    items = F.array(*(F.struct(F.lit(k).alias("k"), line.alias("line")) for k, line in enumerate(lines)))
+    return df.select(F.lit(section).alias("section"), (F.col(n) if isinstance(n, str) else n).cast("long").alias("n"), F.explode(F.filter(items, lambda x: x["line"].isNotNull())).alias("l")).select("section", "n", "l.k", "l.line")
+
+
+def _overview(results: DataFrame, column: str, classes: tuple[str, ...]) -> DataFrame:
+    counted = counts_with_zeros(results, column, classes)
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(column, F.lit(" "), F.col("n").cast("string")).alias("t")))), lambda x: x["t"]), ", ")
+    # one row of class counts
+    one = counted.groupBy().agg(F.sum("n").alias("total"), shown.alias("shown"))
+    return _lines(one, 1, F.lit(0), F.concat(F.lit("- "), F.col("total").cast("string"), F.lit(" results: "), F.col("shown")))
+
+
+def item_report(results: DataFrame, candidates: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Lines of the report on compared items: overview, summary table, details.
+
+    ``results`` (item_id, pos, label, text, verdict, reasoning, matched_ids, sources array); ``candidates`` (item_id, candidate_id, rank,
+    score, label, text); ``findings`` of records (item_id, pos, header, value, found, note, evidence).  A record without a reasoning of
+    its own is summed up by how many of its fields were found.
+    """
+    numbered = number_rows(results, ["pos", "item_id"], "n")
+    if findings is None:
+        fields = numbered.select("item_id").limit(0).withColumns({"found_n": F.lit(0), "all_n": F.lit(0)})
+    else:
+        fields = findings.groupBy("item_id").agg(F.count_if("found").alias("found_n"), F.count(F.lit(1)).alias("all_n"))
+    rows = numbered.join(fields, "item_id", "left")
+    said = F.when(~is_blank("reasoning"), F.col("reasoning")).otherwise(F.when(F.col("all_n") > 0, F.concat(F.col("found_n").cast("string"), F.lit("/"), F.col("all_n").cast("string"), F.lit(" fields found"))).otherwise("-"))
+    where = F.when(F.coalesce(F.size("sources"), F.lit(0)) > 0, F.array_join("sources", "<br>")).otherwise("-")
+    head = _lines(results.sparkSession.range(1), 2, F.lit(0), F.lit("## Summary"), F.lit(""), F.lit("| # | item | verdict | source | in short |"), F.lit("|---|---|---|---|---|"))
+    summary = _lines(rows, 3, "n", table_line("n", truncate("text", ITEM_CHARS), "verdict", where, truncate(said, SUMMARY_CHARS)))
+    title = F.concat(F.lit("### "), F.col("n").cast("string"), F.lit(". "), "label", F.lit(" - "), "verdict")
+    details = _lines(rows, 4, "n", title, F.lit(""), F.concat(F.lit("**Item**: "), collapse("text")), F.concat(F.lit("**Found in**: "), where), F.concat(F.lit("**Why**: "), collapse(said)))
+    matched = rows.select("item_id", "n", "matched_ids").join(candidates.withColumnsRenamed({"text": "c_text", "label": "c_label"}), "item_id")
+    mark = F.when(F.array_contains(F.coalesce("matched_ids", F.array().cast("array<string>")), F.col("candidate_id").cast("string")), " <- matched").otherwise("")
+    listed = matched.select(F.lit(4).alias("section"), "n", (F.lit(100_000) + F.col("rank")).cast("int").alias("k"), F.concat(F.lit("- ("), F.format_string("%.3f", "score"), F.lit(") "), "c_label", mark, F.lit(": "), truncate("c_text", 120)).alias("line"))
+    out = _overview(results, "verdict", ITEM_RESULTS).unionByName(head).unionByName(summary).unionByName(details).unionByName(listed)
+    if findings is not None:
+        quote = F.when(~is_blank("evidence"), truncate("evidence", 50)).otherwise("-")
+        each = findings.join(rows.select("item_id", "n"), "item_id")
+        out = out.unionByName(each.select(F.lit(4).alias("section"), "n", (F.lit(1000) + F.col("pos")).cast("int").alias("k"), table_line("header", truncate("value", 24), F.when(F.col("found"), "found").otherwise("absent"), truncate("note", 60), quote).alias("line")))
+    return out
+
+
+def fact_details(compared: DataFrame, place: Column, target_place: Column, findings: DataFrame | None = None) -> DataFrame:
+    """Lines of the details on compared facts, worst results first: title, both sides with values, quotes and places, and from two
+    findings (fact_id, target_doc, pos, result, quote, verified, reason) on, each of them with a mark where its quote was not found.
+
+    ``place`` and ``target_place`` say where the two facts come from.
+    """
+    rows = number_rows(compared.withColumns({"_order": report_order(F.col("result")), "_place": place, "_target_place": target_place}), ["_order", "entity_name", "target_doc", "fact_id"], "n")
+    values = lambda c: F.coalesce(F.nullif(F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"], F.when(is_blank(e["value"]["unit"]), "").otherwise(F.concat(F.lit(" "), e["value"]["unit"])))), ", "), F.lit("")), F.lit("-"))
+    quote = lambda c: F.when(is_blank(c), "-").otherwise(truncate(c, QUOTE_CHARS))
+    wrong = F.when(is_blank("mismatch_attributes"), "").otherwise(F.concat(F.lit(" ("), "mismatch_attributes", F.lit(")")))
+    other = F.when(F.col("target").isNull(), table_line("target_doc", F.lit("-"), F.lit("(no counterpart)"), F.lit("-"))).otherwise(table_line("target_doc", values("target.attributes"), quote("target.evidence_text"), "_target_place"))
+    out = _lines(
+        rows, 5, "n", F.concat(F.lit("### "), F.col("n").cast("string"), F.lit(". "), "entity_name", F.lit(" - "), "result", wrong), F.lit(""), F.lit("| | values | quote | place |"), F.lit("|---|---|---|---|"),
+        table_line(F.lit("reference"), values("attributes"), quote("evidence_text"), "_place"), other, F.concat(F.lit("<sub>decided by "), F.coalesce(F.nullif("decided_by", F.lit("")), F.lit("nobody")), F.lit("</sub>")),
+    )
+    if findings is not None:
+        many = findings.groupBy("fact_id", "target_doc").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
+        each = findings.withColumnRenamed("result", "f_result").join(many, ["fact_id", "target_doc"], "left_semi").join(rows.select("fact_id", "target_doc", "n"), ["fact_id", "target_doc"])
+        line = F.concat(F.lit("- "), "f_result", F.when(is_blank("reason"), "").otherwise(F.concat(F.lit(": "), collapse("reason"))), F.when(is_blank("quote"), "").otherwise(F.concat(F.lit(' - "'), truncate("quote", 70), F.lit('"'))), F.when(F.col("verified"), "").otherwise(" (quote not found)"))
+        out = out.unionByName(each.select(F.lit(5).alias("section"), "n", (F.lit(1000) + F.col("pos")).cast("int").alias("k"), line.alias("line")))
+    return out
+
+
+def summary_rows(results: DataFrame) -> DataFrame:
+    """(n, item, verdict, sources) of item results for a table on a screen."""
+    rows = number_rows(results, ["pos", "item_id"], "n")
+    return rows.select("n", truncate("text", 50).alias("item"), "verdict", F.coalesce(F.nullif(F.array_join("sources", "; "), F.lit("")), F.lit("-")).alias("sources"))
+
+
+def field_rows(findings: DataFrame) -> DataFrame:
+    """(item_id, pos, header, value, found, note, evidence) of a record's findings for a table on a screen."""
+    return findings.select("item_id", "pos", "header", "value", F.when(F.col("found"), "found").otherwise("absent").alias("found"), "note", F.coalesce(F.nullif("evidence", F.lit("")), F.lit("-")).alias("evidence"))

@@ -212,7 +212,7 @@ def upper_median(spark, sf_dir):
 
 @add("select source || ' ' || lang as title, '| ' || source || ' | ' || lang || ' | ' || count(*) || ' |' as line from documents group by source, lang")
 def report_lines(spark, sf_dir):
-    from ..plans.report import table_line
+    from ..functions.text import table_line
 
     counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.concat_ws(" ", "source", "lang").alias("title"), table_line("source", "lang", "n").alias("line"))
