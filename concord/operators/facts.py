@@ -6,7 +6,7 @@ struct<value, unit>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number, compare_attribute
@@ -232,8 +232,12 @@ def compare_stats(compared: DataFrame) -> DataFrame:
 def extraction_stats(rows: DataFrame, key: str, samples: int = 5) -> DataFrame:
     """Per key: rows (drop_reason, sample) seen, kept, and dropped, with the first samples of what was dropped."""
     lost = F.coalesce(F.col("drop_reason") != "", F.lit(False))
-    first = F.slice(F.array_sort(F.collect_set(F.when(lost, F.concat_ws(": ", "drop_reason", "sample")))), 1, samples)
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("seen"), F.count_if(~lost).alias("kept"), F.count_if(lost).alias("dropped"), F.array_join(first, "; ").alias("samples"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("seen"), F.count_if(~lost).alias("kept"), F.count_if(lost).alias("dropped"))
+    # distinct drops are counted before they meet their key, and each task passes on only its first ones
+    distinct = rows.where(lost).select(key, F.concat_ws(": ", "drop_reason", "sample").alias("_s")).distinct()
+    first = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_s"))).where(F.col("_n") <= samples)
+    shown = first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_s")), "; ").alias("samples"))
+    return counts.join(shown, key, "left").withColumn("samples", F.coalesce("samples", F.lit("")))
 
 
 def coverage_summary(blocks: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .ordering import number_rows
 
 
 def class_totals(joined: DataFrame, expected: str, predicted: str) -> DataFrame:
@@ -66,8 +67,9 @@ def rank_right(right: DataFrame, links: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key, "node")
     numbered = links.withColumn("_n", F.row_number().over(w.orderBy("left_place"))).withColumn("_all", F.count(F.lit(1)).over(w))
     median = numbered.where(F.col("_n") == F.floor(F.col("_all") / 2) + 1).select(key, "node", F.col("left_place").alias("median"))
-    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("median"), F.coalesce("label", F.lit("")), "node")
-    return right.join(median, [key, "node"], "left").withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    placed = right.join(median, [key, "node"], "left").withColumn("_label", F.coalesce("label", F.lit("")))
+    order = [F.asc_nulls_last("median"), F.asc("_label"), F.asc("node")]
+    return number_rows(placed, order, "place", [key]).drop("_label").withColumn("place", F.col("place") - 1)
 
 
 def snapshot_changes(snapshots: DataFrame, key: str, seconds: int) -> DataFrame:

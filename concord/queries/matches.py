@@ -56,9 +56,9 @@ def edge_lookup(spark, sf_dir):
     return M.edge_between(pairs, _edges(spark, sf_dir)).select("a", "b", "relation")
 
 
-@add(f"with {_EDGES} select left_id as ref_id, right_doc as target_doc, count(*) as n_blockers, bool_or(promoted) as confirmed, coalesce(array_to_string(list_sort(list_distinct(list(axis) filter (where axis <> ''))), ', '), '') as axes from e where relation = 'differs_by' and left_id in (select p_partkey from part where p_size < 30) group by 1, 2")
+@add(f"with {_EDGES} select left_id as ref_id, right_doc as target_doc, count(*) as n_blockers, bool_or(promoted) as confirmed, coalesce(array_to_string(list_sort(list_distinct(list(axis) filter (where axis <> ''))), ', '), '') as axes from e where relation = 'differs_by' and left_id in (select p_partkey from part) group by 1, 2")
 def blocked_by(spark, sf_dir):
-    reference = table(spark, sf_dir, "part").where("p_size < 30").select(F.col("p_partkey").alias("fact_id"))
+    reference = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fact_id"))
     return M.blocked_by(reference, _edges(spark, sf_dir))
 
 

@@ -46,7 +46,7 @@ def judged_facts(spark, sf_dir):
     return J.judge_facts(answers, candidates, findings, "order_id").drop("status")
 
 
-_ANSWERS = f"an as (select l_partkey as left_id, l_suppkey as right_id, arg_max(case l_returnflag when 'R' then 'differs_by' when 'A' then 'same_as' else 'maybe' end, {_POS}) as said, arg_max(l_linestatus, {_POS}) as axis from lineitem where l_quantity < 30 group by 1, 2), p as (select distinct l_partkey as left_id, l_suppkey as right_id from lineitem where l_quantity > 10)"
+_ANSWERS = f"an as (select l_partkey as left_id, l_suppkey as right_id, arg_max(case l_returnflag when 'R' then 'differs_by' when 'A' then 'same_as' else 'maybe' end, {_POS}) as said, arg_max(l_linestatus, {_POS}) as axis from lineitem where l_linestatus = 'F' group by 1, 2), p as (select distinct l_partkey as left_id, l_suppkey as right_id from lineitem)"
 
 
 @add(f"with {_ANSWERS} select left_id, right_id, case when said is null or said = 'maybe' then 'unknown' else said end as relation, case when said = 'differs_by' then axis else '' end as axis, case when said is null then '' else 'model' end as decided_by, case when said is null then 'no answer for this pair' else '' end as reason from p left join an using (left_id, right_id)")
@@ -54,8 +54,8 @@ def judged_pairs(spark, sf_dir):
     l = _lines(spark, sf_dir)  # noqa: E741
     flag = F.col("l_returnflag")
     ends = (F.col("l_partkey").alias("left_id"), F.col("l_suppkey").alias("right_id"))
-    answers = l.where("l_quantity < 30").select(*ends, F.when(flag == "R", "differs_by").when(flag == "A", "SAME_AS").otherwise("maybe").alias("relation"), F.col("l_linestatus").alias("axis"), "pos")
-    return J.judge_pairs(l.where("l_quantity > 10").select(*ends).distinct(), answers)
+    answers = l.where("l_linestatus = 'F'").select(*ends, F.when(flag == "R", "differs_by").when(flag == "A", "SAME_AS").otherwise("maybe").alias("relation"), F.col("l_linestatus").alias("axis"), "pos")
+    return J.judge_pairs(l.select(*ends).distinct(), answers)
 
 
 @add("""with c as (select o_custkey as k, list_distinct(list(o_orderkey::varchar)) as ids from orders where o_totalprice > 100000 group by 1),
@@ -196,12 +196,12 @@ def record_stats(spark, sf_dir):
     return S.record_stats(c, "doc")
 
 
-@add("""with m as (select l_suppkey, l_returnflag as key, list(l_partkey order by l_partkey) as v from lineitem where l_quantity < 20 group by 1, 2), k as (select distinct l_returnflag as key from lineitem)
+@add("""with m as (select l_suppkey, l_returnflag as key, list(l_partkey order by l_partkey) as v from lineitem group by 1, 2), k as (select distinct l_returnflag as key from lineitem)
     select k.key, s_suppkey as node, row_number() over (partition by k.key order by v[(len(v) // 2) + 1] asc nulls last, s_name, s_suppkey) - 1 as place from k cross join supplier left join m on m.key = k.key and l_suppkey = s_suppkey""")
 def right_order(spark, sf_dir):
     """Suppliers in drawing order against parts, for each return flag."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    links = l.where("l_quantity < 20").select(F.col("l_returnflag").alias("key"), F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("left_place"))
+    links = l.select(F.col("l_returnflag").alias("key"), F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("left_place"))
     flags = F.array(*(F.lit(x) for x in ("A", "N", "R")))
     right = table(spark, sf_dir, "supplier").select(F.explode(flags).alias("key"), F.col("s_suppkey").alias("node"), F.col("s_name").alias("label"))
     return S.rank_right(right, links, "key").select("key", "node", "place")
