@@ -1,8 +1,8 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison (operator 1).
 
 Equal vectors of a label are one class.  Classes are rotated to principal axes, which keeps products.  Slabs of a label are
-consecutive by the first axis; two slabs meet in one task if their places allow a link, so a slab travels once per slab near
-it.  Inside, slabs are cut into tiles by halving the widest of the leading axes, and two tiles are compared if the boxes around
+consecutive along a curve that interleaves the leading axes, so that near vectors lie near in all of them; two slabs meet
+in one task if the boxes around two of their tiles allow a link, and a slab travels once per slab near it.  Inside, slabs are cut into tiles by halving the widest of the leading axes, and two tiles are compared if the boxes around
 them allow a link: products of the leading axes are summed first, the rest is bounded by the norms of the remaining parts,
 and pairs that cannot reach the threshold stop there.  What is left is decided by the cosine of the vectors themselves in
 double precision.
@@ -32,7 +32,9 @@ BOX = 8
 LENGTHS = 16
 #: Allowance for rounding in bounds; the decision itself has none.
 _SLACK = 1e-9
-SLAB_SCHEMA = "label string, dims int, slab long, low double, high double, ids array<long>, copies array<long>, vectors binary"
+#: Bits of each leading axis in the place of a vector on the curve, and leading axes by whose cells slabs look each other up.
+CURVE_BITS, CELL_AXES = 7, 3
+SLAB_SCHEMA = "label string, dims int, slab long, low array<array<double>>, high array<array<double>>, ids array<long>, copies array<long>, vectors binary"
 PART_SCHEMA = "id long, to long, links long"
 
 
@@ -84,15 +86,56 @@ def _turn(x: np.ndarray, rotation: dict[int, np.ndarray]) -> np.ndarray:
     return x @ rotation[x.shape[1]] if x.shape[1] in rotation else x
 
 
+def _lead(x: np.ndarray, rotation: dict[int, np.ndarray]) -> np.ndarray:
+    """The leading axes of unit vectors, turned; vectors of fewer dimensions have zeros there."""
+    turned = _turn(_unit(x), rotation)[:, :BOX]
+    return np.pad(turned, ((0, 0), (0, BOX - turned.shape[1])))
+
+
+def _curve(lead: np.ndarray) -> np.ndarray:
+    """The place of each row on a curve through the cells of the leading axes: their bits in turn, the highest first."""
+    cells = np.clip((lead + 1) * (1 << CURVE_BITS - 1), 0, (1 << CURVE_BITS) - 1).astype(np.int64)
+    out = np.zeros(len(lead), np.int64)
+    for bit in reversed(range(CURVE_BITS)):
+        for axis in range(lead.shape[1]):
+            out = (out << 1) | ((cells[:, axis] >> bit) & 1)
+    return out
+
+
+def slab_pairs(slabs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the slabs of one label and length, a <= b, of which the boxes around two tiles allow a link.
+
+    Tiles look each other up by the cells, as wide as a link can reach, that their boxes touch in the first ``CELL_AXES`` axes; what
+    shares a cell is compared by the whole boxes.  Only boxes travel here, one small row per tile and cell.
+    """
+    reach2 = max(0.0, 2 - 2 * threshold) + _SLACK
+    reach = max(reach2**0.5, 0.05)
+    boxes = slabs.select("label", "dims", "slab", F.explode(F.arrays_zip("low", "high")).alias("box")).select("label", "dims", "slab", "box.low", "box.high")
+
+    def in_cells(wider: float) -> DataFrame:
+        out = boxes
+        for axis in range(CELL_AXES):
+            cell = lambda c, by: F.floor((F.col(c)[axis] + by) / reach).cast("int")  # noqa: B023, E731
+            out = out.withColumn(f"c{axis}", F.explode(F.sequence(cell("low", -wider), cell("high", wider))))
+        return out
+
+    cells = [f"c{axis}" for axis in range(CELL_AXES)]
+    own = in_cells(0.0).withColumnsRenamed({"slab": "a", "low": "a_low", "high": "a_high"})
+    other = in_cells(reach).withColumnRenamed("slab", "b")
+    gap = lambda z: F.greatest(F.lit(0.0), z["low"] - z["a_high"], z["a_low"] - z["high"])
+    apart = F.aggregate(F.arrays_zip("a_low", "a_high", "low", "high"), F.lit(0.0), lambda total, z: total + gap(z) * gap(z))
+    return own.join(other, ["label", "dims", *cells]).where(F.col("a") <= F.col("b")).where(apart <= reach2).select("a", "b").distinct()
+
+
 def _slabs(classes: DataFrame, rotation: dict[int, np.ndarray]) -> DataFrame:
-    """Slabs of up to ``SLAB`` classes of one label and length, consecutive by the first axis."""
+    """Slabs of up to ``SLAB`` classes of one label and length, consecutive along the curve, with the boxes around its tiles."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.zeros(batch.num_rows)
+            at = np.zeros(batch.num_rows, np.int64)
             for rows, x in _by_length(batch.column(3)).values():
-                first[rows] = _turn(_unit(x), rotation)[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["id", "label", "copies", "vector", "place"])
+                at[rows] = _curve(_lead(x, rotation))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["id", "label", "copies", "vector", "place"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -103,9 +146,11 @@ def _slabs(classes: DataFrame, rotation: dict[int, np.ndarray]) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             vectors = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            row = [rows["label"][0].as_py(), rows["dims"][0].as_py(), (part << 32) | seq, rows["place"][0].as_py(), rows["place"][-1].as_py(), rows["id"].to_numpy(), rows["copies"].to_numpy(), vectors.tobytes()]
+            lead = _lead(vectors.reshape(len(rows), -1), rotation)
+            tiles = _tiles(lead, TILE)
+            row = [rows["label"][0].as_py(), rows["dims"][0].as_py(), (part << 32) | seq, [lead[t].min(0).tolist() for t in tiles], [lead[t].max(0).tolist() for t in tiles], rows["id"].to_numpy(), rows["copies"].to_numpy(), vectors.tobytes()]
             seq += 1
-            types = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64())), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in SLAB_SCHEMA.split(", ")])
 
         key = lambda batch, k: (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
@@ -126,17 +171,17 @@ def _slabs(classes: DataFrame, rotation: dict[int, np.ndarray]) -> DataFrame:
         if held:
             yield close()
 
-    placed = classes.select("id", "label", "copies", "vector").mapInArrow(place, "id long, label string, copies long, vector array<double>, place double")
+    placed = classes.select("id", "label", "copies", "vector").mapInArrow(place, "id long, label string, copies long, vector array<double>, place long")
     ordered = placed.select("label", F.size("vector").alias("dims"), "place", "id", "copies", "vector").repartitionByRange("label", "dims", "place").sortWithinPartitions("label", "dims", "place", "id")
     return materialise(ordered.mapInArrow(gather, SLAB_SCHEMA), "slabs")
 
 
-def _tiles(turned: np.ndarray) -> list[np.ndarray]:
-    """Rows in tiles of up to ``TILE``, by halving at the median of the widest of the leading axes."""
+def _tiles(turned: np.ndarray, most: int = TILE) -> list[np.ndarray]:
+    """Rows in tiles of up to ``most``, by halving at the median of the widest of the leading axes."""
     out, todo = [], [np.arange(len(turned))]
     while todo:
         rows = todo.pop()
-        if len(rows) <= TILE:
+        if len(rows) <= most:
             out.append(rows)
             continue
         lead = turned[rows, :BOX]
@@ -243,11 +288,7 @@ def link_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
     classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     rotation = axes(classes)
     slabs = _slabs(classes, rotation)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK
-    span = slabs.select("label", "dims", F.col("slab").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    other = slabs.select("label", "dims", F.col("slab").alias("b"), "low", "high")
-    # one small row per slab: a label's slabs meet those within reach on the first axis
-    pairs = span.join(other, ["label", "dims"]).where((F.col("a") <= F.col("b")) & (F.col("low") - F.col("a_high") <= reach) & (F.col("a_low") - F.col("high") <= reach))
+    pairs = slab_pairs(slabs, threshold)
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("slab"))
     meeting = sides.join(slabs.select("slab", "dims", "ids", "copies", "vectors"), "slab").select("a", "b", "slab", "dims", "ids", "copies", "vectors")
     parts = materialise(meeting.groupBy("a", "b").applyInPandas(_link(rotation, threshold), PART_SCHEMA), "links")

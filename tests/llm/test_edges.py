@@ -190,3 +190,21 @@ def test_links_in_many_slabs_and_tiles(spark, slab, tile, monkeypatch):
     for _ in range(100):
         name = np.minimum(name, np.where(near, name[None, :], len(x)).min(1))
     assert got == {k: (int(near[k].sum()), int(name[k])) for k in range(len(x))} and near.sum() > 400
+
+
+def test_slabs_meet_only_where_their_boxes_allow_a_link(spark, monkeypatch):
+    """Clusters spread over many directions: few of the possible pairs of slabs meet, and no link is lost."""
+    monkeypatch.setattr(embedding_links, "SLAB", 32)
+    monkeypatch.setattr(embedding_links, "TILE", 8)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 16))
+    x = np.repeat(centres, 40, 0) + 0.15 * r.normal(size=(1600, 16))
+    df = spark.createDataFrame([(k, "one", v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = ((unit @ unit.T) >= 0.93).sum(1) - 1
+    got = {g["vec_id"]: g["n_links"] for g in embedding_links.link_embeddings(df).collect()}
+    assert [got[k] for k in range(1600)] == want.tolist() and want.sum() > 10_000
+    classes = df.select(F.col("vec_id").alias("id"), "label", F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vector"))
+    slabs = embedding_links._slabs(classes, embedding_links.axes(classes))
+    n, met = slabs.count(), embedding_links.slab_pairs(slabs, 0.93).count()
+    assert met < 0.6 * n * (n + 1) / 2, (met, n)
