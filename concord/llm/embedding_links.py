@@ -1,7 +1,7 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison (operator 1).
 
 Equal vectors of a label are one class.  Classes are rotated to principal axes, which keeps products.  Slabs of a label are
-consecutive along a curve that interleaves the leading axes, so that near vectors lie near in all of them; two slabs meet
+consecutive by cells of the second and third axis and then by the first, so that they are narrow in three; two slabs meet
 in one task if the boxes around two of their tiles allow a link, and a slab travels once per slab near it.  Inside, slabs are cut into tiles by halving the widest of the leading axes, and two tiles are compared if the boxes around
 them allow a link: products of the leading axes are summed first, the rest is bounded by the norms of the remaining parts,
 and pairs that cannot reach the threshold stop there.  What is left is decided by the cosine of the vectors themselves in
@@ -32,8 +32,8 @@ BOX = 8
 LENGTHS = 16
 #: Allowance for rounding in bounds; the decision itself has none.
 _SLACK = 1e-9
-#: Bits of each leading axis in the place of a vector on the curve, and leading axes by whose cells slabs look each other up.
-CURVE_BITS, CELL_AXES = 7, 3
+#: Leading axes by whose cells tiles look each other up.
+CELL_AXES = 3
 SLAB_SCHEMA = "label string, dims int, slab long, low array<array<double>>, high array<array<double>>, ids array<long>, copies array<long>, vectors binary"
 PART_SCHEMA = "id long, to long, links long"
 
@@ -92,14 +92,15 @@ def _lead(x: np.ndarray, rotation: dict[int, np.ndarray]) -> np.ndarray:
     return np.pad(turned, ((0, 0), (0, BOX - turned.shape[1])))
 
 
-def _curve(lead: np.ndarray) -> np.ndarray:
-    """The place of each row on a curve through the cells of the leading axes: their bits in turn, the highest first."""
-    cells = np.clip((lead + 1) * (1 << CURVE_BITS - 1), 0, (1 << CURVE_BITS) - 1).astype(np.int64)
-    out = np.zeros(len(lead), np.int64)
-    for bit in reversed(range(CURVE_BITS)):
-        for axis in range(lead.shape[1]):
-            out = (out << 1) | ((cells[:, axis] >> bit) & 1)
-    return out
+def _reach(threshold: float) -> float:
+    """How far apart two unit vectors may lie that link; no less than a twentieth, so that cells stay few."""
+    return max((max(0.0, 2 - 2 * threshold) + _SLACK) ** 0.5, 0.05)
+
+
+def _order(lead: np.ndarray, reach: float) -> np.ndarray:
+    """The place of each row: by cells as wide as ``reach`` on the second and third axis, then by the first axis."""
+    cell = lambda axis: np.floor(lead[:, axis] / reach).astype(np.int64) + 32
+    return (cell(1) << 54) | (cell(2) << 48) | np.clip((lead[:, 0] + 1) * (1 << 46), 0, (1 << 48) - 1).astype(np.int64)
 
 
 def slab_pairs(slabs: DataFrame, threshold: float) -> DataFrame:
@@ -108,8 +109,7 @@ def slab_pairs(slabs: DataFrame, threshold: float) -> DataFrame:
     Tiles look each other up by the cells, as wide as a link can reach, that their boxes touch in the first ``CELL_AXES`` axes; what
     shares a cell is compared by the whole boxes.  Only boxes travel here, one small row per tile and cell.
     """
-    reach2 = max(0.0, 2 - 2 * threshold) + _SLACK
-    reach = max(reach2**0.5, 0.05)
+    reach2, reach = max(0.0, 2 - 2 * threshold) + _SLACK, _reach(threshold)
     boxes = slabs.select("label", "dims", "slab", F.explode(F.arrays_zip("low", "high")).alias("box")).select("label", "dims", "slab", "box.low", "box.high")
 
     def in_cells(wider: float) -> DataFrame:
@@ -127,14 +127,15 @@ def slab_pairs(slabs: DataFrame, threshold: float) -> DataFrame:
     return own.join(other, ["label", "dims", *cells]).where(F.col("a") <= F.col("b")).where(apart <= reach2).select("a", "b").distinct()
 
 
-def _slabs(classes: DataFrame, rotation: dict[int, np.ndarray]) -> DataFrame:
-    """Slabs of up to ``SLAB`` classes of one label and length, consecutive along the curve, with the boxes around its tiles."""
+def _slabs(classes: DataFrame, rotation: dict[int, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """Slabs of up to ``SLAB`` classes of one label and length, consecutive in ``_order``, with the boxes around its tiles."""
+    reach = _reach(threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.zeros(batch.num_rows, np.int64)
             for rows, x in _by_length(batch.column(3)).values():
-                at[rows] = _curve(_lead(x, rotation))
+                at[rows] = _order(_lead(x, rotation), reach)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["id", "label", "copies", "vector", "place"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +288,7 @@ def link_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD, id_colu
     # rows that share a vec_id may be of different classes, so classes have numbers of their own, written once
     classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     rotation = axes(classes)
-    slabs = _slabs(classes, rotation)
+    slabs = _slabs(classes, rotation, threshold)
     pairs = slab_pairs(slabs, threshold)
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("slab"))
     meeting = sides.join(slabs.select("slab", "dims", "ids", "copies", "vectors"), "slab").select("a", "b", "slab", "dims", "ids", "copies", "vectors")
