@@ -17,12 +17,12 @@ def test_places_in_words(spark):
 
 
 def test_details_of_facts(spark):
-    rows = [(1, "a", "Size", "match", "", "code", {"w": ("1", "mm"), "h": ("2", "")}, "size 1 mm", ({"w": ("1", "mm")}, "1 mm wide")), (2, "a", "Age", "mismatch", "years", "", {}, "", None)]
+    rows = [(1, "a", "Size", "match", "", "code", {"w": ("1", "mm")}, "size 1 mm", ({"w": ("1", "mm")}, "1 mm wide")), (2, "a", "Age", "mismatch", "years", "", {}, "", None)]
     compared = spark.createDataFrame(rows, f"fact_id long, target_doc string, entity_name string, result string, mismatch_attributes string, decided_by string, attributes {A}, evidence_text string, target struct<attributes:{A},evidence_text:string>")
     findings = spark.createDataFrame([(1, "a", 1, "match", "1 mm", True, "x  y"), (1, "a", 2, "unknown", "", False, ""), (2, "a", 1, "match", "q", True, "")], "fact_id long, target_doc string, pos int, result string, quote string, verified boolean, reason string")
     lines = [r["line"] for r in fact_details(compared, F.lit("S!A1"), F.lit("-"), findings).orderBy("n", "k").collect()]
     assert lines == ["### 1. Age - mismatch (years)", "", "| | values | quote | place |", "|---|---|---|---|", "| reference | - | - | S!A1 |", "| a | - | (no counterpart) | - |", "<sub>decided by nobody</sub>",
-                     "### 2. Size - match", "", "| | values | quote | place |", "|---|---|---|---|", "| reference | w=1 mm, h=2 | size 1 mm | S!A1 |", "| a | w=1 mm | 1 mm wide | - |", "<sub>decided by code</sub>", '- match: x y - "1 mm"', "- unknown (quote not found)"]
+                     "### 2. Size - match", "", "| | values | quote | place |", "|---|---|---|---|", "| reference | w=1 mm | size 1 mm | S!A1 |", "| a | w=1 mm | 1 mm wide | - |", "<sub>decided by code</sub>", '- match: x y - "1 mm"', "- unknown (quote not found)"]
 
 
 def test_items_with_findings(spark):
