@@ -10,7 +10,7 @@ from ..operators import events as E
 from ..operators import facts as V
 from ..operators import grid as G
 from ..operators import matching as M
-from ._tables import NORM, Registry, table
+from ._tables import NORM, Registry, node, table
 from .documents import page_blocks, _BLOCKS
 from .grids import _CELLS_SQL, sheet_cells
 
@@ -47,19 +47,19 @@ _EDGES = f"e as (select 'parts' as left_doc, l_partkey as left_id, l_linestatus
 def _edges(spark, sf_dir):
     l = _lines(spark, sf_dir)  # noqa: E741
     axis = F.when(F.col("l_quantity") < 5, "").otherwise(F.concat("l_returnflag", (F.col("l_linenumber") % 3).cast("string")))
-    return l.select(F.lit("parts").alias("left_doc"), F.col("l_partkey").alias("left_id"), F.col("l_linestatus").alias("right_doc"), (F.col("l_suppkey") + 1_000_000).alias("right_id"), F.when(F.col("l_returnflag") == "R", "differs_by").otherwise("same_as").alias("relation"), axis.alias("axis"), (F.col("l_quantity") > 45).alias("promoted"), (F.col("line") * 100 + F.col("l_suppkey")).alias("pos"))
+    return l.select(F.lit("parts").alias("left_doc"), node(0, F.col("l_partkey")).alias("left_id"), F.col("l_linestatus").alias("right_doc"), node(1, F.col("l_suppkey") + 1_000_000).alias("right_id"), F.when(F.col("l_returnflag") == "R", "differs_by").otherwise("same_as").alias("relation"), axis.alias("axis"), (F.col("l_quantity") > 45).alias("promoted"), (F.col("line") * 100 + F.col("l_suppkey")).alias("pos"))
 
 
 @add(f"with {_EDGES}, f as (select left_id, right_id, arg_min(relation, pos) as relation from e group by 1, 2), p as (select p_partkey as a, 1000000 + p_partkey % 100 as b from part) select a, b, relation from p left join f on left_id = a and right_id = b")
 def edge_lookup(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (1_000_000 + F.col("p_partkey") % 100).alias("b"))
-    return M.edge_between(pairs, _edges(spark, sf_dir)).select("a", "b", "relation")
+    pairs = table(spark, sf_dir, "part").select(node(0, F.col("p_partkey")).alias("a"), node(1, 1_000_000 + F.col("p_partkey") % 100).alias("b"))
+    return M.edge_between(pairs, _edges(spark, sf_dir)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "relation")
 
 
 @add(f"with {_EDGES} select left_id as ref_id, right_doc as target_doc, count(*) as n_blockers, bool_or(promoted) as confirmed, coalesce(array_to_string(list_sort(list_distinct(list(axis) filter (where axis <> ''))), ', '), '') as axes from e where relation = 'differs_by' and left_id in (select p_partkey from part) group by 1, 2")
 def blocked_by(spark, sf_dir):
-    reference = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fact_id"))
-    return M.blocked_by(reference, _edges(spark, sf_dir))
+    reference = table(spark, sf_dir, "part").select(node(0, F.col("p_partkey")).alias("fact_id"))
+    return M.blocked_by(reference, _edges(spark, sf_dir)).withColumn("ref_id", F.col("ref_id.id"))
 
 
 _FOUND = """fields as (select c_custkey as row_id, c_custkey || '#f' || n as field_id from customer, (values (1), (2), (3)) v(n)), f as (select o_custkey as row_id, o_custkey || '#f' || (o_orderkey % 4 + 1) as field_id, arg_max(case o_orderstatus when 'F' then 'match' when 'O' then 'different' else 'partial' end, o_orderkey) as result from orders group by 1, 2),
