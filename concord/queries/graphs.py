@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnose as D
 from ..operators import graph as G
-from ._tables import NORM, TOKENS, Registry, table
+from ._tables import NORM, TOKENS, Registry, node, table
 
 _reg = Registry()
 add = _reg.add
@@ -83,19 +83,19 @@ _RELATED = "r as (select l_partkey as left_id, l_suppkey + 1000000 as right_id,
 
 def _related(spark, sf_dir):
     relation = F.when(F.col("l_returnflag") == "R", "differs_by").otherwise("same_as")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("left_id"), (F.col("l_suppkey") + 1_000_000).alias("right_id"), relation.alias("relation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return table(spark, sf_dir, "lineitem").select(node(0, F.col("l_partkey")).alias("left_id"), node(1, F.col("l_suppkey") + 1_000_000).alias("right_id"), relation.alias("relation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
 
 
 @add(f"with {_RELATED} select left_id as lo, right_id as hi, count(*) filter (where relation = 'same_as') as same, count(*) filter (where relation = 'differs_by') as differs from r group by 1, 2 having count(*) filter (where relation = 'same_as') > 0 and count(*) filter (where relation = 'differs_by') > 0")
 def contradictions(spark, sf_dir):
-    return G.contradictions(_related(spark, sf_dir))
+    return G.contradictions(_related(spark, sf_dir)).select(F.col("lo.id").alias("lo"), F.col("hi.id").alias("hi"), "same", "differs")
 
 
 @add(f"with {_RELATED} select distinct * from r where left_id not in (select p_partkey from part where p_size < 45)")
 def dangling_edges(spark, sf_dir):
     edges = _related(spark, sf_dir)
-    members = table(spark, sf_dir, "part").where("p_size < 45").select(F.col("p_partkey").alias("fact_id")).union(edges.select("right_id"))
-    return G.dangling(edges, members)
+    members = table(spark, sf_dir, "part").where("p_size < 45").select(node(0, F.col("p_partkey")).alias("fact_id")).union(edges.select("right_id"))
+    return G.dangling(edges, members).select(F.col("left_id.id").alias("left_id"), F.col("right_id.id").alias("right_id"), "relation", "pos")
 
 
 @add()
