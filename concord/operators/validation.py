@@ -63,11 +63,15 @@ def low_confidence(checks: DataFrame) -> DataFrame:
     return checks.where("severity = 'error'").where(~is_blank(F.col("fact_id").cast("string"))).select("fact_id").distinct()
 
 
-def validate_graph(edges: DataFrame, members: DataFrame) -> DataFrame:
+def validate_graph(edges: DataFrame, members: DataFrame, pair: Column | None = None) -> DataFrame:
     """Checks of edges (left_id, right_id, relation, rejected_by, reason), named by their pair of ids: ends that are no member
-    (fact_id), edges that the code refused, pairs left unknown, and pairs that are both the same and different."""
-    lo, hi = F.least("left_id", "right_id").cast("string"), F.greatest("left_id", "right_id").cast("string")
-    rows = edges.withColumn("pair", F.concat(lo, F.lit(" ~ "), hi))
+    (fact_id), edges that the code refused, pairs left unknown, and pairs that are both the same and different.
+
+    A pair is the same whichever way an edge points; where both sides use the same numbers, ``pair`` names it instead.
+    """
+    if pair is None:
+        pair = F.concat(F.least("left_id", "right_id").cast("string"), F.lit(" ~ "), F.greatest("left_id", "right_id").cast("string"))
+    rows = edges.withColumn("pair", pair)
     ends = rows.select("pair", F.explode(F.array("left_id", "right_id")).alias("fact"))
     loose = ends.join(members.select(F.col("fact_id").alias("fact")).distinct(), "fact", "left_anti")
     out = loose.select(*_check(F.col("pair"), "concept_dangling_node", "error", F.col("fact").cast("string")))
