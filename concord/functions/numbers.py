@@ -62,3 +62,21 @@ def compare_attribute(a_value: Column, a_unit: Column, b_value: Column, b_unit:
     s, t = squeeze(a_value.cast("string")), squeeze(b_value.cast("string"))
     text = F.when((s != "") & (s == t), True).otherwise(unknown)
     return F.when(x.isNotNull() & y.isNotNull(), numeric).otherwise(text)
+
+
+def fixed(number: Column | str, places: int) -> Column:
+    """A double as text with ``places`` digits behind the point, rounded as C's printf does: by its exact binary value, halves to even.
+
+    The number's upper and lower bits are multiplied apart, which is exact, so the sign of what is above a half is right.
+    Numbers of 10**12 and more, and those that are not finite, are left to Java.
+    """
+    x, scale = _col(number).cast("double"), 10**places
+    size = F.abs(x)
+    wide = size * 134217729.0
+    upper = wide - (wide - size)
+    whole = F.floor(size * scale)
+    above = (upper * scale - whole - 0.5) + (size - upper) * scale
+    n = whole + F.when((above > 0) | ((above == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    digits = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(places + 1)), F.lit("0"))
+    text = F.concat(F.when((x < 0), "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - places), F.lit("."), F.right(digits, F.lit(places)))
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(size < 1e12, text).otherwise(F.format_string(f"%.{places}f", x))

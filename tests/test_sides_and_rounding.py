@@ -1,8 +1,10 @@
-"""Graphs whose two sides use equal numbers."""
+"""Graphs whose two sides use equal numbers, and decimals that lie between two roundings."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from concord.functions.numbers import fixed
 from concord.queries import ORACLES, QUERIES
 
 
@@ -32,3 +34,12 @@ def by_sql(folder, name, columns):
 def test_sides_with_equal_numbers_stay_apart(spark, large_keys, name):
     got = QUERIES[name](spark, large_keys)
     assert sorted(repr(tuple(r)) for r in got.collect()) == by_sql(large_keys, name, got.columns)
+
+
+def test_fixed_rounds_as_printf(spark):
+    values = [0.2975, 0.2985, 0.0625, 0.1875, 0.1235, 0.0005, 0.0015, 0.9995, 0.99949999999999994, 1.0005, 2.5, 0.0, -0.0625, -1.2345, 123456.7895, 0.1 + 0.2, 1e-9, 999999999.9995, 1e15, None]
+    values += [k / 1_000_000 for k in range(500, 600_000, 1000)]
+    for places in (1, 3, 6):
+        rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", fixed("x", places).alias("t")).collect()
+        assert [r["t"] for r in rows] == [None if v is None else f"{v:.{places}f}" for v in values]
+    assert spark.range(1).select(F.lit(0.297500).alias("x")).select(fixed("x", 3)).first()[0] == f"{0.2975:.3f}"
