@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +47,52 @@ def resolve_known(pairs: DataFrame, ontology: DataFrame) -> DataFrame:
     return joined.withColumn("relation", F.coalesce("_known", F.when(same, "same_as"), F.lit("unknown"))).withColumn("decided_by", F.when(F.col("_known").isNotNull(), "ontology").when(same, "code").otherwise("")).drop("_l", "_r", "_known", "name_lo", "name_hi")
 
 
+def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each batch as edges (a node, the least node that the batch's edges join it with), the least itself included."""
+    for batch in batches:
+        ends = pa.concat_arrays([batch.column(0), batch.column(1)]).dictionary_encode()
+        order = pc.sort_indices(ends.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[ends.indices.to_numpy()]
+        a, b = at[: len(batch)], at[len(batch) :]
+        root = np.arange(len(order))
+        while True:
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        sorted_ids = ends.dictionary.take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([sorted_ids, sorted_ids.take(pa.array(root))], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of undirected edges (a, b): the least node reachable.  Labels take the least of their neighbours'
-    labels and of their label's label until nothing changes."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a is not null and b is not null").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    """(node, component) of undirected edges (a, b): the least node reachable.
+
+    Edges that stand near each other are first contracted where they stand, a batch at a time.  Then each round points every node to
+    its least neighbour, follows the pointers and contracts the edges, so rounds shrink by half at least; nodes learn their
+    component by going back through the rounds.
+    """
+    ends = edges.select("a", "b").where("a is not null and b is not null")
+    near = written(ends.mapInArrow(_star_batches, ends.schema), "edges")
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
+    rounds = []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        moved = written(labels.join(near.withColumnRenamed("a", "node"), "node", "left").join(jump, "label", "left").select("node", F.least("label", "near", "jump").alias("label"), F.col("label").alias("_old")), "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("label <> _old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+        least = both(near).groupBy(F.col("a").alias("comp")).agg(F.min("b").alias("parent")).select("comp", F.least("comp", "parent").alias("parent"))
+        lead = _leads(least)
+        rounds.append(lead)
+        left = near.where("a <> b").join(lead.select(F.col("comp").alias("b"), F.col("root").alias("to")), "b").select("a", F.col("to").alias("b"))
+        left = left.join(lead.select(F.col("comp").alias("a"), F.col("root").alias("to")), "a").select(F.col("to").alias("a"), "b").where("a <> b").distinct()
+        near = written(left, "edges")
+        if near.isEmpty():
+            break
+    found = rounds.pop()
+    while rounds:
+        onward = found.select(F.col("comp").alias("root"), F.col("root").alias("far"))
+        found = written(rounds.pop().join(onward, "root", "left").select("comp", F.coalesce("far", "root").alias("root")), "labels")
+    return found.select(F.col("comp").alias("node"), F.col("root").alias("component"))
 
 
 def partners(members: DataFrame) -> DataFrame:
@@ -109,23 +148,17 @@ def _contraction(open_edges: DataFrame, apart: DataFrame) -> DataFrame:
     return both.select("comp", F.when(goes, F.col("other")).otherwise(F.col("comp")).alias("parent"))
 
 
-def constrained_merge(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """Merge same_as edges (pos, left_id, right_id, relation, promoted) one after another, promoted ones first, else by pos; an edge that
-    would bring the two ends of a differs_by edge together is refused.
+def _merge_by_rounds(same: DataFrame, apart: DataFrame) -> DataFrame:
+    """``constrained_merge`` of components of any size by the cluster: (kind, id, least, pos, fate) of edges ``same`` (rank, left, right) and
+    pairs ``apart`` (lo, hi).
 
-    Returns (kind, id, value): for each node (an end of any edge, or one of ``members`` with a column id) the least node of its
-    concept, for each same_as edge (by pos) its fate, ``merged`` or ``differs_by``.  The order is kept exactly, but not one edge at a
-    time: each round refuses every edge between concepts that are apart, and contracts every edge that nothing before it can
-    change; so a component of any size is merged by the cluster.  Rounds grow with the logarithm of a component, and with the
-    longest chain of edges in rising order whose ends are all bound by differs_by edges.
+    The order is kept exactly, but not one edge at a time: each round refuses every edge between concepts that are apart, and
+    contracts every edge that nothing before it can change.  Rounds grow with the logarithm of a component, and with the longest
+    chain of edges in rising order whose ends are all bound by differs_by edges.
     """
-    rank = F.struct((~F.coalesce(F.col("promoted"), F.lit(False))).alias("late"), F.col("pos").alias("pos"))
-    kept = edges.where("left_id is not null and right_id is not null")
-    same = kept.where("relation = 'same_as'").select(rank.alias("rank"), F.col("left_id").alias("left_comp"), F.col("right_id").alias("right_comp"))
+    ids = same.select(F.explode(F.array("left", "right")).alias("id")).union(apart.select(F.explode(F.array("lo", "hi")))).distinct()
+    same = same.select("rank", F.col("left").alias("left_comp"), F.col("right").alias("right_comp"))
     pair = lambda a, b: (F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-    apart = kept.where("relation = 'differs_by' and left_id <> right_id").select(*pair("left_id", "right_id")).distinct()
-    ids = kept.select(F.explode(F.array("left_id", "right_id")).alias("id"))
-    ids = (ids if members is None else ids.unionByName(members.select("id"))).distinct()
     labels = written(ids.select("id", F.col("id").alias("comp")), "labels")
     moved = lambda df, c, lead: df.join(lead.select(F.col("comp").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     fates, left, rounds = [], same, 0
@@ -145,12 +178,109 @@ def constrained_merge(edges: DataFrame, members: DataFrame | None = None) -> Dat
             apart, labels = written(apart, "apart"), written(labels, "labels")
     labels = written(labels, "labels")
     least = labels.groupBy("comp").agg(F.min("id").alias("least"))
-    nodes = labels.join(least, "comp").select(F.lit("node").alias("kind"), "id", F.col("least").cast("string").alias("value"))
+    nodes = labels.join(least, "comp").select("id", "least")
     out = fates[0]
     for part in fates[1:]:
         out = out.unionByName(part)
+    return nodes.unionByName(out, allowMissingColumns=True)
+
+
+#: Edges of a component that is merged by one task, row by row; larger ones are merged by rounds.
+FOLDED = 100_000
+
+
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, late, pos, left, right) in order, a component's pairs that are apart (late null) before its links, as
+    (id, least, pos, fate)."""
+    component, least, apart, nodes, places, fates = None, {}, {}, [], [], []
+    schema = None
+
+    def find(x):
+        while least[x] != x:
+            least[x] = least[least[x]]
+            x = least[x]
+        return x
+
+    def out() -> pa.RecordBatch:
+        n, m = len(nodes), len(fates)
+        columns = [[x for x, _ in nodes] + [None] * m, [r for _, r in nodes] + [None] * m, [None] * n + places, [None] * n + fates]
+        kinds = (schema.field("left").type, schema.field("left").type, schema.field("pos").type, pa.string())
+        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "least", "pos", "fate"])
+        for held in (nodes, places, fates):
+            held.clear()
+        return done
+
+    for batch in batches:
+        schema = batch.schema
+        for c, late, pos, a, b in zip(*(batch.column(k).to_pylist() for k in ("component", "late", "pos", "left", "right"))):
+            if c != component:
+                nodes.extend((x, find(x)) for x in least)
+                component, least, apart = c, {}, {}
+            least.setdefault(a, a)
+            least.setdefault(b, b)
+            if late is None:
+                apart.setdefault(a, set()).add(b)
+                apart.setdefault(b, set()).add(a)
+                continue
+            x, y = find(a), find(b)
+            places.append(pos)
+            if x != y and y in apart.get(x, ()):
+                fates.append("differs_by")
+                continue
+            fates.append("merged")
+            if x != y:
+                x, y = min(x, y), max(x, y)
+                least[y] = x
+                for z in apart.pop(y, ()):
+                    apart[z].discard(y)
+                    apart[z].add(x)
+                    apart.setdefault(x, set()).add(z)
+        if len(nodes) + len(fates) > 10_000:
+            yield out()
+    nodes.extend((x, find(x)) for x in least)
+    if schema is not None:
+        yield out()
+
+
+def constrained_merge(edges: DataFrame, members: DataFrame | None = None, folded: int = FOLDED) -> DataFrame:
+    """Merge same_as edges (pos, left_id, right_id, relation, promoted) one after another, promoted ones first, else by pos; an edge that
+    would bring the two ends of a differs_by edge together is refused.
+
+    Returns (kind, id, value): for each node (an end of any edge, or one of ``members`` with a column id) the least node of its
+    concept, for each same_as edge (by pos) its fate, ``merged`` or ``differs_by``.
+
+    Only what same_as edges join can be refused or merged, so each of their components stands alone: one without a differs_by edge
+    inside is a concept as it is; of the others those of up to ``folded`` edges are merged edge by edge, many in a task, and larger
+    ones by rounds of the cluster.
+    """
+    rank = F.struct((~F.coalesce(F.col("promoted"), F.lit(False))).alias("late"), F.col("pos").alias("pos"))
+    # read several times below
+    kept = written(edges.select("pos", "left_id", "right_id", "relation", "promoted").where("left_id is not null and right_id is not null"), "links")
+    same = kept.where("relation = 'same_as'").select(rank.alias("rank"), F.col("left_id").alias("left"), F.col("right_id").alias("right"))
+    apart = kept.where("relation = 'differs_by' and left_id <> right_id").select(F.least("left_id", "right_id").alias("lo"), F.greatest("left_id", "right_id").alias("hi"))
+    label = components(same.select(F.col("left").alias("a"), F.col("right").alias("b")))
+    of = lambda c, name: label.select(F.col("node").alias(c), F.col("component").alias(name))
+    inside = apart.join(of("lo", "component"), "lo").join(of("hi", "other"), "hi").where("component = other").select("component", "lo", "hi").distinct()
+    links = same.join(of("left", "component"), "left")
+    rows = written(links.select("component", "rank.late", "rank.pos", "left", "right").unionByName(inside.select("component", F.col("lo").alias("left"), F.col("hi").alias("right")), allowMissingColumns=True), "links")
+    size = written(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("late").isNull()).alias("n_apart")).where("n_apart > 0").select("component", (F.col("n") > folded).alias("large")), "sizes")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    bound = rows.join(size, "component", "left")
+    free = bound.where("large is null").select("pos", F.lit("merged").alias("fate"))
+    small = bound.where("not large").drop("large").repartition("component").sortWithinPartitions("component", F.col("late").asc_nulls_first(), "pos", "left", "right")
+    out = written(small.mapInArrow(_fold_batches, f"id {kinds['left']}, least {kinds['left']}, pos {kinds['pos']}, fate string"), "folded").unionByName(free, allowMissingColumns=True)
+    if not size.where("large").isEmpty():
+        large = rows.join(size.where("large"), "component", "left_semi")
+        links = large.where("late is not null").select(F.struct("late", "pos").alias("rank"), "left", "right")
+        out = out.unionByName(written(_merge_by_rounds(links, large.where("late is null").select(F.col("left").alias("lo"), F.col("right").alias("hi"))), "large"))
+    # a component with a pair apart is named by the nodes of its concepts
+    whole = label.join(size.select("component"), "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("least"))
+    every = kept.where("relation <> 'same_as' or relation is null").select(F.explode(F.array("left_id", "right_id")).alias("id"))
+    every = every if members is None else every.union(members.select("id").where("id is not null"))
+    named = whole.unionByName(out.where("fate is null").select("id", "least")).unionByName(every, allowMissingColumns=True)
+    nodes = named.groupBy("id").agg(F.min("least").alias("least")).select(F.lit("node").alias("kind"), "id", F.coalesce("least", "id").cast("string").alias("value"))
     kind = edges.schema["left_id"].dataType
-    return nodes.unionByName(out.select(F.lit("edge").alias("kind"), F.col("pos").cast(kind).alias("id"), F.col("fate").alias("value")))
+    return nodes.unionByName(out.where("fate is not null").select(F.lit("edge").alias("kind"), F.col("pos").cast(kind).alias("id"), F.col("fate").alias("value")))
 
 
 def concept_nodes(members: DataFrame, concept: str = "root") -> DataFrame:
