@@ -107,9 +107,10 @@ def constrained_merge(spark, sf_dir):
     window = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     l = table(spark, sf_dir, "lineitem").select(line.alias("left_id"), F.lead(line).over(window).alias("right_id"), F.lead(line, 2).over(window).alias("third"), "l_returnflag", "l_linestatus")  # noqa: E741
     relation = F.when(F.col("l_returnflag") == "R", "differs_by").otherwise("same_as")
-    near = l.where("right_id is not null").select((F.col("left_id") * 2).alias("pos"), "left_id", "right_id", F.lit("same_as").alias("relation"), (F.col("l_linestatus") == "F").alias("promoted"))
-    far = l.where("third is not null").select((F.col("left_id") * 2 + 1).alias("pos"), "left_id", F.col("third").alias("right_id"), relation.alias("relation"), F.lit(False).alias("promoted"))
-    return G.constrained_merge(near.unionByName(far), table(spark, sf_dir, "lineitem").select(line.alias("id")))
+    near = F.struct((F.col("left_id") * 2).alias("pos"), "left_id", "right_id", F.lit("same_as").alias("relation"), (F.col("l_linestatus") == "F").alias("promoted"))
+    far = F.struct((F.col("left_id") * 2 + 1).alias("pos"), "left_id", F.col("third").alias("right_id"), relation.alias("relation"), F.lit(False).alias("promoted"))
+    edges = l.select(F.explode(F.array(near, far)).alias("e")).select("e.*").where("right_id is not null")
+    return G.constrained_merge(edges, table(spark, sf_dir, "lineitem").select(line.alias("id")))
 
 
 @add("""with m as (select o_custkey as root, min(o_orderkey) as first, arg_min(o_orderpriority, o_orderkey) as label, count(distinct o_orderstatus) as n_docs from orders group by 1), n as (select *, row_number() over (order by first) as concept_no from m) select *, 'c-' || lpad(concept_no::varchar, greatest(4, length(concept_no::varchar))::int, '0') as node_id from n""")
