@@ -14,6 +14,10 @@ from ..functions.text import chunks, is_blank, tokens
 from ..functions.vectors import dot, l2_normalize
 from .ordering import written
 
+#: Scores of vectors that a task holds at once, 8 bytes each and once more while it cuts them.
+SCORES = 4_000_000
+
+
 def chunk_items(items: DataFrame, size: int = 800) -> DataFrame:
     """Items (item_id, text, ...) in slices of ``size`` characters; a longer item's slices are named ``#chunkN`` from 1."""
     cut = items.select("*", F.posexplode(chunks("text", size)).alias("_n", "_piece"))
@@ -107,7 +111,7 @@ def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarra
     return out
 
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int, query_block: int = 8192, corpus_block: int = 32768) -> DataFrame:
+def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int, query_block: int = 8192, corpus_block: int = 32768, scores_held: int = SCORES) -> DataFrame:
     """The k rows of ``corpus`` nearest to each query, ranked from 1 (scores rounded to 6 places, ties by ``doc_id``).
 
     Queries and corpus are dealt to blocks of bounded size; each pair of blocks meets in one task as matrix products and
@@ -125,8 +129,10 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
             if n not in rows:
                 continue
             there, other = rows[n]
-            for a in range(0, len(block), 512):
-                scores = np.round(block[a : a + 512] @ other.T, 6)
+            step = max(1, scores_held // len(other))
+            for a in range(0, len(block), step):
+                scores = block[a : a + step] @ other.T
+                np.round(scores, 6, out=scores)
                 cut = max(0, scores.shape[1] - k)
                 least = np.partition(scores, cut, axis=1)[:, cut]
                 i, j = np.nonzero(scores >= least[:, None])
