@@ -16,10 +16,15 @@ from .ordering import number_rows, written
 
 def expand_ontology(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name_lo, name_hi, relation, axis): all pairs of alias forms of an entry's two names; the later entry wins, and
-    ``differs_by`` over ``same_as``.  ``entries`` is (pos, left, right, relation, axis), ``aliases`` (group_id, name)."""
-    names = aliases.select("group_id", norm_name("name").alias("name")).where("name <> ''").distinct()
+    ``differs_by`` over ``same_as``.  ``entries`` is (pos, left, right, relation, axis), ``aliases`` (group_id, name).
+
+    Entries and pairs of forms are dealt anew by their names: a table of entries is small on disk, so one task reads many of them,
+    and each grows to all pairs of its forms.
+    """
+    # read several times below
+    names = written(aliases.select("group_id", norm_name("name").alias("name")).where("name <> ''").distinct(), "names")
     groups = names.groupBy("name").agg(F.min("group_id").alias("group_id"))
-    sides = entries.select("pos", "relation", "axis", norm_name("left").alias("l"), norm_name("right").alias("r")).where("l <> '' and r <> ''")
+    sides = entries.select("pos", "relation", "axis", norm_name("left").alias("l"), norm_name("right").alias("r")).where("l <> '' and r <> ''").repartition("l")
 
     def spread(df: DataFrame, side: str) -> DataFrame:
         own = df.join(groups.withColumnRenamed("name", side).withColumnRenamed("group_id", f"{side}_group"), side, "left")
@@ -27,8 +32,11 @@ def expand_ontology(entries: DataFrame, aliases: DataFrame) -> DataFrame:
         return own.join(forms, f"{side}_group", "left").withColumn(f"{side}_form", F.coalesce(f"{side}_form", side))
 
     both = spread(spread(sides, "l"), "r").where("l_form <> r_form and not (l_group <=> r_group and l_group is not null)")
-    order = F.struct(F.when(F.col("relation") == "differs_by", 1).otherwise(0), "pos")
-    return both.groupBy(F.least("l_form", "r_form").alias("name_lo"), F.greatest("l_form", "r_form").alias("name_hi")).agg(F.max_by("relation", order).alias("relation"), F.max_by("axis", order).alias("axis"))
+    said = F.struct(F.when(F.col("relation") == "differs_by", 1).otherwise(0).alias("differs"), "pos", "relation", "axis")
+    pairs = both.select(F.least("l_form", "r_form").alias("name_lo"), F.greatest("l_form", "r_form").alias("name_hi"), said.alias("said"))
+    # hardly any pair repeats, so nothing is summed (and sorted) before it is dealt
+    last = pairs.repartition("name_lo", "name_hi").groupBy("name_lo", "name_hi").agg(F.max("said").alias("said"))
+    return last.select("name_lo", "name_hi", "said.relation", "said.axis")
 
 
 def ontology_pairs(reference: DataFrame, targets: DataFrame, ontology: DataFrame) -> DataFrame:
