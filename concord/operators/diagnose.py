@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, norm_name
 from .containment import contained
 from .ordering import number_rows
+from .overlap import shared_tokens
 
 
 def missing_cause(case: DataFrame) -> DataFrame:
@@ -56,21 +57,11 @@ def best_overlap(golden: DataFrame, facts: DataFrame, floor: float = 0.3) -> Dat
     """(golden_id, fact_id, overlap): of all facts (fact_id, fact_text) the one of greatest token overlap (Jaccard) with each golden
     text, the first of equals; none below ``floor``.
 
-    A fact that reaches the floor shares one of any |golden| - ceil(floor * |golden|) + 1 tokens of the golden text, so facts
-    are looked up by its rarest ones alone; what is found is scored exactly.
+    Blocks of golden texts meet blocks of facts (see ``shared_tokens``) and pass on what can be best; that is scored exactly.
     """
-    g = golden.select("golden_id", F.array_distinct(tokens("golden_text")).alias("g")).where("size(g) > 0")
-    f = facts.select("fact_id", F.array_distinct(tokens("fact_text")).alias("f"))
-    asked = g.select("golden_id", F.size("g").alias("n"), F.explode("g").alias("term"))
-    found = f.select("fact_id", F.explode("f").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    spread = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarity = F.row_number().over(Window.partitionBy("golden_id").orderBy("df", "term"))
-    rare = asked.join(spread, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("at", rarity)
-    rare = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * floor) + 1)
-    pairs = rare.select("golden_id", "term").join(found, "term").select("golden_id", "fact_id").distinct()
-    both = pairs.join(g, "golden_id").join(f, "fact_id")
-    overlap = F.size(F.array_intersect("g", "f")) / F.size(F.array_union("g", "f"))
-    scored = both.select("golden_id", "fact_id", F.round(overlap, 6).alias("overlap")).where(F.col("overlap") >= floor)
+    found = shared_tokens(golden, facts, lambda both, n, m: both / (n + m - both), floor, best=True)
+    overlap = F.col("shared") / (F.col("n_golden") + F.col("n_fact") - F.col("shared"))
+    scored = found.select("golden_id", "fact_id", F.round(overlap, 6).alias("overlap")).where(F.col("overlap") >= floor)
     best = F.max_by(F.struct("fact_id", "overlap"), F.struct("overlap", -F.col("fact_id")))
     return scored.groupBy("golden_id").agg(best.alias("b")).select("golden_id", "b.fact_id", "b.overlap")
 

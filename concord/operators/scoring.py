@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from .ordering import number_rows
+from .overlap import shared_tokens
 
 
 def class_totals(joined: DataFrame, expected: str, predicted: str) -> DataFrame:
@@ -28,18 +28,10 @@ def calibration(scored: DataFrame, key: str) -> DataFrame:
 def covering_facts(golden: DataFrame, facts: DataFrame, share: float) -> DataFrame:
     """(golden_id, fact_id, ratio, place): all facts that have ``share`` or more of a golden text's distinct tokens, best first.
 
-    Such a fact has one of any n - ceil(share * n) + 1 tokens of the text, so only the rarest ones look facts up; what they
-    find is scored exactly.
+    Blocks of golden texts meet blocks of facts (see ``shared_tokens``).
     """
-    g = golden.select("golden_id", F.array_distinct(tokens("golden_text")).alias("g")).where("size(g) > 0")
-    asked = g.select("golden_id", F.size("g").alias("n"), F.explode("g").alias("token"))
-    held = facts.select("fact_id", F.explode(F.array_distinct(tokens("fact_text"))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    spread = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = asked.join(spread, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("golden_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
-    few = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-    pairs = few.select("golden_id", "token").join(held, "token").select("golden_id", "fact_id").distinct()
-    both = pairs.join(g, "golden_id").join(facts.select("fact_id", F.array_distinct(tokens("fact_text")).alias("f")), "fact_id")
-    scored = both.select("golden_id", "fact_id", (F.size(F.array_intersect("g", "f")) / F.size("g")).alias("ratio")).where(F.col("ratio") >= share)
+    found = shared_tokens(golden, facts, lambda both, n, m: both / n, share)
+    scored = found.select("golden_id", "fact_id", (F.col("shared") / F.col("n_golden")).alias("ratio")).where(F.col("ratio") >= share)
     place = F.row_number().over(Window.partitionBy("golden_id").orderBy(F.desc("ratio"), "fact_id"))
     return scored.withColumn("place", place).withColumn("ratio", F.round("ratio", 6))
 

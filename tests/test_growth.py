@@ -1,6 +1,10 @@
-"""What grows with the input alone: sums after dealing."""
+"""What grows with the input alone: sums after dealing, pairs of texts by blocks."""
 
+import random
+
+from concord.operators import diagnose as D
 from concord.operators import graph as G
+from concord.operators import scoring as S
 
 
 def plan(df):
@@ -15,3 +19,26 @@ def test_forms_are_dealt_before_they_are_summed(spark):
     shown = plan(got)
     assert 0 < shown.index("partial_max") < shown.index("Exchange")
     assert sorted(map(tuple, got.collect())) == [("a", "b", "differs_by", "y"), ("b", "c", "differs_by", "y")]
+
+
+def test_overlaps_by_blocks(spark):
+    """Pairs of texts meet by blocks, not by a join on tokens; all pairs are found, ties at the rounding too."""
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(n))
+    golden = [(k, said(rng.randrange(0, 9))) for k in range(40)] + [(40, ""), (41, None)]
+    facts = [(k, said(rng.randrange(0, 12))) for k in range(300)] + [(300, None), (301, "")]
+    g, f = spark.createDataFrame(golden, "golden_id long, golden_text string"), spark.createDataFrame(facts, "fact_id long, fact_text string")
+    words = lambda t: set((t or "").split())
+    best, cover = {}, set()
+    for i, a in golden:
+        for j, b in facts:
+            x, y = words(a), words(b)
+            jaccard = round(len(x & y) / len(x | y), 6) if x | y else 0.0
+            if x and jaccard >= 0.3 and (jaccard, -j) > best.get(i, (0, 0)):
+                best[i] = jaccard, -j
+            if x and len(x & y) / len(x) >= 0.6:
+                cover.add((i, j, round(len(x & y) / len(x), 6)))
+    got, held = D.best_overlap(g, f), S.covering_facts(g, f, 0.6)
+    assert {r["golden_id"]: (r["overlap"], -r["fact_id"]) for r in got.collect()} == best
+    assert {(r["golden_id"], r["fact_id"], r["ratio"]) for r in held.collect()} == cover
+    assert all("CoGroup" in plan(d) and "Join" not in plan(d) for d in (got, held))
