@@ -29,28 +29,28 @@ _CELLS = """
 
 def _cells(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.select(F.col("l_returnflag").alias("doc"), F.col("l_linestatus").alias("sheet"), F.col("l_orderkey").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col")).distinct()
+    return l.select(F.col("l_returnflag").alias("doc"), F.col("l_linestatus").alias("sheet"), F.col("l_orderkey").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"))
 
 
-def _cited(spark, sf_dir):
+def _ranges(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     to = F.concat(F.lit("$"), column_letters(c % 3 + 2), F.lit("$"), (k + c % 90).cast("string"))
     where = F.when(c % 13 == 0, "nowhere").when(c % 11 == 0, k.cast("string")).otherwise(F.concat(column_letters(c % 3 + 1), k.cast("string"), F.lit(":"), to))
     doc = F.element_at(F.array(*map(F.lit, "ANR")), (k % 3 + 1).cast("int"))
-    return P.cited_cells(o.select(doc.alias("doc"), F.when(F.col("o_orderstatus") == "O", "O").otherwise("F").alias("sheet"), k.alias("fact_id"), where.alias("cell_range")), _cells(spark, sf_dir))
+    return o.select(doc.alias("doc"), F.when(F.col("o_orderstatus") == "O", "O").otherwise("F").alias("sheet"), k.alias("fact_id"), where.alias("cell_range"))
 
 
 @add(f"WITH {_CELLS} SELECT * FROM cited")
 def cited_cells(spark, sf_dir):
-    return _cited(spark, sf_dir)
+    return P.cited_cells(_ranges(spark, sf_dir), _cells(spark, sf_dir).distinct())
 
 
 @add(f"""WITH {_CELLS}, m AS (SELECT c.*, EXISTS (SELECT 1 FROM cited k WHERE k.doc = c.doc AND k.sheet = c.sheet AND k."row" = c."row" AND k.col = c.col) AS held FROM cells c),
     r AS (SELECT doc, sheet, "row", count(*) AS n, count(*) FILTER (WHERE held) AS c FROM m GROUP BY ALL)
     SELECT doc, sheet, sum(n)::BIGINT AS n_cells, sum(c)::BIGINT AS n_cited, count(*) FILTER (WHERE c = 0) AS n_uncited_rows FROM r GROUP BY ALL""")
 def cell_coverage(spark, sf_dir):
-    return P.cell_coverage(_cells(spark, sf_dir), _cited(spark, sf_dir))
+    return P.sheet_coverage(_ranges(spark, sf_dir), _cells(spark, sf_dir))
 
 
 #: Customers cite the orders that they are said to have; a customer's own orders are the places that exist.

@@ -4,6 +4,7 @@ import random
 
 from concord.operators import diagnose as D
 from concord.operators import graph as G
+from concord.operators import places as P
 from concord.operators import scoring as S
 
 
@@ -42,3 +43,15 @@ def test_overlaps_by_blocks(spark):
     assert {r["golden_id"]: (r["overlap"], -r["fact_id"]) for r in got.collect()} == best
     assert {(r["golden_id"], r["fact_id"], r["ratio"]) for r in held.collect()} == cover
     assert all("CoGroup" in plan(d) and "Join" not in plan(d) for d in (got, held))
+
+
+def test_coverage_deals_cells_once(spark):
+    """Coverage by bands equals coverage by pairs of cell and claim, and repeated cells count once; pairs do not travel."""
+    rng = random.Random(6)
+    cells = spark.createDataFrame([("d", rng.choice("st"), rng.randrange(1, 150), rng.randrange(1, 6)) for _ in range(500)] + [(None, None, 2, 2)], "doc string, sheet string, row int, col int")
+    spans = [(rng.randrange(1, 140), rng.randrange(1, 6)) for _ in range(30)]
+    claims = spark.createDataFrame([("d", rng.choice("st"), k, f"A{r}:{'ABCDE'[c - 1]}{r + k % 9}") for k, (r, c) in enumerate(spans)], "doc string, sheet string, fact_id long, cell_range string")
+    got = P.sheet_coverage(claims, cells, 16)
+    rows = lambda df: sorted(map(repr, df.select("doc", "sheet", "n_cells", "n_cited", "n_uncited_rows").collect()))
+    assert rows(got) == rows(P.cell_coverage(cells.distinct(), P.cited_cells(claims, cells.distinct())))
+    assert plan(got).split("== Initial Plan ==")[-1].count("Exchange") <= 3
