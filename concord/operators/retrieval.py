@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, is_blank, tokens
-from ..functions.vectors import dot, l2_normalize
+from ..functions.vectors import l2_normalize
 from .ordering import written
 
 #: Scores of vectors that a task holds at once, 8 bytes each and once more while it cuts them.
@@ -87,11 +87,40 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, on: str) -> DataFrame:
-    """(query_id, doc_id, score): cosine of a stated query set against the rows of equal key ``on``, by a shuffle join."""
-    q = queries.select(F.col(query_id).alias("query_id"), l2_normalize(vector).alias("_q"), F.col(on).alias("_key"))
-    c = corpus.select(F.col(doc_id).alias("doc_id"), l2_normalize(vector).alias("_c"), F.col(on).alias("_key"))
-    return c.join(q, "_key").select("query_id", "doc_id", F.round(dot("_q", "_c"), 6).alias("score"))
+def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, on: str, floor: float, query_block: int = 2048, corpus_block: int = 8192, scores_held: int = SCORES // 4) -> DataFrame:
+    """(query_id, doc_id, score): cosine of a stated query set against the rows of equal key ``on`` and vectors of equal length, where the
+    rounded score is ``floor`` or more.
+
+    Both sides of a key are dealt to blocks of bounded size; each pair of blocks meets in one task as matrix products, and what
+    comes near the floor is summed again component by component.
+    """
+    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
+    whole = lambda df: df.where(F.col(on).isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False)))
+    q = whole(queries).select(F.col(query_id).alias("query_id"), l2_normalize(vector).alias("v"), F.col(on).alias("_key"))
+    c = whole(corpus).select(F.col(doc_id).alias("doc_id"), l2_normalize(vector).alias("v"), F.col(on).alias("_key"))
+    blocks = lambda df, size, name: df.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = written(blocks(q, query_block, "n_q").join(blocks(c, corpus_block, "n_c"), "_key"), "sizes")
+    part = lambda df, key, own, n, other, m: df.join(sizes, "_key").withColumn(own, F.pmod(F.xxhash64(key), n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("n_q", "n_c")
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, rows = [], _by_length(right["v"], False) if len(right) else {}
+        for n, (at, block) in (_by_length(left["v"], False) if len(left) else {}).items():
+            if n not in rows:
+                continue
+            there, other = rows[n]
+            step = max(1, scores_held // len(other))
+            for a in range(0, len(block), step):
+                i, j = np.nonzero(~(block[a : a + step] @ other.T < floor - 1e-6))
+                score = np.zeros(len(i))
+                for d in range(n):
+                    score += block[a + i, d] * other[j, d]
+                parts.append(pa.table({"query_id": left["query_id"].take(pa.array(at[a + i])), "doc_id": right["doc_id"].take(pa.array(there[j])), "score": pa.array(score)}))
+        return pa.concat_tables(parts) if parts else pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    keys = ["_key", "qb", "cb"]
+    pairs = part(q, "query_id", "qb", "n_q", "cb", "n_c").groupBy(*keys).cogroup(part(c, "doc_id", "cb", "n_c", "qb", "n_q").groupBy(*keys))
+    found = pairs.applyInArrow(near, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return found.withColumn("score", F.round("score", 6)).where(F.col("score") >= floor)
 
 
 def _sound(vector: str) -> Column:
@@ -99,15 +128,16 @@ def _sound(vector: str) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
-def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors) of the vectors of each length."""
+def _by_length(column: pa.ChunkedArray, scaled: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of the vectors of each length, ``scaled`` to unit length."""
     lists = column.combine_chunks()
     ends = lists.offsets.to_numpy().astype(np.int64)
     values = lists.values.to_numpy(zero_copy_only=False).astype(float)
     out = {}
     for n in np.unique(np.diff(ends)).tolist():
         rows = np.flatnonzero(np.diff(ends) == n)
-        out[n] = rows, _unit_rows(values[ends[rows][:, None] + np.arange(n)[None, :]])
+        vectors = values[ends[rows][:, None] + np.arange(n)[None, :]]
+        out[n] = rows, _unit_rows(vectors) if scaled else vectors
     return out
 
 

@@ -39,11 +39,6 @@ _COSINE = """
     cosine as (select q.vec_id as query_id, c.vec_id as doc_id, round(list_dot_product(q.v, c.v), 6) as score from n q join n c on q.vec_id % 20 = 0{on})"""
 
 
-def _cosine(spark, sf_dir, on=None):
-    e = table(spark, sf_dir, "embeddings")
-    return R.cosine_scores(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", on)
-
-
 def _nearest(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings")
     return R.cosine_top(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", k)
@@ -56,7 +51,8 @@ def cosine_topk(spark, sf_dir):
 
 @add(f"with {_COSINE.format(on=' and q.label = c.label')} select query_id, doc_id, score from cosine where score >= 0.2")
 def cosine_min_score(spark, sf_dir):
-    return _cosine(spark, sf_dir, "label").where("score >= 0.2")
+    e = table(spark, sf_dir, "embeddings")
+    return R.cosine_scores(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", "label", 0.2)
 
 
 @add(f"""with {_COSINE.format(on='')}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from cosine)

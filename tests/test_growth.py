@@ -5,6 +5,7 @@ import random
 from concord.operators import diagnose as D
 from concord.operators import graph as G
 from concord.operators import places as P
+from concord.operators import retrieval as R
 from concord.operators import scoring as S
 
 
@@ -55,3 +56,17 @@ def test_coverage_deals_cells_once(spark):
     rows = lambda df: sorted(map(repr, df.select("doc", "sheet", "n_cells", "n_cited", "n_uncited_rows").collect()))
     assert rows(got) == rows(P.cell_coverage(cells.distinct(), P.cited_cells(claims, cells.distinct())))
     assert plan(got).split("== Initial Plan ==")[-1].count("Exchange") <= 3
+
+
+def test_scores_of_one_key_by_blocks(spark):
+    """Vectors of a key meet by blocks, however they are dealt; null keys and vectors meet nothing, a zero vector scores 0."""
+    rng = random.Random(7)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(3)], rng.choice([1, 2, None])) for k in range(80)] + [(80, [0.0, 0.0, 0.0], 1), (81, None, 1), (82, [1.0, None, 2.0], 1), (83, [1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, key int")
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v]
+    whole = [(k, unit(v), key) for k, v, key in rows if key and v and None not in v]
+    want = {(a, b): round(sum(x * y for x, y in zip(v, w)), 6) for a, v, ka in whole if a % 4 == 0 for b, w, kb in whole if ka == kb and len(v) == len(w)}
+    for blocks in ((2048, 8192, 1000), (3, 5, 1)):
+        got = R.cosine_scores(df.where("id % 4 = 0"), df, "id", "id", "v", "key", -0.1, *blocks)
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in got.collect()} == {k: s for k, s in want.items() if s >= -0.1}
+    assert "CoGroup" in plan(got)
