@@ -253,7 +253,8 @@ def with_hash_vectors(items: DataFrame, text: str = "text", name: str = "vector"
 def hybrid(queries: DataFrame, items: DataFrame, recall: int = 30, top: int = 10, trade: float = 0.5, per_doc_cap: int = 4) -> DataFrame:
     """Hybrid retrieval of items (item_id, doc_id, text, vector) for queries (query_id, text, vector): BM25 and cosine
     recall, rank fusion, diversification; scores are fused scores rounded to 6 places."""
-    items = items.where(~is_blank("text"))
+    # read by both rankers and by the pool; their vectors are made once
+    items = written(items.where(~is_blank("text")).select("item_id", "doc_id", "text", "vector"), "items")
     lexical = bm25_top(queries, items, "query_id", "item_id", recall)
     dense = cosine_top(queries, items, "query_id", "item_id", "vector", recall)
     ranked = dense.select("query_id", "doc_id", F.lit(0).alias("ranker"), "rank", F.lit(1.0).alias("weight")).unionByName(lexical.select("query_id", "doc_id", F.lit(1).alias("ranker"), "rank", F.lit(1.0).alias("weight")))

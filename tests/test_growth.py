@@ -70,3 +70,13 @@ def test_scores_of_one_key_by_blocks(spark):
         got = R.cosine_scores(df.where("id % 4 = 0"), df, "id", "id", "v", "key", -0.1, *blocks)
         assert {(r["query_id"], r["doc_id"]): r["score"] for r in got.collect()} == {k: s for k, s in want.items() if s >= -0.1}
     assert "CoGroup" in plan(got)
+
+
+def test_vectors_of_items_are_made_once(spark, monkeypatch):
+    """Both rankers and the pool read items that were written once."""
+    seen = []
+    keep = R.written
+    monkeypatch.setattr(R, "written", lambda df, name: seen.append(name) or keep(df, name))
+    items = R.with_hash_vectors(spark.createDataFrame([(k, k % 2, f"word{k} common") for k in range(6)] + [(9, 0, " ")], "item_id long, doc_id long, text string"))
+    got = R.hybrid(R.with_hash_vectors(spark.createDataFrame([(1, "word3 common")], "query_id long, text string")), items)
+    assert seen.count("items") == 1 and got.orderBy("rank").first()["item_id"] == 3 and "MapInArrow" not in plan(got).split("== Initial Plan ==")[0].split("FlatMapGroupsInPandas")[-1].split("CoGroup")[0]
