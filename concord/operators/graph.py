@@ -79,12 +79,26 @@ def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b): the least node reachable.
 
-    Edges that stand near each other are first contracted where they stand, a batch at a time.  Then each round points every node to
-    its least neighbour, follows the pointers and contracts the edges, so rounds shrink by half at least; nodes learn their
-    component by going back through the rounds.
+    Edges that stand near each other are first contracted where they stand, a batch at a time; only what several batches hold goes
+    on.  Then each round points every node to its least neighbour, follows the pointers and contracts the edges, so rounds shrink
+    by half at least; nodes learn their component by going back through the rounds.
     """
     ends = edges.select("a", "b").where("a is not null and b is not null")
     near = written(ends.mapInArrow(_star_batches, ends.schema), "edges")
+    # a node of one batch is done; of one that several batches hold, the least of each are linked
+    least = written(near.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("far")), "least")
+    several = least.where("b <> far").select("a", F.col("b").alias("to"))
+    links = near.join(several, "a").where("b <> to").select(F.col("to").alias("a"), "b").distinct()
+    near = written(links, "edges")
+    if near.isEmpty():
+        return least.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = _by_rounds(near)
+    joined = least.select("a", "b").join(found.select(F.col("node").alias("b"), "component"), "b", "left")
+    return written(joined.select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component")), "labels")
+
+
+def _by_rounds(near: DataFrame) -> DataFrame:
+    """``components`` of edges that were contracted where they stand."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
     rounds = []
     while True:
@@ -261,6 +275,26 @@ def constrained_merge(edges: DataFrame, members: DataFrame | None = None, folded
     inside is a concept as it is; of the others those of up to ``folded`` edges are merged edge by edge, many in a task, and larger
     ones by rounds of the cluster.
     """
+    kept, nodes, fates, free = _merged(edges, folded)
+    every = kept.where("relation <> 'same_as' or relation is null").select(F.explode(F.array("left_id", "right_id")).alias("id"))
+    every = every if members is None else every.union(members.select("id").where("id is not null"))
+    named = nodes.unionByName(every, allowMissingColumns=True)
+    nodes = named.groupBy("id").agg(F.min("least").alias("least")).select(F.lit("node").alias("kind"), "id", F.coalesce("least", "id").cast("string").alias("value"))
+    kind = edges.schema["left_id"].dataType
+    fates = fates.unionByName(free.select("pos", F.lit("merged").alias("fate")))
+    return nodes.unionByName(fates.select(F.lit("edge").alias("kind"), F.col("pos").cast(kind).alias("id"), F.col("fate").alias("value")))
+
+
+def merged_and_refused(edges: DataFrame, folded: int = FOLDED) -> tuple[DataFrame, DataFrame]:
+    """What ``constrained_merge`` changes: (id, least) of the ends of same_as edges, and (pos) of refused edges; ``pos`` may be of any
+    type that has an order, a struct too."""
+    _, nodes, fates, _ = _merged(edges, folded)
+    return nodes, fates.where("fate = 'differs_by'").select("pos")
+
+
+def _merged(edges: DataFrame, folded: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The edges as written, (id, least) of the ends of same_as edges, (pos, fate) of edges in components with a pair apart, and (pos)
+    of all other same_as edges."""
     rank = F.struct((~F.coalesce(F.col("promoted"), F.lit(False))).alias("late"), F.col("pos").alias("pos"))
     # read several times below
     kept = written(edges.select("pos", "left_id", "right_id", "relation", "promoted").where("left_id is not null and right_id is not null"), "links")
@@ -268,27 +302,27 @@ def constrained_merge(edges: DataFrame, members: DataFrame | None = None, folded
     apart = kept.where("relation = 'differs_by' and left_id <> right_id").select(F.least("left_id", "right_id").alias("lo"), F.greatest("left_id", "right_id").alias("hi"))
     label = components(same.select(F.col("left").alias("a"), F.col("right").alias("b")))
     of = lambda c, name: label.select(F.col("node").alias(c), F.col("component").alias(name))
-    inside = apart.join(of("lo", "component"), "lo").join(of("hi", "other"), "hi").where("component = other").select("component", "lo", "hi").distinct()
-    links = same.join(of("left", "component"), "left")
-    rows = written(links.select("component", "rank.late", "rank.pos", "left", "right").unionByName(inside.select("component", F.col("lo").alias("left"), F.col("hi").alias("right")), allowMissingColumns=True), "links")
-    size = written(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("late").isNull()).alias("n_apart")).where("n_apart > 0").select("component", (F.col("n") > folded).alias("large")), "sizes")
+    inside = written(apart.join(of("lo", "component"), "lo").join(of("hi", "other"), "hi").where("component = other").select("component", "lo", "hi").distinct(), "apart")
+    held = inside.select("component").distinct()
+    # only components with a pair apart go on
+    bound = written(label.join(held, "component", "left_semi").select(F.col("node").alias("left"), "component"), "bound")
+    links = same.join(bound, "left").select("component", "rank.late", "rank.pos", "left", "right")
+    rows = written(links.unionByName(inside.select("component", F.col("lo").alias("left"), F.col("hi").alias("right")), allowMissingColumns=True), "links")
+    large = written(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > folded).select("component"), "sizes")
+    any_large = not large.isEmpty()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    bound = rows.join(size, "component", "left")
-    free = bound.where("large is null").select("pos", F.lit("merged").alias("fate"))
-    small = bound.where("not large").drop("large").repartition("component").sortWithinPartitions("component", F.col("late").asc_nulls_first(), "pos", "left", "right")
-    out = written(small.mapInArrow(_fold_batches, f"id {kinds['left']}, least {kinds['left']}, pos {kinds['pos']}, fate string"), "folded").unionByName(free, allowMissingColumns=True)
-    if not size.where("large").isEmpty():
-        large = rows.join(size.where("large"), "component", "left_semi")
-        links = large.where("late is not null").select(F.struct("late", "pos").alias("rank"), "left", "right")
-        out = out.unionByName(written(_merge_by_rounds(links, large.where("late is null").select(F.col("left").alias("lo"), F.col("right").alias("hi"))), "large"))
+    small = rows.join(large, "component", "left_anti") if any_large else rows
+    small = small.repartition("component").sortWithinPartitions("component", F.col("late").asc_nulls_first(), "pos", "left", "right")
+    out = written(small.mapInArrow(_fold_batches, f"id {kinds['left']}, least {kinds['left']}, pos {kinds['pos']}, fate string"), "folded")
+    if any_large:
+        whole = rows.join(large, "component", "left_semi")
+        links = whole.where("late is not null").select(F.struct("late", "pos").alias("rank"), "left", "right")
+        out = out.unionByName(written(_merge_by_rounds(links, whole.where("late is null").select(F.col("left").alias("lo"), F.col("right").alias("hi"))), "large"))
     # a component with a pair apart is named by the nodes of its concepts
-    whole = label.join(size.select("component"), "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("least"))
-    every = kept.where("relation <> 'same_as' or relation is null").select(F.explode(F.array("left_id", "right_id")).alias("id"))
-    every = every if members is None else every.union(members.select("id").where("id is not null"))
-    named = whole.unionByName(out.where("fate is null").select("id", "least")).unionByName(every, allowMissingColumns=True)
-    nodes = named.groupBy("id").agg(F.min("least").alias("least")).select(F.lit("node").alias("kind"), "id", F.coalesce("least", "id").cast("string").alias("value"))
-    kind = edges.schema["left_id"].dataType
-    return nodes.unionByName(out.where("fate is not null").select(F.lit("edge").alias("kind"), F.col("pos").cast(kind).alias("id"), F.col("fate").alias("value")))
+    alone = label.join(held, "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("least"))
+    nodes = alone.unionByName(out.where("fate is null").select("id", "least"))
+    free = same.join(bound.select("left"), "left", "left_anti").select("rank.pos")
+    return kept, nodes, out.where("fate is not null").select("pos", "fate"), free
 
 
 def concept_nodes(members: DataFrame, concept: str = "root") -> DataFrame:

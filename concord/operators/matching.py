@@ -25,6 +25,8 @@ def candidates(reference: DataFrame, targets: DataFrame, ranked: DataFrame | Non
     exact = named.select("ref_id", "target_doc", "target_id", F.lit(1.0).alias("score"), F.lit("name").alias("method"), F.lit(1).alias("place"), F.lit(False).alias("needs_review"))
     if ranked is None:
         return exact
+    # read twice below
+    exact = written(exact, "named")
     rest = ranked.join(exact.select("ref_id", "target_doc"), ["ref_id", "target_doc"], "left_anti").where(F.col("rank") <= keep)
     return exact.unionByName(rest.select("ref_id", "target_doc", "target_id", F.col("score").cast("double").alias("score"), F.lit("ranked").alias("method"), F.col("rank").cast("int").alias("place"), "needs_review"))
 

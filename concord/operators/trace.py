@@ -28,7 +28,7 @@ def trace_missing(verdicts: DataFrame, edges: DataFrame, ranked: DataFrame | Non
     """A trace of every missing comparison: (fact_id, target_doc, entity_name, cause, subcause, confidence, trail, edges, ranked).
 
     ``verdicts`` (fact_id, target_doc, entity_name, result, decided_by); ``edges`` of the graph (ref_id, target_doc, target_id, relation,
-    axis, decided_by, rejected_by, promoted, reason, score, edge_no); ``ranked`` (ref_id, target_doc, target_id, score, rank, cut_by,
+    axis, decided_by, rejected_by, promoted, reason, score, edge_no of any type with an order); ``ranked`` (ref_id, target_doc, target_id, score, rank, cut_by,
     empty where kept) or none if rankings were not saved; ``cited`` (doc, n_cited) the facts' blocks of each document; ``mentioned`` (doc,
     entity_name) names that uncited blocks hold.
 

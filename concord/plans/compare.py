@@ -42,5 +42,5 @@ def build_concepts(reference: DataFrame, targets: DataFrame, ontology: DataFrame
 
 def compare_by_concept(reference: DataFrame, targets: DataFrame, graph: C.ConceptGraph, low: DataFrame | None = None) -> DataFrame:
     """Verdicts of reference facts against the facts of their concept in each target document, with the gate's reasons and no model."""
-    candidates = C.concept_candidates(reference, targets, graph)
+    candidates = C.concept_order(reference, targets, graph)
     return V.route(V.compare(J.attach(reference, targets, candidates)), low)

@@ -80,3 +80,32 @@ def test_vectors_of_items_are_made_once(spark, monkeypatch):
     items = R.with_hash_vectors(spark.createDataFrame([(k, k % 2, f"word{k} common") for k in range(6)] + [(9, 0, " ")], "item_id long, doc_id long, text string"))
     got = R.hybrid(R.with_hash_vectors(spark.createDataFrame([(1, "word3 common")], "query_id long, text string")), items)
     assert seen.count("items") == 1 and got.orderBy("rank").first()["item_id"] == 3 and "MapInArrow" not in plan(got).split("== Initial Plan ==")[0].split("FlatMapGroupsInPandas")[-1].split("CoGroup")[0]
+
+
+def test_a_graph_makes_what_is_asked_of_it(spark, monkeypatch):
+    """Building a graph numbers no edges and no members and evaluates the pairs once; links keep their order all the same."""
+    from concord.operators import concepts as C
+    from concord.plans.compare import build_concepts
+
+    seen, names = [], []
+    number, write = C.number_rows, C.written
+    monkeypatch.setattr(C, "number_rows", lambda *a, **b: seen.append(a) or number(*a, **b))
+    monkeypatch.setattr(C, "written", lambda df, name: names.append(name) or write(df, name))
+    fact = "doc string, fact_id long, entity_name string, pos long, evidence_text string, search_text string"
+    ref = spark.createDataFrame([("r", k, f"part {k}", 9 - k, "e", "") for k in (1, 2)], fact)
+    targets = spark.createDataFrame([("a", 11, "part 1", 1, "e", ""), ("a", 12, "part-2", 2, "e", "")], fact)
+    onto = spark.createDataFrame([("part1", "part2", "differs_by", "x"), ("part1", "part1", "same_as", "x")], "name_lo string, name_hi string, relation string, axis string")
+    ranked = spark.createDataFrame([(1, "a", 99, 0.5, 1, False), (7, "a", 11, 0.5, 1, False)], "ref_id long, target_doc string, target_id long, score double, rank int, needs_review boolean")
+    graph = build_concepts(ref, targets, onto, ranked)
+    assert not seen and names == ["decided", "edges"]
+    got = {(r["ref_id"], r["target_id"]): (r["relation"], r["decided_by"], r["rejected_by"]) for r in graph.edges.collect()}
+    assert got == {(1, 11): ("same_as", "ontology", ""), (1, 12): ("differs_by", "ontology", ""), (2, 11): ("differs_by", "ontology", ""), (2, 12): ("same_as", "code", "")}
+    assert [r["label"] for r in graph.nodes.orderBy("concept_id").collect()] == ["part 2", "part 1"] and len(seen) == 1
+    assert {r["fact_id"]: r["concept_id"] for r in graph.members.collect()} == {1: "c-0002", 2: "c-0001", 11: "c-0002", 12: "c-0001"}
+
+
+def test_what_one_batch_holds_is_done_at_once(spark, monkeypatch):
+    """Components that lie in one batch take no rounds."""
+    monkeypatch.setattr(G, "_by_rounds", lambda near: 1 / 0)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 7], "a long, b long").coalesce(1)
+    assert {r["node"]: r["component"] for r in G.components(edges).collect()} == {k: k if k % 7 == 1 else k - (k - 1) % 7 for k in range(1, 301)}
