@@ -16,6 +16,8 @@ from .ordering import written
 
 #: Scores of vectors that a task holds at once, 8 bytes each and once more while it cuts them.
 SCORES = 4_000_000
+#: Postings of a block of documents, or terms of a block of queries, on average: about 75 bytes each while a task adds them up.
+POSTINGS = 600_000
 
 
 def chunk_items(items: DataFrame, size: int = 800) -> DataFrame:
@@ -30,47 +32,58 @@ def term_counts(items: DataFrame, id_column: str, text: str = "text") -> DataFra
     return items.select(F.col(id_column).alias("id"), F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, k1: float = 1.5, b: float = 0.75, query_block: int = 1024, corpus_block: int = 4096) -> DataFrame:
+def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, k1: float = 1.5, b: float = 0.75, query_block: int = 1024, corpus_block: int = 4096, postings_block: int = POSTINGS, scores_held: int = SCORES) -> DataFrame:
     """The k best documents of each query that share a term with it, ranked from 1 (scores rounded to 6 places, ties by
     ``doc_id``); a query's repeated terms count once.
 
     The corpus is tokenised once, to a written table of the postings of queries' terms and of each document's length.  Queries
-    and documents are dealt to blocks of bounded size; each pair of blocks meets in one task, adds up its scores in a matrix
-    and passes on only a query's k best, so that common terms never spread to pairs of queries and documents in a shuffle.
+    and documents are dealt to blocks bounded by their rows and by their terms, so that long texts make more blocks and no larger
+    ones; each pair of blocks meets in one task, adds up its scores in a matrix, some queries at a time, and passes on only a
+    query's k best, so that common terms never spread to pairs of queries and documents in a shuffle.
     """
     kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    # read several times below
+    asked = written(asked, "asked")
     # a term that no text can hold stands for the document itself
     wanted = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
     terms = corpus.select(F.col(doc_id).alias("doc_id"), tokens("text").alias("terms")).select("doc_id", F.size("terms").alias("n"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
     found = written(terms.join(wanted, "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "postings")
     stats = found.where("term = ''").agg(F.sum("tf").alias("docs"), (F.sum(F.col("tf") * F.col("n")) / F.sum("tf")).alias("mean_n")).first()
+    n_postings, n_asked = found.count(), asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("query_id").alias("queries")).first()
     docs, mean_n = stats["docs"] or 0.0, stats["mean_n"] or 0.0
     postings = found.where("term <> ''")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, "term").select("query_id", "term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean_n or 1.0)))
     weights = postings.select("doc_id", "term", part.alias("part"))
-    n_q, n_c = max(1, -(-queries.count() // query_block)), max(1, -(-int(docs) // corpus_block))
+    n_q = max(1, -(-n_asked["queries"] // query_block), -(-n_asked["terms"] // postings_block))
+    n_c = max(1, -(-int(docs) // corpus_block), -(-n_postings // postings_block))
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
         if not len(left) or not len(right):
             return empty
         q, d = (c.combine_chunks().dictionary_encode() for c in (left["query_id"], right["doc_id"]))
-        scores = np.zeros((len(q.dictionary), len(d.dictionary)))
         both = pa.chunked_array([*left["term"].chunks, *right["term"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
         mine, theirs = both[: len(left)], both[len(left) :]
         order = np.argsort(theirs, kind="stable")
         at, to = np.searchsorted(theirs[order], mine), np.searchsorted(theirs[order], mine, "right")
         rows, idf, column, value = q.indices.to_numpy(), left["idf"].to_numpy(), d.indices.to_numpy()[order], right["part"].to_numpy()[order]
-        for i in np.flatnonzero(to > at).tolist():  # a term's postings name each document once
-            scores[rows[i], column[at[i] : to[i]]] += idf[i] * value[at[i] : to[i]]
-        scores = np.round(scores, 6)
-        cut = max(0, scores.shape[1] - k)
-        least = np.partition(scores, cut, axis=1)[:, cut]
-        i, j = np.nonzero((scores >= least[:, None]) & (scores > 0))
-        return pa.table({"query_id": q.dictionary.take(pa.array(i)), "doc_id": d.dictionary.take(pa.array(j)), "score": pa.array(scores[i, j])})
+        met = np.flatnonzero(to > at)
+        met = met[np.argsort(rows[met], kind="stable")]
+        parts, n = [empty], len(d.dictionary)
+        step, cut = max(1, scores_held // n), max(0, n - k)
+        for first in range(0, len(q.dictionary), step):
+            scores = np.zeros((min(step, len(q.dictionary) - first), n))
+            begin, end = np.searchsorted(rows[met], (first, first + step))
+            for i in met[begin:end].tolist():  # a term's postings name each document once
+                scores[rows[i] - first, column[at[i] : to[i]]] += idf[i] * value[at[i] : to[i]]
+            np.round(scores, 6, out=scores)
+            least = np.partition(scores, cut, axis=1)[:, cut]
+            i, j = np.nonzero((scores >= least[:, None]) & (scores > 0))
+            parts.append(pa.table({"query_id": q.dictionary.take(pa.array(i + first)), "doc_id": d.dictionary.take(pa.array(j)), "score": pa.array(scores[i, j])}))
+        return pa.concat_tables(parts)
 
     pairs = _dealt(weighed, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(_dealt(weights, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
     return top_k(pairs.applyInArrow(add_up, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)

@@ -109,3 +109,13 @@ def test_what_one_batch_holds_is_done_at_once(spark, monkeypatch):
     monkeypatch.setattr(G, "_by_rounds", lambda near: 1 / 0)
     edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 7], "a long, b long").coalesce(1)
     assert {r["node"]: r["component"] for r in G.components(edges).collect()} == {k: k if k % 7 == 1 else k - (k - 1) % 7 for k in range(1, 301)}
+
+
+def test_lexical_blocks_are_bounded_by_their_terms(spark):
+    """Long texts make more blocks, and a task holds few scores at once; the ranks stay the same."""
+    rng = random.Random(8)
+    texts = [(k, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 30)))) for k in range(60)] + [(60, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ranks = lambda **kw: sorted(map(tuple, R.bm25_top(df.where("doc_id % 4 = 0"), df, "doc_id", "doc_id", 5, **kw).select("query_id", "doc_id", "score", "rank").collect()))
+    whole = ranks()
+    assert whole and whole == ranks(postings_block=150, scores_held=40) == ranks(postings_block=40, scores_held=1)
