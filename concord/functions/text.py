@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +19,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where the value is evaluated once, however often ``use`` names it: Spark repeats what is named several times
+    inside of higher-order functions, and in filters that it pushes down."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     """Search tokens: numbers, Latin runs, Hangul runs; a Hangul run of 3 or more is followed by its bigrams."""
     found = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -52,12 +58,12 @@ def cell_text(value: Column | str) -> Column:
 
 
 def nfkc(name: Column) -> Column:
-    """Unicode NFKC; Spark has no built-in for it."""
+    """Unicode NFKC; Spark has no built-in for it.  A batch of nulls goes back as it came."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield a if a.null_count == len(a) else pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in a.to_pylist()], pa.string())
 
     return run(name)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number, compare_attribute
-from ..functions.text import collapse, is_blank, norm_name, tokens
+from ..functions.text import collapse, is_blank, norm_name, once, tokens
 from .ordering import number_rows
 
 RESULTS = ("mismatch", "unknown", "missing", "match")
@@ -35,19 +35,20 @@ def match_by_name(reference: DataFrame, targets: DataFrame) -> DataFrame:
 def attribute_states(ref: Column, target: Column) -> Column:
     """Array of (key, same) in the reference's key order: same is true, false or null; two single attributes of different
     names are compared with each other unless they are opposite bounds."""
-    shared = F.filter(F.map_keys(ref), lambda k: F.map_contains_key(target, k))
-    pick = lambda m, k: F.try_element_at(m, k)
-    of = lambda k, a, b: F.struct(k.alias("key"), compare_attribute(a["value"], a["unit"], b["value"], b["unit"]).alias("same"))
-    by_key = F.transform(shared, lambda k: of(k, pick(ref, k), pick(target, k)))
+    none = F.array().cast("array<struct<key:string,same:boolean>>")
+    of = lambda k, p: F.struct(k.alias("key"), compare_attribute(p["a"]["value"], p["a"]["unit"], p["b"]["value"], p["b"]["unit"]).alias("same"))
+    both = lambda k, a, b: once(F.struct(a.alias("a"), b.alias("b")), lambda p: of(k, p))
     k1, k2 = F.get(F.map_keys(ref), F.lit(0)), F.get(F.map_keys(target), F.lit(0))
     single = (F.size(ref) == 1) & (F.size(target) == 1) & ~(k1.isin(*BOUNDS) & k2.isin(*BOUNDS) & (k1 != k2))
-    return F.when(F.size(shared) > 0, by_key).when(single, F.array(of(k1, F.get(F.map_values(ref), F.lit(0)), F.get(F.map_values(target), F.lit(0))))).otherwise(F.array().cast("array<struct<key:string,same:boolean>>"))
+    alone = F.when(single, F.array(both(k1, F.get(F.map_values(ref), F.lit(0)), F.get(F.map_values(target), F.lit(0))))).otherwise(none)
+    by_key = lambda shared: F.transform(shared, lambda k: both(k, F.try_element_at(ref, k), F.try_element_at(target, k)))
+    return once(F.filter(F.map_keys(ref), lambda k: F.map_contains_key(target, k)), lambda shared: F.when(F.size(shared) > 0, by_key(shared)).otherwise(alone))
 
 
 def code_verdict(states: Column) -> Column:
     """match, mismatch, or null if any attribute is undecided or none is shared."""
-    undecided = (F.size(states) == 0) | F.exists(states, lambda s: s["same"].isNull())
-    return F.when(undecided, F.lit(None).cast("string")).when(F.forall(states, lambda s: s["same"]), "match").otherwise("mismatch")
+    undecided = lambda all_: (F.size(all_) == 0) | F.exists(all_, lambda s: s["same"].isNull())
+    return once(states, lambda all_: F.when(undecided(all_), F.lit(None).cast("string")).when(F.forall(all_, lambda s: s["same"]), "match").otherwise("mismatch"))
 
 
 def attribute_coverage(ref: Column, target: Column) -> Column:
@@ -63,10 +64,11 @@ def compare(matched: DataFrame) -> DataFrame:
     """
     target = F.col("target.attributes")
     states = F.when(F.col("target").isNotNull(), attribute_states(F.col("attributes"), target))
-    out = matched.withColumn("_states", states)
     code = F.when(F.col("target").isNull(), "missing").otherwise(code_verdict(F.col("_states")))
+    # the code's result is a column before anything names it, so a row is compared once
+    out = matched.withColumn("_states", states).withColumn("code_result", code)
     wrong = F.transform(F.filter("_states", lambda s: s["same"] == F.lit(False)), lambda s: s["key"])
-    return out.withColumns({"code_result": code, "mismatch_attributes": F.when(code == "mismatch", F.array_join(wrong, ",")).otherwise(""), "coverage": attribute_coverage(F.col("attributes"), target), "result": F.coalesce(code, F.lit("unknown"))}).drop("_states")
+    return out.withColumns({"mismatch_attributes": F.when(F.col("code_result") == "mismatch", F.array_join(wrong, ",")).otherwise(""), "coverage": attribute_coverage(F.col("attributes"), target), "result": F.coalesce("code_result", F.lit("unknown"))}).drop("_states")
 
 
 def gate_triggers(compared: DataFrame, uncertain: Column, candidates: Column, evidence: Column) -> DataFrame:
