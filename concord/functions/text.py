@@ -27,10 +27,12 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Search tokens: numbers, Latin runs, Hangul runs; a Hangul run of 3 or more is followed by its bigrams."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    lowered = F.lower(F.coalesce(_col(text), F.lit("")))
+    found = F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
     grown = lambda t: F.when(t.rlike("^[가-힣]{3,}$"), F.concat(F.array(t), pairs(t))).otherwise(F.array(t))
-    return F.flatten(F.transform(found, grown))
+    # only texts with such a run are taken apart
+    return F.when(lowered.rlike("[가-힣]{3}"), F.flatten(F.transform(found, grown))).otherwise(found)
 
 
 def collapse(text: Column | str) -> Column:

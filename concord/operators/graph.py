@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
@@ -214,8 +214,8 @@ FOLDED = 100_000
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (component, late, pos, left, right) in order, a component's pairs that are apart (late null) before its links, as
     (id, least, pos, fate)."""
-    component, least, apart, nodes, places, fates = None, {}, {}, [], [], []
-    schema = None
+    component, least, apart, nodes, kinds = None, {}, {}, [], None
+    names = ["id", "least", "pos", "fate"]
 
     def find(x):
         while least[x] != x:
@@ -223,18 +223,15 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = least[x]
         return x
 
-    def out() -> pa.RecordBatch:
-        n, m = len(nodes), len(fates)
-        columns = [[x for x, _ in nodes] + [None] * m, [r for _, r in nodes] + [None] * m, [None] * n + places, [None] * n + fates]
-        kinds = (schema.field("left").type, schema.field("left").type, schema.field("pos").type, pa.string())
-        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "least", "pos", "fate"])
-        for held in (nodes, places, fates):
-            held.clear()
+    def held() -> pa.RecordBatch:
+        ends = [pa.array([n[k] for n in nodes], kinds[0]) for k in (0, 1)]
+        done = pa.RecordBatch.from_arrays([*ends, *(pa.nulls(len(nodes), k) for k in kinds[1:])], names=names)
+        nodes.clear()
         return done
 
     for batch in batches:
-        schema = batch.schema
-        for c, late, pos, a, b in zip(*(batch.column(k).to_pylist() for k in ("component", "late", "pos", "left", "right"))):
+        kinds, fates = (batch.schema.field("left").type, batch.schema.field("pos").type, pa.string()), []
+        for c, late, a, b in zip(*(batch.column(k).to_pylist() for k in ("component", "late", "left", "right"))):
             if c != component:
                 nodes.extend((x, find(x)) for x in least)
                 component, least, apart = c, {}, {}
@@ -245,7 +242,6 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 apart.setdefault(b, set()).add(a)
                 continue
             x, y = find(a), find(b)
-            places.append(pos)
             if x != y and y in apart.get(x, ()):
                 fates.append("differs_by")
                 continue
@@ -257,11 +253,15 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     apart[z].discard(y)
                     apart[z].add(x)
                     apart.setdefault(x, set()).add(z)
-        if len(nodes) + len(fates) > 10_000:
-            yield out()
+        # the places of a batch's links are handed on as they are
+        places = batch.column("pos").filter(batch.column("late").is_valid())
+        none = pa.nulls(len(places), kinds[0])
+        yield pa.RecordBatch.from_arrays([none, none, places, pa.array(fates, kinds[2])], names=names)
+        if len(nodes) > 10_000:
+            yield held()
     nodes.extend((x, find(x)) for x in least)
-    if schema is not None:
-        yield out()
+    if nodes:
+        yield held()
 
 
 def constrained_merge(edges: DataFrame, members: DataFrame | None = None, folded: int = FOLDED) -> DataFrame:
@@ -344,15 +344,24 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(count("relation", "same_as").alias("same_as"), count("relation", "differs_by").alias("differs_by"), count("relation", "unknown").alias("unknown"), count("rejected_by", "evidence").alias("rejected_evidence"))
 
 
+def quote_stands(quote: str, evidence: str, search: str, name: str, coverage: float = 0.8, least: int = 3) -> Column:
+    """Whether a quote is found in a fact's text and long enough (see ``verify_quotes``); the words of each are found once."""
+    from ..functions.text import is_blank, once, tokens
+
+    parts = {"quote": quote, "evidence": evidence, "name": name}
+    words = F.struct(*(F.array_distinct(tokens(c)).alias(k) for k, c in parts.items()), tokens(F.concat_ws(" ", evidence, search, name)).alias("whole"))
+
+    def holds(w: Column) -> Column:
+        own, evidence, name = w["quote"], w["evidence"], w["name"]
+        share = F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, w["whole"])) / F.size(own))
+        equal = (F.size(F.array_except(own, evidence)) == 0) & (F.size(F.array_except(evidence, own)) == 0)
+        named = (F.size(name) > 0) & (F.size(F.array_except(name, own)) == 0)
+        return (share >= coverage) & ((F.size(own) >= least) | ((F.size(own) > 0) & (equal | named)))
+
+    return ~is_blank(quote) & once(words, holds)
+
+
 def verify_quotes(claims: DataFrame, coverage: float = 0.8, least: int = 3) -> DataFrame:
     """Whether the quote of each claim (quote, evidence_text, search_text, entity_name) is found and long enough: its tokens lie
     in the fact's text, and are ``least`` or more, or all of the evidence, or hold the whole name."""
-    from ..functions.text import is_blank, tokens
-    from .facts import evidence_coverage
-
-    quote, evidence, name = (F.array_distinct(tokens(c)) for c in ("quote", "evidence_text", "entity_name"))
-    covered = evidence_coverage(F.col("quote"), F.concat_ws(" ", "evidence_text", "search_text", "entity_name")) >= coverage
-    equal = (F.size(F.array_except(quote, evidence)) == 0) & (F.size(F.array_except(evidence, quote)) == 0)
-    named = (F.size(name) > 0) & (F.size(F.array_except(name, quote)) == 0)
-    long_enough = (F.size(quote) >= least) | ((F.size(quote) > 0) & (equal | named))
-    return claims.withColumn("verified", ~is_blank("quote") & covered & long_enough)
+    return claims.withColumn("verified", quote_stands("quote", "evidence_text", "search_text", "entity_name", coverage, least))
