@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,11 +155,26 @@ def _by_length(column: pa.ChunkedArray, scaled: bool = True) -> dict[int, tuple[
     return out
 
 
+def _nearly_best(scores: np.ndarray, k: int, slack: float, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all scores that may be among the k best of their row, if each may be wrong by half of ``slack``: the k-th best
+    of the greatest of each ``width`` columns is no better than the k-th best of all."""
+    n = scores.shape[1]
+    if n <= k * width:
+        cut = max(0, n - k)
+        return np.nonzero(scores >= np.partition(scores, cut, axis=1)[:, cut, None] - np.float32(slack))
+    tops = np.maximum.reduceat(scores, np.arange(0, n, width), axis=1)
+    least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] - np.float32(slack)
+    row, group = np.nonzero(tops >= least[:, None])
+    column = group[:, None] * width + np.arange(width)
+    at, place = np.nonzero((scores[row[:, None], np.minimum(column, n - 1)] >= least[row, None]) & (column < n))
+    return row[at], column[at, place]
+
+
 def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int, query_block: int = 8192, corpus_block: int = 32768, scores_held: int = SCORES) -> DataFrame:
     """The k rows of ``corpus`` nearest to each query, ranked from 1 (scores rounded to 6 places, ties by ``doc_id``).
 
-    Queries and corpus are dealt to blocks of bounded size; each pair of blocks meets in one task as matrix products and
-    passes on only rows that can be among a query's k best, so no side is collected or broadcast.  Vectors that are null or
+    Queries and corpus are dealt to blocks of bounded size; each pair of blocks meets in one task as matrix products in single
+    precision, sums what comes near a query's k best again in double, and passes on those k, so no side is collected or broadcast.  Vectors that are null or
     hold a null or a component that is not finite are left out; only vectors of equal length are compared.
     """
     kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
@@ -167,19 +183,26 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
     n_q, n_c = max(1, -(-q.count() // query_block)), max(1, -(-c.count() // corpus_block))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        # in the order that decides ties
+        right = right.take(pc.sort_indices(right["doc_id"], null_placement="at_start"))
         parts, rows = [], _by_length(right["v"]) if len(right) else {}
         for n, (at, block) in (_by_length(left["v"]) if len(left) else {}).items():
             if n not in rows:
                 continue
             there, other = rows[n]
+            rough, slack = other.astype(np.float32), (n + 4) * 2.0**-22 + 1e-6
             step = max(1, scores_held // len(other))
             for a in range(0, len(block), step):
-                scores = block[a : a + step] @ other.T
-                np.round(scores, 6, out=scores)
-                cut = max(0, scores.shape[1] - k)
-                least = np.partition(scores, cut, axis=1)[:, cut]
-                i, j = np.nonzero(scores >= least[:, None])
-                parts.append(pa.table({"query_id": left["query_id"].take(pa.array(at[a + i])), "doc_id": right["doc_id"].take(pa.array(there[j])), "score": pa.array(scores[i, j])}))
+                own = block[a : a + step]
+                i, j = _nearly_best(own.astype(np.float32) @ rough.T, k, slack)
+                score = np.zeros(len(i))
+                for d in range(n):
+                    score += own[i, d] * other[j, d]
+                np.round(score, 6, out=score)
+                order = np.lexsort((j, -score, i))
+                i, j, score = i[order], j[order], score[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                parts.append(pa.table({"query_id": left["query_id"].take(pa.array(at[a + i[best]])), "doc_id": right["doc_id"].take(pa.array(there[j[best]])), "score": pa.array(score[best])}))
         return pa.concat_tables(parts) if parts else pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
 
     pairs = _dealt(q, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(_dealt(c, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))

@@ -33,10 +33,11 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_top(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", 3).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_COSINE = """
+_PAIRS = """
     e as (select vec_id, label, embedding::double[] as v from embeddings),
     n as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
-    cosine as (select q.vec_id as query_id, c.vec_id as doc_id, round(list_dot_product(q.v, c.v), 6) as score from n q join n c on q.vec_id % 20 = 0{on})"""
+    cosine as (select q.vec_id as query_id, c.vec_id as doc_id, round(list_dot_product(q.v, c.v), 6) as score from n q join n c on {on})"""
+_COSINE = _PAIRS.format(on="q.vec_id % 20 = 0{on}")
 
 
 def _nearest(spark, sf_dir, k):
@@ -102,18 +103,21 @@ def chunk_items(spark, sf_dir):
     return R.chunk_items(d).select("item_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@add(f"""with {_COSINE.format(on='')}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from cosine where query_id <> doc_id),
+@add(f"""with {_PAIRS.format(on='true')}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from cosine where query_id <> doc_id),
     f as (select r.query_id, min(rank) as rank from r join embeddings a on a.vec_id = r.query_id join embeddings b on b.vec_id = r.doc_id where a.label = b.label and rank <= 10 group by r.query_id),
-    q as (select vec_id, label from embeddings where vec_id % 20 = 0)
+    q as (select vec_id, label from embeddings)
     select label, round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when rank <= 3 then 1.0 else 0.0 end), 6) as recall_3, round(avg(rank), 6) as mean_rank, count(*) filter (where rank is null) as undetected
     from q left join f on q.vec_id = f.query_id group by label""")
 def recall_at_k(spark, sf_dir):
+    """Every vector asks for its nearest among all others."""
     from ..operators.diagnose import recall_at
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    others = _nearest(spark, sf_dir, 11).drop("rank").where("query_id <> doc_id")
+    vectors = table(spark, sf_dir, "embeddings")
+    e = vectors.select("vec_id", "label")
+    # blocks of one size on both sides: each side is dealt once for each block of the other
+    others = R.cosine_top(vectors, vectors, "vec_id", "vec_id", "embedding", 11, query_block=32768).drop("rank").where("query_id <> doc_id")
     ranked = R.top_k(others, 10)
     a, b = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("lb"))
     found = ranked.join(a, "query_id").join(b, "doc_id").where("la = lb").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    queries = a.where("query_id % 20 = 0").withColumnRenamed("la", "label")
+    queries = a.withColumnRenamed("la", "label")
     return recall_at(queries.join(found, "query_id", "left"), (1, 3), "label")
