@@ -33,6 +33,12 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is dealt by its key, never broadcast.  Spark sizes a table by its compressed files, and what is
+    exploded or pieced together from it no higher, so it would send far more than it expects through the driver."""
+    return df.hint("merge")
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

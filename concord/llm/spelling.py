@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise, pieces, text_column
+from ._spark import materialise, pieces, shuffled, text_column
 
 #: Fixed values of the contract: the divisor of hashes of runs that lose a code point, code points and occurrences of a word.
 TYPO_EVERY, SHORTEST, FEWEST = 97, 5, 3
@@ -101,7 +101,7 @@ def _edits(words: DataFrame, half: Column) -> DataFrame:
     own = ended.select("word", "path", F.explode(F.sequence("half", size)).alias("at"))
     inserted = own.select(key(at, _from("path", at, AHEAD)).alias("key"), "word", at.cast("short").alias("at"), F.lit("").alias("old"))
     replaced = own.where(at < size).select(key(at, _from("path", at + 1, AHEAD)).alias("key"), "word", at.cast("short").alias("at"), _from("path", at, 1).alias("old"))
-    met = inserted.unionByName(replaced).join(bridges, "key").where(F.col("char") > F.col("old"))
+    met = inserted.unionByName(replaced).join(shuffled(bridges), "key").where(F.col("char") > F.col("old"))
     return met.select("word", F.concat(_from("word", 0, at), "char", _from("word", at + F.length("old")), F.lit(END)).alias("path"))
 
 
@@ -113,7 +113,7 @@ def _along(states: DataFrame, words: DataFrame, longest: int) -> DataFrame:
         edges = ended.where(F.length("path") > start).select(*edge()).distinct()
         # a path that has ended stands still
         over = states.where(F.length("path") <= start) if start else None
-        going = (states.where(F.length("path") > start) if start else states).select("word", "path", *edge()).join(edges, ["parent", "label"], "left_semi").select("word", "path")
+        going = (states.where(F.length("path") > start) if start else states).select("word", "path", *edge()).join(shuffled(edges), ["parent", "label"], "left_semi").select("word", "path")
         states = going if over is None else going.unionByName(over)
     return states
 
@@ -169,9 +169,9 @@ def long_neighbours(words: DataFrame) -> DataFrame:
     # words that agree but for the character at one place: no more than the alphabet has
     alike = cut.groupBy(place).agg(F.collect_set("number").alias("all")).where(F.size("all") > 1)
     replaced = alike.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a <> b")
-    longer = cut.select(*place, F.col("number").alias("a")).join(whole.select(*place, F.col("number").alias("b")), place).select("a", "b")
+    longer = cut.select(*place, F.col("number").alias("a")).join(shuffled(whole.select(*place, F.col("number").alias("b"))), place).select("a", "b")
     pairs = replaced.unionByName(longer).unionByName(longer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    named = pairs.join(numbered.select(F.col("number").alias("a"), "word"), "a").join(numbered.select(F.col("number").alias("b"), F.col("word").alias("near")), "b")
+    named = pairs.join(shuffled(numbered.select(F.col("number").alias("a"), "word")), "a").join(shuffled(numbered.select(F.col("number").alias("b"), F.col("word").alias("near"))), "b")
     return named.where(F.levenshtein("word", "near", 1) == 1).select("word", "near")
 
 
@@ -187,7 +187,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = forms.select("word", F.col("form").alias("root"))
     while True:
         onward = state.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        state = materialise(state.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        state = materialise(state.join(shuffled(onward), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if state.where("moved").isEmpty():
             return state.select("word", "root")
         state = state.select("word", "root")
@@ -202,11 +202,11 @@ def group_variants(docs: DataFrame) -> DataFrame:
     """
     words = word_counts(docs)
     pairs = materialise(neighbours(words), "near")
-    described = pairs.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    described = pairs.join(shuffled(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     # of the largest n, the smallest word
     best = described.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near"))).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = words.join(shuffled(best), "word", "left")
     strong = F.col("best.minus") <= -2 * F.col("n")
     found = materialise(joined.select("word", F.when(strong, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, -F.col("best.minus")).alias("form_n")), "forms")
     last = roots(found.where(F.col("form").isNotNull()).select("word", "form"))
-    return found.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(shuffled(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
