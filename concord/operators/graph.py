@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
-from .ordering import number_rows, written
+from .ordering import number_rows, shuffled, written
 
 
 def expand_ontology(entries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -27,9 +27,9 @@ def expand_ontology(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     sides = entries.select("pos", "relation", "axis", norm_name("left").alias("l"), norm_name("right").alias("r")).where("l <> '' and r <> ''").repartition("l")
 
     def spread(df: DataFrame, side: str) -> DataFrame:
-        own = df.join(groups.withColumnRenamed("name", side).withColumnRenamed("group_id", f"{side}_group"), side, "left")
+        own = df.join(shuffled(groups.withColumnRenamed("name", side).withColumnRenamed("group_id", f"{side}_group")), side, "left")
         forms = names.select(F.col("group_id").alias(f"{side}_group"), F.col("name").alias(f"{side}_form"))
-        return own.join(forms, f"{side}_group", "left").withColumn(f"{side}_form", F.coalesce(f"{side}_form", side))
+        return own.join(shuffled(forms), f"{side}_group", "left").withColumn(f"{side}_form", F.coalesce(f"{side}_form", side))
 
     both = spread(spread(sides, "l"), "r").where("l_form <> r_form and not (l_group <=> r_group and l_group is not null)")
     said = F.struct(F.when(F.col("relation") == "differs_by", 1).otherwise(0).alias("differs"), "pos", "relation", "axis")
@@ -44,7 +44,7 @@ def ontology_pairs(reference: DataFrame, targets: DataFrame, ontology: DataFrame
     r = reference.select(F.col("fact_id").alias("ref_id"), norm_name("entity_name").alias("r"))
     t = targets.select("doc", F.col("fact_id").alias("target_id"), norm_name("entity_name").alias("t"))
     both = ontology.select("relation", "axis", F.explode(F.array(F.struct(F.col("name_lo").alias("r"), F.col("name_hi").alias("t")), F.struct(F.col("name_hi").alias("r"), F.col("name_lo").alias("t")))).alias("p")).select("relation", "axis", "p.r", "p.t")
-    return r.join(both, "r").join(t, "t").select("ref_id", "doc", "target_id", "relation", "axis")
+    return shuffled(r).join(both, "r").join(shuffled(t), "t").select("ref_id", "doc", "target_id", "relation", "axis")
 
 
 def resolve_known(pairs: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -88,12 +88,12 @@ def components(edges: DataFrame) -> DataFrame:
     # a node of one batch is done; of one that several batches hold, the least of each are linked
     least = written(near.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("far")), "least")
     several = least.where("b <> far").select("a", F.col("b").alias("to"))
-    links = near.join(several, "a").where("b <> to").select(F.col("to").alias("a"), "b").distinct()
+    links = near.join(shuffled(several), "a").where("b <> to").select(F.col("to").alias("a"), "b").distinct()
     near = written(links, "edges")
     if near.isEmpty():
         return least.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = _by_rounds(near)
-    joined = least.select("a", "b").join(found.select(F.col("node").alias("b"), "component"), "b", "left")
+    joined = least.select("a", "b").join(shuffled(found.select(F.col("node").alias("b"), "component")), "b", "left")
     return written(joined.select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component")), "labels")
 
 
@@ -302,11 +302,11 @@ def _merged(edges: DataFrame, folded: int) -> tuple[DataFrame, DataFrame, DataFr
     apart = kept.where("relation = 'differs_by' and left_id <> right_id").select(F.least("left_id", "right_id").alias("lo"), F.greatest("left_id", "right_id").alias("hi"))
     label = components(same.select(F.col("left").alias("a"), F.col("right").alias("b")))
     of = lambda c, name: label.select(F.col("node").alias(c), F.col("component").alias(name))
-    inside = written(apart.join(of("lo", "component"), "lo").join(of("hi", "other"), "hi").where("component = other").select("component", "lo", "hi").distinct(), "apart")
+    inside = written(shuffled(apart).join(of("lo", "component"), "lo").join(shuffled(of("hi", "other")), "hi").where("component = other").select("component", "lo", "hi").distinct(), "apart")
     held = inside.select("component").distinct()
     # only components with a pair apart go on
-    bound = written(label.join(held, "component", "left_semi").select(F.col("node").alias("left"), "component"), "bound")
-    links = same.join(bound, "left").select("component", "rank.late", "rank.pos", "left", "right")
+    bound = written(label.join(shuffled(held), "component", "left_semi").select(F.col("node").alias("left"), "component"), "bound")
+    links = same.join(shuffled(bound), "left").select("component", "rank.late", "rank.pos", "left", "right")
     rows = written(links.unionByName(inside.select("component", F.col("lo").alias("left"), F.col("hi").alias("right")), allowMissingColumns=True), "links")
     large = written(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > folded).select("component"), "sizes")
     any_large = not large.isEmpty()
@@ -319,9 +319,9 @@ def _merged(edges: DataFrame, folded: int) -> tuple[DataFrame, DataFrame, DataFr
         links = whole.where("late is not null").select(F.struct("late", "pos").alias("rank"), "left", "right")
         out = out.unionByName(written(_merge_by_rounds(links, whole.where("late is null").select(F.col("left").alias("lo"), F.col("right").alias("hi"))), "large"))
     # a component with a pair apart is named by the nodes of its concepts
-    alone = label.join(held, "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("least"))
+    alone = label.join(shuffled(held), "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("least"))
     nodes = alone.unionByName(out.where("fate is null").select("id", "least"))
-    free = same.join(bound.select("left"), "left", "left_anti").select("rank.pos")
+    free = same.join(shuffled(bound.select("left")), "left", "left_anti").select("rank.pos")
     return kept, nodes, out.where("fate is not null").select("pos", "fate"), free
 
 

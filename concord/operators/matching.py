@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_name
 from .containment import contained
-from .ordering import written
+from .ordering import shuffled, written
 
 #: Results of a comparison.
 RESULTS = ("match", "mismatch", "missing", "unknown")
@@ -21,13 +21,14 @@ def candidates(reference: DataFrame, targets: DataFrame, ranked: DataFrame | Non
     """
     first = targets.select(F.col("doc").alias("target_doc"), F.col("fact_id").alias("target_id"), norm_name("entity_name").alias("name"), "pos").where("name <> ''")
     first = first.groupBy("target_doc", "name").agg(F.min_by("target_id", "pos").alias("target_id"))
-    named = reference.select(F.col("fact_id").alias("ref_id"), norm_name("entity_name").alias("name")).join(first, "name")
+    named = reference.select(F.col("fact_id").alias("ref_id"), norm_name("entity_name").alias("name"))
+    named = shuffled(named).join(first, "name")
     exact = named.select("ref_id", "target_doc", "target_id", F.lit(1.0).alias("score"), F.lit("name").alias("method"), F.lit(1).alias("place"), F.lit(False).alias("needs_review"))
     if ranked is None:
         return exact
     # read twice below
     exact = written(exact, "named")
-    rest = ranked.join(exact.select("ref_id", "target_doc"), ["ref_id", "target_doc"], "left_anti").where(F.col("rank") <= keep)
+    rest = ranked.join(shuffled(exact.select("ref_id", "target_doc")), ["ref_id", "target_doc"], "left_anti").where(F.col("rank") <= keep)
     return exact.unionByName(rest.select("ref_id", "target_doc", "target_id", F.col("score").cast("double").alias("score"), F.lit("ranked").alias("method"), F.col("rank").cast("int").alias("place"), "needs_review"))
 
 
@@ -50,7 +51,7 @@ def attach(reference: DataFrame, targets: DataFrame, found: DataFrame) -> DataFr
     slots = reference.select("*", F.explode(F.array(*map(F.lit, document_names(targets))).cast("array<string>")).alias("target_doc"))
     per = found.groupBy(F.col("ref_id").alias("fact_id"), "target_doc").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"), F.min_by(F.struct("target_id", "needs_review"), F.struct("place", "target_id")).alias("_best"))
     facts = targets.select(F.col("doc").alias("target_doc"), F.col("fact_id").alias("_target_id"), F.struct(*targets.columns).alias("target"))
-    joined = slots.join(per, ["fact_id", "target_doc"], "left").withColumn("_target_id", F.col("_best.target_id")).join(facts, ["target_doc", "_target_id"], "left")
+    joined = slots.join(shuffled(per), ["fact_id", "target_doc"], "left").withColumn("_target_id", F.col("_best.target_id")).join(shuffled(facts), ["target_doc", "_target_id"], "left")
     return joined.withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0)), "needs_review": F.coalesce("_best.needs_review", F.lit(False))}).drop("_best", "_target_id")
 
 

@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is dealt by its key, never broadcast.  Spark sizes a table by its compressed files and by the
+    kinds of the columns that are left of it, so it would send far more than it expects through the driver."""
+    return df.hint("merge")
+
+
 def number_rows(rows: DataFrame, order: list[Column | str], name: str, key: list[str] | None = None) -> DataFrame:
     """``rows`` with their number from 1 by ``order``, or by ``order`` within each ``key`` (rows are dealt by ranges of the order,
     so a key may hold any number of them).

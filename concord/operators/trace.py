@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from .ordering import shuffled
 
 # Causes in the order in which they are looked for, and how sure a trace is.
 CAUSES = ("f5_llm", "evidence_gate", "llm_undecided", "blocked", "extraction", "recall", "unresolved")
@@ -41,17 +42,17 @@ def trace_missing(verdicts: DataFrame, edges: DataFrame, ranked: DataFrame | Non
     unknown, refused, apart = F.col("relation") == "unknown", ~is_blank("rejected_by"), F.col("relation") == "differs_by"
     first = lambda when: F.min(F.when(when, F.struct("edge_no", "rejected_by", "reason", "score", "axis", "decided_by")))
     shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") != "same_as", F.struct("edge_no", "target_id", "relation", "axis", "rejected_by", "reason")))), lambda x: F.struct(x["target_id"].alias("target_id"), x["relation"].alias("relation"), x["axis"].alias("axis"), x["rejected_by"].alias("rejected_by"), x["reason"].alias("reason")))
-    per_edge = e.join(missing.select(*slot), slot, "left_semi").groupBy(*slot).agg(
+    per_edge = e.join(shuffled(missing.select(*slot)), slot, "left_semi").groupBy(*slot).agg(
         F.count(F.lit(1)).alias("n_edges"), first(unknown & refused).alias("refusal"), first(unknown & ~refused).alias("undecided"), F.count_if(apart).alias("n_apart"),
         F.coalesce(first(apart & F.col("promoted")), first(apart)).alias("lead"), F.coalesce(F.bool_or(apart & F.col("promoted")), F.lit(False)).alias("promoted"), shown.alias("edges"),
     )
-    rows = missing.join(per_edge, slot, "left").join(cited.select(F.col("doc").alias("target_doc"), "n_cited"), "target_doc", "left")
+    rows = missing.join(shuffled(per_edge), slot, "left").join(cited.select(F.col("doc").alias("target_doc"), "n_cited"), "target_doc", "left")
     if ranked is None:
         rows = rows.withColumn("ranked", F.lit(None).cast("array<struct<rank:int,score:double,cut_by:string>>"))
     else:
         one = F.struct(F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), F.coalesce("cut_by", F.lit("")).alias("cut_by"))
         per = ranked.withColumnRenamed("ref_id", "fact_id").groupBy(*slot).agg(F.array_sort(F.collect_list(one)).alias("ranked"))
-        rows = rows.join(per, slot, "left")
+        rows = rows.join(shuffled(per), slot, "left")
     if mentioned is None:
         rows = rows.withColumn("said", F.lit(False))
     else:

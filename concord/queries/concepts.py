@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import concepts as C
 from ..operators import facts as V
 from ..operators import trace as R
-from ..operators.ordering import written
+from ..operators.ordering import shuffled, written
 from ..plans.compare import build_concepts, compare_by_concept
 from ._tables import Registry, table
 from .graphs import ontology
@@ -75,7 +75,7 @@ def _facts(spark, sf_dir):
         named("the size of part ", "p_partkey").alias("evidence_text"), F.lit("").alias("search_text"), V.attributes(size=(F.col("p_size"), "")).alias("attributes"),
     )
     per = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.max("l_quantity").alias("most"))
-    per = per.join(parts.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    per = per.join(shuffled(parts.select(F.col("p_partkey").alias("l_partkey"))), "l_partkey", "left_semi")
     key = F.col("l_partkey") * 10 + F.instr(F.lit("ANR"), F.col("l_returnflag"))
     targets = per.select(
         F.col("l_returnflag").alias("doc"), key.alias("fact_id"), F.when(F.col("l_partkey") % 4 == 0, named("no-", "l_partkey")).otherwise(named("PART-", "l_partkey")).alias("entity_name"), key.alias("pos"),
@@ -91,7 +91,7 @@ def _graph(spark, sf_dir):
     k = F.col("fact_id")
     on = F.when(F.floor((k + 5) / 6) == F.floor((k + 7) / 6), k + 2).otherwise(k - 2)
     near = reference.where(k % 4 == 0).select(k.alias("ref_id"), "evidence_text", on.alias("l_partkey"))
-    near = near.join(sold.select(F.col("doc").alias("target_doc"), k.alias("target_id"), F.col("evidence_text").alias("said"), "l_partkey"), "l_partkey")
+    near = shuffled(near).join(sold.select(F.col("doc").alias("target_doc"), k.alias("target_id"), F.col("evidence_text").alias("said"), "l_partkey"), "l_partkey")
     ranked = near.select("ref_id", "target_doc", "target_id", F.lit(0.5).alias("score"), F.lit(1).alias("rank"), F.lit(False).alias("needs_review"))
     quote = lambda c: F.when(F.col("ref_id") % 8 == 0, F.col(c)).otherwise("words that stand nowhere")
     answers = near.select("ref_id", "target_doc", "target_id", F.lit("same_as").alias("relation"), F.lit("").alias("axis"), quote("evidence_text").alias("left_text"), quote("said").alias("right_text"), F.col("ref_id").alias("pos"))

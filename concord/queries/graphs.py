@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnose as D
 from ..operators import graph as G
+from ..operators.ordering import shuffled
 from ._tables import NORM, TOKENS, Registry, node, table
 
 _reg = Registry()
@@ -28,7 +29,7 @@ def ontology(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), _named("p_partkey").alias("right"))
     relation = F.when(F.col("p_partkey") % 3 == 0, "differs_by").otherwise("same_as")
-    entries = p.join(following, "p_partkey").select(F.col("p_partkey").alias("pos"), _named("p_partkey").alias("left"), "right", relation.alias("relation"), F.col("p_brand").alias("axis"))
+    entries = p.join(shuffled(following), "p_partkey").select(F.col("p_partkey").alias("pos"), _named("p_partkey").alias("left"), "right", relation.alias("relation"), F.col("p_brand").alias("axis"))
     aliases = p.select(F.col("p_partkey").alias("group_id"), F.explode(F.array(_named("p_partkey"), F.concat(F.lit("no "), F.col("p_partkey").cast("string")))).alias("name"))
     return G.expand_ontology(entries, aliases)
 
