@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, is_blank, tokens
 from ..functions.vectors import l2_normalize
-from .ordering import written
+from .ordering import shuffled, written
 
 #: Scores of vectors that a task holds at once, 8 bytes each and once more while it cuts them.
 SCORES = 4_000_000
-#: Postings of a block of documents, or terms of a block of queries, on average: about 75 bytes each while a task adds them up.
-POSTINGS = 600_000
+#: Postings of a block of documents, or terms of a block of queries, on average: about 60 bytes each while a task adds them up.
+POSTINGS = 4_000_000
+#: Distinct terms of all queries that are collected as a list at most.
+FEW_TERMS = 100_000
 
 
 def chunk_items(items: DataFrame, size: int = 800) -> DataFrame:
@@ -33,60 +35,91 @@ def term_counts(items: DataFrame, id_column: str, text: str = "text") -> DataFra
     return items.select(F.col(id_column).alias("id"), F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, k1: float = 1.5, b: float = 0.75, query_block: int = 1024, corpus_block: int = 4096, postings_block: int = POSTINGS, scores_held: int = SCORES) -> DataFrame:
+def _postings(corpus: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """(doc_id, n, rows, total, terms, tf) of documents (doc_id, n, rows, total, hashes): their distinct terms, or those ``wanted``, with
+    their occurrences."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                lists = part.column(4)
+                h, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+                if wanted is not None:
+                    asked = np.isin(h, wanted)
+                    h, owner = h[asked], owner[asked]
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+                ends = pa.array(np.searchsorted(owner[first], np.arange(len(part) + 1)), pa.int32())
+                tf = np.diff(np.append(first, len(h)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.ListArray.from_arrays(ends, pa.array(h[first], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["doc_id", "n", "rows", "total", "terms", "tf"])
+
+    return corpus.mapInArrow(count, f"doc_id {dict(corpus.dtypes)['doc_id']}, n int, rows bigint, total bigint, terms array<bigint>, tf array<int>")
+
+
+def bm25_top(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int, k1: float = 1.5, b: float = 0.75, query_block: int = 16384, corpus_block: int = 32768, postings_block: int = POSTINGS, scores_held: int = SCORES) -> DataFrame:
     """The k best documents of each query that share a term with it, ranked from 1 (scores rounded to 6 places, ties by
-    ``doc_id``); a query's repeated terms count once.
+    ``doc_id``); a query's repeated terms count once, and rows that repeat an id are one document.
 
-    The corpus is tokenised once, to a written table of the postings of queries' terms and of each document's length.  Queries
-    and documents are dealt to blocks bounded by their rows and by their terms, so that long texts make more blocks and no larger
-    ones; each pair of blocks meets in one task, adds up its scores in a matrix, some queries at a time, and passes on only a
+    The corpus is tokenised once, to a written row of each document with its terms (as 64 bits of their hash: of T terms about
+    T * T / 2^65 pairs share a number) and their occurrences.  Queries and documents are dealt to blocks bounded by their rows and
+    by their terms, so that long texts make more blocks and no larger ones, and large enough that each side is dealt a few
+    times only; each pair of blocks meets in one task, adds up its scores in a matrix, some queries at a time, and passes on only a
     query's k best, so that common terms never spread to pairs of queries and documents in a shuffle.
     """
     kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[doc_id]
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    hashes = lambda t: F.transform(t, lambda x: F.xxhash64(x))
     # read several times below
-    asked = written(asked, "asked")
-    # a term that no text can hold stands for the document itself
-    wanted = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    terms = corpus.select(F.col(doc_id).alias("doc_id"), tokens("text").alias("terms")).select("doc_id", F.size("terms").alias("n"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-    found = written(terms.join(wanted, "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "postings")
-    stats = found.where("term = ''").agg(F.sum("tf").alias("docs"), (F.sum(F.col("tf") * F.col("n")) / F.sum("tf")).alias("mean_n")).first()
-    n_postings, n_asked = found.count(), asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("query_id").alias("queries")).first()
-    docs, mean_n = stats["docs"] or 0.0, stats["mean_n"] or 0.0
-    postings = found.where("term <> ''")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").select("query_id", "term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean_n or 1.0)))
-    weights = postings.select("doc_id", "term", part.alias("part"))
+    asked = written(queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(hashes(tokens("text")))).alias("term")), "asked")
+    # few terms are a short list, by which most of a document's are dropped where it is read
+    few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    wanted = np.array(few, np.int64) if len(few) <= FEW_TERMS else None
+    rows = corpus.select(F.col(doc_id).alias("doc_id"), hashes(tokens("text")).alias("hashes"))
+    rows = rows.select("doc_id", F.size("hashes").alias("n"), F.lit(1).cast("long").alias("rows"), F.size("hashes").cast("long").alias("total"), "hashes")
+    if not corpus.groupBy(doc_id).count().where("count > 1").isEmpty():
+        rows = rows.groupBy("doc_id").agg(F.min("n").alias("n"), F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.flatten(F.collect_list("hashes")).alias("hashes"))
+    found = written(_postings(rows, wanted), "postings")
+    stats = found.agg(F.sum("rows").alias("docs"), F.sum("total").alias("tokens"), F.sum(F.size("terms")).alias("postings")).first()
+    n_asked = asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    docs, n_postings = stats["docs"] or 0, stats["postings"] or 0
+    mean_n = (stats["tokens"] or 0) / (docs or 1) or 1.0
+    df = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = asked.join(shuffled(df), "term").groupBy("query_id").agg(F.collect_set(F.struct("term", "df")).alias("terms"))
     n_q = max(1, -(-n_asked["queries"] // query_block), -(-n_asked["terms"] // postings_block))
-    n_c = max(1, -(-int(docs) // corpus_block), -(-n_postings // postings_block))
+    n_c = max(1, -(-docs // corpus_block), -(-n_postings // postings_block))
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": right["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
         if not len(left) or not len(right):
             return empty
-        q, d = (c.combine_chunks().dictionary_encode() for c in (left["query_id"], right["doc_id"]))
-        both = pa.chunked_array([*left["term"].chunks, *right["term"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
-        mine, theirs = both[: len(left)], both[len(left) :]
+        asked, terms, tf = (c.combine_chunks() for c in (left["terms"], right["terms"], right["tf"]))
+        owner = np.repeat(np.arange(len(left)), np.diff(asked.offsets.to_numpy()))
+        column = np.repeat(np.arange(len(right), dtype=np.int32), np.diff(terms.offsets.to_numpy()))
+        mine, theirs = asked.flatten(), terms.flatten().to_numpy()
         order = np.argsort(theirs, kind="stable")
-        at, to = np.searchsorted(theirs[order], mine), np.searchsorted(theirs[order], mine, "right")
-        rows, idf, column, value = q.indices.to_numpy(), left["idf"].to_numpy(), d.indices.to_numpy()[order], right["part"].to_numpy()[order]
+        theirs, column, tf = theirs[order], column[order], tf.flatten().to_numpy()[order].astype(float)
+        value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * right["n"].to_numpy()[column] / mean_n))
+        each, place = np.unique(mine.field("term").to_numpy(), return_inverse=True)
+        at, to = np.searchsorted(theirs, each)[place], np.searchsorted(theirs, each, "right")[place]
+        df = mine.field("df").to_numpy()
+        idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
         met = np.flatnonzero(to > at)
-        met = met[np.argsort(rows[met], kind="stable")]
-        parts, n = [empty], len(d.dictionary)
+        parts, n = [empty], len(right)
         step, cut = max(1, scores_held // n), max(0, n - k)
-        for first in range(0, len(q.dictionary), step):
-            scores = np.zeros((min(step, len(q.dictionary) - first), n))
-            begin, end = np.searchsorted(rows[met], (first, first + step))
+        for first in range(0, len(left), step):
+            scores = np.zeros((min(step, len(left) - first), n))
+            begin, end = np.searchsorted(owner[met], (first, first + step))
             for i in met[begin:end].tolist():  # a term's postings name each document once
-                scores[rows[i] - first, column[at[i] : to[i]]] += idf[i] * value[at[i] : to[i]]
+                scores[owner[i] - first, column[at[i] : to[i]]] += idf[i] * value[at[i] : to[i]]
             np.round(scores, 6, out=scores)
             least = np.partition(scores, cut, axis=1)[:, cut]
             i, j = np.nonzero((scores >= least[:, None]) & (scores > 0))
-            parts.append(pa.table({"query_id": q.dictionary.take(pa.array(i + first)), "doc_id": d.dictionary.take(pa.array(j)), "score": pa.array(scores[i, j])}))
+            parts.append(pa.table({"query_id": left["query_id"].take(pa.array(i + first)), "doc_id": right["doc_id"].take(pa.array(j)), "score": pa.array(scores[i, j])}))
         return pa.concat_tables(parts)
 
-    pairs = _dealt(weighed, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(_dealt(weights, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
+    theirs = found.where(F.size("terms") > 0).select("doc_id", "n", "terms", "tf")
+    pairs = _dealt(weighed, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb").cogroup(_dealt(theirs, "doc_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
     return top_k(pairs.applyInArrow(add_up, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)
 
 

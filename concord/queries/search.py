@@ -76,7 +76,9 @@ def ranked_cut_by(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     """Vectors and BM25 of the documents that have a vector, fused."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(vectors, "doc_id")
+    # only texts whose ids lie among those of the vectors are dealt for the join
+    ids = vectors.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    both = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("doc_id").between(ids["least"], ids["most"])).join(vectors, "doc_id")
     queries = both.where("doc_id % 20 = 0")
     dense = R.cosine_top(queries, both, "doc_id", "doc_id", "embedding", 30)
     lexical = R.bm25_top(queries, both, "doc_id", "doc_id", 30)
